@@ -10,18 +10,21 @@ from florilege.functions.text import norm_part, strip_accents, words
 
 
 def pick_segment(note: Column, part: Column) -> Column:
-    """The piece of ``a (part), b (part, part)`` written for a part; else the piece without a part."""
-    pieces = F.regexp_extract_all(note, F.lit(r"[^()]*(?:\([^)]*\))?"), F.lit(0))
-    parts = F.transform(
-        F.filter(pieces, lambda p: F.trim(p) != ""),
+    """The piece of ``a (part), b (part, part)`` written for a part; else the only piece or one without a part."""
+    pieces = F.filter(F.regexp_extract_all(note, F.lit(r"[^()]*(?:\([^)]*\))?"), F.lit(0)), lambda p: F.trim(p) != "")
+    named = F.transform(
+        pieces,
         lambda p: F.struct(
             F.regexp_replace(F.regexp_replace(p, r"\([^)]*\)", ""), r"^[\s,;/.]+|[\s,;/.]+$", "").alias("text"),
             F.transform(F.split(F.regexp_extract(p, r"\(([^)]*)\)", 1), r"[,/;]| i "), norm_part).alias("parts"),
         ),
     )
-    own = F.filter(parts, lambda p: F.array_contains(p["parts"], part))
-    general = F.filter(parts, lambda p: F.size(F.array_compact(p["parts"])) == 0)
-    return F.coalesce(F.try_element_at(own, F.lit(1))["text"], F.when(F.size(parts) == 1, F.try_element_at(parts, F.lit(1))["text"]), F.try_element_at(general, F.lit(1))["text"])
+
+    def rank(n: Column) -> Column:
+        return F.when(F.array_contains(n["parts"], part), 0).when(F.size(F.array_compact(n["parts"])) == 0, 2)
+
+    ranked = F.transform(named, lambda n, i: F.struct(F.coalesce(rank(n), F.when(F.size(pieces) == 1, 1)).alias("r"), i.alias("i"), n["text"].alias("text")))
+    return F.array_min(F.filter(ranked, lambda x: x["r"].isNotNull()))["text"]
 
 
 def taste(note: Column) -> Column:
