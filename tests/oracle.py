@@ -15,7 +15,7 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
-FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def connection(folder: str = FOLDER) -> duckdb.DuckDBPyConnection:
