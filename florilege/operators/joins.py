@@ -362,11 +362,13 @@ def resolve_numbers(points: DataFrame, numbers: str, sources: Column) -> DataFra
 
 
 def about_entity(text: Column, latin: Column, name: Column) -> Column:
-    """A text is about an entity: its Latin genus, its name, or nearly all long stems of the name."""
-    low = F.concat(F.lit(" "), norm_text(text), F.lit(" "))
-    genus = F.substring_index(norm_text(latin), " ", 1)
-    long = F.filter(words(name), lambda w: F.length(w) >= 4)
+    """A normal text is about an entity: its Latin genus, its name, or nearly all long stems of the name.
+
+    All three are normal forms, so that each text is normalised once and not once per entity.
+    """
+    low = F.concat(F.lit(" "), text, F.lit(" "))
+    genus = F.substring_index(latin, " ", 1)
+    long = F.filter(F.split(name, " "), lambda w: F.length(w) >= 4)
     found = F.size(F.filter(long, lambda w: F.contains(low, F.concat(F.lit(" "), F.left(w, F.lit(5))))))
     by_stems = (F.size(long) >= 1) & (found >= F.greatest(F.lit(1), F.size(long) - 1))
-    return ((F.length(genus) >= 4) & F.contains(low, F.concat(F.lit(" "), genus))) | F.contains(low, norm_text(name)) | by_stems
-
+    return ((F.length(genus) >= 4) & F.contains(low, F.concat(F.lit(" "), genus))) | F.contains(low, name) | by_stems
