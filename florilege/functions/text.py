@@ -7,7 +7,7 @@ All are native column expressions but for ``numbers``, ``word_diff``, ``snap_quo
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cache
 
 from pyspark.sql import Column
@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from florilege.functions import rules
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside a lambda a plain expression would be computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @cache
 def _accents() -> tuple[str, str]:
     """Letters with marks and their base letters, from the Unicode decomposition of the letter blocks."""
@@ -285,30 +290,47 @@ def paragraphs(text: Column, least: int = 200, most: int = 1500, tail: int = 60)
     return F.aggregate(parts, start, step, finish)
 
 
+def char_runs(text: Column, n: int) -> Column:
+    """Runs of ``n`` characters; the text is cut into characters first, as a substring has to count from the start."""
+
+    def runs(chars: Column) -> Column:
+        spots = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda i: F.array_join(F.slice(chars, i, n), ""))
+
+    return let(F.split(text, ""), runs)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of ``n`` tokens joined by a space."""
-    spots = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    def runs(t: Column) -> Column:
+        spots = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda i: F.array_join(F.slice(t, i, n), " "))
+
+    return let(tokens, runs)
 
 
 def numbers_supported(fact: Column, quote: Column) -> Column:
     """Every number of a statement stands in its quote, comma and point alike."""
     found = F.array_distinct(F.regexp_extract_all(fact, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)))
     pool = F.replace(quote, F.lit(","), F.lit("."))
-    return F.forall(found, lambda n: F.contains(pool, F.replace(n, F.lit(","), F.lit("."))))
+    return let(pool, lambda p: F.forall(found, lambda n: F.contains(p, F.replace(n, F.lit(","), F.lit(".")))))
 
 
 def supported_label(label: Column, text: Column) -> Column:
     """A label follows from a text: all its numbers stand there and half of its word stems."""
-    spaced = F.concat(F.lit(" "), norm_text(text), F.lit(" "))
     parts = words(label)
     numeral = r"^([ivxlcdm]+|\d+)$"
     nums = F.filter(parts, lambda w: w.rlike(numeral))
     plain = F.filter(parts, lambda w: (F.length(w) >= 4) & ~w.rlike(numeral))
-    found = F.size(F.filter(plain, lambda w: F.contains(spaced, F.concat(F.lit(" "), F.left(w, F.lit(5))))))
-    all_nums = F.forall(nums, lambda n: F.contains(spaced, n))
-    enough = F.when(F.size(plain) == 0, F.size(nums) > 0).otherwise(found * 2 >= F.size(plain))
-    return F.coalesce(F.nullif(label, F.lit("")).isNotNull() & all_nums & enough, F.lit(False))
+
+    def check(spaced: Column) -> Column:
+        found = F.size(F.filter(plain, lambda w: F.contains(spaced, F.concat(F.lit(" "), F.left(w, F.lit(5))))))
+        enough = F.when(F.size(plain) == 0, F.size(nums) > 0).otherwise(found * 2 >= F.size(plain))
+        return F.forall(nums, lambda n: F.contains(spaced, n)) & enough
+
+    supported = let(F.concat(F.lit(" "), norm_text(text), F.lit(" ")), check)
+    return F.coalesce(F.nullif(label, F.lit("")).isNotNull() & supported, F.lit(False))
 
 
 def faithful(new: Column, original: Column, threshold: float = 0.6, slack: int = 1) -> Column:
@@ -329,7 +351,8 @@ def has_loop(text: Column) -> Column:
     low = F.concat_ws(" ", F.split(F.trim(F.lower(text)), r"\s+"))
     run = low.rlike(r"(?:^| )(\S+)(?: \1){3}(?: |$)")
     sents = F.filter(F.transform(F.split(F.lower(text), "[.!?]+"), lambda s: F.trim(s)), lambda s: F.length(s) > 8)
-    again = F.exists(F.array_distinct(sents), lambda s: F.size(F.filter(sents, lambda x: x == s)) >= 3)
+    sorted_ = F.array_sort(sents)
+    again = let(sorted_, lambda z: F.exists(F.zip_with(z, F.slice(z, 3, F.greatest(F.size(z), F.lit(1))), lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x))
     return run | again
 
 
