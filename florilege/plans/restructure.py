@@ -116,8 +116,9 @@ def place_inserts(t: Tables):
 
 @query("fact_store")
 def fact_store(t: Tables):
-    new = t.documents.filter("doc_id >= 300").select("source", "doc_id", "text", F.substring("text", 1, 80).alias("quote"))
-    stored = t.documents.filter("doc_id < 300").select("source", "text", F.substring("text", 1, 80).alias("quote"))
+    rows = t.documents.withColumn("quote", F.substring("text", 1, 80))
+    new = rows.join(t.labels, "doc_id", "left_anti").select("source", "doc_id", "text", "quote")
+    stored = rows.join(t.labels, "doc_id", "left_semi").select("source", "text", "quote")
     return K.store_facts(new, stored, "source", "doc_id", "text", "quote").select("source", "doc_id", "fingerprint")
 
 
