@@ -193,20 +193,19 @@ def marked_lines(text: Column, boilerplate: Column | None = None) -> Column:
     cheap and nothing is shuffled.
     """
 
-    def entry(line: Column, i: Column) -> Column:
-        bare = F.trim(line)
-        key = line_key(line)
-        short = F.length(bare).between(1, rules.SHORT_LINE)
-        noise = short & bare.rlike(rules.NOISE_LINE)
-        if boilerplate is None:
-            known = F.lit(False)
-        else:
-            known = short & is_site_line(bare) & F.coalesce(F.array_contains(boilerplate, key), F.lit(False))
-        drop = noise | known
-        return F.struct(
-            F.when(~drop & (F.length(bare) > rules.LONG_LINE), key).alias("long_key"),
-            key.alias("key"), i.alias("pos"), line.alias("line"), drop.alias("drop"),
-        )
+    def keyed(line: Column, i: Column) -> Column:
+        return F.struct(i.alias("pos"), line.alias("line"), F.trim(line).alias("bare"), line_key(line).alias("key"))
+
+    def judged(e: Column) -> Column:
+        short = F.length(e["bare"]).between(1, rules.SHORT_LINE)
+        known = F.lit(False)
+        if boilerplate is not None:
+            known = F.coalesce(F.array_contains(boilerplate, e["key"]), F.lit(False)) & is_site_line(e["bare"])
+        return F.struct(e["key"].alias("key"), e["pos"].alias("pos"), e["line"].alias("line"), F.length(e["bare"]).alias("size"), (short & (known | e["bare"].rlike(rules.NOISE_LINE))).alias("drop"))
+
+    def grouped(e: Column) -> Column:
+        long = F.when(~e["drop"] & (e["size"] > rules.LONG_LINE), e["key"])
+        return F.struct(long.alias("long_key"), e["key"].alias("key"), e["pos"].alias("pos"), e["line"].alias("line"), e["drop"].alias("drop"))
 
     def flag_repeat(e: Column, before: Column) -> Column:
         again = F.coalesce(e["long_key"] == before["long_key"], F.lit(False))
@@ -216,9 +215,9 @@ def marked_lines(text: Column, boilerplate: Column | None = None) -> Column:
         later = F.coalesce((e["key"] != "") & (e["key"] == after["key"]), F.lit(False))
         return F.struct(e["pos"].alias("pos"), e["line"].alias("line"), e["drop"].alias("drop"), later.alias("later"))
 
-    by_long = F.array_sort(F.transform(lines(text), entry))
-    by_key = F.array_sort(F.zip_with(by_long, _shift(by_long, True), flag_repeat))
-    return F.array_sort(F.zip_with(by_key, _shift(by_key, False), flag_later))
+    rows = F.transform(F.transform(F.transform(lines(text), keyed), judged), grouped)
+    by_key = let(F.array_sort(rows), lambda z: F.array_sort(F.zip_with(z, _shift(z, True), flag_repeat)))
+    return let(by_key, lambda z: F.array_sort(F.zip_with(z, _shift(z, False), flag_later)))
 
 
 def clean_text(marked: Column) -> Column:
@@ -234,7 +233,7 @@ def clean_text(marked: Column) -> Column:
         head = bare.rlike(rules.TOC_HEADING)
         return F.when(listed & head, "H").when(listed, "1").when(head, "h").otherwise("0")
 
-    letters = F.array_join(F.transform(marked, letter), "")
+    letters = F.array_join(F.transform(marked, letter), "")  # one letter per line
     one = "[1H]"
     run = f"{one}(?={one}{one})|(?<={one}){one}(?={one})|(?<={one}{one}){one}|(?<=[hH]){one}(?={one})|(?<=[hH]{one}){one}"
     mask = F.split(F.regexp_replace(letters, run, "x"), "")
@@ -282,10 +281,12 @@ def paragraphs(text: Column, least: int = 200, most: int = 1500, tail: int = 60)
         return F.struct(F.when(full, F.lit("")).otherwise(buf).alias("buf"), out.alias("out"))
 
     def finish(state: Column) -> Column:
-        whole = F.flatten(F.transform(state["out"], lambda p: _cut(p, most)))
-        joined = F.concat(F.slice(whole, 1, F.greatest(F.size(whole) - 1, F.lit(0))), F.array(F.concat_ws("\n", F.try_element_at(whole, F.lit(-1)), state["buf"])))
-        short = (F.size(whole) > 0) & (F.length(state["buf"]) < tail)
-        return F.when(state["buf"] == "", whole).when(short, joined).otherwise(F.array_append(whole, state["buf"]))
+        def close(whole: Column) -> Column:
+            joined = F.concat(F.slice(whole, 1, F.greatest(F.size(whole) - 1, F.lit(0))), F.array(F.concat_ws("\n", F.try_element_at(whole, F.lit(-1)), state["buf"])))
+            short = (F.size(whole) > 0) & (F.length(state["buf"]) < tail)
+            return F.when(state["buf"] == "", whole).when(short, joined).otherwise(F.array_append(whole, state["buf"]))
+
+        return let(F.flatten(F.transform(state["out"], lambda p: _cut(p, most))), close)
 
     return F.aggregate(parts, start, step, finish)
 
