@@ -233,13 +233,13 @@ def site_tiles(t: Tables):
 
 
 @query(
-    "site_topk",
+    "site_topk_series",
     COUNTERS
     + """, s AS (SELECT kind, CASE WHEN contains(key, ':') THEN substr(key, strpos(key, ':') + 1) ELSE key END AS label, CAST(sum(n) AS BIGINT) AS n
     FROM counters WHERE day >= '2024-01-10' GROUP BY ALL)
     SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, label) AS rank FROM s QUALIFY rank <= 15""",
 )
-def site_topk(t: Tables):
+def site_topk_series(t: Tables):
     return A.counter_top(standin(t, "counter_feed"), "2024-01-10", 15)
 
 
