@@ -91,7 +91,9 @@ def best_primary(members: DataFrame, unit: str, units: DataFrame, keys: str, pay
     ``members`` holds ``(order, unit)``: several members may share one unit of equal content.
     """
     primaries = units.join(kept, unit)
-    found = _keyed(primaries, unit, keys, "a").join(_keyed(units, unit, keys, "b"), "key").select(f"a_{unit}", f"b_{unit}").distinct()
+    # a kept unit has no earlier primary; only its further members do
+    asking = members.join(kept, unit, "left_anti").select(unit).unionByName(members.filter(F.col(order) != F.col(unit)).select(unit)).distinct()
+    found = _keyed(primaries, unit, keys, "a").join(_keyed(units.join(asking, unit, "left_semi"), unit, keys, "b"), "key").select(f"a_{unit}", f"b_{unit}").distinct()
     scored = scored_pairs(found, units, primaries, unit, payload, score)
     options = members.join(scored.select(F.col(f"b_{unit}").alias(unit), F.col(f"a_{unit}").alias("_p"), "score"), unit)
     options = options.filter(F.col("_p") < F.col(order))
