@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm import decontaminate, packing, quality, secrets, simhash
+from florilege.llm import decontaminate, forest, language, packing, pages_crf, quality, redirects, secrets, simhash, toxicity
 from florilege.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_forest")
+def op1_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.link_vectors(table(spark, folder, "embeddings"))
+
+
 @query("op2_decontamination")
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -51,6 +56,26 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op6_language")
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.languages(table(spark, folder, "documents"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op8_packing")
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, folder, "documents")))
+
+
+@query("op9_redirects")
+def op9_redirects(spark: SparkSession, folder: str) -> DataFrame:
+    return redirects.judge(table(spark, folder, "pages"))
+
+
+@query("op10_extraction")
+def op10_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages_crf.main_texts(table(spark, folder, "pages"))

@@ -23,9 +23,9 @@ from florilege.session import cut_lineage
 REACH = 4
 WORDS = 4
 #: Distinct fingerprints that a shard should hold at home, and those that a block compares directly.
-SHARD, BLOCK = 16_384, 768
+SHARD, BLOCK = 4096, 768
 #: Most fingerprints that vantage points and medians are taken from; every fingerprint is then placed.
-SAMPLE = 65_536
+SAMPLE = 16_384
 
 
 def fingerprint(text: str | None) -> int:
@@ -133,7 +133,8 @@ def links(fps: DataFrame) -> DataFrame:
         inner = np.nonzero(parent != np.arange(len(points)))[0]
         return pd.DataFrame({"a": points[inner], "b": points[parent[inner]]})
 
-    return fps.mapInArrow(deal, "fp long, shard long").groupBy("shard").applyInPandas(stars, "a long, b long")
+    # as many partitions as shards: the work of a shard is far more than its bytes, so they are not to be coalesced
+    return fps.mapInArrow(deal, "fp long, shard long").repartition(2**depth, "shard").groupBy("shard").applyInPandas(stars, "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
