@@ -14,7 +14,7 @@ def phase(day: Column) -> Column:
 
 
 def season(day: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s.replace("_", " ")) for s in rules.SEASONS]), F.month(day))
+    return F.element_at(F.array(*[F.lit(s) for s in rules.SEASONS]), F.month(day))
 
 
 def folk_days_near(day: Column, before: int = 7, after: int = 3) -> Column:

@@ -70,13 +70,16 @@ def new_paragraphs(pages: DataFrame, keys: Sequence[str], text: str, seen: DataF
     return p.select(*keys, F.when(F.col("_enough"), F.col("_c")).otherwise("").alias("new_text"), done.alias("remember"), total.alias("total"), (total - fresh).alias("seen_before"), off.alias("off_topic"), why.alias("skip"))
 
 
-def rank_frontier(links: DataFrame, stats: DataFrame, site: str, keywords: Sequence[str], limit: int, extra: Column | None = None) -> DataFrame:
-    """Addresses to visit next: priority from pattern statistics, keywords and depth; dead patterns are left out."""
+def rank_frontier(links: DataFrame, stats: DataFrame, site: str, keywords: Sequence[str], limit: int | None = None, extra: Column | None = None) -> DataFrame:
+    """Addresses to visit next: priority from pattern statistics, keywords and depth; dead patterns are left out.
+
+    All are returned; with ``limit`` the first ones by priority.
+    """
     s = stats.select(site, "pattern", "productivity", "hub_value", "dead")
     j = links.join(s, [site, "pattern"], "left").filter(~F.coalesce("dead", F.lit(False)))
     score = url_priority(F.col("url"), F.col("anchor"), F.col("depth"), F.col("productivity"), F.col("hub_value"), keywords, F.col("from_sitemap"))
     scored = j.withColumn("priority", F.round(score + (extra if extra is not None else F.lit(0.0)), 4))
-    return scored.orderBy(F.desc("priority"), "url").limit(limit)
+    return scored if limit is None else scored.orderBy(F.desc("priority"), "url").limit(limit)
 
 
 def best_patterns(stats: DataFrame, k: int) -> DataFrame:

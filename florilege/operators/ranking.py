@@ -217,16 +217,28 @@ def chunked(rows: DataFrame, kind: str, entity: str, order: Sequence[Column], si
     return top.select(kind, entity, (F.floor((F.col("rank") - 1) / size) + 1).cast("long").alias("chunk"))
 
 
-def expert_override(recs: DataFrame, overrides: DataFrame, number: str, additions: int = 5) -> DataFrame:
-    """Reviewed priorities for known numbers only; unknown numbers are listed as rejected."""
+def expert_override(recs: DataFrame, overrides: DataFrame, number: str, added: DataFrame | None = None, additions: int = 5, top: int = 5) -> DataFrame:
+    """Reviewed priorities, held between 1 and ``top``, for known numbers only; rows that nobody reviewed stay as they are.
+
+    Unknown numbers are listed as rejected. ``added`` holds new recommendations (position, priority); the first
+    ``additions`` of them are numbered on from the largest known number.
+    """
+    held = lambda p: F.greatest(F.lit(1), F.least(F.lit(top), p)).cast("long")
     o = overrides.select(number, F.col("priority").alias("_priority"))
     changed = recs.join(o, number, "left").select(
         number,
-        F.greatest(F.lit(1), F.least(F.lit(additions), F.coalesce("_priority", "priority"))).alias("priority"),
+        F.coalesce(held(F.col("_priority")), F.col("priority").cast("long")).alias("priority"),
         F.when(F.col("_priority").isNull(), "kept").otherwise("changed").alias("outcome"),
     )
     unknown = overrides.join(recs, number, "left_anti").select(number, "priority", F.lit("rejected").alias("outcome"))
-    return changed.unionByName(unknown)
+    out = changed.unionByName(unknown)
+    if added is None:
+        return out
+    first = added.orderBy("position").limit(additions)  # a few rows, so the place is counted in one task
+    place = first.select("position", "priority", F.row_number().over(Window.orderBy("position")).alias("_place"))
+    largest = recs.agg(F.max(number).alias("_last"))  # one row
+    new = place.crossJoin(largest).select((F.coalesce("_last", F.lit(0)) + F.col("_place")).alias(number), held(F.coalesce("priority", F.lit(3))).alias("priority"), F.lit("added").alias("outcome"))
+    return out.unionByName(new)
 
 
 def budget_fold(chunks: Column, budget: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florilege.functions.text import fingerprint, jaccard, norm_text, short_sha, stem_cover, stems
-from florilege.operators.primitives import newest_per_key, numbered, top_per_key
+from florilege.operators.primitives import components, newest_per_key, numbered, top_per_key
 from florilege.operators.similarity import best_primary, greedy_primaries, rare_prefixes, scored_pairs, token_counts
 from florilege.session import cut_lineage
 
@@ -171,32 +171,75 @@ def place_scores(points: DataFrame, point: str, section: str, text: str, places:
     return out.select(point, F.when(F.col("_b.score") >= least, F.col("_b.place")).otherwise(fallback).alias("place"), F.col("_b.score").alias("score"))
 
 
-def place_inserts(points: DataFrame, entity: str, place: str, order: str, text: str, most: int = 300, twin: float = 0.55) -> DataFrame:
-    """Points of each place with twins merged, the longer text winning.
+def _text_pairs(rows: DataFrame, owner: Sequence[str], order: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Units of equal stems as ``(order, unit)`` and the pairs of units whose stems are alike at the threshold."""
+    members, units = _text_units(rows, owner, order, text, None, threshold)
+    a = units.select(F.col("unit").alias("a_unit"), F.explode("keys").alias("key"))
+    b = units.select(F.col("unit").alias("b_unit"), F.explode("keys").alias("key"))
+    pairs = a.join(b, "key").filter("a_unit < b_unit").select("a_unit", "b_unit").distinct()
+    scored = scored_pairs(pairs, units, units, "unit", ["owner", "s", "q"], _same_text(threshold))
+    return members, cut_lineage(scored.select(F.col("a_unit").alias("a"), F.col("b_unit").alias("b")))
+
 
-    A merged twin changes what later points are compared with, so a place is walked in order. An entity keeps its
-    newest ``most`` points, as its file does, which bounds every group.
+def place_inserts(
+    points: DataFrame, entity: str, place: str, order: str, text: str, facts: str, sources: str, present: DataFrame | None = None, twin: float = 0.5, known: float = 0.6
+) -> DataFrame:
+    """Points of each place with twins merged: the longer text wins, sources and facts are united.
+
+    Points at ``known`` similarity to a text of ``present`` (entity, place, text) are left out. A point joins the
+    first row whose text of the moment is alike at ``twin``. All those texts are points of one connected group of
+    like points, so groups are walked each on their own and points without a like one are not walked at all.
     """
-    bounded = top_per_key(points.select(entity, place, order, text, stems(F.col(text)).alias("_s")), [entity], [F.desc(order)], most, "_r").drop("_r")
+    kept = points
+    if present is not None:
+        kept = dedup_texts_against(points, [entity, place], order, text, known, present)
+    members, pairs = _text_pairs(kept, [entity, place], order, text, twin)
+    groups = components(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    joined = members.join(groups, members["unit"] == groups["node"], "left").select(F.col("ord").alias("_ord"), "unit", F.coalesce("component", "unit").alias("_group"))
+    sized = joined.groupBy("_group").agg(F.count("*").alias("_size"))
+    rows = kept.select(entity, place, order, text, facts, sources).join(joined.join(sized, "_group"), F.col(order) == F.col("_ord"))
+    uncounted = (F.size(stems(F.col(text))) == 0) | (F.col("_size") == 1)  # a text without stems is like no other
+    single = rows.filter(uncounted).select(entity, place, order, text, F.array(facts).alias(facts), F.array(sources).alias(sources), F.lit(1).alias("merged"))
     kinds = dict(points.dtypes)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in pdf.sort_values(order).itertuples(index=False):
-            row = dict(zip(pdf.columns, row))
-            own = set(row["_s"])
-            same = next((k for k in kept if own and k["set"] and len(own & k["set"]) / len(own | k["set"]) >= twin), None)
-            if same is None:
-                kept.append({"row": row, "set": own, "n": 1})
+    many = rows.filter(~uncounted).select(entity, place, order, text, facts, sources, stems(F.col(text)).alias("_s"), "_group")
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, ignore_index=True)
+        own = [frozenset(s) for s in group["_s"]]
+        shown, first, members_of = [], [], []  # per row: the point whose text it shows, its first point, its points
+        for i, words in enumerate(own):
+            overlap = [len(words & own[j]) for j in shown]
+            k = next((k for k, (j, n) in enumerate(zip(shown, overlap)) if n >= twin * (len(words) + len(own[j]) - n)), None)
+            if k is None:
+                shown.append(i), first.append(i), members_of.append([i])
                 continue
-            same["n"] += 1
-            if len(row[text]) > len(same["row"][text]):
-                same["row"] = {**same["row"], text: row[text]}
-                same["set"] = own
-        return pd.DataFrame([{entity: k["row"][entity], place: k["row"][place], order: k["row"][order], text: k["row"][text], "merged": k["n"]} for k in kept])
-
-    schema = f"{entity} {kinds[entity]}, {place} {kinds[place]}, {order} {kinds[order]}, {text} string, merged int"
-    return bounded.groupBy(entity, place).applyInPandas(walk, schema)
+            members_of[k].append(i)
+            if len(group[text][i]) > len(group[text][shown[k]]):
+                shown[k] = i
+        out = group.loc[first, [entity, place, order]].reset_index(drop=True)
+        out[text] = [group[text][j] for j in shown]
+        out[facts] = [list(dict.fromkeys(group[facts][m])) for m in members_of]
+        out[sources] = [sorted(set(group[sources][m])) for m in members_of]
+        out["merged"] = [len(m) for m in members_of]
+        return out
+
+    schema = f"{entity} {kinds[entity]}, {place} {kinds[place]}, {order} {kinds[order]}, {text} string, {facts} array<{kinds[facts]}>, {sources} array<{kinds[sources]}>, merged int"
+    return single.unionByName(many.groupBy("_group").applyInPandas(walk, schema))
+
+
+def dedup_texts_against(rows: DataFrame, owner: Sequence[str], order: str, text: str, threshold: float, known: DataFrame) -> DataFrame:
+    """Rows whose text is not alike any known text of their owner."""
+    tagged = known.select(*owner, F.col(text), (-1 - F.monotonically_increasing_id()).alias(order))
+    both = cut_lineage(tagged.unionByName(rows.select(*owner, text, F.col(order).cast("long").alias(order))))
+    members, units = _text_units(both, owner, order, text, None, threshold)
+    there = members.filter("ord < 0").select("unit").distinct()
+    new = members.filter("ord >= 0").select("unit").distinct()
+    a = units.join(there, "unit").select(F.col("unit").alias("a_unit"), F.explode("keys").alias("key"))
+    b = units.join(new, "unit").select(F.col("unit").alias("b_unit"), F.explode("keys").alias("key"))
+    hit = scored_pairs(a.join(b, "key").select("a_unit", "b_unit").distinct(), units, units, "unit", ["owner", "s", "q"], _same_text(threshold))
+    out = hit.select(F.col("b_unit").alias("unit")).unionByName(there).distinct()
+    gone = members.filter("ord >= 0").join(out, "unit").select(F.col("ord").alias(order))
+    return rows.join(gone, order, "left_anti")
 
 
 def store_facts(new: DataFrame, stored: DataFrame, entity: str, order: str, text: str, quote: str) -> DataFrame:

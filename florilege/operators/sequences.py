@@ -240,3 +240,10 @@ def recent_mains(posts: DataFrame, order: Sequence[str], main: Column, n: int) -
     return posts.orderBy(*[F.desc(c) for c in order]).limit(n).select(main.alias("entity")).filter("entity IS NOT NULL").distinct()
 
 
+
+
+def cap_variants(rows: DataFrame, url: str, order: str, most: int) -> DataFrame:
+    """The first ``most`` query variants of one address; addresses without a query all stay."""
+    plain = rows.filter(~F.col(url).contains("?"))
+    variants = rows.filter(F.col(url).contains("?")).withColumn("_base", F.substring_index(url, "?", 1))
+    return plain.unionByName(top_per_key(variants, ["_base"], [F.asc(order)], most).select(*rows.columns))

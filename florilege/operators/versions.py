@@ -7,8 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from florilege.functions.arrow import common_lines
+
 
 def line_changes(rows: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
+    """Added and removed lines around the longest common subsequence; a moved line counts on both sides."""
+    lines = lambda c: F.size(F.split(F.coalesce(c, F.lit("")), "\n"))
+    same = rows.select(*keys, lines(before).alias("_a"), lines(after).alias("_b"), common_lines(F.col(before), F.col(after)).alias("_same"))
+    return same.select(*keys, (F.col("_b") - F.col("_same")).cast("long").alias("added"), (F.col("_a") - F.col("_same")).cast("long").alias("removed"))
+
+
+def line_surplus(rows: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
     """Added and removed lines as a difference of multisets; moved lines do not count."""
     sides = F.array(
         F.struct(F.lit(1).alias("a"), F.lit(0).alias("b"), F.split(F.coalesce(before, F.lit("")), "\n").alias("lines")),

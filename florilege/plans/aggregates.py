@@ -564,11 +564,11 @@ def provider_utility(t: Tables):
 
 @query(
     "unknown_term_counts",
-    """SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents WHERE lang = 'en') WHERE length(term) >= 3
+    r"""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents) WHERE length(term) >= 3
     AND term NOT IN (SELECT unnest(string_split(p_name, ' ')) FROM part) GROUP BY term""",
 )
 def unknown_term_counts(t: Tables):
-    words = t.documents.filter("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    words = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     known = t.part.select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
     return A.term_counts(words, F.col("word"), known)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from florilege.functions import arrow
+from florilege.functions import amounts, arrow
 from florilege.functions import text as X
 from florilege.functions import urls as U
 from florilege.operators import aggregates as A
@@ -70,8 +70,8 @@ def snap_quote(t: Tables):
 def verbatim_share(t: Tables):
     """How much of each quote stands word by word in the documents that hold most of it."""
     pairs = Q.quotes_in_texts(t.benchmark, "item_id", "text", t.documents, "doc_id", "text", least=0.5)
-    lines = t.benchmark.select("item_id", Q.word_tokens(F.col("text")).alias("line"), arrow.numbers(F.col("text")).alias("n1"))
-    sources = t.documents.select("doc_id", Q.word_tokens(F.col("text")).alias("source"), arrow.numbers(F.col("text")).alias("n2"))
+    lines = t.benchmark.select("item_id", Q.word_tokens(F.col("text")).alias("line"), amounts.numbers(F.col("text")).alias("n1"))
+    sources = t.documents.select("doc_id", Q.word_tokens(F.col("text")).alias("source"), amounts.numbers(F.col("text")).alias("n2"))
     j = pairs.join(lines, "item_id").join(sources, "doc_id")
     supported = F.forall("n1", lambda x: F.exists("n2", lambda y: F.abs(x - y) < 0.011))
     return j.select("item_id", "doc_id", F.round(Q.verbatim_share(F.col("line"), F.col("source")), 6).alias("verbatim"), supported.alias("numbers_ok"))
@@ -108,11 +108,11 @@ def best_patterns(t: Tables):
 @query(
     "url_priority_rank",
     f"""WITH {STATS_SQL} SELECT v.page_id, round(0.45 * coalesce(productivity, 0.5) + 0.35 * least(1.0, (CASE WHEN contains(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/7') THEN 1 ELSE 0 END + CASE WHEN contains(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), 'html') THEN 1 ELSE 0 END) / 2)
-    + 0.2 / (1 + page_id % 4) + 0.25 * coalesce(hub_value, 0) + CASE WHEN page_id % 5 = 0 THEN 0.05 ELSE 0 END, 4) AS priority FROM v LEFT JOIN st ON st.site = v.site AND st.pattern = v.pattern WHERE NOT coalesce(dead, false) ORDER BY priority DESC, url LIMIT 5000""",
+    + 0.2 / (1 + page_id % 4) + 0.25 * coalesce(hub_value, 0) + CASE WHEN page_id % 5 = 0 THEN 0.05 ELSE 0 END, 4) AS priority FROM v LEFT JOIN st ON st.site = v.site AND st.pattern = v.pattern WHERE NOT coalesce(dead, false)""",
 )
 def url_priority_rank(t: Tables):
     links = visits(t).withColumns({"anchor": F.lit(""), "depth": F.col("page_id") % 4, "from_sitemap": F.col("page_id") % 5 == 0})
-    return P.rank_frontier(links, pattern_stats(t), "site", ["/7", "html"], 5000).select("page_id", "priority")
+    return P.rank_frontier(links, pattern_stats(t), "site", ["/7", "html"]).select("page_id", "priority")
 
 
 @query(

@@ -252,13 +252,15 @@ def chunked_recommendations(t: Tables):
 @query(
     "expert_override",
     """WITH r AS (SELECT s_suppkey AS number, s_suppkey % 9 AS priority FROM supplier), o AS (SELECT s_suppkey * 3 AS number, s_nationkey AS priority FROM supplier WHERE s_suppkey % 2 = 0)
-    SELECT r.number, greatest(1, least(5, coalesce(o.priority, r.priority))) AS priority, CASE WHEN o.priority IS NULL THEN 'kept' ELSE 'changed' END AS outcome FROM r LEFT JOIN o USING (number)
-    UNION ALL SELECT number, priority, 'rejected' FROM o WHERE number NOT IN (SELECT number FROM r)""",
+    SELECT r.number, CASE WHEN o.priority IS NULL THEN r.priority ELSE greatest(1, least(5, o.priority)) END AS priority, CASE WHEN o.priority IS NULL THEN 'kept' ELSE 'changed' END AS outcome FROM r LEFT JOIN o USING (number)
+    UNION ALL SELECT number, priority, 'rejected' FROM o WHERE number NOT IN (SELECT number FROM r)
+    UNION ALL SELECT (SELECT max(number) FROM r) + row_number() OVER (ORDER BY r_regionkey), greatest(1, least(5, r_regionkey * 2)), 'added' FROM region""",
 )
 def expert_override(t: Tables):
     recs = t.supplier.select(F.col("s_suppkey").alias("number"), (F.col("s_suppkey") % 9).alias("priority"))
     over = t.supplier.filter("s_suppkey % 2 = 0").select((F.col("s_suppkey") * 3).alias("number"), F.col("s_nationkey").cast("long").alias("priority"))
-    return R.expert_override(recs, over, "number")
+    new = t.region.select(F.col("r_regionkey").alias("position"), (F.col("r_regionkey") * 2).cast("long").alias("priority"))
+    return R.expert_override(recs, over, "number", new)
 
 
 @query(

@@ -110,8 +110,11 @@ def place_scores(t: Tables):
 
 @query("place_inserts")
 def place_inserts(t: Tables):
-    rows = t.documents.select("source", F.col("lang").alias("place"), "doc_id", "text")
-    return K.place_inserts(rows, "source", "place", "doc_id", "text").select("source", "place", "doc_id", "merged")
+    """Every fourth document stands for a text that is on the page already."""
+    rows = t.documents.select("source", F.col("lang").alias("place"), "doc_id", "text", F.col("doc_id").alias("fact"), F.concat(F.lit("https://x.example/"), F.col("doc_id") % 7).alias("url"))
+    there = rows.filter("doc_id % 4 = 0").select("source", "place", "text")
+    out = K.place_inserts(rows.filter("doc_id % 4 <> 0"), "source", "place", "doc_id", "text", "fact", "url", there)
+    return out.select("source", "place", "doc_id", "merged", F.size("fact").alias("facts"), F.array_join("url", " ").alias("urls"))
 
 
 @query("fact_store")

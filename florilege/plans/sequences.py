@@ -235,11 +235,10 @@ def outage_window(t: Tables):
 
 @query(
     "query_variant_cap",
-    """SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY CASE WHEN contains(url, '?') THEN split_part(url, '/', 3) ELSE CAST(page_id AS VARCHAR) || '/' END ORDER BY page_id) <= 3""",
+    """SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY CASE WHEN contains(url, '?') THEN split_part(url, '?', 1) ELSE CAST(page_id AS VARCHAR) END ORDER BY page_id) <= 3""",
 )
 def query_variant_cap(t: Tables):
-    base = F.when(F.col("url").contains("?"), F.split_part("url", F.lit("/"), F.lit(3))).otherwise(F.concat(F.col("page_id").cast("string"), F.lit("/")))
-    return top_per_key(t.pages.select("page_id", "url", base.alias("base")), ["base"], [F.asc("page_id")], 3).select("page_id", "url")
+    return S.cap_variants(t.pages.select("page_id", "url"), "url", "page_id", 3)
 
 
 @query(

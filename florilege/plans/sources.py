@@ -91,7 +91,7 @@ def sitemap_scan(t: Tables):
     folder = scratch_folder(t.spark, "sitemap")
     loc = F.concat(F.lit("<url><loc> https://s.example/p/"), F.regexp_extract("url", "/([0-9]+)", 1), F.lit("?utm_source=x </loc></url>"))
     xml_files(t, loc, "urlset").write.option("maxRecordsPerFile", 1).text(folder)
-    out = A.sitemap_urls(t.spark, folder, "s.example", ["part"], 10**6)
+    out = A.sitemap_urls(t.spark, folder, "s.example", ["part"])
     return out.select("url", (F.col("rank") - 1).cast("int").alias("rank"))
 
 
@@ -102,7 +102,7 @@ def feed_scan(t: Tables):
     rss = F.concat(F.lit("<item><link>https://rss.example/"), n, F.lit("</link></item>"))
     atom = F.concat(F.lit('<entry><link href="https://atom.example/'), n, F.lit('"/></entry>'))
     xml_files(t, F.when(F.col("page_id") % 2 == 0, rss).otherwise(atom), "feed").write.option("maxRecordsPerFile", 1).text(folder)
-    return A.feed_urls(t.spark, folder, 10**6)
+    return A.feed_urls(t.spark, folder)
 
 
 @query("search_result_merge", r"""WITH r AS (SELECT regexp_extract(url, '//([^/?#]*)', 1) AS url, CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END AS engine FROM pages) SELECT url, array_to_string(list_sort(list(DISTINCT engine)), ',') AS engines FROM r GROUP BY 1""")

@@ -11,20 +11,21 @@ from florilege.streaming import streams as L
 
 
 def stream_of(t: Tables, rows, name: str, parts: int = 4, order: str = "ts"):
-    """Rows written slice by slice in time order, read back as a stream of one file a step."""
+    """Rows in time order, written in one job by all tasks and read back as a stream of about ``parts`` steps.
+
+    Each of the range partitions is a file; the source takes files by modification time, so a step may hold any
+    of them, as files of a real folder would come.
+    """
     folder = scratch_folder(t.spark, name)
-    value = F.col(order).cast("timestamp").cast("double") if order == "ts" else F.col(order).cast("double")
-    low, high = rows.agg(F.min(value), F.max(value)).first()
-    share = F.floor((value - low) / ((high - low) or 1) * parts)
-    for i in range(parts):
-        rows.filter(F.least(share, F.lit(parts - 1)) == i).coalesce(1).write.mode("append").parquet(folder)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = max(parts, t.spark.sparkContext.defaultParallelism)
+    rows.repartitionByRange(files, order).write.parquet(folder)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // parts)).parquet(folder)
 
 
 @query("stream_counter_upsert", cte("counter_feed") + " SELECT day, kind, key, arg_max(n, seq) AS n FROM counter_feed GROUP BY 1, 2, 3")
 def stream_counter_upsert(t: Tables):
     feed = stream_of(t, standin(t, "counter_feed"), "feed", order="seq")
-    table = L.VersionedTable(t.spark, scratch_folder(t.spark, "counters"), "day string, kind string, key string, n long, seq long")
+    table = L.VersionedTable(t.spark, scratch_folder(t.spark, "counters"), "day string, kind string, key string, n long, seq long", ["day", "kind", "key"])
     return L.counter_upsert(feed, table, "seq", scratch_folder(t.spark, "ck"))
 
 
@@ -70,7 +71,7 @@ def stream_outage(t: Tables):
 @query("stream_page_ingest", "SELECT DISTINCT url, 'raw' AS status FROM pages")
 def stream_page_ingest(t: Tables):
     pages = t.pages.select("url", F.length("html").alias("size"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")).alias("ts"))
-    table = L.VersionedTable(t.spark, scratch_folder(t.spark, "stored"), "url string, status string, size int")
+    table = L.VersionedTable(t.spark, scratch_folder(t.spark, "stored"), "url string, status string, size int", ["url"])
     return L.page_ingest(stream_of(t, pages.unionByName(pages), "fetched"), table, "url", "ts", ["size"], scratch_folder(t.spark, "ck")).select("url", "status")
 
 

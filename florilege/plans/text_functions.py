@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from florilege.functions import arrow, rules
+from florilege.functions import amounts, arrow, rules
 from florilege.functions import text as X
 from florilege.functions import urls as U
 from florilege.plans.registry import Tables, query
@@ -173,13 +173,13 @@ def topic_scores(t: Tables):
 
 @query("numbers_in_text")
 def numbers_in_text(t: Tables):
-    return t.documents.select("doc_id", F.array_join(F.transform(arrow.numbers(F.col("text")), lambda x: x.cast("string")), " ").alias("numbers"))
+    return t.documents.select("doc_id", F.array_join(F.transform(amounts.numbers(F.col("text")), lambda x: x.cast("string")), " ").alias("numbers"))
 
 
 @query("number_check")
 def number_check(t: Tables):
     """Numbers added and lost between two texts, with a small tolerance."""
-    n = turn_pairs(t).select("conv_id", "turn", arrow.numbers(F.col("before")).alias("a"), arrow.numbers(F.col("after")).alias("b"))
+    n = turn_pairs(t).select("conv_id", "turn", amounts.numbers(F.col("before")).alias("a"), amounts.numbers(F.col("after")).alias("b"))
 
     def missing(mine: str, other: str):
         near = F.filter(mine, lambda x: ~F.exists(other, lambda y: F.abs(x - y) < 0.011))
@@ -239,7 +239,7 @@ def faithfulness(t: Tables):
 def metric_units(t: Tables):
     line = F.concat((F.col("l_quantity").cast("int")).cast("string"), F.lit(" cups water, bake at "), (F.col("l_quantity").cast("int") + 300).cast("string"), F.lit("°F"))
     distinct = t.lineitem.select("l_quantity", line.alias("line")).groupBy("l_quantity", "line").agg(F.count("*").alias("n"))
-    return distinct.select("l_quantity", "n", arrow.metric_units(F.col("line")).alias("metric"))
+    return distinct.select("l_quantity", "n", amounts.metric_units(F.col("line")).alias("metric"))
 
 
 @query(
@@ -350,21 +350,24 @@ def weighted_verdict(t: Tables):
     return rows.select("doc_id", "score", stricter_verdict(F.col("score"), F.col("scores"), ["facts", "safety"], model).alias("verdict"))
 
 
-@query("word_diff")
-def word_diff(t: Tables):
-    d = turn_pairs(t).select("conv_id", "turn", arrow.word_diff(F.col("before"), F.col("after")).alias("d"))
-    return d.select("conv_id", "turn", "d.added", "d.removed", "d.similarity")
+@query("line_diff_counts")
+def line_diff_counts(t: Tables):
+    """Lines that join and go around the longest common subsequence; a moved line counts on both sides."""
+    from florilege.operators.versions import line_changes
+
+    return line_changes(turn_pairs(t), ["conv_id", "turn"], "before", "after")
 
 
 @query(
-    "line_diff_counts",
+    "line_multiset_counts",
     f"""WITH l AS (SELECT conv_id, turn, unnest(string_split(before, chr(10))) AS line, 1 AS a, 0 AS b FROM {PAIRS_SQL} UNION ALL SELECT conv_id, turn, unnest(string_split(after, chr(10))), 0, 1 FROM {PAIRS_SQL}),
     g AS (SELECT conv_id, turn, line, sum(a) AS a, sum(b) AS b FROM l GROUP BY ALL) SELECT conv_id, turn, CAST(sum(greatest(b - a, 0)) AS BIGINT) AS added, CAST(sum(greatest(a - b, 0)) AS BIGINT) AS removed FROM g GROUP BY ALL""",
 )
-def line_diff_counts(t: Tables):
-    from florilege.operators.versions import line_changes
+def line_multiset_counts(t: Tables):
+    """Lines that one side has more often than the other, wherever they stand."""
+    from florilege.operators.versions import line_surplus
 
-    return line_changes(turn_pairs(t), ["conv_id", "turn"], "before", "after")
+    return line_surplus(turn_pairs(t), ["conv_id", "turn"], "before", "after")
 
 
 @query("focus_windows")
@@ -449,7 +452,7 @@ def engagement(t: Tables):
 @query(
     "season_phase",
     """SELECT o_orderkey, CASE WHEN day(o_orderdate) <= 10 THEN 'początek' WHEN day(o_orderdate) <= 20 THEN 'połowa' ELSE 'koniec' END AS phase,
-    ['zima', 'zima', 'wiosna', 'wiosna', 'wiosna', 'lato', 'lato', 'lato', 'jesień', 'jesień', 'późna jesień', 'zima'][month(o_orderdate)] AS season,
+    ['zima', 'zima', 'przedwiośnie', 'wiosna', 'wiosna', 'lato', 'lato', 'lato', 'jesień', 'jesień', 'późna jesień', 'zima'][month(o_orderdate)] AS season,
     CASE WHEN (month(o_orderdate) = 12 AND day(o_orderdate) BETWEEN 17 AND 27) THEN true ELSE false END AS near_christmas, (month(o_orderdate) = 1 AND day(o_orderdate) <= 9) OR (month(o_orderdate) = 12 AND day(o_orderdate) >= 30) AS near_kings FROM orders""",
 )
 def season_phase(t: Tables):
@@ -457,7 +460,7 @@ def season_phase(t: Tables):
 
     day = F.to_date("o_orderdate")
     rows = t.orders.select("o_orderkey", phase(day).alias("phase"), season(day).alias("season"), folk_days_near(day).alias("folk"))
-    return rows.select("o_orderkey", "phase", "season", F.array_contains("folk", "Wigilia").alias("near_christmas"), F.array_contains("folk", "Trzech Króli").alias("near_kings"))
+    return rows.select("o_orderkey", "phase", "season", F.exists("folk", lambda x: x.startswith("Wigilia")).alias("near_christmas"), F.exists("folk", lambda x: x.startswith("Trzech Króli")).alias("near_kings"))
 
 
 @query(

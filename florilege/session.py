@@ -18,6 +18,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.files.minPartitionNum", cores)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -32,6 +34,8 @@ def use_checkpoints(spark: SparkSession) -> None:
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not shared and not context.master.startswith("local["):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="florilege-checkpoint-"))
 
 

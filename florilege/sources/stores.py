@@ -56,7 +56,7 @@ def newest_per_series(catalog: DataFrame) -> DataFrame:
     return catalog.filter("live").select("series", "file", "path", "stamp")
 
 
-def sitemap_urls(spark: SparkSession, folder: str, site: str, keywords: Sequence[str], limit: int) -> DataFrame:
+def sitemap_urls(spark: SparkSession, folder: str, site: str, keywords: Sequence[str], limit: int | None = None) -> DataFrame:
     """Addresses of sitemap files on one site, those of promising maps first, distinct."""
     rows = spark.read.format("xml").option("rowTag", "url").schema("loc string").load(folder).select(F.col("loc").alias("url"), F.col("_metadata.file_name").alias("map"))
     clean = rows.withColumn("url", normalize_url(F.trim("url"))).filter(site_key(F.col("url")) == site)
@@ -66,14 +66,16 @@ def sitemap_urls(spark: SparkSession, folder: str, site: str, keywords: Sequence
         + F.when(low.rlike("post|recipe|przepis|rezept"), 1).otherwise(0)
         - F.when(low.rlike("tag|category|author|image|product|page-sitemap"), 3).otherwise(0)
     )
-    return clean.groupBy("url").agg(F.max(rank).alias("rank")).orderBy(F.desc("rank"), "url").limit(limit)
+    best = clean.groupBy("url").agg(F.max(rank).alias("rank"))
+    return best if limit is None else best.orderBy(F.desc("rank"), "url").limit(limit)
 
 
-def feed_urls(spark: SparkSession, folder: str, limit: int) -> DataFrame:
+def feed_urls(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     """Links of RSS items and Atom entries, normalized and distinct."""
     rss = spark.read.format("xml").option("rowTag", "item").schema("link string").load(folder).select(F.col("link").alias("url"))
     atom = spark.read.format("xml").option("rowTag", "entry").schema("link struct<_href:string>").load(folder).select(F.col("link._href").alias("url"))
-    return rss.unionByName(atom).select(normalize_url(F.trim("url")).alias("url")).filter("url IS NOT NULL").distinct().orderBy("url").limit(limit)
+    found = rss.unionByName(atom).select(normalize_url(F.trim("url")).alias("url")).filter("url IS NOT NULL").distinct()
+    return found if limit is None else found.orderBy("url").limit(limit)
 
 
 def merge_search_results(results: Sequence[DataFrame], url: str) -> DataFrame:
@@ -85,10 +87,14 @@ def merge_search_results(results: Sequence[DataFrame], url: str) -> DataFrame:
 
 
 def export_records(items: DataFrame, sources: DataFrame, folder: str, series: str, stamp: str) -> DataFrame:
-    """Writes approved primaries with their number of sources as JSON under series and date; returns the new statuses."""
-    n = sources.groupBy("primary").agg(F.count("*").alias("n_sources"))
+    """Writes approved primaries with all their sources as JSON lines under series and date; returns the new statuses.
+
+    A record has one line for each source (its number, address and whether it is the record's own), so that a
+    record with many sources is never one row: readers group by ``item``.
+    """
     live = items.filter((F.col("status") == "approved") & F.col("duplicate_of").isNull())
-    out = live.join(n, live["item"] == n["primary"], "left").select("item", "title", F.coalesce("n_sources", F.lit(1)).alias("n_sources"))
+    each = sources.select(F.col("primary").alias("item"), F.col("url").alias("source_url"), "is_primary")
+    out = live.drop("status", "duplicate_of", "url").join(each, "item", "left")
     out.write.mode("overwrite").json(f"{folder}/series={series}/date={stamp}")
     done = live.select("item", F.lit(True).alias("_done"))
     return items.join(done, "item", "left").withColumn("status", F.when(F.col("_done"), "exported").otherwise(F.col("status"))).drop("_done")

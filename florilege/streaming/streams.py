@@ -30,19 +30,49 @@ def run_to_table(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
 
 
 class VersionedTable:
-    """A parquet table that a stream replaces version by version; a replayed batch writes the same version again."""
+    """A parquet table that a stream replaces version by version, in a folder that outlives the process.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema, self.version = spark, folder, schema, None
+    A version is there once Spark has marked it as whole; the newest one before the running batch is read, so a
+    replayed batch starts from the same state and writes the same version again. Rows are dealt to ``parts``
+    buckets by key, and a batch writes only the buckets it touches; a bucket's newest version counts.
+    """
 
-    def read(self) -> DataFrame:
-        if self.version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(f"{self.folder}/version={self.version}")
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str], parts: int = 16):
+        self.spark, self.folder, self.schema, self.keys, self.parts = spark, folder, schema, keys, parts
+
+    def _versions(self) -> list[int]:
+        """Committed versions in order; only names are listed, never rows."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        whole = [s.getPath() for s in files.listStatus(path) if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return sorted(int(p.getName().split("=")[1]) for p in whole if p.getName().startswith("version="))
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The rows as of the newest version, or of the newest one before a batch."""
+        versions = [v for v in self._versions() if before is None or v < before]
+        empty = self.spark.createDataFrame([], self.schema)
+        if not versions:
+            return empty
+        paths = [f"{self.folder}/version={v}" for v in versions]
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in empty.schema)
+        rows = self.spark.read.option("basePath", self.folder).schema(f"{fields}, version int, _bucket int").parquet(*paths)
+        newest = rows.groupBy("_bucket").agg(F.max("version").alias("version"))  # one row a bucket
+        return rows.join(F.broadcast(newest), ["_bucket", "version"]).select(*empty.columns)
 
     def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/version={batch}")
-        self.version = batch
+        """Replace the buckets of ``rows``, which holds them whole, as version ``batch``."""
+        rows.withColumn("_bucket", self.bucket()).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/version={batch}")
+
+    def touched(self, rows: DataFrame, batch: int) -> DataFrame:
+        """The stored rows of the buckets that ``rows`` falls in."""
+        hit = F.broadcast(rows.select(self.bucket().alias("_b")).distinct())  # at most ``parts`` rows
+        stored = self.read(batch)
+        return stored.join(hit, self.bucket() == F.col("_b"), "left_semi")
 
 
 def counter_upsert(feed: DataFrame, table: VersionedTable, order: str, checkpoint: str) -> DataFrame:
@@ -51,7 +81,7 @@ def counter_upsert(feed: DataFrame, table: VersionedTable, order: str, checkpoin
     def fold(rows: DataFrame, batch: int) -> None:
         n = F.expr("try_cast(n AS BIGINT)").alias("n")
         good = rows.select("day", "kind", "key", n, order).filter("day IS NOT NULL AND kind IS NOT NULL AND n IS NOT NULL")
-        both = table.read().unionByName(good)
+        both = table.touched(good, batch).unionByName(good)
         table.write(both.groupBy("day", "kind", "key").agg(F.max_by("n", order).alias("n"), F.max(order).alias(order)), batch)
 
     run_batch(feed, fold, checkpoint)
@@ -99,7 +129,7 @@ def outage_stream(failures: DataFrame, at: str, provider: str, model: Column, se
 def page_ingest(pages: DataFrame, table: VersionedTable, url: str, at: str, columns: list[str], checkpoint: str, delay: str = "1 day") -> DataFrame:
     """Pages of a stream: an address once per watermark, stored pages refreshed by the rules of the page table."""
     once = pages.withWatermark(at, delay).dropDuplicatesWithinWatermark([url])
-    run_batch(once, lambda rows, batch: table.write(refresh_pages(table.read(), rows, url, columns), batch), checkpoint)
+    run_batch(once, lambda rows, batch: table.write(refresh_pages(table.touched(rows, batch), rows, url, columns), batch), checkpoint)
     return table.read()
 
 
