@@ -8,21 +8,23 @@ value of the item has one value in the document. So an item with other numbers o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from florilege.functions.text import let
 from florilege.session import cut_lineage
 
 WINDOW = 5
 SHARE = 0.8
-#: Words of a window that must not be placeholders.
+#: Words of a benchmark window that must not be placeholders.
 LITERALS = 2
 #: Benchmark windows up to this number (16 bytes each and an item id) are broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+"
 #: Units of measure.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "mi", "mg", "g", "kg", "t", "lb", "oz", "ml", "cl", "l", "s", "sec", "min", "h", "hours", "minutes", "seconds", "days", "years", "eur", "usd", "dollars", "euros", "percent", "meters", "miles", "pounds", "liters")
-NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
 
 def words(text: Column) -> Column:
@@ -30,30 +32,50 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def template(raw: Column) -> Column:
-    """Typed placeholders for numbers, capitalised words and units that follow a number; other words in lower case."""
+def _kinds(raw: Column) -> tuple[Callable[[Column, Column], Column], ...]:
+    """Tests of a word at its place: number, unit after a number, capitalised word. The cheapest comparison comes first."""
 
-    def number(word: Column) -> Column:
+    def number(word: Column, i: Column) -> Column:
         return word.between("0", "9~")
 
-    def placed(word: Column, i: Column) -> Column:
+    def unit(word: Column, i: Column) -> Column:
+        return (i > 0) & number(F.get(raw, i - 1), i) & F.lower(word).isin(*UNITS)
+
+    def name(word: Column, i: Column) -> Column:
         low = F.lower(word)
-        unit = low.isin(*UNITS) & (i > 0) & number(F.get(raw, i - 1))
-        name = (F.length(word) > 1) & (word != low) & (word == F.concat(F.upper(F.left(word, F.lit(1))), F.right(low, F.length(word) - 1)))
-        return F.when(number(word), NUMBER).when(unit, UNIT).when(name, NAME).otherwise(low)
+        return ((word < "a") | (word >= "\u0080")) & (F.length(word) > 1) & (word != low) & (F.substring(word, 2, 1 << 30) == F.substring(low, 2, 1 << 30))
+
+    return number, unit, name
+
+
+def template(raw: Column) -> Column:
+    """For each word 1, 2 or 3 for a number, unit or name, else a hash of its lower case."""
+    number, unit, name = _kinds(raw)
+    return F.transform(raw, lambda w, i: F.when(number(w, i), 1).when(unit(w, i), 2).when(name(w, i), 3).otherwise(F.xxhash64(F.lower(w))))
+
+
+def windows(rows: DataFrame, key: str, literals: int = 0) -> DataFrame:
+    """(key, _at, _window): hash of every window of template words; ``literals`` of them must be no placeholders."""
+
+    def ahead(t: Column, by: int) -> Column:
+        return F.slice(t, by + 1, F.greatest(F.size(t) - by, F.lit(0)))
 
-    return F.transform(raw, placed)
+    def joined(a: Column, b: Column) -> Column:
+        return F.zip_with(F.slice(a, 1, F.size(b)), b, lambda x, y: F.xxhash64(x, y))
 
+    def hashes(t: Column) -> Column:
+        """Hashes of one, then two, four and five neighbours."""
+        pairs = lambda two: let(joined(two, ahead(two, 2)), lambda four: joined(four, ahead(t, WINDOW - 1)))
+        every = let(joined(t, ahead(t, 1)), pairs)
+        if not literals:
+            return every
+        told = lambda i: sum((F.when(F.get(t, i + k).between(1, 3), 0).otherwise(1) for k in range(WINDOW)), F.lit(0))
+        return F.transform(every, lambda h, i: F.when(told(i) >= literals, h))
 
-def windows(rows: DataFrame, key: str) -> DataFrame:
-    """(key, _at, _window): hash of every window of template words that holds enough literal ones."""
-    cut = rows.select(key, template(words(F.col("text"))).alias("_t"))
-    n = F.size("_t") - (WINDOW - 1)
-    # explode_outer: an inner explode would add a filter that computes the template a second time
-    at = cut.select(key, "_t", F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("_at")).where("_at IS NOT NULL")
-    parts = [F.get("_t", F.col("_at") + i) for i in range(WINDOW)]
-    literal = sum((F.when(p.startswith("<"), 0).otherwise(1) for p in parts), F.lit(0))
-    return at.where(literal >= LITERALS).select(key, "_at", F.xxhash64(*parts).alias("_window"))
+    # hashes are made before the rows are multiplied: an exploded row would carry all words of its text; and
+    # an inner explode would add a filter that computes them a second time
+    hashed = rows.select(key, let(let(words(F.col("text")), template), hashes).alias("_h"))
+    return hashed.select(key, F.posexplode_outer("_h").alias("_at", "_window")).where("_window IS NOT NULL")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -66,7 +88,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     """
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").dropDuplicates()
-    asked = cut_lineage(windows(items, "item_id").select("item_id", "_window", F.col("_at").alias("_i")))
+    asked = cut_lineage(windows(items, "item_id", LITERALS).select("item_id", "_window", F.col("_at").alias("_i")))
     sizes = asked.groupBy("item_id").agg(F.countDistinct("_window").alias("windows"))
     if asked.count() <= BROADCAST_WINDOWS:
         asked = F.broadcast(asked)
@@ -85,9 +107,9 @@ def consistent(likely: DataFrame, texts: DataFrame, items: DataFrame) -> DataFra
     """Keep the pairs whose aligned placeholders map each value of the item to one value of the document."""
     ids = likely.select("doc_id").distinct()
     own = texts.join(ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("_d"))
-    asked = items.select("item_id", words(F.col("text")).alias("_w")).select("item_id", "_w", template(F.col("_w")).alias("_t"))
+    asked = items.select("item_id", words(F.col("text")).alias("_w")).select("item_id", "_w", let(F.col("_w"), template).alias("_t"))
     both = likely.join(asked, "item_id").join(own, "doc_id")
-    slot = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.get("_t", i).startswith("<") & (i + F.col("_shift") >= 0) & (i + F.col("_shift") < F.size("_d")))
+    slot = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.get("_t", i).between(1, 3) & (i + F.col("_shift") >= 0) & (i + F.col("_shift") < F.size("_d")))
     pairs = F.array_distinct(F.transform(slot, lambda i: F.struct(F.get("_w", i).alias("item"), F.get("_d", (i + F.col("_shift")).cast("int")).alias("doc"))))
     held = both.select("doc_id", "item_id", "windows", "found", pairs.alias("_p"))
     values = F.size(F.array_distinct(F.col("_p.item")))

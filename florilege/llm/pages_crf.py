@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most pages that the field is trained on, by hash of their id.
-SAMPLE = 160
+SAMPLE = 120
 BUCKETS = 1 << 12
 #: Tags that begin and end a block, tags whose content is no text, tags without content.
 BLOCK_TAGS = frozenset(
@@ -215,7 +215,7 @@ class Field:
         return out[::-1]
 
 
-def fit(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 14, ridge: float = 2e-3, seed: int = 3) -> Field:
+def fit(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 10, ridge: float = 2e-3, seed: int = 3) -> Field:
     """Maximum likelihood with weight decay, by averaged stochastic gradient steps with adaptive sizes over the pages."""
     emit, step = np.zeros((2, BUCKETS)), np.zeros((2, 2))
     seen_e, seen_s = np.full((2, BUCKETS), 0.1), np.full((2, 2), 0.1)
