@@ -227,7 +227,7 @@ def expert_override(recs: DataFrame, overrides: DataFrame, number: str, added: D
     o = overrides.select(number, F.col("priority").alias("_priority"))
     changed = recs.join(o, number, "left").select(
         number,
-        F.coalesce(held(F.col("_priority")), F.col("priority").cast("long")).alias("priority"),
+        F.when(F.col("_priority").isNull(), F.col("priority").cast("long")).otherwise(held(F.col("_priority"))).alias("priority"),
         F.when(F.col("_priority").isNull(), "kept").otherwise("changed").alias("outcome"),
     )
     unknown = overrides.join(recs, number, "left_anti").select(number, "priority", F.lit("rejected").alias("outcome"))

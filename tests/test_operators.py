@@ -4,16 +4,21 @@ import random
 
 from pyspark.sql import functions as F
 
-from florilege.functions import arrow
+from florilege.functions import amounts, arrow
 from florilege.functions import text as X
 from florilege.functions import urls as U
 from florilege.functions.scoring import parse_budget, retry_seconds
 from florilege.operators import pages as P
 from florilege.operators import restructure as K
 from florilege.operators import similarity as S
+from florilege.operators.models import group_folds
 from florilege.operators.primitives import running
 from florilege.operators.quotes import verbatim_share, word_tokens
+from florilege.operators.ranking import expert_override
+from florilege.operators.sequences import cap_variants
+from florilege.operators.versions import line_changes
 from florilege.sources import stores as A
+from florilege.streaming.streams import VersionedTable
 
 
 def one(spark, column):
@@ -36,8 +41,9 @@ def test_paragraphs(spark):
 
 
 def test_numbers(spark):
-    found = one(spark, arrow.numbers(F.lit("1 1/2 cups, 1.000 g, 2,5 ml, ½ tsp, XIX wiek")))
-    assert {1.0, 0.5, 1.5, 1000.0, 2.5, 19.0} <= set(found)
+    found = one(spark, amounts.numbers(F.lit("1 1/2 cups, 1.000 g, 2,5 ml, 3½ tsp, 7/0, XIX wiek, 12  3/4")))
+    assert found == [0.5, 0.75, 1.0, 1.5, 2.5, 3.0, 3.5, 12.0, 19.0, 1000.0]
+    assert one(spark, amounts.numbers(F.lit("no number, i w lesie"))) == []
 
 
 def test_snap_quote(spark):
@@ -48,7 +54,87 @@ def test_snap_quote(spark):
 
 
 def test_metric_units(spark):
-    assert one(spark, arrow.metric_units(F.lit("2 cups water at 350°F"))) == "480 ml (2 cups) water at 175°C (350°F)"
+    assert one(spark, amounts.metric_units(F.lit("2 cups water at 350°F"))) == "480 ml (2 cups) water at 175°C (350°F)"
+    text = F.lit("1 1/2 cups, 5 lbs flour and ½ oz salt, 2 gallons, 1/8 oz (3 cups)")
+    assert one(spark, amounts.metric_units(text)) == "360 ml (1 1/2 cups), 2270 g (5 lbs) flour and 14 g (1/2 oz) salt, 7,6 l (2 gallons), 4 g (1/8 oz) (3 cups)"
+
+
+def test_lines_in_common(spark):
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    pairs = [([rng.choice("abcd") for _ in range(rng.randint(1, 14))], [rng.choice("abcd") for _ in range(rng.randint(1, 14))]) for _ in range(40)]
+    df = spark.createDataFrame([(i, "\n".join(a), "\n".join(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: (r.added, r.removed) for r in line_changes(df, ["i"], "a", "b").collect()}
+    assert got == {i: (len(b) - longest(a, b), len(a) - longest(a, b)) for i, (a, b) in enumerate(pairs)}
+
+
+def test_variants_of_one_address(spark):
+    rows = [(i, f"https://x.example/{i % 2}?p={i}") for i in range(10)] + [(20 + i, "https://x.example/plain") for i in range(5)]
+    got = cap_variants(spark.createDataFrame(rows, "id int, url string"), "url", "id", 2)
+    assert sorted(r.id for r in got.collect()) == [0, 1, 2, 3, 20, 21, 22, 23, 24]
+
+
+def test_expert_changes_only_reviewed_rows(spark):
+    recs = spark.createDataFrame([(1, 7), (2, 9)], "number long, priority long")
+    over = spark.createDataFrame([(2, 11), (5, 1)], "number long, priority long")
+    new = spark.createDataFrame([(i, 3) for i in range(7)], "position long, priority long")
+    got = sorted((r.number, r.priority, r.outcome) for r in expert_override(recs, over, "number", new).collect())
+    assert got == [(1, 7, "kept"), (2, 5, "changed"), (3, 3, "added"), (4, 3, "added"), (5, 1, "rejected"), (5, 3, "added"), (6, 3, "added"), (7, 3, "added")]
+
+
+def test_folds_are_even_for_any_number_of_groups(spark):
+    rng = random.Random(5)
+    rows = [(f"g{g}", "ab"[g % 7 == 0]) for g in range(3000) for _ in range(rng.choice((1, 1, 2, 5)))]
+    df = spark.createDataFrame(rows, "grp string, label string")
+    folds = group_folds(df, "grp", "label", 5)
+    assert folds.count() == 3000
+    sizes = [r["count"] for r in df.join(folds, "grp").groupBy("fold", "label").count().filter("label = 'a'").collect()]
+    assert len(sizes) == 5 and max(sizes) <= 1.05 * min(sizes)
+    assert sorted(r.fold for r in group_folds(df.filter("grp IN ('g1', 'g2')"), "grp", "label", 5).select("fold").collect()) == [0, 1]
+
+
+def test_inserts_equal_the_sequential_walk(spark):
+    rng = random.Random(9)
+    words = "root leaf dried autumn shade water boiled flower spring honey bark cut tea sweet bitter".split()
+    rows = [(e, "p", i, " ".join(rng.sample(words, rng.randint(3, 8)) if rng.random() < 0.5 else rng.sample(words[:6], 5))) for i, e in enumerate("xy" * 200)]
+    df = spark.createDataFrame(rows, "e string, p string, n long, t string").withColumn("f", F.col("n") % 50).withColumn("u", F.col("n") % 3)
+    stems = {r.n: set(r.s) for r in df.select("n", X.stems(F.col("t")).alias("s")).collect()}
+    want = []
+    for entity in "xy":
+        kept = []
+        for e, _, n, t in rows:
+            if e == entity:
+                k = next((k for k in kept if stems[n] and len(stems[n] & stems[k["shown"]]) >= 0.5 * len(stems[n] | stems[k["shown"]])), None)
+                if k is None:
+                    kept.append({"n": n, "shown": n, "all": [n], "t": t})
+                else:
+                    k["all"].append(n)
+                    if len(t) > len(k["t"]):
+                        k["t"], k["shown"] = t, n
+        want += [(k["n"], k["t"], sorted({n % 50 for n in k["all"]}), sorted({n % 3 for n in k["all"]})) for k in kept]
+    got = K.place_inserts(df, "e", "p", "n", "t", "f", "u").collect()
+    assert sorted((r.n, r.t, sorted(r.f), r.u) for r in got) == sorted(want)
+
+
+def test_versions_outlive_a_restart(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, n long")
+    first = VersionedTable(spark, str(tmp_path / "t"), "k string, n long", ["k"], parts=4)
+    first.write(rows(*[(f"k{i}", i) for i in range(20)]), 0)
+    again = VersionedTable(spark, str(tmp_path / "t"), "k string, n long", ["k"], parts=4)
+    for _ in range(2):  # a replayed batch starts from the same state
+        new = rows(("k3", 100), ("z", 1))
+        merged = again.touched(new, 1).unionByName(new).groupBy("k").agg(F.max("n").alias("n"))
+        again.write(merged, 1)
+    got = {r.k: r.n for r in VersionedTable(spark, str(tmp_path / "t"), "k string, n long", ["k"], parts=4).read().collect()}
+    assert got == {f"k{i}": i for i in range(20)} | {"k3": 100, "z": 1}
 
 
 def test_verbatim_share(spark):
