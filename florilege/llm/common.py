@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from florilege.operators.primitives import components
 
-__all__ = ["batches_of", "components", "fold", "joined_links", "labelled_sample", "table", "with_labels"]
+__all__ = ["batches_of", "components", "fold", "joined_links", "labelled_sample", "packed", "table", "with_labels"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns beside the whole row as the struct ``_row``, so that no other column's name can clash."""
+    return docs.select(*names, F.struct("*").alias("_row"))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text modulo ``folds``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florilege.functions.text import let
+from florilege.llm.common import packed
 from florilege.session import cut_lineage
 
 WINDOW = 5
@@ -122,4 +123,4 @@ def consistent(likely: DataFrame, texts: DataFrame, items: DataFrame) -> DataFra
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns; those without an id stay."""
     bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_leak"), "left_anti")
+    return packed(docs, "doc_id").join(bad, F.col("doc_id") == F.col("_leak"), "left_anti").select("_row.*")

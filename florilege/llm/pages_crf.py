@@ -356,7 +356,7 @@ def train_on(pages: list[str], dresses: int = 3, seed: int = 5) -> Field:
 def train(pages: DataFrame, most: int = SAMPLE) -> Field:
     """Fit on at most ``most`` pages of no more than 60,000 characters, in the order of the hash of their id."""
     ids = pages.where(F.length("html").between(1, 60_000)).select(F.col("page_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
-    rows = pages.join(F.broadcast(ids), F.col("page_id") == F.col("_id")).select("_id", "html").orderBy(F.xxhash64("_id"), "html").limit(most)
+    rows = pages.select(F.col("page_id").alias("_id"), "html").join(F.broadcast(ids), "_id").orderBy(F.xxhash64("_id"), "html").limit(most)
     return train_on([r.html for r in rows.collect() if r.html is not None and len(r.html) <= 60_000])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from florilege.llm.common import fold, labelled_sample, with_labels
+from florilege.llm.common import fold, labelled_sample, packed, with_labels
 
 FOLDS, HELD = 3, 1
 #: Most labelled rows that the model is fitted on, taken in the order of the hash of their id.
@@ -145,5 +145,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model accepts, with their own columns."""
-    judged = quality_scores(docs.select("*", F.struct("*").alias("_row")), labels)
+    judged = quality_scores(packed(docs, "doc_id", "text"), labels)
     return judged.where("predicted = 1").select("_row.*")

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from florilege.llm.common import packed
+
 #: The base patterns, in the order of their kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -128,9 +130,9 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """Every document with its secrets redacted and n_chars as the length of its text; clean ones are unchanged."""
-    marked = scan(docs.select("*", F.struct("*").alias("_row")))
+    marked = scan(packed(docs, "text"))
     rest = [F.col("_row")[c].alias(c) for c in docs.columns]
     changed = {"text": redacted(F.col("text"), F.col("spans"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.size("spans") > 0, F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
     return marked.select(*[changed[c].alias(c) if c in changed else rest[i] for i, c in enumerate(docs.columns)])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.llm.common import batches_of, components, joined_links
+from florilege.llm.common import batches_of, components, joined_links, packed
 from florilege.session import cut_lineage
 
 REACH = 4
@@ -156,7 +156,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the smallest id of their group; of repeated rows of one id, one; rows without an id stay."""
     groups = near_groups(docs)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    with_id = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    rows = packed(docs, "doc_id", "text")
+    with_id = rows.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))).alias("_place")
-    first = with_id.select("*", place).where("_place = 1").select(*docs.columns)
-    return first.union(docs.where("doc_id IS NULL"))
+    first = with_id.select("_row", place).where("_place = 1").select("_row")
+    return first.union(rows.where("doc_id IS NULL").select("_row")).select("_row.*")

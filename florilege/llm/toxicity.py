@@ -21,7 +21,7 @@ from florilege.llm.common import fold, labelled_sample, with_labels
 
 FOLDS, HELD, BOUND = 4, 2, 0.3
 #: Most labelled rows to learn from, most stems found in them, and the share of toxic texts among those with such a stem.
-SAMPLE, STEMS, PRECISION, SUPPORT = 12_000, 400, 0.8, 5
+SAMPLE, STEMS, PRECISION, SUPPORT = 12_000, 400, 0.8, 3
 PREFIXES = (4, 5, 6, 7, 8)
 #: Insults and slurs of mild form by language.
 LEXICON = (
