@@ -6,39 +6,57 @@ joined with the pieces of the names on equality, and the texts join on their wor
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florilege.functions.text import norm_text, words
 from florilege.operators.primitives import newest_per_key, top_per_key
+from florilege.session import cut_lineage
 
 
-def _linked(each: DataFrame, text_id: str, spread: Column, pieces: DataFrame) -> DataFrame:
-    """``(text_id, piece)`` for the wanted pieces; each word of the whole vocabulary is cut up only once."""
-    vocabulary = each.select("w").distinct().select("w", F.explode(spread).alias("piece"))
-    wanted = vocabulary.join(pieces.select("piece").distinct(), "piece")
+def _linked(each: DataFrame, text_id: str, spread: Callable[[Column], Column], pieces: DataFrame) -> DataFrame:
+    """``(text_id, piece)`` for the wanted pieces; each word of the whole vocabulary is cut up only once.
+
+    Words are cut to the lengths that pieces have, so a very long word costs its length times those few lengths.
+    """
+    asked = pieces.select("piece").distinct()
+    lengths = asked.agg(F.array_sort(F.collect_set(F.length("piece"))).alias("_sizes"))  # one row
+    vocabulary = each.select("w").distinct().crossJoin(lengths)
+    fit = F.filter("_sizes", lambda n: (n > 0) & (n <= F.length("w")))
+    wanted = vocabulary.select("w", F.explode(F.array_distinct(spread(fit))).alias("piece")).join(asked, "piece")
     return each.join(wanted, "w").select(text_id, "piece").distinct()
 
 
+def held_whole(found: DataFrame, text_id: str, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(text_id, *keys)`` of the sets of pieces that a text holds whole.
+
+    ``found`` has (text_id, piece), ``listed`` (keys, piece). A set meets a text only on its rarest piece; the others are
+    looked up for those few, so a piece that stands in most sets joins nothing.
+    """
+    counts = found.groupBy("piece").agg(F.count("*").alias("_df"))
+    ranked = listed.select(*keys, "piece").distinct().join(counts, "piece", "left")
+    rarest = ranked.groupBy(*keys).agg(F.min_by("piece", F.struct(F.coalesce("_df", F.lit(0)), "piece")).alias("piece"), F.count("*").alias("_need"))
+    near = found.join(rarest, "piece").select(text_id, *keys, "_need")
+    each = near.join(listed.select(*keys, "piece").distinct(), list(keys)).join(found, [text_id, "piece"])
+    return each.groupBy(text_id, *keys, "_need").agg(F.count("*").alias("_got")).filter("_got = _need").select(text_id, *keys)
+
+
 def word_prefixes(texts: DataFrame, text_id: str, text: Column, pieces: DataFrame) -> DataFrame:
     """Which of the pieces begin a word of each text."""
     each = texts.select(text_id, F.explode(F.array_distinct(words(text))).alias("w"))
-    spread = F.transform(F.sequence(F.lit(1), F.length("w")), lambda n: F.left(F.col("w"), n))
-    return _linked(each, text_id, spread, pieces)
+    return _linked(each, text_id, lambda sizes: F.transform(sizes, lambda n: F.left(F.col("w"), n)), pieces)
 
 
 def word_substrings(texts: DataFrame, text_id: str, low: Column, pieces: DataFrame) -> DataFrame:
     """Which of the pieces lie within a word of each text."""
     each = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)))).alias("w"))
-    size = F.length("w")
 
-    def from_(i: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(F.col("w"), i, n))
+    def of_length(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring(F.col("w"), i, n))
 
-    spread = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), from_)))
-    return _linked(each, text_id, spread, pieces)
+    return _linked(each, text_id, lambda sizes: F.flatten(F.transform(sizes, of_length)), pieces)
 
 
 def _root(word: Column) -> Column:
@@ -92,12 +110,11 @@ def mention_join(texts: DataFrame, text_id: str, text: Column, catalogue: DataFr
         return F.left(w, F.least(F.lit(6), F.greatest(F.lit(4), F.length(w) - 2)))
 
     stems = F.array_distinct(F.transform(F.filter(words(name), lambda w: F.length(w) >= 3), stem))
-    listed = catalogue.select(F.col(entity), F.size(stems).alias("n_stems"), F.explode(stems).alias("piece"))
-    alone = listed.groupBy("piece").agg((F.count("*") == 1).alias("_alone"))
-    listed = listed.join(alone, "piece").withColumn("_sure", F.col("_alone") & (F.length("piece") >= 5))
-    found = word_prefixes(texts, text_id, text, listed).join(listed, "piece")
-    hit = found.groupBy(text_id, entity, "n_stems").agg(F.count("*").alias("hits"), F.bool_or("_sure").alias("sure"))
-    return hit.filter((F.col("hits") == F.col("n_stems")) | F.col("sure")).select(text_id, entity)
+    listed = catalogue.select(F.col(entity), F.explode(stems).alias("piece"))
+    alone = listed.filter(F.length("piece") >= 5).groupBy("piece").agg(F.count("*").alias("_n"), F.min(entity).alias(entity)).filter("_n = 1")
+    found = cut_lineage(word_prefixes(texts, text_id, text, listed))
+    sure = found.join(alone, "piece").select(text_id, entity)
+    return held_whole(found, text_id, listed, [entity]).unionByName(sure).distinct()
 
 
 def link_longest(texts: DataFrame, text_id: str, text: Column, catalogue: DataFrame, entity: str, name: Column) -> DataFrame:
@@ -178,9 +195,11 @@ def _word_root(w: Column) -> Column:
 def foreign_mentions(texts: DataFrame, text_id: str, lang: str, text: Column, dictionary: DataFrame, entity: str) -> DataFrame:
     """Entities named in a text of the same language; sure when any of the matching names is."""
     roots = F.array_distinct(F.transform("ws", _word_root))
-    d = dictionary.select(lang, entity, "sure", F.array_join("ws", " ").alias("_name"), F.size(roots).alias("need"), F.explode(roots).alias("piece"))
+    d = dictionary.select(lang, entity, "sure", F.array_join("ws", " ").alias("_name"), F.explode(roots).alias("piece"))
+    tagged = d.withColumn("piece", F.concat_ws("|", lang, "piece"))  # names meet texts of their language only
     pieces = word_prefixes(texts, text_id, text, d).join(texts.select(text_id, lang), text_id)
-    hit = pieces.join(d, [lang, "piece"]).groupBy(text_id, entity, "_name", "need", "sure").agg(F.count("*").alias("got")).filter("got = need")
+    found = cut_lineage(pieces.select(text_id, F.concat_ws("|", lang, "piece").alias("piece")))
+    hit = held_whole(found, text_id, tagged, [lang, entity, "_name", "sure"])
     return hit.groupBy(text_id, entity).agg(F.bool_or("sure").alias("sure"))
 
 

@@ -131,13 +131,20 @@ def merge_points(rows: DataFrame, owner: Sequence[str], order: str, text: str, t
 def merge_repair(sentences: DataFrame, points: DataFrame, slot: str, least: float = 0.5) -> DataFrame:
     """Citations recomputed by coverage: sentences of a slot with the points they hold, and points left over.
 
-    ``sentences`` holds ``(slot, sentence, text)``, ``points`` ``(slot, point, text)``; both meet on a shared stem.
+    ``sentences`` holds ``(slot, sentence, text)``, ``points`` ``(slot, point, text)``. A sentence that holds the share
+    ``least`` of a point's stems holds one of its rarest, so both meet on those only and are then counted.
     """
-    s = sentences.select(slot, "sentence", F.col("text").alias("_st"), F.explode(stems(F.col("text"), 5)).alias("_k"))
-    p = points.select(slot, "point", F.col("text").alias("_pt"), F.explode(stems(F.col("text"), 5)).alias("_k"))
-    shared = s.join(p, [slot, "_k"]).groupBy(slot, "sentence", "point").agg(F.count("*").alias("_n"))
-    sizes = points.select(slot, "point", F.size(stems(F.col("text"), 5)).alias("_size"))
-    cited = shared.join(sizes, [slot, "point"]).filter(F.col("_n") >= least * F.col("_size")).select(slot, "sentence", "point", F.lit("cited").alias("how"))
+    s = cut_lineage(sentences.select(slot, "sentence", stems(F.col("text"), 5).alias("_s")))
+    p = cut_lineage(points.select(slot, "point", stems(F.col("text"), 5).alias("_p")))
+    each = s.select(slot, "sentence", F.explode("_s").alias("_k"))
+    counts = each.groupBy(slot, "_k").agg(F.count("*").alias("_df"))
+    ranked = p.select(slot, "point", F.explode("_p").alias("_k")).join(counts, [slot, "_k"], "left")
+    ordered = ranked.groupBy(slot, "point").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_k"))).alias("_o"))
+    n = F.size("_o")
+    rare = ordered.select(slot, "point", F.explode(F.slice("_o", 1, (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))).alias("_r")).select(slot, "point", "_r._k")
+    near = each.join(rare, [slot, "_k"]).select(slot, "sentence", "point").distinct()
+    both = near.join(s, [slot, "sentence"]).join(p, [slot, "point"])
+    cited = both.filter(F.size(F.array_intersect("_s", "_p")) >= least * F.size("_p")).select(slot, "sentence", "point", F.lit("cited").alias("how"))
     left = points.select(slot, "point").join(cited, [slot, "point"], "left_anti").select(slot, F.lit(None).cast(dict(sentences.dtypes)["sentence"]).alias("sentence"), "point", F.lit("added").alias("how"))
     return cited.unionByName(left)
 

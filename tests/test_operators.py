@@ -8,6 +8,7 @@ from florilege.functions import amounts, arrow
 from florilege.functions import text as X
 from florilege.functions import urls as U
 from florilege.functions.scoring import parse_budget, retry_seconds
+from florilege.operators import joins as J
 from florilege.operators import pages as P
 from florilege.operators import restructure as K
 from florilege.operators import similarity as S
@@ -242,3 +243,10 @@ def test_counter_upsert_is_idempotent(spark):
     once = A.upsert_counters(current, feed, "seq")
     assert [tuple(r) for r in once.collect()] == [("2024-01-01", "view", "a", 9)]
     assert A.upsert_counters(once, feed, "seq").collect() == once.collect()
+
+
+def test_a_very_long_word_is_cut_to_the_lengths_of_the_pieces_only(spark):
+    texts = spark.createDataFrame([(1, "x" * 20_000 + "needle" + "y" * 20_000), (2, "short words")], "id long, t string")
+    pieces = spark.createDataFrame([("needle",), ("wor",), ("none",)], "piece string")
+    assert sorted(map(tuple, J.word_substrings(texts, "id", F.col("t"), pieces).collect())) == [(1, "needle"), (2, "wor")]
+    assert sorted(map(tuple, J.word_prefixes(texts, "id", F.col("t"), pieces).collect())) == [(2, "wor")]
