@@ -167,10 +167,11 @@ def section_cohesion(points: DataFrame, section: Sequence[str], place: str, scor
     votes = points.filter(F.col(place).isNotNull()).groupBy(*section, place).agg(F.count("*").alias("_votes"))
     top = votes.groupBy(*section).agg(F.max_by(F.struct(F.col(place).alias("place"), "_votes"), F.struct("_votes", place)).alias("_top"))
     lead = sizes.join(top, list(section)).filter((F.col("_n") >= 3) & (F.col("_top._votes") / F.col("_n") >= share_needed))
-    s = scores.select(F.col(point), F.col("place").alias("_p"), F.col("score").alias("_s"))
-    joined = points.join(lead.select(*section, F.col("_top.place").alias("_lead")), list(section), "left")
-    joined = joined.join(s.withColumnsRenamed({"_p": "_lead", "_s": "_lead_score"}), [point, "_lead"], "left")
-    joined = joined.join(s.withColumnsRenamed({"_p": place, "_s": "_own_score"}), [point, place], "left")
+    led = points.join(lead.select(*section, F.col("_top.place").alias("_lead")), list(section), "left")
+    each = led.select(point, "_lead", F.col(place).alias("_own")).join(scores.select(point, F.col("place").alias("_p"), F.col("score").alias("_s")), point)
+    at = lambda c: F.max(F.when(F.col("_p") == F.col(c), F.col("_s")))
+    both = each.groupBy(point).agg(at("_lead").alias("_lead_score"), at("_own").alias("_own_score"))
+    joined = led.join(both, point, "left")
     moves = (F.col("_lead_score") >= least_score) & (F.col("_lead_score") >= F.coalesce("_own_score", F.lit(0.0)) - gap)
     return joined.select(*points.columns, F.when(F.coalesce(moves, F.lit(False)), F.col("_lead")).otherwise(F.col(place)).alias("final_place"))
 

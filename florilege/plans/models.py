@@ -47,7 +47,13 @@ def pooled_embedding(t: Tables):
     return M.pooled_vectors(e, "label", "v").withColumn("value", F.round("value", 5))
 
 
-@query("group_kfold")
+@query(
+    "group_kfold",
+    f"""WITH {SET_SQL}, per AS MATERIALIZED (SELECT grp, label, count(*) AS n FROM tset GROUP BY 1, 2), mix AS (SELECT grp, label AS main, sum(n) OVER (PARTITION BY grp) AS n FROM per QUALIFY row_number() OVER (PARTITION BY grp ORDER BY per.n DESC, label DESC) = 1),
+    placed AS (SELECT grp, main, row_number() OVER (PARTITION BY main ORDER BY -floor(log2(n)), left(md5(grp), 2), n DESC, md5(grp)) - 1 AS place FROM mix), k AS (SELECT greatest(2, least(5, count(*))) AS k FROM mix),
+    f AS (SELECT grp, CAST((least(place % (2 * k), 2 * k - 1 - place % (2 * k)) + CAST('0x' || left(md5(coalesce(main, '')), 4) AS INT)) % k AS INT) AS fold FROM placed, k)
+    SELECT fold, count(*) AS rows, count(DISTINCT tset.grp) AS groups FROM tset JOIN f ON f.grp = tset.grp GROUP BY fold""",
+)
 def group_kfold(t: Tables):
     folds = M.group_folds(samples(t), "group", "label", 5)
     sizes = samples(t).join(folds, "group").groupBy("fold").agg(F.count("*").alias("rows"), F.countDistinct("group").alias("groups"))

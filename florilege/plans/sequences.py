@@ -165,13 +165,14 @@ def keep_newest_k(t: Tables):
 
 @query(
     "section_cohesion",
-    """WITH li AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_discount) AS l_discount, max(l_tax) AS l_tax FROM lineitem GROUP BY ALL),
-    p AS (SELECT l_orderkey AS e, l_linenumber AS n, l_returnflag AS section, CASE WHEN l_discount < 0.06 THEN 'A' WHEN l_discount < 0.09 THEN 'B' END AS place, l_orderkey * 10 + l_linenumber AS point FROM li),
+    """WITH li AS MATERIALIZED (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_discount) AS l_discount, max(l_tax) AS l_tax FROM lineitem GROUP BY ALL),
+    p AS MATERIALIZED (SELECT l_orderkey AS e, l_linenumber AS n, l_returnflag AS section, CASE WHEN l_discount < 0.06 THEN 'A' WHEN l_discount < 0.09 THEN 'B' END AS place, l_orderkey * 10 + l_linenumber AS point FROM li),
     sc AS (SELECT l_orderkey * 10 + l_linenumber AS point, 'A' AS place, l_tax * 40 AS score FROM li UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'B', l_discount * 30 FROM li),
     sz AS (SELECT e, section, count(*) AS n FROM p GROUP BY ALL), v AS (SELECT e, section, place, count(*) AS votes FROM p WHERE place IS NOT NULL GROUP BY e, section, place QUALIFY row_number() OVER (PARTITION BY e, section ORDER BY votes DESC, place DESC) = 1),
-    ld AS (SELECT sz.e, sz.section, v.place AS lead FROM sz JOIN v ON sz.e = v.e AND sz.section = v.section WHERE sz.n >= 3 AND votes / sz.n >= 0.6)
-    SELECT p.point, p.place, CASE WHEN coalesce(ls.score >= 1.0 AND ls.score >= coalesce(os.score, 0) - 0.5, false) THEN ld.lead ELSE p.place END AS final_place
-    FROM p LEFT JOIN ld ON p.e = ld.e AND p.section = ld.section LEFT JOIN sc ls ON ls.point = p.point AND ls.place = ld.lead LEFT JOIN sc os ON os.point = p.point AND os.place = p.place""",
+    ld AS MATERIALIZED (SELECT sz.e, sz.section, v.place AS lead FROM sz JOIN v ON sz.e = v.e AND sz.section = v.section WHERE sz.n >= 3 AND votes / sz.n >= 0.6),
+    w AS MATERIALIZED (SELECT p.point, p.place, ld.lead FROM p LEFT JOIN ld ON p.e = ld.e AND p.section = ld.section),
+    s AS (SELECT w.point, any_value(w.place) AS place, any_value(lead) AS lead, max(score) FILTER (sc.place = lead) AS ls, max(score) FILTER (sc.place = w.place) AS os FROM w JOIN sc ON sc.point = w.point GROUP BY w.point)
+    SELECT point, place, CASE WHEN coalesce(ls >= 1.0 AND ls >= coalesce(os, 0) - 0.5, false) THEN lead ELSE place END AS final_place FROM s""",
 )
 def section_cohesion(t: Tables):
     lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_discount").alias("l_discount"), F.max("l_tax").alias("l_tax"))
