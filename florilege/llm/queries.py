@@ -31,7 +31,22 @@ def op1_forest(spark: SparkSession, folder: str) -> DataFrame:
     return forest.link_vectors(table(spark, folder, "embeddings"))
 
 
-@query("op2_decontamination")
+_UNITS = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+_TEMPLATE = f"""list_transform(w, lambda x, i: CASE WHEN x BETWEEN '0' AND '9~' THEN '<1>' WHEN i > 1 AND w[i - 1] BETWEEN '0' AND '9~' AND lower(x) IN ({_UNITS}) THEN '<2>'
+WHEN (x < 'a' OR x >= chr(128)) AND length(x) > 1 AND x <> lower(x) AND substr(x, 2) = substr(lower(x), 2) THEN '<3>' ELSE lower(x) END)"""
+OP2_SQL = rf"""WITH d AS MATERIALIZED (SELECT doc_id, w, {_TEMPLATE} AS t FROM (SELECT doc_id, regexp_extract_all(text, '{decontaminate.TOKEN}') AS w FROM documents WHERE doc_id IS NOT NULL)),
+b AS MATERIALIZED (SELECT item_id, w, {_TEMPLATE} AS t FROM (SELECT DISTINCT item_id, regexp_extract_all(text, '{decontaminate.TOKEN}') AS w FROM benchmark WHERE item_id IS NOT NULL)),
+asked AS MATERIALIZED (SELECT item_id, i, k FROM (SELECT item_id, i, array_to_string(t[i:i + 4], ' ') AS k, len(list_filter(t[i:i + 4], lambda x: NOT starts_with(x, '<'))) AS n FROM (SELECT item_id, t, unnest(range(1, len(t) - 3)) AS i FROM b)) WHERE n >= {decontaminate.LITERALS}),
+seen AS (SELECT doc_id, i, array_to_string(t[i:i + 4], ' ') AS k FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3)) AS i FROM d)),
+once AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, seen.i - asked.i AS shift, seen.k FROM seen JOIN asked ON asked.k = seen.k),
+likely AS MATERIALIZED (SELECT f.doc_id, f.item_id, z.windows, f.found FROM (SELECT doc_id, item_id, count(DISTINCT k) AS found FROM once GROUP BY 1, 2) f JOIN (SELECT item_id, count(DISTINCT k) AS windows FROM asked GROUP BY 1) z ON z.item_id = f.item_id WHERE f.found >= {decontaminate.SHARE} * z.windows),
+best AS MATERIALIZED (SELECT doc_id, item_id, shift FROM once GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY count(*) DESC, shift) = 1),
+pairs AS (SELECT DISTINCT doc_id, item_id, iw[i] AS a, dw[i + shift] AS v FROM (SELECT l.doc_id, l.item_id, shift, b.w AS iw, b.t AS it, d.w AS dw, unnest(range(1, len(b.t) + 1)) AS i FROM likely l JOIN best ON best.doc_id = l.doc_id AND best.item_id = l.item_id JOIN b ON b.item_id = l.item_id JOIN d ON d.doc_id = l.doc_id)
+WHERE it[i] IN ('<1>', '<2>', '<3>') AND i + shift BETWEEN 1 AND len(dw)), n AS (SELECT doc_id, item_id, count(*) AS p, count(DISTINCT a) AS slots, count(*) FILTER (a <> v) AS changed FROM pairs GROUP BY 1, 2)
+SELECT l.doc_id, l.item_id, windows, found, CAST(coalesce(slots, 0) AS INT) AS slots, CAST(coalesce(changed, 0) AS INT) AS changed FROM likely l LEFT JOIN n ON n.doc_id = l.doc_id AND n.item_id = l.item_id WHERE coalesce(p - slots, 0) <= (1 - {decontaminate.SHARE}) * coalesce(slots, 0)"""
+
+
+@query("op2_decontamination", OP2_SQL)
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -71,7 +86,37 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, folder, "documents")))
 
 
-@query("op9_redirects")
+def _address_sql(url: str) -> str:
+    pattern = r"^\s*([A-Za-z][A-Za-z0-9+.-]*://)([^/?#\s]*)([^#\s]*)"
+    part = lambda i: f"regexp_extract({url}, '{pattern}', {i})"
+    root = f"translate({part(1)} || {part(2)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tail = part(3)
+    return f"CASE WHEN {root} <> '' THEN {root} || CASE WHEN {tail} = '' OR {tail} LIKE '?%' THEN '/' || {tail} ELSE {tail} END END"
+
+
+def _rule_sql(host: str, path: str, what: int) -> str:
+    fits = [
+        f"WHEN ({host} = '{r.split('/', 1)[0]}' OR {host} LIKE '%.{r.split('/', 1)[0]}') AND starts_with({path}, '/{r.split('/', 1)[1]}') THEN '{(v, r)[what]}'"
+        for v, r in sorted(redirects.RULES, key=lambda x: -len(x[1]))
+    ]
+    return f"CASE {' '.join(fits)} END"
+
+
+_HOST = lambda u: f"translate(regexp_extract(CASE WHEN contains({u}, '://') THEN {u}[instr({u}, '://') + 3:] ELSE '' END, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = lambda u: f"regexp_extract(CASE WHEN contains({u}, '://') THEN {u}[instr({u}, '://') + 3:] ELSE '' END, '^[^/?#]*([^?#]*)', 1)"
+
+OP9_SQL = rf"""WITH RECURSIVE tags AS (SELECT {_address_sql('url')} AS source, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS link, regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') AS meta FROM pages),
+refs AS (SELECT source, unnest([concat(regexp_extract(link, '(?is)\bhref\s*=\s*(?:"\s*([^"]*?)\s*"|''\s*([^'']*?)\s*''|([^\s"''>]+))', 1), regexp_extract(link, '(?is)\bhref\s*=\s*(?:"\s*([^"]*?)\s*"|''\s*([^'']*?)\s*''|([^\s"''>]+))', 2), regexp_extract(link, '(?is)\bhref\s*=\s*(?:"\s*([^"]*?)\s*"|''\s*([^'']*?)\s*''|([^\s"''>]+))', 3)),
+regexp_extract(meta, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*[''"]?\s*([^"''>\s]+)', 1)]) AS ref FROM tags WHERE source IS NOT NULL),
+whole AS (SELECT source, CASE WHEN regexp_matches(r, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN r WHEN starts_with(r, '//') THEN regexp_extract(source, '^[^/]*') || r WHEN starts_with(r, '/') THEN regexp_extract(source, '^[^/]*//[^/]*') || r ELSE regexp_extract(source, '^[^?]*/') || r END AS target FROM (SELECT source, replace(trim(ref), '&amp;', '&') AS r FROM refs WHERE ref <> '')),
+links AS MATERIALIZED (SELECT DISTINCT source AS a, t AS b FROM (SELECT source, {_address_sql('target')} AS t FROM whole) WHERE t IS NOT NULL AND t <> source), ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS seen FROM ways UNION SELECT ways.b, reach.seen FROM reach JOIN ways ON ways.a = reach.node), groups AS MATERIALIZED (SELECT node, min(seen) AS alias_of FROM reach GROUP BY node),
+own AS (SELECT alias_of, {_rule_sql(_HOST('node'), _PATH('node'), 0)} AS v FROM groups), carried AS (SELECT alias_of, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v FROM own GROUP BY 1),
+seen AS (SELECT page_id, coalesce({_HOST('url')}, '') AS host, coalesce({_PATH('url')}, '') AS path, {_address_sql('url')} AS address FROM pages)
+SELECT page_id, host, path, {_rule_sql('host', 'path', 1)} AS rule, coalesce({_rule_sql('host', 'path', 0)}, carried.v, 'allow') AS verdict, groups.alias_of FROM seen LEFT JOIN groups ON groups.node = seen.address LEFT JOIN carried ON carried.alias_of = groups.alias_of"""
+
+
+@query("op9_redirects", OP9_SQL)
 def op9_redirects(spark: SparkSession, folder: str) -> DataFrame:
     return redirects.judge(table(spark, folder, "pages"))
 
