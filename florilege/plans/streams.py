@@ -13,12 +13,18 @@ from florilege.streaming import streams as L
 def stream_of(t: Tables, rows, name: str, parts: int = 4, order: str = "ts"):
     """Rows in time order, written in one job by all tasks and read back as a stream of about ``parts`` steps.
 
-    Each of the range partitions is a file; the source takes files by modification time, so a step may hold any
-    of them, as files of a real folder would come.
+    Each range partition is a file. The source takes files by modification time, so these are set to their order,
+    as if the files had come one after another; only names and times pass through the driver.
     """
     folder = scratch_folder(t.spark, name)
     files = max(parts, t.spark.sparkContext.defaultParallelism)
     rows.repartitionByRange(files, order).write.parquet(folder)
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    written = sorted((s.getPath().getName(), s.getPath(), s.getModificationTime()) for s in store.listStatus(path) if s.getPath().getName().startswith("part-"))
+    first = min((m for _, _, m in written), default=0) - 1000 * len(written)
+    for i, (_, file, _) in enumerate(written):
+        store.setTimes(file, first + 1000 * i, -1)
     return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // parts)).parquet(folder)
 
 
@@ -61,11 +67,17 @@ def stream_daily_usage(t: Tables):
     return L.run_to_table(out, scratch_folder(t.spark, "out"), scratch_folder(t.spark, "ck")).withColumn("day", F.col("day").cast("string"))
 
 
-@query("stream_outage")
+@query(
+    "stream_outage",
+    """WITH f AS (SELECT DISTINCT epoch_us(ts) // 1000 AS ms, user_id % 4 AS provider, user_id % 12 AS model FROM events WHERE value < 15), p AS (SELECT DISTINCT provider, ms FROM f),
+    c AS (SELECT p.provider, p.ms, count(DISTINCT f.model) AS models FROM p JOIN f ON f.provider = p.provider AND f.ms BETWEEN p.ms - 3600000 AND p.ms GROUP BY 1, 2)
+    SELECT provider, ms, CAST(models AS INT) AS models FROM c WHERE models >= 2 AND ms <= (SELECT max(ms) FROM f) - 3600000""",
+)
 def stream_outage(t: Tables):
+    """Outages up to the watermark, which stands an hour before the last failure."""
     f = t.events.filter("value < 15").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 4).alias("provider"), (F.col("user_id") % 12).alias("model"))
-    out = L.outage_stream(stream_of(t, f, "failures"), "ts", "provider", F.col("model"), 3600, 1800, 2)
-    return L.run_to_table(out, scratch_folder(t.spark, "out"), scratch_folder(t.spark, "ck")).withColumn("start", F.col("start").cast("string"))
+    out = L.outage_stream(stream_of(t, f, "failures"), "ts", "provider", "model", 3600, 2)
+    return L.run_to_table(out, scratch_folder(t.spark, "out"), scratch_folder(t.spark, "ck"))
 
 
 @query("stream_page_ingest", "SELECT DISTINCT url, 'raw' AS status FROM pages")
@@ -100,8 +112,12 @@ def feed_tables(t: Tables):
     f"""WITH {FEED_SQL}, e AS (SELECT 'job:' || id AS event, at_, kind AS text FROM j WHERE id > 500 AND status = 'done' AND kind IN ('view', 'click') UNION ALL SELECT 'run:' || id, at_, kind FROM r WHERE id > 1000 AND status = 'done') SELECT event, text FROM e ORDER BY at_ DESC, event LIMIT 30""",
 )
 def stream_event_feed(t: Tables):
+    """Events that arrive twice are in the feed once; the newest are shown."""
     jobs, runs = feed_tables(t)
-    return L.event_feed(jobs, runs, 500, 1000, ["view", "click"], 30)[0].select("event", "text")
+    rows = L.event_rows(jobs, runs, 500, 1000, ["view", "click"]).withColumn("at", F.col("at").cast("timestamp"))
+    out = L.event_feed_stream(stream_of(t, rows.unionByName(rows), "feed", order="at"), "at")
+    got = L.run_to_table(out, scratch_folder(t.spark, "out"), scratch_folder(t.spark, "ck"))
+    return got.orderBy(F.desc("at"), "event").limit(30).select("event", "text")
 
 
 @query("event_feed_cursors", f"WITH {FEED_SQL} SELECT greatest(500, least((SELECT max(id) FROM j), coalesce((SELECT min(id) FROM j WHERE status = 'running') - 1, (SELECT max(id) FROM j)))) AS job_cursor, greatest(1000, (SELECT max(id) FROM r)) AS run_cursor")

@@ -119,11 +119,46 @@ def daily_usage_stream(calls: DataFrame, at: str, purpose: str, tokens: Column,
     return n.select(F.to_date("w.start").alias("day"), "purpose", "tokens", (F.col("tokens") >= budget).alias("over_budget"))
 
 
-def outage_stream(failures: DataFrame, at: str, provider: str, model: Column, seconds: int, slide: int, models: int, delay: str = "1 hour") -> DataFrame:
-    """Windows in which several different models of a provider failed; distinct counts are approximate in a stream."""
-    w = F.window(at, f"{seconds} seconds", f"{slide} seconds")
-    n = failures.withWatermark(at, delay).groupBy(w.alias("w"), F.col(provider).alias("provider")).agg(F.approx_count_distinct(model).alias("models"))
-    return n.filter(F.col("models") >= models).select(F.col("w.start").alias("start"), "provider", "models")
+def outage_stream(failures: DataFrame, at: str, provider: str, model: str, seconds: int, models: int, delay: str = "1 hour") -> DataFrame:
+    """Failures of a provider at which ``models`` different models had failed within ``seconds``, counted exactly.
+
+    State per provider: the failures of the last ``seconds`` and those that the watermark has not passed. A failure
+    is judged once the watermark is past it, so that late ones before it are counted; the end of a finished feed
+    is judged when a later row or the next run moves the watermark on.
+    """
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        judged, times, names = state.get if state.exists else (-(1 << 62), [], [])
+        rows = list(zip(times, names))
+        if not state.hasTimedOut:
+            for b in batches:
+                rows += list(zip(b["ms"].astype("int64"), b["model"]))
+        rows.sort()
+        ready = state.getCurrentWatermarkMs()
+        out, recent = [], {}
+        start = 0
+        for i, (ms, name) in enumerate(rows):
+            recent[name] = recent.get(name, 0) + 1
+            while rows[start][0] < ms - 1000 * seconds:
+                old = rows[start][1]
+                recent[old] -= 1
+                if not recent[old]:
+                    del recent[old]
+                start += 1
+            last_of_time = i + 1 == len(rows) or rows[i + 1][0] > ms
+            if last_of_time and judged < ms <= ready and len(recent) >= models:
+                out.append((key[0], int(ms), len(recent)))
+        kept = [(int(ms), name) for ms, name in rows if ms > ready - 1000 * seconds]
+        state.update((max(judged, ready), [ms for ms, _ in kept], [name for _, name in kept]))
+        waiting = [ms for ms, _ in kept if ms > ready]
+        if waiting:
+            state.setTimeoutTimestamp(max(min(waiting), ready + 1))
+        yield pd.DataFrame(out, columns=["provider", "ms", "models"])
+
+    rows = failures.withWatermark(at, delay).select(F.col(provider).alias("provider"), F.col(model).alias("model"), F.col(at), F.unix_millis(at).alias("ms"))
+    return rows.groupBy("provider").applyInPandasWithState(
+        judge, "provider long, ms long, models int", "judged long, times array<long>, names array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def page_ingest(pages: DataFrame, table: VersionedTable, url: str, at: str, columns: list[str], checkpoint: str, delay: str = "1 day") -> DataFrame:
@@ -133,15 +168,20 @@ def page_ingest(pages: DataFrame, table: VersionedTable, url: str, at: str, colu
     return table.read()
 
 
+def event_rows(jobs: DataFrame, runs: DataFrame, job_cursor: int, run_cursor: int, kinds: list[str]) -> DataFrame:
+    """Finished jobs and runs past the cursors as events with an id that repeats when they are read again."""
+    done = jobs.filter((F.col("id") > job_cursor) & (F.col("status") == "done") & F.col("kind").isin(*kinds))
+    a = done.select(F.concat(F.lit("job:"), F.col("id").cast("string")).alias("event"), "at", F.col("kind").alias("text"))
+    b = runs.filter((F.col("id") > run_cursor) & (F.col("status") == "done")).select(F.concat(F.lit("run:"), F.col("id").cast("string")).alias("event"), "at", F.col("kind").alias("text"))
+    return a.unionByName(b)
+
+
 def event_feed(jobs: DataFrame, runs: DataFrame, job_cursor: int, run_cursor: int, kinds: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
     """New feed events past two cursors with an idempotent id, and the next cursors.
 
     The job cursor stays before the oldest job still active, so that nothing is passed over.
     """
-    done = jobs.filter((F.col("id") > job_cursor) & (F.col("status") == "done") & F.col("kind").isin(*kinds))
-    a = done.select(F.concat(F.lit("job:"), F.col("id").cast("string")).alias("event"), "at", F.col("kind").alias("text"))
-    b = runs.filter((F.col("id") > run_cursor) & (F.col("status") == "done")).select(F.concat(F.lit("run:"), F.col("id").cast("string")).alias("event"), "at", F.col("kind").alias("text"))
-    events = a.unionByName(b).orderBy(F.desc("at"), "event").limit(limit)
+    events = event_rows(jobs, runs, job_cursor, run_cursor, kinds).orderBy(F.desc("at"), "event").limit(limit)
     active = jobs.filter(F.col("status").isin("queued", "running")).agg(F.min("id").alias("_active"))
     top = jobs.agg(F.max("id").alias("_top")).crossJoin(active)  # one row each
     next_job = F.greatest(F.lit(job_cursor), F.least(F.col("_top"), F.coalesce(F.col("_active") - 1, F.col("_top"))))
