@@ -21,7 +21,7 @@ WINDOW = 5
 SHARE = 0.8
 #: Words of a benchmark window that must not be placeholders.
 LITERALS = 2
-#: Benchmark windows up to this number (16 bytes each and an item id) are broadcast; more are joined by shuffle.
+#: Benchmark windows (16 bytes each and an item id) and suspect pairs up to this number are broadcast; more are joined by shuffle.
 BROADCAST_WINDOWS = 500_000
 TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+"
 #: Units of measure.
@@ -107,6 +107,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 def consistent(likely: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
     """Keep the pairs whose aligned placeholders map each value of the item to one value of the document."""
     ids = likely.select("doc_id").distinct()
+    if likely.count() <= BROADCAST_WINDOWS:  # a few ids: the texts need no shuffle to be picked out
+        ids = F.broadcast(ids)
     own = texts.join(ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("_d"))
     asked = items.select("item_id", words(F.col("text")).alias("_w")).select("item_id", "_w", let(F.col("_w"), template).alias("_t"))
     both = likely.join(asked, "item_id").join(own, "doc_id")
