@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from florilege.functions.text import fingerprint, jaccard, norm_text, short_sha, stem_cover, stems
 from florilege.operators.primitives import components, newest_per_key, numbered, top_per_key
-from florilege.operators.similarity import best_primary, greedy_primaries, rare_prefixes, scored_pairs, token_counts
+from florilege.operators.similarity import NO_KEYS, best_primary, greedy_primaries, keyed, met, prefix_keys, scored_pairs, single_key, token_counts
 from florilege.session import cut_lineage
 
 
@@ -78,17 +78,13 @@ def _text_units(rows: DataFrame, owner: Sequence[str], order: str, text: str, qu
     r = cut_lineage(r)
     unit = F.min(F.struct("ord", "q")).alias("_m")
     units = r.groupBy("owner", "s").agg(unit).select("owner", "s", F.col("_m.ord").alias("unit"), F.col("_m.q").alias("q"))
-    prefixes = rare_prefixes(units, "unit", "s", {"p": threshold}, token_counts(units, "s"))
-    own = lambda tag, x: F.concat(F.lit(tag), F.col("owner"), F.lit("|"), x)
-    keyed = units.join(prefixes, "unit", "left").withColumn(
-        "keys",
-        F.concat(
-            F.coalesce(F.transform("p", lambda x: own("s:", x)), F.array().cast("array<string>")),
-            F.when(F.col("q") != "", F.array(own("q:", F.sha1("q")))).otherwise(F.array().cast("array<string>")),
-        ),
-    ).drop("p")
+    prefixes = prefix_keys(units, "unit", "s", threshold, token_counts(units, "s"), "s:").withColumnRenamed("keys", "p")
+    none = F.array().cast(NO_KEYS)
+    owned = F.transform("p", lambda k: k.withField("key", F.concat(k["key"], F.lit("|"), F.col("owner"))))
+    quoted = F.array(single_key(F.concat(F.lit("q:"), F.sha1("q"), F.lit("|"), F.col("owner"))))
+    with_keys = units.join(prefixes, "unit", "left").withColumn("keys", F.concat(F.coalesce(owned, none), F.when(F.col("q") != "", quoted).otherwise(none))).drop("p")
     members = r.join(units.select("owner", "s", "unit"), ["owner", "s"]).select("ord", "unit")
-    return members, cut_lineage(keyed)
+    return members, cut_lineage(with_keys)
 
 
 def dedup_texts(rows: DataFrame, owner: Sequence[str], order: str, text: str, threshold: float, quote: str | None = None, known: DataFrame | None = None) -> DataFrame:
@@ -103,9 +99,7 @@ def dedup_texts(rows: DataFrame, owner: Sequence[str], order: str, text: str, th
         members, units = _text_units(both, owner, order, text, quote, threshold)
         there = members.filter("ord < 0").select("unit").distinct()
         new = members.filter("ord >= 0").select("unit").distinct()
-        a = units.join(there, "unit").select(F.col("unit").alias("a_unit"), F.explode("keys").alias("key"))
-        b = units.join(new, "unit").select(F.col("unit").alias("b_unit"), F.explode("keys").alias("key"))
-        pairs = a.join(b, "key").select("a_unit", "b_unit").distinct()
+        pairs = met(keyed(units.join(there, "unit"), "unit", "keys", "a"), keyed(units.join(new, "unit"), "unit", "keys", "b"), "unit")
         hit = scored_pairs(pairs, units, units, "unit", ["owner", "s", "q"], _same_text(threshold)).select(F.col("b_unit").alias("unit"))
         out = hit.unionByName(there).distinct()
         gone = members.filter("ord >= 0").join(out, "unit").select(F.col("ord").alias(order))
@@ -181,9 +175,7 @@ def place_scores(points: DataFrame, point: str, section: str, text: str, places:
 def _text_pairs(rows: DataFrame, owner: Sequence[str], order: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Units of equal stems as ``(order, unit)`` and the pairs of units whose stems are alike at the threshold."""
     members, units = _text_units(rows, owner, order, text, None, threshold)
-    a = units.select(F.col("unit").alias("a_unit"), F.explode("keys").alias("key"))
-    b = units.select(F.col("unit").alias("b_unit"), F.explode("keys").alias("key"))
-    pairs = a.join(b, "key").filter("a_unit < b_unit").select("a_unit", "b_unit").distinct()
+    pairs = met(keyed(units, "unit", "keys", "a"), keyed(units, "unit", "keys", "b"), "unit", ordered=True)
     scored = scored_pairs(pairs, units, units, "unit", ["owner", "s", "q"], _same_text(threshold))
     return members, cut_lineage(scored.select(F.col("a_unit").alias("a"), F.col("b_unit").alias("b")))
 
@@ -241,9 +233,8 @@ def dedup_texts_against(rows: DataFrame, owner: Sequence[str], order: str, text:
     members, units = _text_units(both, owner, order, text, None, threshold)
     there = members.filter("ord < 0").select("unit").distinct()
     new = members.filter("ord >= 0").select("unit").distinct()
-    a = units.join(there, "unit").select(F.col("unit").alias("a_unit"), F.explode("keys").alias("key"))
-    b = units.join(new, "unit").select(F.col("unit").alias("b_unit"), F.explode("keys").alias("key"))
-    hit = scored_pairs(a.join(b, "key").select("a_unit", "b_unit").distinct(), units, units, "unit", ["owner", "s", "q"], _same_text(threshold))
+    pairs = met(keyed(units.join(there, "unit"), "unit", "keys", "a"), keyed(units.join(new, "unit"), "unit", "keys", "b"), "unit")
+    hit = scored_pairs(pairs, units, units, "unit", ["owner", "s", "q"], _same_text(threshold))
     out = hit.select(F.col("b_unit").alias("unit")).unionByName(there).distinct()
     gone = members.filter("ord >= 0").join(out, "unit").select(F.col("ord").alias(order))
     return rows.join(gone, order, "left_anti")

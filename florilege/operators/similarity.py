@@ -36,6 +36,45 @@ def rare_prefixes(rows: DataFrame, unit: str, tokens: str, thresholds: dict[str,
     return ordered.select(unit, *[prefix(t).alias(name) for name, t in thresholds.items()])
 
 
+def prefix_keys(rows: DataFrame, unit: str, tokens: str, threshold: float, counts: DataFrame, tag: str) -> DataFrame:
+    """``(unit, keys)``: the rarest tokens as blocking keys, each with its place, the number of tokens and the threshold.
+
+    The place tells how many tokens two sets can still share from there on, see :func:`_possible`.
+    """
+    each = rows.select(unit, F.explode(tokens).alias("token")).join(counts, "token")
+    ordered = each.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_o"))
+    n = F.size("_o")
+    first = F.slice("_o", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
+    key = lambda x, i: F.struct(F.concat(F.lit(tag), x["token"].cast("string")).alias("key"), i.alias("pos"), n.alias("n"), F.lit(threshold).alias("c"))
+    return ordered.select(unit, F.transform(first, key).alias("keys"))
+
+
+def single_key(key: Column) -> Column:
+    """A blocking key that stands alone: whatever shares it may be alike."""
+    return F.struct(key.alias("key"), F.lit(0).alias("pos"), F.lit(1).alias("n"), F.lit(1.0).alias("c"))
+
+
+NO_KEYS = "array<struct<key:string,pos:int,n:int,c:double>>"
+
+
+def _possible() -> Column:
+    """Whether the two sides of a key can reach its threshold.
+
+    Sets of sizes a and b with a Jaccard similarity of c share at least c / (1 + c) * (a + b) tokens. At the first key they
+    share, they share no token before its place, so no more than the shorter rest.
+    """
+    rest = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    return rest >= F.col("a_c") / (1 + F.col("a_c")) * (F.col("a_n") + F.col("b_n")) - 1e-9
+
+
+def met(a: DataFrame, b: DataFrame, unit: str, ordered: bool = False) -> DataFrame:
+    """Distinct pairs ``(a_unit, b_unit)`` of keyed rows that share a key and can be alike; no payload is read."""
+    pairs = a.join(b, "key").filter(_possible())
+    if ordered:
+        pairs = pairs.filter(F.col(f"a_{unit}") < F.col(f"b_{unit}"))
+    return pairs.select(f"a_{unit}", f"b_{unit}").distinct()
+
+
 def _side(name: str) -> Callable[[str], Column]:
     return lambda c: F.col(f"{name}_{c}")
 
@@ -50,8 +89,10 @@ def scored_pairs(pairs: DataFrame, units: DataFrame, others: DataFrame, unit: st
     return joined.select(f"a_{unit}", f"b_{unit}", score(_side("a"), _side("b")).alias("score")).filter(F.col("score").isNotNull())
 
 
-def _keyed(rows: DataFrame, unit: str, keys: str, name: str) -> DataFrame:
-    return rows.select(F.col(unit).alias(f"{name}_{unit}"), F.explode(keys).alias("key"))
+def keyed(rows: DataFrame, unit: str, keys: str, name: str) -> DataFrame:
+    """One row for each blocking key, its columns named for one side of a pair."""
+    each = rows.select(F.col(unit).alias(f"{name}_{unit}"), F.explode(keys).alias("_k"))
+    return each.select(f"{name}_{unit}", "_k.key", *[F.col(f"_k.{c}").alias(f"{name}_{c}") for c in ("pos", "n", "c")])
 
 
 def greedy_primaries(units: DataFrame, unit: str, keys: str, payload: Sequence[str], score: Score, front: int = 32) -> DataFrame:
@@ -67,17 +108,16 @@ def greedy_primaries(units: DataFrame, unit: str, keys: str, payload: Sequence[s
     kept = [base.filter(F.size(keys) == 0).select(unit)]
     width = front
     while True:
-        each = undecided.select(unit, F.size(keys).alias("_n"), F.explode(keys).alias("key"))
+        each = undecided.select(unit, F.size(keys).alias("_all"), F.explode(keys).alias("_k")).select(unit, "_all", "_k.*")
         heads = top_per_key(each, ["key"], [F.asc(unit)], width, "_r")
-        whole = heads.groupBy(unit, "_n").agg(F.count("*").alias("_c")).filter("_c = _n").select(unit)
-        a, b = (heads.select(F.col(unit).alias(f"{x}_{unit}"), "key") for x in ("a", "b"))
-        pairs = a.join(b, "key").filter(F.col(f"a_{unit}") < F.col(f"b_{unit}")).select(f"a_{unit}", f"b_{unit}").distinct()
+        whole = heads.groupBy(unit, "_all").agg(F.count("*").alias("_heads")).filter("_heads = _all").select(unit)
+        a, b = (heads.select("key", *[F.col(c).alias(f"{x}_{c}") for c in (unit, "pos", "n", "c")]) for x in ("a", "b"))
+        pairs = met(a, b, unit, ordered=True)
         behind = scored_pairs(pairs, base, base, unit, payload, score).select(F.col(f"b_{unit}").alias(unit)).distinct()
         chosen = cut_lineage(whole.join(behind, unit, "left_anti"))
         kept.append(chosen)
         rest = undecided.join(chosen, unit, "left_anti")
-        found = _keyed(undecided.join(chosen, unit), unit, keys, "a").join(_keyed(rest, unit, keys, "b"), "key")
-        found = found.filter(F.col(f"a_{unit}") < F.col(f"b_{unit}")).select(f"a_{unit}", f"b_{unit}").distinct()
+        found = met(keyed(undecided.join(chosen, unit), unit, keys, "a"), keyed(rest, unit, keys, "b"), unit, ordered=True)
         struck = scored_pairs(found, base, base, unit, payload, score).select(F.col(f"b_{unit}").alias(unit)).distinct()
         undecided = cut_lineage(rest.join(struck, unit, "left_anti"))
         if undecided.isEmpty():
@@ -93,7 +133,7 @@ def best_primary(members: DataFrame, unit: str, units: DataFrame, keys: str, pay
     primaries = units.join(kept, unit)
     # a kept unit has no earlier primary; only its further members do
     asking = members.join(kept, unit, "left_anti").select(unit).unionByName(members.filter(F.col(order) != F.col(unit)).select(unit)).distinct()
-    found = _keyed(primaries, unit, keys, "a").join(_keyed(units.join(asking, unit, "left_semi"), unit, keys, "b"), "key").select(f"a_{unit}", f"b_{unit}").distinct()
+    found = met(keyed(primaries, unit, keys, "a"), keyed(units.join(asking, unit, "left_semi"), unit, keys, "b"), unit)
     scored = scored_pairs(found, units, primaries, unit, payload, score)
     options = members.join(scored.select(F.col(f"b_{unit}").alias(unit), F.col(f"a_{unit}").alias("_p"), "score"), unit)
     options = options.filter(F.col("_p") < F.col(order))
@@ -110,31 +150,23 @@ def copy_score(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column
     return F.when(F.when(both, alike).otherwise(titled), t + i)
 
 
-def copy_keys(units: DataFrame, unit: str, hot: int) -> DataFrame:
-    """Blocking keys for :func:`copy_score`.
+def copy_keys(units: DataFrame, unit: str) -> DataFrame:
+    """Blocking keys for :func:`copy_score`, one rule at any size.
 
-    Copies share a rare title token at 0.5 or a rare content token at 0.9. A title token that more than ``hot``
-    units share is split by the rare content tokens at 0.5, which copies with that title share too; it stays
-    whole only for records without content and those that meet them.
+    Copies that both have content are alike in it at 0.5 or more, so they share a rare content token at 0.5. A record
+    without content is a copy only by its title at 0.8; of the others' title tokens those count that it has.
     """
-    tp = rare_prefixes(units, unit, "t", {"t5": 0.5, "t8": 0.8}, token_counts(units, "t"))
-    ip = rare_prefixes(units, unit, "i", {"i5": 0.5, "i9": 0.9}, token_counts(units, "i"))
-    rows = units.select(unit, (F.size("i") > 0).alias("_has")).join(tp, unit, "left").join(ip, unit, "left")
-    rows = cut_lineage(rows)
-    titles = rows.select(unit, "_has", "i5", F.explode("t5").alias("tok"))
-    busy = titles.groupBy("tok").agg(F.count("*").alias("_n"), F.count(F.when(~F.col("_has"), 1)).alias("_bare"))
-    busy = busy.withColumn("_hot", F.col("_n") > hot)
-    marked = titles.join(busy, "tok")
-    plain = marked.filter(~F.col("_hot")).select(unit, F.concat(F.lit("t:"), "tok").alias("key"))
-    split = marked.filter(F.col("_hot") & F.col("_has")).select(unit, F.explode(F.transform("i5", lambda x: F.concat(F.lit("s:"), F.col("tok"), F.lit("|"), x))).alias("key"))
-    whole = rows.select(unit, F.explode("t8").alias("tok")).join(busy.filter("_hot AND _bare > 0"), "tok").select(unit, F.concat(F.lit("n:"), "tok").alias("key"))
-    content = rows.select(unit, F.explode(F.transform("i9", lambda x: F.concat(F.lit("i:"), x))).alias("key"))
-    keys = plain.unionByName(split).unionByName(whole).unionByName(content)
-    listed = keys.groupBy(unit).agg(F.collect_set("key").alias("keys"))
-    return units.join(listed, unit, "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
-
-
-def near_duplicates(items: DataFrame, item: str, hot: int = 1000) -> DataFrame:
+    content = prefix_keys(units, unit, "i", 0.5, token_counts(units, "i"), "i:")
+    titles = cut_lineage(prefix_keys(units, unit, "t", 0.8, token_counts(units, "t"), "t:").select(unit, F.explode("keys").alias("k")))
+    bare = units.filter(F.size("i") == 0).select(unit)
+    asked = titles.join(bare, unit, "left_semi").select(F.col("k.key").alias("_key")).distinct()
+    by_title = titles.join(asked, F.col("k.key") == F.col("_key"), "left_semi").groupBy(unit).agg(F.collect_list("k").alias("_titles"))
+    both = units.join(content, unit, "left").join(by_title, unit, "left")
+    none = F.array().cast(NO_KEYS)
+    return both.withColumn("keys", F.concat(F.coalesce("keys", none), F.coalesce("_titles", none))).drop("_titles")
+
+
+def near_duplicates(items: DataFrame, item: str) -> DataFrame:
     """``(item, duplicate_of, score)``: the best earlier primary of each copy, as a sequential pass would find it.
 
     ``items`` holds the distinct token arrays ``t`` (title) and ``i`` (content). Records with equal arrays are one
@@ -144,12 +176,13 @@ def near_duplicates(items: DataFrame, item: str, hot: int = 1000) -> DataFrame:
     twin = (F.size("t") > 0) & ((F.size("i") > 0) | (F.size("t") >= 2))
     own = F.when(twin, F.lit(0)).otherwise(F.col(item))
     marked = sorted_items.withColumn("_same", F.sha2(F.concat_ws("|", F.array_join("t", " "), F.array_join("i", " "), own.cast("string")), 256))
-    units = marked.groupBy("_same").agg(F.min(item).alias("unit"), F.min("t").alias("t"), F.min("i").alias("i"))
-    units = cut_lineage(units)
-    keyed = cut_lineage(copy_keys(units.select("unit", "t", "i"), "unit", hot))
-    kept = greedy_primaries(keyed, "unit", "keys", ["t", "i"], copy_score)
-    members = marked.select(item, "_same").join(units.select("_same", "unit"), "_same").select(item, "unit")
-    return best_primary(members, "unit", keyed, "keys", ["t", "i"], kept, copy_score, item)
+    units = cut_lineage(marked.groupBy("_same").agg(F.min(item).alias("unit"), F.min("t").alias("t"), F.min("i").alias("i")))
+    # from here on tokens are 64-bit hashes: half the bytes in every join, and sets of numbers are compared
+    hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w)).alias(c)
+    keyed_units = cut_lineage(copy_keys(units.select("unit", hashed("t"), hashed("i")), "unit"))
+    kept = cut_lineage(greedy_primaries(keyed_units, "unit", "keys", ["t", "i"], copy_score))
+    members = cut_lineage(marked.select(item, "_same").join(units.select("_same", "unit"), "_same").select(item, "unit"))
+    return best_primary(members, "unit", keyed_units, "keys", ["t", "i"], kept, copy_score, item)
 
 
 def match_verdict(t: Column, i: Column) -> Column:
