@@ -36,25 +36,30 @@ def rare_prefixes(rows: DataFrame, unit: str, tokens: str, thresholds: dict[str,
     return ordered.select(unit, *[prefix(t).alias(name) for name, t in thresholds.items()])
 
 
-def prefix_keys(rows: DataFrame, unit: str, tokens: str, threshold: float, counts: DataFrame, tag: str) -> DataFrame:
-    """``(unit, keys)``: the rarest tokens as blocking keys, each with its place, the number of tokens and the threshold.
+def prefix_keys(rows: DataFrame, unit: str, tokens: str, threshold: float, counts: DataFrame, tag: str, beside: Column | None = None) -> DataFrame:
+    """``(unit, keys)``: the rarest tokens as blocking keys with what :func:`_possible` needs to know of them.
 
-    The place tells how many tokens two sets can still share from there on, see :func:`_possible`.
+    That is the token's place, the number of tokens, the threshold, and ``beside``, the size of another set that must be
+    alike at 0.5 as well where both sides have one.
     """
-    each = rows.select(unit, F.explode(tokens).alias("token")).join(counts, "token")
-    ordered = each.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_o"))
+    sized = rows.select(unit, (F.lit(0) if beside is None else beside).alias("_m"), F.explode(tokens).alias("token"))
+    ordered = sized.join(counts, "token").groupBy(unit, "_m").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_o"))
     n = F.size("_o")
     first = F.slice("_o", 1, (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))
-    key = lambda x, i: F.struct(F.concat(F.lit(tag), x["token"].cast("string")).alias("key"), i.alias("pos"), n.alias("n"), F.lit(threshold).alias("c"))
+
+    def key(x: Column, i: Column) -> Column:
+        return F.struct(F.concat(F.lit(tag), x["token"].cast("string")).alias("key"), i.alias("pos"), n.alias("n"), F.lit(threshold).alias("c"), F.col("_m").alias("m"))
+
     return ordered.select(unit, F.transform(first, key).alias("keys"))
 
 
 def single_key(key: Column) -> Column:
     """A blocking key that stands alone: whatever shares it may be alike."""
-    return F.struct(key.alias("key"), F.lit(0).alias("pos"), F.lit(1).alias("n"), F.lit(1.0).alias("c"))
+    return F.struct(key.alias("key"), F.lit(0).alias("pos"), F.lit(1).alias("n"), F.lit(1.0).alias("c"), F.lit(0).alias("m"))
 
 
-NO_KEYS = "array<struct<key:string,pos:int,n:int,c:double>>"
+_PARTS = ("pos", "n", "c", "m")
+NO_KEYS = "array<struct<key:string,pos:int,n:int,c:double,m:int>>"
 
 
 def _possible() -> Column:
@@ -64,7 +69,8 @@ def _possible() -> Column:
     share, they share no token before its place, so no more than the shorter rest.
     """
     rest = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    return rest >= F.col("a_c") / (1 + F.col("a_c")) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    beside = (F.least("a_m", "b_m") == 0) | (2 * F.least("a_m", "b_m") >= F.greatest("a_m", "b_m"))
+    return beside & (rest >= F.col("a_c") / (1 + F.col("a_c")) * (F.col("a_n") + F.col("b_n")) - 1e-9)
 
 
 def met(a: DataFrame, b: DataFrame, unit: str, ordered: bool = False) -> DataFrame:
@@ -92,7 +98,7 @@ def scored_pairs(pairs: DataFrame, units: DataFrame, others: DataFrame, unit: st
 def keyed(rows: DataFrame, unit: str, keys: str, name: str) -> DataFrame:
     """One row for each blocking key, its columns named for one side of a pair."""
     each = rows.select(F.col(unit).alias(f"{name}_{unit}"), F.explode(keys).alias("_k"))
-    return each.select(f"{name}_{unit}", "_k.key", *[F.col(f"_k.{c}").alias(f"{name}_{c}") for c in ("pos", "n", "c")])
+    return each.select(f"{name}_{unit}", "_k.key", *[F.col(f"_k.{c}").alias(f"{name}_{c}") for c in _PARTS])
 
 
 def greedy_primaries(units: DataFrame, unit: str, keys: str, payload: Sequence[str], score: Score, front: int = 32) -> DataFrame:
@@ -111,7 +117,7 @@ def greedy_primaries(units: DataFrame, unit: str, keys: str, payload: Sequence[s
         each = undecided.select(unit, F.size(keys).alias("_all"), F.explode(keys).alias("_k")).select(unit, "_all", "_k.*")
         heads = top_per_key(each, ["key"], [F.asc(unit)], width, "_r")
         whole = heads.groupBy(unit, "_all").agg(F.count("*").alias("_heads")).filter("_heads = _all").select(unit)
-        a, b = (heads.select("key", *[F.col(c).alias(f"{x}_{c}") for c in (unit, "pos", "n", "c")]) for x in ("a", "b"))
+        a, b = (heads.select("key", *[F.col(c).alias(f"{x}_{c}") for c in (unit, *_PARTS)]) for x in ("a", "b"))
         pairs = met(a, b, unit, ordered=True)
         behind = scored_pairs(pairs, base, base, unit, payload, score).select(F.col(f"b_{unit}").alias(unit)).distinct()
         chosen = cut_lineage(whole.join(behind, unit, "left_anti"))
@@ -150,23 +156,30 @@ def copy_score(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column
     return F.when(F.when(both, alike).otherwise(titled), t + i)
 
 
-def copy_keys(units: DataFrame, unit: str) -> DataFrame:
-    """Blocking keys for :func:`copy_score`, one rule at any size.
+def copy_keys(units: DataFrame, unit: str, hot: int) -> DataFrame:
+    """Blocking keys for :func:`copy_score`.
 
-    Copies that both have content are alike in it at 0.5 or more, so they share a rare content token at 0.5. A record
-    without content is a copy only by its title at 0.8; of the others' title tokens those count that it has.
+    Copies share a rare title token at 0.5 or a rare content token at 0.9. A title token that more than ``hot``
+    units share is split by the rare content tokens at 0.5, which copies with that title share too; it stays whole
+    only for records without content and those that meet them. The result is the same for any ``hot``.
     """
-    content = prefix_keys(units, unit, "i", 0.5, token_counts(units, "i"), "i:")
-    titles = cut_lineage(prefix_keys(units, unit, "t", 0.8, token_counts(units, "t"), "t:").select(unit, F.explode("keys").alias("k")))
-    bare = units.filter(F.size("i") == 0).select(unit)
-    asked = titles.join(bare, unit, "left_semi").select(F.col("k.key").alias("_key")).distinct()
-    by_title = titles.join(asked, F.col("k.key") == F.col("_key"), "left_semi").groupBy(unit).agg(F.collect_list("k").alias("_titles"))
-    both = units.join(content, unit, "left").join(by_title, unit, "left")
-    none = F.array().cast(NO_KEYS)
-    return both.withColumn("keys", F.concat(F.coalesce("keys", none), F.coalesce("_titles", none))).drop("_titles")
-
-
-def near_duplicates(items: DataFrame, item: str) -> DataFrame:
+    tc, ic = token_counts(units, "t"), token_counts(units, "i")
+    titles = cut_lineage(prefix_keys(units, unit, "t", 0.5, tc, "t:", F.size("i")).select(unit, F.explode("keys").alias("k")))
+    busy = titles.groupBy(F.col("k.key").alias("key")).agg(F.count("*").alias("_n"), F.count(F.when(F.col("k.m") == 0, 1)).alias("_bare")).filter(F.col("_n") > hot)
+    busy = cut_lineage(busy)
+    on = F.col("k.key") == F.col("key")
+    plain = titles.join(busy, on, "left_anti").select(unit, "k")
+    content = prefix_keys(units, unit, "i", 0.5, ic, "|")
+    crowded = titles.join(busy, on).select(unit, "key").join(content, unit)
+    split = crowded.select(unit, F.explode(F.transform("keys", lambda x: x.withField("key", F.concat(F.lit("s"), F.col("key"), x["key"])))).alias("k"))
+    strong = prefix_keys(units, unit, "t", 0.8, tc, "t:").select(unit, F.explode("keys").alias("k"))
+    whole = strong.join(busy.filter("_bare > 0"), on, "left_semi").select(unit, F.col("k").withField("key", F.concat(F.lit("n"), F.col("k.key"))).alias("k"))
+    alike = prefix_keys(units, unit, "i", 0.9, ic, "i:").select(unit, F.explode("keys").alias("k"))
+    listed = plain.unionByName(split).unionByName(whole).unionByName(alike).groupBy(unit).agg(F.collect_set("k").alias("keys"))
+    return units.join(listed, unit, "left").withColumn("keys", F.coalesce("keys", F.array().cast(NO_KEYS)))
+
+
+def near_duplicates(items: DataFrame, item: str, hot: int = 1000) -> DataFrame:
     """``(item, duplicate_of, score)``: the best earlier primary of each copy, as a sequential pass would find it.
 
     ``items`` holds the distinct token arrays ``t`` (title) and ``i`` (content). Records with equal arrays are one
@@ -175,11 +188,12 @@ def near_duplicates(items: DataFrame, item: str) -> DataFrame:
     sorted_items = items.select(item, F.array_sort("t").alias("t"), F.array_sort("i").alias("i"))
     twin = (F.size("t") > 0) & ((F.size("i") > 0) | (F.size("t") >= 2))
     own = F.when(twin, F.lit(0)).otherwise(F.col(item))
-    marked = sorted_items.withColumn("_same", F.sha2(F.concat_ws("|", F.array_join("t", " "), F.array_join("i", " "), own.cast("string")), 256))
-    units = cut_lineage(marked.groupBy("_same").agg(F.min(item).alias("unit"), F.min("t").alias("t"), F.min("i").alias("i")))
-    # from here on tokens are 64-bit hashes: half the bytes in every join, and sets of numbers are compared
+    same = F.sha2(F.concat_ws("|", F.array_join("t", " "), F.array_join("i", " "), own.cast("string")), 256)
+    # from here on tokens are 64-bit hashes: fewer bytes in every join, and sets of numbers are compared; texts are cut once
     hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w)).alias(c)
-    keyed_units = cut_lineage(copy_keys(units.select("unit", hashed("t"), hashed("i")), "unit"))
+    marked = cut_lineage(sorted_items.select(item, same.alias("_same"), hashed("t"), hashed("i")))
+    units = cut_lineage(marked.groupBy("_same").agg(F.min(item).alias("unit"), F.min("t").alias("t"), F.min("i").alias("i")))
+    keyed_units = cut_lineage(copy_keys(units.select("unit", "t", "i"), "unit", hot))
     kept = cut_lineage(greedy_primaries(keyed_units, "unit", "keys", ["t", "i"], copy_score))
     members = cut_lineage(marked.select(item, "_same").join(units.select("_same", "unit"), "_same").select(item, "unit"))
     return best_primary(members, "unit", keyed_units, "keys", ["t", "i"], kept, copy_score, item)

@@ -10,6 +10,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# tables whose rows are long texts, so that work per row outweighs a shuffle
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows over all cores where a table is fewer files than there are cores (a small file is one row group, which Spark
+    does not split); tables of many files stay as read."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if len(frame.inputFiles()) < cores else frame
+
+
 class Tables:
     """The parquet tables of one folder as attributes, read lazily."""
 
@@ -19,6 +30,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name in TEXT_TABLES:
+            frame = spread(frame)
         setattr(self, name, frame)
         return frame
 

@@ -204,10 +204,10 @@ def _sequential(rows):
 
 
 def test_near_duplicates_equal_the_sequential_pass(spark):
-    for seed in (3, 4, 5):
+    for seed, hot in ((3, 1000), (4, 3), (5, 10)):
         rows = _copies(seed=seed)
         df = spark.createDataFrame(rows, "id long, t array<string>, i array<string>")
-        got = {r["id"]: r["duplicate_of"] for r in S.near_duplicates(df, "id").collect()}
+        got = {r["id"]: r["duplicate_of"] for r in S.near_duplicates(df, "id", hot=hot).collect()}
         assert got == _sequential(rows)
 
 
