@@ -26,7 +26,7 @@ TREES, SPILL = 6, 0.06
 #: Rows of a tree's leaf that is dealt to one task, of a block that is compared directly, of a block that balls are cut from.
 SHARD, LEAF, COVER = 2048, 256, 1024
 #: Most centres that the medians of the trees are taken from; all are placed.
-SAMPLE = 8192
+SAMPLE = 4096
 #: Members of a ball that meet members of another ball in one block.
 CHUNK = 256
 _SLACK = 1e-7
