@@ -3,7 +3,8 @@
 A text becomes a sequence of template words: numbers, capitalised words and units after numbers turn into typed
 placeholders, other words into lower case. Windows of five template words are matched by hash with those of the
 benchmark; an item is found where enough of its windows are there and its slots are filled consistently, that is each
-value of the item has one value in the document. So an item with other numbers or names is found as well.
+value of the item has one value in the document. So an item with other numbers or names is found as well. A slot is read
+at the shift of a found window that covers it, so words put in or left out within a passage do not misplace its slots.
 """
 
 from __future__ import annotations
@@ -93,30 +94,54 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     sizes = asked.groupBy("item_id").agg(F.countDistinct("_window").alias("windows"))
     if asked.count() <= BROADCAST_WINDOWS:
         asked = F.broadcast(asked)
-    seen = windows(texts, "doc_id").join(asked, "_window").select("doc_id", "item_id", "_window", (F.col("_at") - F.col("_i")).alias("_shift"))
+    seen = windows(texts, "doc_id").join(asked, "_window").select("doc_id", "item_id", "_window", "_i", (F.col("_at") - F.col("_i")).alias("_shift"))
     # one row per document, item, shift and window before anything is counted
-    once = cut_lineage(seen.groupBy("doc_id", "item_id", "_shift", "_window").agg(F.count("*").alias("_n")))
+    once = cut_lineage(seen.groupBy("doc_id", "item_id", "_shift", "_window").agg(F.collect_set("_i").alias("_is")))
     found = once.groupBy("doc_id", "item_id").agg(F.countDistinct("_window").alias("found"))
     enough = found.join(sizes, "item_id").where(F.col("found") >= share * F.col("windows"))
     shift = once.groupBy("doc_id", "item_id", "_shift").agg(F.count("*").alias("_n"))
-    best = shift.groupBy("doc_id", "item_id").agg(F.max_by("_shift", F.struct("_n", -F.col("_shift"))).alias("_shift"))
+    best = shift.groupBy("doc_id", "item_id").agg(F.max_by("_shift", F.struct("_n", -F.col("_shift"))).alias("_best"))
     likely = cut_lineage(enough.join(best, ["doc_id", "item_id"]))
-    return consistent(likely, texts, items)
+    few = likely.count() <= BROADCAST_WINDOWS
+    return consistent(likely, once.join(F.broadcast(likely) if few else likely, ["doc_id", "item_id"]), texts, items, few)
 
 
-def consistent(likely: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
-    """Keep the pairs whose aligned placeholders map each value of the item to one value of the document."""
+def consistent(likely: DataFrame, places: DataFrame, texts: DataFrame, items: DataFrame, few: bool) -> DataFrame:
+    """Keep the pairs whose placeholders map each value of the item to one value of the document.
+
+    A slot has the value at the shift of a found window that covers it, of several that next to the best shift; a slot
+    in no found window is read at the best shift where the template words about it are equal, else not at all.
+    """
+    away = F.abs(F.col("_shift") - F.col("_best"))
+    each = places.select("doc_id", "item_id", "windows", "found", "_best", F.explode("_is").alias("_i"), "_shift", away.alias("_away"))
+    runs = F.array_sort(F.collect_list(F.struct(F.col("_away").alias("away"), F.col("_shift").cast("int").alias("shift"), F.col("_i").cast("int").alias("i"))))
     ids = likely.select("doc_id").distinct()
-    if likely.count() <= BROADCAST_WINDOWS:  # a few ids: the texts need no shuffle to be picked out
+    if few:  # a few ids: the texts need no shuffle to be picked out
         ids = F.broadcast(ids)
-    own = texts.join(ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("_d"))
+    own = texts.join(ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("_d")).select("doc_id", "_d", let(F.col("_d"), template).alias("_dt"))
     asked = items.select("item_id", words(F.col("text")).alias("_w")).select("item_id", "_w", let(F.col("_w"), template).alias("_t"))
-    both = likely.join(asked, "item_id").join(own, "doc_id")
-    slot = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.get("_t", i).between(1, 3) & (i + F.col("_shift") >= 0) & (i + F.col("_shift") < F.size("_d")))
-    pairs = F.array_distinct(F.transform(slot, lambda i: F.struct(F.get("_w", i).alias("item"), F.get("_d", (i + F.col("_shift")).cast("int")).alias("doc"))))
-    held = both.select("doc_id", "item_id", "windows", "found", pairs.alias("_p"))
+    aligned = each.groupBy("doc_id", "item_id", "windows", "found", F.col("_best").cast("int").alias("_best")).agg(runs.alias("_runs"))
+    both = aligned.join(asked, "item_id").join(own, "doc_id")
+
+    def equal(i: Column, by: Column) -> Column:
+        """Whether the template window at ``i`` of the item is that of this text ``by`` words on."""
+        mine = F.slice("_t", i + 1, WINDOW)
+        return (i >= 0) & (i + by >= 0) & (F.size(mine) == WINDOW) & (mine == F.slice("_dt", F.greatest(i + by, F.lit(0)) + 1, WINDOW))
+
+    def covering(i: Column) -> Column:
+        """The shift at which slot ``i`` is read; null if no window covers it."""
+        first = F.get(F.filter("_held", lambda r: (r["i"] <= i) & (i < r["i"] + WINDOW)), F.lit(0))["shift"]
+        starts = F.sequence(F.greatest(i - WINDOW + 1, F.lit(0)), i)
+        return F.coalesce(first, F.when(F.exists(starts, lambda k: equal(k, F.col("_best"))), F.col("_best")))
+
+    # rows that share an id: a run counts for the texts that hold it, and texts that hold none are no evidence
+    held = both.withColumn("_held", F.filter("_runs", lambda r: equal(r["i"], r["shift"]))).where(F.size("_held") > 0)
+    slot = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: F.get("_t", i).between(1, 3))
+    placed = held.withColumn("_slots", F.filter(F.transform(slot, lambda i: F.struct(i.alias("i"), covering(i).alias("by"))), lambda x: x["by"].isNotNull()))
+    pairs = F.array_distinct(F.transform("_slots", lambda x: F.struct(F.get("_w", x["i"]).alias("item"), F.get("_d", x["i"] + x["by"]).alias("doc"))))
+    valued = placed.select("doc_id", "item_id", "windows", "found", pairs.alias("_p"))
     values = F.size(F.array_distinct(F.col("_p.item")))
-    rows = held.select("doc_id", "item_id", "windows", "found", values.alias("slots"), F.size(F.filter("_p", lambda p: p["item"] != p["doc"])).alias("changed"), (F.size("_p") - values).alias("_odd"))
+    rows = valued.select("doc_id", "item_id", "windows", "found", values.alias("slots"), F.size(F.filter("_p", lambda p: p["item"] != p["doc"])).alias("changed"), (F.size("_p") - values).alias("_odd"))
     # a few slots may differ where a passage was cut or a sentence broken off
     good = rows.where(F.col("_odd") <= (1 - SHARE) * F.col("slots"))
     return good.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("windows", "found", "slots")], F.min("changed").alias("changed"))

@@ -190,6 +190,23 @@ def test_slots_must_be_consistent(spark):
     assert [r.doc_id for r in decontaminate.leaks(docs, benchmark).collect()] == [1]
 
 
+STORY = "In April Natalia sold small clips to 48 of her friends and in May Natalia sold half as many clips so how many clips altogether did Natalia then sell in the two months of April and May this year"
+
+
+def test_an_edited_word_does_not_misplace_slots(spark):
+    """Repeated names and one word more or less in the middle; other names by one rule are found, by none are not."""
+    more, less = STORY.replace("half as", "only half as"), STORY.replace(" so how many", " how many")
+    benchmark = spark.createDataFrame([(1, STORY)], "item_id long, text string")
+    other = more.replace("Natalia", "Maria").replace("April", "June").replace("48", "50")
+    torn = more
+    for name in ("Maria", "Petra", "Clara"):
+        torn = torn.replace("Natalia", name, 1)
+    texts = {1: STORY, 2: more, 3: less, 4: other, 5: torn.replace("April", "June", 1), 6: f"before it {more} and after"}
+    docs = spark.createDataFrame([*texts.items(), (2, "some other text under the same id")], "doc_id long, text string")
+    got = {r.doc_id: r.changed for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 3, 6: 0}
+
+
 def test_benchmark_passages_are_found(spark, docs):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     tokens = lambda t: re.findall(r"\w+", t.lower())
