@@ -5,11 +5,15 @@ placeholders, other words into lower case. Windows of five template words are ma
 benchmark; an item is found where enough of its windows are there and its slots are filled consistently, that is each
 value of the item has one value in the document. So an item with other numbers or names is found as well. A slot is read
 at the shift of a found window that covers it, so words put in or left out within a passage do not misplace its slots.
+
+A second route asks for the words themselves, for items or passages that placeholders crowd out: windows of five words
+(shorter items whole). It needs no slots. Where an item has template windows, the words must have their case as well,
+since a copy in another case is by rule not that template; items without any are met in lower case.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +60,9 @@ def template(raw: Column) -> Column:
     return F.transform(raw, lambda w, i: F.when(number(w, i), 1).when(unit(w, i), 2).when(name(w, i), 3).otherwise(F.xxhash64(F.lower(w))))
 
 
-def windows(rows: DataFrame, key: str, literals: int = 0) -> DataFrame:
-    """(key, _at, _window): hash of every window of template words; ``literals`` of them must be no placeholders."""
+def windows(rows: DataFrame, key: str, widths: Sequence[int], literals: int = 0) -> DataFrame:
+    """(key, _kind, _at, _window): hash of every window of template words, of which ``literals`` must be no placeholders, as
+    kind 0; and of every run of ``widths`` lower-cased words, as the kind of that width."""
 
     def ahead(t: Column, by: int) -> Column:
         return F.slice(t, by + 1, F.greatest(F.size(t) - by, F.lit(0)))
@@ -65,45 +70,88 @@ def windows(rows: DataFrame, key: str, literals: int = 0) -> DataFrame:
     def joined(a: Column, b: Column) -> Column:
         return F.zip_with(F.slice(a, 1, F.size(b)), b, lambda x, y: F.xxhash64(x, y))
 
+    def runs(t: Column, width: int) -> Column:
+        """Hashes of ``width`` neighbours, for the window by way of one, two and four."""
+        if width == WINDOW:
+            pairs = lambda two: let(joined(two, ahead(two, 2)), lambda four: joined(four, ahead(t, WINDOW - 1)))
+            return let(joined(t, ahead(t, 1)), pairs)
+        return t if width == 1 else joined(runs(t, width - 1), ahead(t, width - 1))
+
     def hashes(t: Column) -> Column:
-        """Hashes of one, then two, four and five neighbours."""
-        pairs = lambda two: let(joined(two, ahead(two, 2)), lambda four: joined(four, ahead(t, WINDOW - 1)))
-        every = let(joined(t, ahead(t, 1)), pairs)
+        every = runs(t, WINDOW)
         if not literals:
             return every
         told = lambda i: sum((F.when(F.get(t, i + k).between(1, 3), 0).otherwise(1) for k in range(WINDOW)), F.lit(0))
         return F.transform(every, lambda h, i: F.when(told(i) >= literals, h))
 
+    def entries(raw: Column) -> Column:
+        """(kind, place, hash) of every window of one text."""
+        def told(kind: int, found: Column) -> Column:
+            return F.transform(found, lambda x, i: F.struct(F.lit(kind).alias("_kind"), i.alias("_at"), x.alias("_window")))
+
+        low = F.transform(raw, lambda w: F.xxhash64(F.lower(w)))
+        exact = let(low, lambda t: F.concat(*[told(w, runs(t, w)) for w in widths]))
+        return F.concat(told(0, let(template(raw), hashes)), exact)
+
     # hashes are made before the rows are multiplied: an exploded row would carry all words of its text; and
     # an inner explode would add a filter that computes them a second time
-    hashed = rows.select(key, let(let(words(F.col("text")), template), hashes).alias("_h"))
-    return hashed.select(key, F.posexplode_outer("_h").alias("_at", "_window")).where("_window IS NOT NULL")
+    hashed = rows.select(key, let(words(F.col("text")), entries).alias("_h"))
+    return hashed.select(key, F.explode_outer("_h").alias("_e")).select(key, "_e.*").where("_window IS NOT NULL")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, windows, found, slots, changed) for every benchmark item found in a document.
 
-    windows: distinct windows of the item; found: those on its best diagonal or anywhere in the document, whichever
-    is more; slots: distinct values of its placeholders; changed: those with another value in the document.
-    Rows that share a doc_id are judged as one document, rows without a doc_id or item_id are left out, null and empty
-    texts and items of fewer than five words match nothing, repeated items count once per item_id.
+    windows: distinct windows of the item; found: those anywhere in the document; slots: distinct values of its
+    placeholders; changed: those with another value in the document. A pair that only the exact route finds counts windows
+    of words, and no value as changed. Rows that share a doc_id are judged as one document, rows without a doc_id or
+    item_id are left out, null and empty texts match nothing, repeated items count once per item_id. An item of fewer
+    than five words is found where its words stand in a row.
     """
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").dropDuplicates()
-    asked = cut_lineage(windows(items, "item_id", LITERALS).select("item_id", "_window", F.col("_at").alias("_i")))
-    sizes = asked.groupBy("item_id").agg(F.countDistinct("_window").alias("windows"))
-    if asked.count() <= BROADCAST_WINDOWS:
-        asked = F.broadcast(asked)
-    seen = windows(texts, "doc_id").join(asked, "_window").select("doc_id", "item_id", "_window", "_i", (F.col("_at") - F.col("_i")).alias("_shift"))
+    sized = items.withColumn("_n", F.least(F.size(words(F.col("text"))), F.lit(WINDOW))).where("_n > 0")
+    widths = sorted(r._n for r in sized.select("_n").distinct().collect()) or [WINDOW]
+    own = windows(items, "item_id", widths, LITERALS).join(sized.select("item_id", "_n").distinct(), "item_id")
+    asked = cut_lineage(own.where((F.col("_kind") == 0) | (F.col("_kind") == F.col("_n"))).select("item_id", "_kind", "_window", F.col("_at").alias("_i")))
+    sizes = asked.groupBy("item_id", "_kind").agg(F.countDistinct("_window").alias("windows"))
+    few = asked.count() <= BROADCAST_WINDOWS
+    seen = windows(texts, "doc_id", widths).join(F.broadcast(asked) if few else asked, ["_kind", "_window"])
+    # short items have one window, and where it stands does not matter
+    whole = F.col("_kind").between(1, WINDOW - 1)
+    put = seen.select("doc_id", "item_id", "_kind", "_window", "_i", F.when(whole, 0).otherwise(F.col("_at") - F.col("_i")).alias("_shift"))
     # one row per document, item, shift and window before anything is counted
-    once = cut_lineage(seen.groupBy("doc_id", "item_id", "_shift", "_window").agg(F.collect_set("_i").alias("_is")))
-    found = once.groupBy("doc_id", "item_id").agg(F.countDistinct("_window").alias("found"))
-    enough = found.join(sizes, "item_id").where(F.col("found") >= share * F.col("windows"))
-    shift = once.groupBy("doc_id", "item_id", "_shift").agg(F.count("*").alias("_n"))
+    once = cut_lineage(put.groupBy("doc_id", "item_id", "_kind", "_shift", "_window").agg(F.collect_set("_i").alias("_is")))
+    found = once.groupBy("doc_id", "item_id", "_kind").agg(F.countDistinct("_window").alias("found"))
+    enough = cut_lineage(found.join(sizes, ["item_id", "_kind"]).where(F.col("found") >= share * F.col("windows")))
+    shift = once.where("_kind = 0").groupBy("doc_id", "item_id", "_shift").agg(F.count("*").alias("_n"))
     best = shift.groupBy("doc_id", "item_id").agg(F.max_by("_shift", F.struct("_n", -F.col("_shift"))).alias("_best"))
-    likely = cut_lineage(enough.join(best, ["doc_id", "item_id"]))
+    likely = cut_lineage(enough.where("_kind = 0").drop("_kind").join(best, ["doc_id", "item_id"]))
     few = likely.count() <= BROADCAST_WINDOWS
-    return consistent(likely, once.join(F.broadcast(likely) if few else likely, ["doc_id", "item_id"]), texts, items, few)
+    filled = cut_lineage(consistent(likely, once.where("_kind = 0").join(F.broadcast(likely) if few else likely, ["doc_id", "item_id"]), texts, items, few))
+    exact = enough.where("_kind > 0").join(filled.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
+    return filled.unionByName(verbatim(cut_lineage(exact), once, sizes.where("_kind = 0").select("item_id"), texts, items, share))
+
+
+def verbatim(exact: DataFrame, once: DataFrame, templated: DataFrame, texts: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    """The pairs ``exact`` (found in lower case) of items without template windows, and of others those found in their own case."""
+    spelt = items.select("item_id", words(F.col("text")).alias("_w")).select("item_id", "_w", let(F.col("_w"), template).alias("_t"))
+    values = F.array_distinct(F.filter("_w", lambda w, i: F.get("_t", i).between(1, 3)))
+    slots = spelt.select("item_id", F.explode_outer(values).alias("_v")).groupBy("item_id").agg(F.countDistinct("_v").cast("int").alias("slots"))
+    bare = exact.join(templated, "item_id", "left_anti").select("doc_id", "item_id", "windows", "found")
+    cased = exact.join(templated, "item_id", "left_semi")
+    few = cased.count() <= BROADCAST_WINDOWS
+    places = once.join(F.broadcast(cased) if few else cased, ["doc_id", "item_id", "_kind"]).select("doc_id", "item_id", "windows", "_kind", F.explode("_is").alias("_i"), "_shift")
+    runs = places.groupBy("doc_id", "item_id", "windows", "_kind").agg(F.collect_list(F.struct(F.col("_i").cast("int").alias("i"), F.col("_shift").cast("int").alias("by"))).alias("_runs"))
+    ids = cased.select("doc_id").distinct()
+    own = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("_d"))
+    both = runs.join(spelt, "item_id").join(own, "doc_id")
+    piece = lambda name, at: F.slice(name, F.greatest(at, F.lit(0)) + 1, F.col("_kind"))
+    same = F.filter("_runs", lambda r: piece("_w", r["i"]) == piece("_d", r["i"] + r["by"]))
+    told = both.select("doc_id", "item_id", "windows", F.explode(F.transform(same, lambda r: F.xxhash64(F.transform(piece("_w", r["i"]), lambda w: F.lower(w))))).alias("_window"))
+    kept = told.groupBy("doc_id", "item_id", "windows").agg(F.countDistinct("_window").alias("found")).where(F.col("found") >= share * F.col("windows"))
+    rows = bare.unionByName(kept).groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("found").alias("found"))
+    return rows.join(slots, "item_id").select("doc_id", "item_id", "windows", "found", "slots", F.lit(0).alias("changed"))
 
 
 def consistent(likely: DataFrame, places: DataFrame, texts: DataFrame, items: DataFrame, few: bool) -> DataFrame:

@@ -207,6 +207,20 @@ def test_an_edited_word_does_not_misplace_slots(spark):
     assert got == {1: 0, 2: 0, 3: 0, 4: 3, 6: 0}
 
 
+def test_items_of_placeholders_are_found_by_their_words(spark):
+    """Items without template windows, in any case, and short ones whole; with few template windows, in their own case."""
+    names = "Old Anna Met Peter Near Green Lake With Three Friends And 2 Dogs"
+    sums = "12 + 13 * 7 = 103 and 5 * 4 = 20"
+    mixed = "Anna Maria Peter Tom Clara Boris Igor Olga Ivan Lena walked out to 3 5 7 9 11 13"
+    benchmark = spark.createDataFrame([(1, names), (2, sums), (3, "gold medal winner"), (4, mixed), (5, "...")], "item_id long, text string")
+    around = "some words before {} and after it"
+    texts = {1: around.format(names), 2: around.format(names.lower()), 3: around.format(sums), 4: around.format("Gold medal winner"), 5: around.format("gold or medal winner"), 6: around.format(mixed.replace("walked", "strolled")), 7: around.format(sums.replace("13", "14").replace("5", "6")), 8: "..."}
+    docs = spark.createDataFrame([*texts.items(), (None, names)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.changed for r in decontaminate.leaks(docs, benchmark, 0.6).collect()}
+    assert got == {(1, 1): 0, (2, 1): 0, (3, 2): 0, (4, 3): 0, (6, 4): 0}
+    assert decontaminate.leaks(docs.where("doc_id <= 4"), benchmark).count() == 4
+
+
 def test_benchmark_passages_are_found(spark, docs):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     tokens = lambda t: re.findall(r"\w+", t.lower())
