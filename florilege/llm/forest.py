@@ -1,7 +1,7 @@
 """Embedding near-dedup by a forest of random-projection trees.
 
-Every tree splits the space by random directions at the median; vectors near a cut fall on both sides (spill). Vectors
-that share a leaf of any tree are compared exactly, and found links are united over the trees.
+Every tree splits the space by random directions at the median; vectors near a cut fall on both sides (spill). Every
+distinct vector goes through all trees; what shares a leaf is compared exactly, and found links are united over the trees.
 
 Dense groups are not compared pair by pair: a ball whose members lie within half the threshold angle of its centre
 holds only linked pairs, so it is one class with a member count. Two balls whose farthest members still are within the
@@ -113,8 +113,9 @@ def cover(x: np.ndarray, radius: np.ndarray, theta: float) -> list[tuple[np.ndar
     return out
 
 
-def _deal(rows: DataFrame, name: str, trees: int, spill: float, seed: int, width: int) -> DataFrame:
-    """Rows (name, label, centre, radius) copied to every (tree, leaf) they fall in."""
+def _deal(rows: DataFrame, name: str, trees: int, spill: float, seed: int, width: int, carry: str) -> DataFrame:
+    """The columns ``carry`` (a schema) of rows with ``name`` and ``centre``, copied to every (tree, leaf) they fall in."""
+    kept = [c.split()[0] for c in carry.split(", ")]
     total = rows.count()
     depth = int(np.ceil(np.log2(max(1, total) / SHARD))) if total > SHARD else 0
     sample = rows.select(name, "centre").orderBy(F.xxhash64(name)).limit(SAMPLE).collect() if depth else []
@@ -132,9 +133,9 @@ def _deal(rows: DataFrame, name: str, trees: int, spill: float, seed: int, width
             for t, tree in enumerate(grown):
                 for leaf, at in leaves(tree, x):
                     if at.size:
-                        yield part.iloc[at].assign(leaf=np.int64(t << 40) + leaf)
+                        yield part[kept].iloc[at].assign(leaf=np.int64(t << 40) + leaf)
 
-    return rows.select(name, "label", "centre", "radius").mapInPandas(run, f"{name} long, label string, centre array<double>, radius double, leaf long")
+    return rows.select(*dict.fromkeys([*kept, "centre"])).mapInPandas(run, f"{carry}, leaf long")
 
 
 def _per_leaf(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -155,33 +156,37 @@ def balls(rows: DataFrame, theta: float, seed: int, width: int) -> DataFrame:
                     out += [(n, named[0], centre if n == named[0] else None, radius if n == named[0] else None) for n in named]
         return pd.DataFrame(out, columns=["node", "ball", "centre", "radius"])
 
-    dealt = _deal(rows.select("node", "label", "centre", "radius"), "node", 1, 0.0, seed, width)
+    dealt = _deal(rows.select("node", "label", "centre", "radius"), "node", 1, 0.0, seed, width, "node long, label string, centre array<double>, radius double")
     return _per_leaf(dealt, cut, "node long, ball long, centre array<double>, radius double")
 
 
-def near_balls(rows: DataFrame, theta: float, trees: int, spill: float, seed: int, width: int) -> DataFrame:
-    """(a, b, sure): pairs of balls that share a leaf and may hold links; sure where all their members are linked."""
+def near_balls(rows: DataFrame, members: DataFrame, theta: float, trees: int, spill: float, seed: int, width: int) -> DataFrame:
+    """(a, b, sure): pairs of balls that share a leaf and may hold links; sure where all their members are linked.
+
+    A ball is in every leaf that any of its members (node, ball, centre) falls in, so two linked members that share a
+    leaf bring their balls together however far apart the centres are. All balls of a leaf are compared.
+    """
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         x, r, ids = _stack(group["centre"]), group["radius"].to_numpy(), group["node"].to_numpy()
-        found = []
-        for at in blocks(x, LEAF, spill, int(group["leaf"].iloc[0]) % (1 << 31)):
-            for i in range(0, at.size, LEAF):
-                for j in range(i, at.size, LEAF):
-                    a, b = at[i : i + LEAF], at[j : j + LEAF]
-                    cosine = x[a] @ x[b].T
-                    both = r[a][:, None] + r[b][None, :]
-                    angle = _angle(cosine)
-                    sure = np.where(both == 0, cosine >= np.cos(theta), angle + both <= theta - _SLACK)
-                    maybe = (both > 0) & (angle - both <= theta + _SLACK) | sure
-                    p, q = np.nonzero(maybe)
-                    off = ids[a[p]] < ids[b[q]] if i == j else ids[a[p]] != ids[b[q]]
-                    p, q = p[off], q[off]
-                    one, two = ids[a[p]], ids[b[q]]
-                    found.append(pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "sure": sure[p, q]}))
-        return pd.concat(found).drop_duplicates(["a", "b"]) if found else pd.DataFrame({"a": [], "b": [], "sure": []})
-
-    dealt = _deal(rows, "node", trees, spill, seed, width)
+        found, at = [], np.arange(len(group))
+        for i in range(0, at.size, LEAF):
+            for j in range(i, at.size, LEAF):
+                a, b = at[i : i + LEAF], at[j : j + LEAF]
+                cosine = x[a] @ x[b].T
+                p, q = np.nonzero(cosine >= np.cos(min(np.pi, theta + r[a].max() + r[b].max() + 2 * _SLACK)) - _SLACK)
+                off = ids[a[p]] < ids[b[q]] if i == j else ids[a[p]] != ids[b[q]]
+                p, q = p[off], q[off]
+                near, both = cosine[p, q], r[a[p]] + r[b[q]]
+                angle = _angle(near)
+                sure = np.where(both == 0, near >= np.cos(theta), angle + both <= theta - _SLACK)
+                maybe = (both > 0) & (angle - both <= theta + _SLACK) | sure
+                one, two = ids[a[p[maybe]]], ids[b[q[maybe]]]
+                found.append(pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "sure": sure[maybe]}))
+        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "sure": []})
+
+    homes = _deal(members, "node", trees, spill, seed, width, "ball long").distinct()
+    dealt = homes.join(rows.select(F.col("node").alias("ball"), "node", "label", "centre", "radius"), "ball").drop("ball")
     return _per_leaf(dealt, pairs, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
@@ -240,7 +245,7 @@ def link_vectors(rows: DataFrame, cosine: float = COSINE, trees: int = TREES, sp
     placed = one.select("node", F.col("ball").alias("_b")).join(two.select(F.col("node").alias("_b"), "ball"), "_b").select("node", "ball")
     members = cut_lineage(units.join(placed, "node"))
     sizes = members.groupBy("ball").agg(F.sum("n").alias("size"), F.min("first").alias("lowest"))
-    pairs = cut_lineage(near_balls(second, theta, trees, spill, seed + 2, width))
+    pairs = cut_lineage(near_balls(second, members, theta, trees, spill, seed + 2, width))
     mixed = cut_lineage(member_links(pairs.where("NOT sure"), members.select("node", "ball", "centre", "n"), theta))
     sure = pairs.where("sure").select("a", "b")
     groups = components(sure.union(mixed.select("a", "b").distinct()))

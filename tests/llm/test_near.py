@@ -123,6 +123,27 @@ def test_forest_against_all_pairs(spark, monkeypatch, shard, leaf, chunk):
     assert all(got[i].component_id >= want[i] for i in range(len(x)))
 
 
+def test_wide_balls_in_deep_trees(spark, monkeypatch):
+    """Pairs of wide balls whose centres are far apart, by one tree without spill: members bring their balls together."""
+    monkeypatch.setattr(forest, "SHARD", 16)
+    monkeypatch.setattr(forest, "LEAF", 16)
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(60):
+        one, two = rng.normal(size=(2, 64))
+        one /= np.linalg.norm(one)
+        two -= (two @ one) * one
+        two /= np.linalg.norm(two)
+        rows += [np.cos(t) * one + np.sin(t) * two + 0.002 * rng.normal(size=64) for t in np.linspace(0, 1.05, 25)]
+    x = np.array(rows, dtype=np.float32)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    degree = (y @ y.T >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    found = np.array([r.n_links for r in sorted(forest.link_vectors(df, trees=1, spill=0.0).collect(), key=lambda r: r.vec_id)])
+    assert (found <= degree).all()
+    assert found.sum() >= 0.82 * degree.sum(), found.sum() / degree.sum()
+
+
 def test_forest_edges(spark):
     one = [1.0, 2.0, 3.0]
     rows = [(1, one, 5), (2, [2.0, 4.0, 6.0], 5), (3, one, 6), (4, one, None), (5, None, 5), (6, [0.0, 0.0, 0.0], 5), (7, [1.0, None, 3.0], 5), (8, [1.0, float("nan"), 1.0], 5), (9, [1.0, float("inf"), 1.0], 5), (10, [], 5), (11, [1.0, 2.0], 5), (2, [2.0, 4.0, 6.0], 5), (None, one, 5)]
