@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm import decontaminate, forest, language, packing, pages_crf, quality, redirects, secrets, simhash, toxicity
+from florilege.llm import centroids, decontaminate, forest, language, lines, merkle, packing, pages_crf, quality, redirects, secrets, simhash, toxicity
 from florilege.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,87 @@ def op9_redirects(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_extraction")
 def op10_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pages_crf.main_texts(table(spark, folder, "pages"))
+
+
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS MATERIALIZED (SELECT r, doc_id, p, l[p] AS line, {_ASCII_LOWER.format("trim(l[p], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM d)),
+keys AS (SELECT k, min(doc_id) AS first FROM x WHERE length(k) >= {lines.SHORTEST} GROUP BY k HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INT)) >= {lines.LEAST_DOCS}),
+judged AS (SELECT x.*, keys.k IS NOT NULL AND x.doc_id IS DISTINCT FROM keys.first AS gone FROM x LEFT JOIN keys ON keys.k = x.k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY r"""
+
+
+@query("op11_lines", OP11_SQL)
+def op11_lines(spark: SparkSession, folder: str) -> DataFrame:
+    done = lines.drop_shared(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+_FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+# bit by bit, over the ASCII codes of the decimal id
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])), lambda v, i: xor(v >> 1, (v & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"""
+# levels 0 to 9 hold a group of up to 8^9 rows; a group of one node passes a level as it is
+_LEVELS = range(9)
+_UP = "\n".join(
+    f"""a{k} AS MATERIALIZED (SELECT g, p // 8 AS p, count(*) OVER (PARTITION BY g) AS n, sha256(string_agg(h, '' ORDER BY p)) AS up, min(h) AS own, max(n) AS was FROM l{k} GROUP BY g, p // 8),
+l{k + 1} AS MATERIALIZED (SELECT g, p, n, CASE WHEN was = 1 THEN own ELSE up END AS h FROM a{k}),"""
+    for k in _LEVELS
+)
+_LEAVES = f"""leaves AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, {_LEAF('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC32} % 3 = 0 THEN {_LEAF(_ASCII_LOWER.format('text'))} END AS low FROM documents),
+rows AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+langs AS MATERIALIZED (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) AS g FROM (SELECT DISTINCT lang FROM leaves)),
+l0 AS MATERIALIZED (SELECT g, p, n, leaf AS h FROM rows JOIN langs ON langs.lang IS NOT DISTINCT FROM rows.lang),"""
+
+
+def _fold_sql(levels: str, last: int, proof: str, node: str, top: str) -> str:
+    """Steps that fold (r, g, p, proof, node) over ``levels``0 to ``last``."""
+    return "\n".join(
+        f"""{top}{k + 1} AS MATERIALIZED (SELECT s.r, s.g, s.p // 8 AS p, s.{proof} || CASE WHEN max(x.n) = 1 THEN '' ELSE coalesce(string_agg(x.h, '' ORDER BY x.p) FILTER (x.p <> s.p), '') END AS {proof},
+CASE WHEN max(x.n) = 1 THEN s.{node} ELSE sha256(string_agg(CASE WHEN x.p = s.p THEN s.{node} ELSE x.h END, '' ORDER BY x.p)) END AS {node} FROM {top}{k} s JOIN {levels}{k} x ON x.g = s.g AND x.p // 8 = s.p // 8 GROUP BY s.r, s.g, s.p, s.{proof}, s.{node}),"""
+        for k in range(last)
+    )
+
+
+_TOP_LEVELS = range(3)
+_TOP = "\n".join(
+    f"""b{k} AS MATERIALIZED (SELECT 0 AS g, p // 8 AS p, count(*) OVER () AS n, sha256(string_agg(h, '' ORDER BY p)) AS up, min(h) AS own, max(n) AS was FROM t{k} GROUP BY p // 8),
+t{k + 1} AS MATERIALIZED (SELECT g, p, n, CASE WHEN was = 1 THEN own ELSE up END AS h FROM b{k}),"""
+    for k in _TOP_LEVELS
+)
+OP12_SQL = f"""WITH {_LEAVES}
+{_UP}
+t0 AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n, h, g AS lang_g FROM l{len(_LEVELS)}),
+{_TOP}
+f0 AS (SELECT r, g, p, '' AS proof, coalesce(low, leaf) AS node FROM rows JOIN langs ON langs.lang IS NOT DISTINCT FROM rows.lang),
+{_fold_sql('l', len(_LEVELS), 'proof', 'node', 'f')}
+s0 AS (SELECT f.r, 0 AS g, t0.p, proof, node FROM f{len(_LEVELS)} f JOIN t0 ON t0.lang_g = f.g),
+{_fold_sql('t', len(_TOP_LEVELS), 'proof', 'node', 's')}
+subroots AS (SELECT lang, h AS subroot FROM l{len(_LEVELS)} l JOIN langs ON langs.g = l.g), top AS (SELECT h AS root FROM t{len(_TOP_LEVELS)})
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified FROM rows JOIN s{len(_TOP_LEVELS)} s ON s.r = rows.r JOIN subroots ON subroots.lang IS NOT DISTINCT FROM rows.lang CROSS JOIN top"""
+
+
+@query("op12_merkle", OP12_SQL)
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(table(spark, folder, "documents")))
+
+
+_ROUND = """a{t} AS MATERIALIZED (SELECT r, x, d, c FROM (SELECT v.r, v.x, m.c, list_sum(list_transform(list_zip(v.x, m.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d, row_number() OVER (PARTITION BY v.r ORDER BY d, m.c) AS place FROM v CROSS JOIN m{t} m) WHERE place = 1),
+s{t} AS (SELECT c, list(s ORDER BY i) AS x FROM (SELECT c, i, floor_div(sum(x[i]), count(*)) AS s FROM (SELECT c, x, unnest(range(1, 65)) AS i FROM a{t}) GROUP BY c, i) GROUP BY c),
+m{u} AS MATERIALIZED (SELECT m.c, coalesce(s.x, m.x) AS x FROM m{t} m LEFT JOIN s{t} s ON s.c = m.c),
+"""
+_FLOOR = "CAST((sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+OP13_SQL = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY k NULLS LAST, x) - 1 AS c, x FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS k, x FROM v ORDER BY k NULLS LAST, x LIMIT 8)),
+{"".join(_ROUND.format(t=t, u=t + 1) for t in range(centroids.ROUNDS)).replace("floor_div(sum(x[i]), count(*))", _FLOOR)}
+{_ROUND.format(t=centroids.ROUNDS, u=centroids.ROUNDS + 1).split("s10 AS")[0]}
+inertias AS (SELECT c, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a{centroids.ROUNDS} GROUP BY c)
+SELECT vec_id, CAST(a.c AS INT) AS cluster, d AS distance, cluster_inertia, CAST((SELECT sum(d) FROM a{centroids.ROUNDS}) AS BIGINT) AS inertia, sha256(array_to_string(m.x, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} a JOIN v ON v.r = a.r JOIN m{centroids.ROUNDS} m ON m.c = a.c JOIN inertias ON inertias.c = a.c"""
+
+
+@query("op13_centroids", OP13_SQL)
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clusters(table(spark, folder, "embeddings"))
