@@ -1,9 +1,10 @@
 """Secret scans in DataFrame functions only: fixed patterns, and windows of high Shannon entropy over candidate strings.
 
-A candidate is a long run of token characters that mixes letters and digits. A window slides over it; the counts of
-its characters and the sum of c*log2(c) are updated by the character that comes in and the one that goes out. A
-candidate whose highest window entropy reaches the bound of its character class is a span of kind ``entropy`` unless
-the allow-list names its form.
+A candidate is a run of letters and digits between separators, or a block of such runs joined by the signs that base64
+uses, if the runs look random. A window slides over it; the counts of its characters and the sum of c*log2(c) are
+updated by the character that comes in and the one that goes out. A candidate whose highest window entropy reaches
+the bound of its character class is a span of kind ``entropy`` unless the allow-list names its form. Gates, classes and
+allow-list look at the candidate alone, so a path or a placeholder beside a key neither hides nor joins it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from florilege.functions.text import let
 from florilege.llm.common import packed
 
 #: The base patterns, in the order of their kinds.
@@ -20,20 +22,25 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 #: Greedy runs are maximal, so 32 or more from the start of a run are the runs of 32 or more.
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Letters and digits between separators; runs joined by base64 signs.
+PART = r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}"
+JOINED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9]{0,64}[+/_-])[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits a character by class: digits with a-f or A-F; with lower or upper case letters only; with both.
 BOUNDS = {"hex": 3.0, "single": 3.4, "mixed": 3.7}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Forms that are no secrets: UUIDs, dates and times, plain paths and slugs of words, spelt-out examples, one repeated unit.
+#: Parts that are no secrets: those that name themselves an example at an end (blocks too), ascending digits, crossed-out
+#: ones, one repeated unit, words in camel case.
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]?[0-9-]*$",
-    r"^[/_=+-]*(?:[A-Za-z]+|[0-9]+)(?:[/_=+-]+(?:[A-Za-z]+|[0-9]+))*[/_=+-]*$",
-    r"(?i)example|placeholder|your[_-]|changeme|xxxx|1234567890",
+    r"(?i)^(?:example|placeholder|changeme|your|dummy|sample)|(?:example|placeholder|changeme)(?:key)?[0-9]{0,4}$",
+    r"^[A-Za-z]{0,12}(?:0?1234567890?){1,8}[A-Za-z]{0,12}$",
+    r"(?i)^[a-z0-9]{0,12}x{8,}[a-z0-9]{0,4}$",
     r"^(.{1,6}?)\1+$",
+    r"^[a-z]*(?:(?:[A-Z][a-z]?)?[A-Z][a-z]{2,}|[A-Z]{2,5}(?=[A-Z][a-z]))+[A-Z]{0,5}[0-9]{0,4}$",
 )
+#: A run of a block that is a word, maybe with a number behind it, or a number; such a run is not random.
+WORD = r"^(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+)$"
 
 
 def _found(text: Column, pattern: str, kind: int, length: Callable[[Column], Column] | None = None) -> Column:
@@ -59,52 +66,82 @@ def _log(c: Column) -> Column:
 
 
 def top_entropy(text: Column, window: int = WINDOW) -> Column:
-    """Highest Shannon entropy of any window of ``text`` in bits a character, by incremental counts."""
-    codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    """Highest Shannon entropy of any window of ``text`` in bits a character, by incremental counts.
+
+    One step costs the same whatever the length: the codes of the characters are made once, and of the counts only
+    those of the two characters that come and go are replaced.
+    """
     zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
-    def step(acc: Column, i: Column) -> Column:
-        new, old = F.get(codes, i), F.get(codes, i - window)
-        out, same = i >= window, (i >= window) & (F.get(codes, i) == F.get(codes, i - window))
+    def changed(counts: Column, k: Column, by: int) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), k), F.array(F.get(counts, k) + by), F.slice(counts, k + 2, F.lit(len(ALPHABET) + 1)))
+
+    def swapped(acc: Column, new: Column, old: Column) -> Column:
+        """The state after ``new`` came and ``old`` (null while the window fills) went."""
         came, went = F.get(acc["n"], new), F.get(acc["n"], old)
-        total = acc["sum"] + F.when(same, 0.0).otherwise(_log(came + 1) - _log(came) + F.when(out, _log(went - 1) - _log(went)).otherwise(0.0))
-        counts = F.transform(acc["n"], lambda c, k: c + F.when(k == new, 1).otherwise(0) - F.when(out & (k == old), 1).otherwise(0))
-        best = F.when(i >= window - 1, F.greatest(acc["best"], F.log2(F.lit(float(window))) - total / window)).otherwise(acc["best"])
+        total = acc["sum"] + _log(came + 1) - _log(came) + F.coalesce(_log(went - 1) - _log(went), F.lit(0.0))
+        more = changed(acc["n"], new, 1)
+        counts = F.when(old.isNull(), more).otherwise(let(more, lambda n: changed(n, old, -1)))
+        best = F.greatest(acc["best"], F.log2(F.lit(float(window))) - total / window)
         return F.struct(counts.alias("n"), total.alias("sum"), best.alias("best"))
 
-    return F.when(F.length(text) >= window, F.aggregate(F.sequence(F.lit(0), F.length(text) - 1), zero, step, lambda acc: acc["best"])).otherwise(0.0)
+    def best_of(codes: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            new, old = F.get(codes, i), F.get(codes, F.when(i >= window, i - window))
+            after = swapped(acc, new, old)
+            # while the window fills its entropy is not yet that of a whole window
+            full = F.when(i >= window - 1, after).otherwise(F.struct(after["n"].alias("n"), after["sum"].alias("sum"), acc["best"].alias("best")))
+            return F.when((i >= window) & (new == old), acc).otherwise(full)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda acc: acc["best"])
+
+    codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return F.when(F.length(text) >= window, let(codes, best_of)).otherwise(0.0)
+
+
+def _classes(value: Column) -> tuple[Column, Column, Column]:
+    return value.rlike("[a-z]"), value.rlike("[A-Z]"), value.rlike("[0-9]")
+
+
+def _secret_part(value: Column) -> Column:
+    """Whether a run of letters and digits is not allow-listed and reaches the bound of its class.
+
+    Where the letters have one case, an eighth of the run must be digits, since long words reach the bound as well.
+    """
+    listed = F.lit(False)
+    for form in ALLOWED:
+        listed = listed | value.rlike(form)
+    lower, upper, digit = _classes(value)
+    both = lower & upper
+    bound = F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), BOUNDS["hex"]).when(both, BOUNDS["mixed"]).otherwise(BOUNDS["single"])
+    gate = both | ((lower | upper) & digit & (F.length(F.regexp_replace(value, "[^0-9]", "")) >= F.length(value) / 8))
+    return F.when(gate & ~listed, top_entropy(value) >= bound).otherwise(False)
 
 
-def _secret(value: Column) -> Column:
-    """Whether a candidate string mixes letters and digits, is not allow-listed and reaches the bound of its class."""
-    allowed = [value.rlike(p) for p in ALLOWED]
-    listed = allowed[0] | allowed[1] | allowed[2] | allowed[3] | allowed[4]
-    core = F.regexp_replace(value, r"[+/_=-]", "")
-    lower, upper = value.rlike("[a-z]"), value.rlike("[A-Z]")
-    bound = (
-        F.when(core.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), BOUNDS["hex"])
-        .when(lower & upper, BOUNDS["mixed"])
-        .otherwise(BOUNDS["single"])
-    )
-    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    few = F.when(lower & upper, 2).otherwise(F.length(value) / 8)
-    return F.when((lower | upper) & (digits >= few) & ~listed, top_entropy(value) >= bound).otherwise(False)
+def _secret_block(value: Column) -> Column:
+    """Whether joined runs are one random string: all three classes, no run of five or more characters a word or a number."""
+    lower, upper, digit = _classes(value)
+    runs = F.filter(F.split(value, "[+/_-]"), lambda p: F.length(p) >= 5)
+    random = (F.size(runs) > 0) & ~F.exists(runs, lambda p: p.rlike(WORD))
+    return F.when(lower & upper & digit & random & ~value.rlike(ALLOWED[0]), top_entropy(value) >= BOUNDS["mixed"]).otherwise(False)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Every row with ``spans`` added: array<struct<s:int,k:int,e:int>>, sorted; code points, end exclusive.
 
-    k is the place in KINDS. Spans of patterns come first in right; an entropy span inside one of them is not repeated.
+    k is the place in KINDS. Spans of patterns come first in right; an entropy span inside one of them is not repeated, nor
+    a run inside a block that is one span.
     Null texts count as empty. A column of the name ``spans`` is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(_found(text, ASSIGN, 0, lambda t: F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))), lambda x: F.length(x["v"]) >= 8)
     base = F.concat(assign, _found(text, ACCESS, 1), _found(text, HEX, 2))
-    found = docs.withColumns({"_base": base, "_more": _found(text, CANDIDATE, 3)})
-    inside = lambda x: F.exists("_base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"]))
-    more = F.filter("_more", lambda x: ~inside(x) & _secret(x["v"]))
+    found = docs.withColumns({"_base": base, "_more": _found(text, PART, 3), "_joined": _found(text, JOINED, 3)})
+    inside = lambda x, spans: F.exists(spans, lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"]))
+    found = found.withColumn("_base", F.concat("_base", F.filter("_joined", lambda x: ~inside(x, F.col("_base")) & _secret_block(x["v"]))))
+    more = F.filter("_more", lambda x: ~inside(x, F.col("_base")) & _secret_part(x["v"]))
     bare = F.transform(F.concat("_base", more), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    return found.withColumn("spans", F.when((F.size("_base") + F.size("_more")) > 0, F.array_sort(bare)).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))).drop("_base", "_more")
+    return found.withColumn("spans", F.when((F.size("_base") + F.size("_more")) > 0, F.array_sort(bare)).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))).drop("_base", "_more", "_joined")
 
 
 def spelt(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:

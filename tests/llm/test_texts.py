@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -148,6 +149,76 @@ def test_secrets(spark, odd):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x[0] for x in base) for k in ("assign", "access", "hex")]
 
 
+def plain_candidate(text):
+    """Entropy spans of a text without base spans, by the rule in plain Python."""
+    classes = lambda v: [bool(re.search(c, v)) for c in ("[a-z]", "[A-Z]", "[0-9]")]
+    spans = []
+    for m in re.finditer(secrets.JOINED, text):
+        runs = [p for p in re.split("[+/_-]", m[0]) if len(p) >= 5]
+        if all(classes(m[0])) and runs and not re.search(secrets.ALLOWED[0], m[0]) and not any(re.search(secrets.WORD, p) for p in runs) and plain_entropy(m[0]) >= 3.7:
+            spans.append(m.span())
+    for m in re.finditer(secrets.PART, text):
+        v, (lower, upper, digit) = m[0], classes(m[0])
+        gate = (lower and upper) or ((lower or upper) and digit and len(re.sub("[^0-9]", "", v)) >= len(v) / 8)
+        bound = 3.0 if re.search("^(?:[0-9a-f]+|[0-9A-F]+)$", v) else 3.7 if lower and upper else 3.4
+        if gate and not any(re.search(a, v) for a in secrets.ALLOWED) and plain_entropy(v) >= bound and not any(s <= m.start() and m.end() <= e for s, e in spans):
+            spans.append(m.span())
+    return ",".join(f"entropy:{s}:{e}" for s, e in sorted(spans))
+
+
+def test_which_candidates_are_secrets(spark):
+    """Keys beside paths and placeholders are found, and only they; against the rule in plain Python."""
+    key = "Ab3dE5fG7hJ9kL2mN4pQ6rS8"
+    known = {
+        f"docs/example/keys/{key}": "entropy:18:42",
+        "kZqTnLmWpXcVbRtYuHgFdSjA": "entropy:0:24",
+        f"see some/very/long/lower/case/path/of/words/{key} here": "entropy:44:68",
+        "home/of/some/very/long/path/k3j9x8q2m7z4w1v6b5n0": "entropy:28:48",
+        "exampleKeyForTheDocumentation1": "",
+        "aVeryLongIdentifierInCamelCaseHTTPServer": "",
+        "EXAMPLE_xxxxxxxxxxxxxxxxxxxxxxxx abcdef01234567890123456789": "",
+        "f81d4fae-7dec-11d0-a765-00a0c91e6bf6 2024-01-02T10-20-30-40 the-quick-brown-fox-jumps-2024": "",
+        "wJalr/UtnFE7MI+K7Dbx5g/PxRfi2CY/Ek4q": "entropy:0:36",
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": "",
+        "https://example.org/Some/Path/Of/Pages2024/And/More": "",
+    }
+    rng = np.random.default_rng(12)
+    signs = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    texts = list(known)
+    for _ in range(300):
+        sub = signs[: rng.choice([16, 26, 52, 62])] if rng.random() < 0.7 else signs[36:]
+        pieces = ["".join(rng.choice(sub, rng.integers(3, 45))) for _ in range(rng.integers(1, 5))]
+        texts.append("".join(p + str(rng.choice(["/", "-", "_", " ", "+", "=", ""])) for p in pieces))
+    texts = [t for t in texts if not plain_spans(t)]
+    rows = secrets.scan(spark.createDataFrame([(t,) for t in texts], "text string")).select("text", secrets.spelt(F.col("spans")).alias("s")).collect()
+    assert {r.text: r.s for r in rows} == {t: plain_candidate(t) for t in texts}
+    assert {r.text: r.s for r in rows if r.text in known} == known
+    found = secrets.without_secrets(spark.createDataFrame([(f"docs/example/keys/{key}",)], "text string")).first().text
+    assert found == "docs/example/keys/[secret]"
+
+
+def test_random_keys_are_found(spark):
+    rng = np.random.default_rng(13)
+    signs = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    texts = [f"a/path/of/words/{''.join(rng.choice(signs, 24))} and more" for _ in range(400)]
+    spans = secrets.scan(spark.createDataFrame([(t,) for t in texts], "text string")).select(secrets.spelt(F.col("spans")).alias("s")).collect()
+    assert np.mean([r.s == "entropy:16:40" for r in spans]) >= 0.99
+
+
+def test_long_candidates_take_linear_time(spark):
+    rng = np.random.default_rng(14)
+    signs = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    text = "".join(rng.choice(signs, 100_000))
+    took = []
+    for t in (text[:100], text[:100], text):
+        df = spark.createDataFrame([(t,)], "text string").coalesce(1)
+        start = time.time()
+        assert [r.s for r in secrets.scan(df).select(secrets.spelt(F.col("spans")).alias("s")).collect()] == [f"entropy:0:{len(t)}"]
+        took.append(time.time() - start)
+    # what the session itself needs is in both
+    assert took[2] - took[1] < 2
+
+
 def test_window_entropy(spark):
     texts = ["abc", "a" * 30, "AbCdEf0123456789+/xyzQWE", "0123456789abcdef" * 4, "aZ9" * 11]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
