@@ -9,6 +9,7 @@ allow-list look at the candidate alone, so a path or a placeholder beside a key
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -61,39 +62,31 @@ def _found(text: Column, pattern: str, kind: int, length: Callable[[Column], Col
     return F.when(text.rlike(pattern), F.aggregate(rows, start, add, lambda acc: acc["out"])).otherwise(start["out"])
 
 
-def _log(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(0.0)
-
-
 def top_entropy(text: Column, window: int = WINDOW) -> Column:
     """Highest Shannon entropy of any window of ``text`` in bits a character, by incremental counts.
 
-    One step costs the same whatever the length: the codes of the characters are made once, and of the counts only
-    those of the two characters that come and go are replaced.
+    With the sum of c*log2(c) over the counts c of a window its entropy is log2(window) - sum / window. One step costs the
+    same whatever the length: the codes of the characters are made once, of the counts only those of the two
+    characters that come and go are replaced, and what a count adds to the sum is read from a list.
     """
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    gains = [(c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0) for c in range(window + 1)]
+    gain = F.array(*[F.lit(g) for g in gains])
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("low"))
 
     def changed(counts: Column, k: Column, by: int) -> Column:
         return F.concat(F.slice(counts, F.lit(1), k), F.array(F.get(counts, k) + by), F.slice(counts, k + 2, F.lit(len(ALPHABET) + 1)))
 
-    def swapped(acc: Column, new: Column, old: Column) -> Column:
-        """The state after ``new`` came and ``old`` (null while the window fills) went."""
-        came, went = F.get(acc["n"], new), F.get(acc["n"], old)
-        total = acc["sum"] + _log(came + 1) - _log(came) + F.coalesce(_log(went - 1) - _log(went), F.lit(0.0))
-        more = changed(acc["n"], new, 1)
-        counts = F.when(old.isNull(), more).otherwise(let(more, lambda n: changed(n, old, -1)))
-        best = F.greatest(acc["best"], F.log2(F.lit(float(window))) - total / window)
-        return F.struct(counts.alias("n"), total.alias("sum"), best.alias("best"))
-
     def best_of(codes: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            new, old = F.get(codes, i), F.get(codes, F.when(i >= window, i - window))
-            after = swapped(acc, new, old)
-            # while the window fills its entropy is not yet that of a whole window
-            full = F.when(i >= window - 1, after).otherwise(F.struct(after["n"].alias("n"), after["sum"].alias("sum"), acc["best"].alias("best")))
-            return F.when((i >= window) & (new == old), acc).otherwise(full)
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda acc: acc["best"])
+            new, old = F.get(codes, i), F.get(codes, i - window)
+            came = acc["sum"] + F.get(gain, F.get(acc["n"], new))
+            swapped = came - F.get(gain, F.get(acc["n"], old) - 1)
+            filling = F.struct(changed(acc["n"], new, 1).alias("n"), came.alias("sum"), F.when(i == window - 1, came).otherwise(acc["low"]).alias("low"))
+            counts = let(changed(acc["n"], old, -1), lambda n: changed(n, new, 1))
+            sliding = F.struct(counts.alias("n"), swapped.alias("sum"), F.least(acc["low"], swapped).alias("low"))
+            return F.when(i < window, filling).when(new == old, acc).otherwise(sliding)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), zero, step, lambda acc: F.log2(F.lit(float(window))) - acc["low"] / window)
 
     codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     return F.when(F.length(text) >= window, let(codes, best_of)).otherwise(0.0)
