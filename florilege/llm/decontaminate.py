@@ -6,9 +6,8 @@ benchmark; an item is found where enough of its windows are there and its slots
 value of the item has one value in the document. So an item with other numbers or names is found as well. A slot is read
 at the shift of a found window that covers it, so words put in or left out within a passage do not misplace its slots.
 
-A second route asks for the words themselves, for items or passages that placeholders crowd out: windows of five words
-(shorter items whole). It needs no slots. Where an item has template windows, the words must have their case as well,
-since a copy in another case is by rule not that template; items without any are met in lower case.
+A second, exact route asks for the lower-cased words themselves: windows of five words, shorter items whole. It needs no
+slots and finds copies in any case, and passages that placeholders crowd out.
 """
 
 from __future__ import annotations
@@ -54,10 +53,11 @@ def _kinds(raw: Column) -> tuple[Callable[[Column, Column], Column], ...]:
     return number, unit, name
 
 
-def template(raw: Column) -> Column:
-    """For each word 1, 2 or 3 for a number, unit or name, else a hash of its lower case."""
+def template(raw: Column, low: Column | None = None) -> Column:
+    """For each word 1, 2 or 3 for a number, unit or name, else a hash of its lower case, as ``low`` may have them already."""
     number, unit, name = _kinds(raw)
-    return F.transform(raw, lambda w, i: F.when(number(w, i), 1).when(unit(w, i), 2).when(name(w, i), 3).otherwise(F.xxhash64(F.lower(w))))
+    told = lambda w, i: F.xxhash64(F.lower(w)) if low is None else F.get(low, i)
+    return F.transform(raw, lambda w, i: F.when(number(w, i), 1).when(unit(w, i), 2).when(name(w, i), 3).otherwise(told(w, i)))
 
 
 def windows(rows: DataFrame, key: str, widths: Sequence[int], literals: int = 0) -> DataFrame:
@@ -85,18 +85,20 @@ def windows(rows: DataFrame, key: str, widths: Sequence[int], literals: int = 0)
         return F.transform(every, lambda h, i: F.when(told(i) >= literals, h))
 
     def entries(raw: Column) -> Column:
-        """(kind, place, hash) of every window of one text."""
-        def told(kind: int, found: Column) -> Column:
-            return F.transform(found, lambda x, i: F.struct(F.lit(kind).alias("_kind"), i.alias("_at"), x.alias("_window")))
+        """Template windows of one text, then its runs of each width, and where each of these lists starts."""
 
-        low = F.transform(raw, lambda w: F.xxhash64(F.lower(w)))
-        exact = let(low, lambda t: F.concat(*[told(w, runs(t, w)) for w in widths]))
-        return F.concat(told(0, let(template(raw), hashes)), exact)
+        def lists(low: Column) -> Column:
+            both = lambda t: F.array(hashes(t), *[runs(low, w) for w in widths])
+            return let(template(raw, low), both)
+
+        return let(F.transform(raw, lambda w: F.xxhash64(F.lower(w))), lists)
 
     # hashes are made before the rows are multiplied: an exploded row would carry all words of its text; and
     # an inner explode would add a filter that computes them a second time
+    kinds = F.array(F.lit(0), *[F.lit(w) for w in widths])
     hashed = rows.select(key, let(words(F.col("text")), entries).alias("_h"))
-    return hashed.select(key, F.explode_outer("_h").alias("_e")).select(key, "_e.*").where("_window IS NOT NULL")
+    each = hashed.select(key, F.posexplode_outer("_h").alias("_list", "_hashes"))
+    return each.select(key, F.get(kinds, F.col("_list")).alias("_kind"), F.posexplode_outer("_hashes").alias("_at", "_window")).where("_window IS NOT NULL")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -112,8 +114,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL").dropDuplicates()
     sized = items.withColumn("_n", F.least(F.size(words(F.col("text"))), F.lit(WINDOW))).where("_n > 0")
     widths = sorted(r._n for r in sized.select("_n").distinct().collect()) or [WINDOW]
-    own = windows(items, "item_id", widths, LITERALS).join(sized.select("item_id", "_n").distinct(), "item_id")
-    asked = cut_lineage(own.where((F.col("_kind") == 0) | (F.col("_kind") == F.col("_n"))).select("item_id", "_kind", "_window", F.col("_at").alias("_i")))
+    # an item may have several texts: each is asked for at its own width
+    own = windows(sized.select(F.struct("item_id", "_n").alias("_item"), "text"), "_item", widths, LITERALS)
+    mine = own.where((F.col("_kind") == 0) | (F.col("_kind") == F.col("_item._n")))
+    asked = cut_lineage(mine.select("_item.item_id", "_kind", "_window", F.col("_at").alias("_i")).distinct())
     sizes = asked.groupBy("item_id", "_kind").agg(F.countDistinct("_window").alias("windows"))
     few = asked.count() <= BROADCAST_WINDOWS
     seen = windows(texts, "doc_id", widths).join(F.broadcast(asked) if few else asked, ["_kind", "_window"])
@@ -130,27 +134,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     few = likely.count() <= BROADCAST_WINDOWS
     filled = cut_lineage(consistent(likely, once.where("_kind = 0").join(F.broadcast(likely) if few else likely, ["doc_id", "item_id"]), texts, items, few))
     exact = enough.where("_kind > 0").join(filled.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
-    return filled.unionByName(verbatim(cut_lineage(exact), once, sizes.where("_kind = 0").select("item_id"), texts, items, share))
+    return filled.unionByName(verbatim(exact, items))
 
 
-def verbatim(exact: DataFrame, once: DataFrame, templated: DataFrame, texts: DataFrame, items: DataFrame, share: float) -> DataFrame:
-    """The pairs ``exact`` (found in lower case) of items without template windows, and of others those found in their own case."""
-    spelt = items.select("item_id", words(F.col("text")).alias("_w")).select("item_id", "_w", let(F.col("_w"), template).alias("_t"))
+def verbatim(exact: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs ``exact`` (found by their words) with the placeholder values of their items, none of them changed."""
+    spelt = items.select("item_id", words(F.col("text")).alias("_w")).select("item_id", "_w", let(F.col("_w"), lambda w: template(w)).alias("_t"))
     values = F.array_distinct(F.filter("_w", lambda w, i: F.get("_t", i).between(1, 3)))
     slots = spelt.select("item_id", F.explode_outer(values).alias("_v")).groupBy("item_id").agg(F.countDistinct("_v").cast("int").alias("slots"))
-    bare = exact.join(templated, "item_id", "left_anti").select("doc_id", "item_id", "windows", "found")
-    cased = exact.join(templated, "item_id", "left_semi")
-    few = cased.count() <= BROADCAST_WINDOWS
-    places = once.join(F.broadcast(cased) if few else cased, ["doc_id", "item_id", "_kind"]).select("doc_id", "item_id", "windows", "_kind", F.explode("_is").alias("_i"), "_shift")
-    runs = places.groupBy("doc_id", "item_id", "windows", "_kind").agg(F.collect_list(F.struct(F.col("_i").cast("int").alias("i"), F.col("_shift").cast("int").alias("by"))).alias("_runs"))
-    ids = cased.select("doc_id").distinct()
-    own = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("_d"))
-    both = runs.join(spelt, "item_id").join(own, "doc_id")
-    piece = lambda name, at: F.slice(name, F.greatest(at, F.lit(0)) + 1, F.col("_kind"))
-    same = F.filter("_runs", lambda r: piece("_w", r["i"]) == piece("_d", r["i"] + r["by"]))
-    told = both.select("doc_id", "item_id", "windows", F.explode(F.transform(same, lambda r: F.xxhash64(F.transform(piece("_w", r["i"]), lambda w: F.lower(w))))).alias("_window"))
-    kept = told.groupBy("doc_id", "item_id", "windows").agg(F.countDistinct("_window").alias("found")).where(F.col("found") >= share * F.col("windows"))
-    rows = bare.unionByName(kept).groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("found").alias("found"))
+    # an item with texts of several lengths may be found at more than one width
+    rows = exact.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("found").alias("found"))
     return rows.join(slots, "item_id").select("doc_id", "item_id", "windows", "found", "slots", F.lit(0).alias("changed"))
 
 
@@ -166,8 +159,8 @@ def consistent(likely: DataFrame, places: DataFrame, texts: DataFrame, items: Da
     ids = likely.select("doc_id").distinct()
     if few:  # a few ids: the texts need no shuffle to be picked out
         ids = F.broadcast(ids)
-    own = texts.join(ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("_d")).select("doc_id", "_d", let(F.col("_d"), template).alias("_dt"))
-    asked = items.select("item_id", words(F.col("text")).alias("_w")).select("item_id", "_w", let(F.col("_w"), template).alias("_t"))
+    own = texts.join(ids, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("_d")).select("doc_id", "_d", let(F.col("_d"), lambda w: template(w)).alias("_dt"))
+    asked = items.select("item_id", words(F.col("text")).alias("_w")).select("item_id", "_w", let(F.col("_w"), lambda w: template(w)).alias("_t"))
     aligned = each.groupBy("doc_id", "item_id", "windows", "found", F.col("_best").cast("int").alias("_best")).agg(runs.alias("_runs"))
     both = aligned.join(asked, "item_id").join(own, "doc_id")
 
@@ -191,11 +184,15 @@ def consistent(likely: DataFrame, places: DataFrame, texts: DataFrame, items: Da
     values = F.size(F.array_distinct(F.col("_p.item")))
     rows = valued.select("doc_id", "item_id", "windows", "found", values.alias("slots"), F.size(F.filter("_p", lambda p: p["item"] != p["doc"])).alias("changed"), (F.size("_p") - values).alias("_odd"))
     # a few slots may differ where a passage was cut or a sentence broken off
-    good = rows.where(F.col("_odd") <= (1 - SHARE) * F.col("slots"))
+    good = rows.where(F.col("_odd") <= round(1 - SHARE, 6) * F.col("slots"))
     return good.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("windows", "found", "slots")], F.min("changed").alias("changed"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with their own columns; those without an id stay."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return packed(docs, "doc_id").join(bad, F.col("doc_id") == F.col("_leak"), "left_anti").select("_row.*")
+    """The documents that hold no benchmark item, with their own columns.
+
+    Each row is judged by its own text, so rows without an id are judged as well and rows that share one apart.
+    """
+    rows = packed(docs, "text").withColumn("_print", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    bad = leaks(rows.select(F.col("_print").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    return rows.join(bad, F.col("_print") == F.col("_leak"), "left_anti").select("_row.*")

@@ -34,16 +34,28 @@ def op1_forest(spark: SparkSession, folder: str) -> DataFrame:
 _UNITS = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
 _TEMPLATE = f"""list_transform(w, lambda x, i: CASE WHEN x BETWEEN '0' AND '9~' THEN '<1>' WHEN i > 1 AND w[i - 1] BETWEEN '0' AND '9~' AND lower(x) IN ({_UNITS}) THEN '<2>'
 WHEN (x < 'a' OR x >= chr(128)) AND length(x) > 1 AND x <> lower(x) AND substr(x, 2) = substr(lower(x), 2) THEN '<3>' ELSE lower(x) END)"""
-OP2_SQL = rf"""WITH d AS MATERIALIZED (SELECT doc_id, w, {_TEMPLATE} AS t FROM (SELECT doc_id, regexp_extract_all(text, '{decontaminate.TOKEN}') AS w FROM documents WHERE doc_id IS NOT NULL)),
-b AS MATERIALIZED (SELECT item_id, w, {_TEMPLATE} AS t FROM (SELECT DISTINCT item_id, regexp_extract_all(text, '{decontaminate.TOKEN}') AS w FROM benchmark WHERE item_id IS NOT NULL)),
-asked AS MATERIALIZED (SELECT item_id, i, k FROM (SELECT item_id, i, array_to_string(t[i:i + 4], ' ') AS k, len(list_filter(t[i:i + 4], lambda x: NOT starts_with(x, '<'))) AS n FROM (SELECT item_id, t, unnest(range(1, len(t) - 3)) AS i FROM b)) WHERE n >= {decontaminate.LITERALS}),
-seen AS (SELECT doc_id, i, array_to_string(t[i:i + 4], ' ') AS k FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3)) AS i FROM d)),
-once AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, seen.i - asked.i AS shift, seen.k FROM seen JOIN asked ON asked.k = seen.k),
-likely AS MATERIALIZED (SELECT f.doc_id, f.item_id, z.windows, f.found FROM (SELECT doc_id, item_id, count(DISTINCT k) AS found FROM once GROUP BY 1, 2) f JOIN (SELECT item_id, count(DISTINCT k) AS windows FROM asked GROUP BY 1) z ON z.item_id = f.item_id WHERE f.found >= {decontaminate.SHARE} * z.windows),
-best AS MATERIALIZED (SELECT doc_id, item_id, shift FROM once GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY count(*) DESC, shift) = 1),
-pairs AS (SELECT DISTINCT doc_id, item_id, iw[i] AS a, dw[i + shift] AS v FROM (SELECT l.doc_id, l.item_id, shift, b.w AS iw, b.t AS it, d.w AS dw, unnest(range(1, len(b.t) + 1)) AS i FROM likely l JOIN best ON best.doc_id = l.doc_id AND best.item_id = l.item_id JOIN b ON b.item_id = l.item_id JOIN d ON d.doc_id = l.doc_id)
-WHERE it[i] IN ('<1>', '<2>', '<3>') AND i + shift BETWEEN 1 AND len(dw)), n AS (SELECT doc_id, item_id, count(*) AS p, count(DISTINCT a) AS slots, count(*) FILTER (a <> v) AS changed FROM pairs GROUP BY 1, 2)
-SELECT l.doc_id, l.item_id, windows, found, CAST(coalesce(slots, 0) AS INT) AS slots, CAST(coalesce(changed, 0) AS INT) AS changed FROM likely l LEFT JOIN n ON n.doc_id = l.doc_id AND n.item_id = l.item_id WHERE coalesce(p - slots, 0) <= (1 - {decontaminate.SHARE}) * coalesce(slots, 0)"""
+_SAME = "t.it[{k}:{k} + 4] = t.dt[{k} + {by}:{k} + {by} + 4] AND {k} >= 1 AND {k} + {by} >= 1 AND len(t.it[{k}:{k} + 4]) = 5"
+OP2_SQL = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, w, {_TEMPLATE} AS t FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{decontaminate.TOKEN}') AS w FROM documents WHERE doc_id IS NOT NULL)),
+b AS MATERIALIZED (SELECT row_number() OVER () AS r, item_id, w, {_TEMPLATE} AS t, least(len(w), 5) AS n FROM (SELECT DISTINCT item_id, regexp_extract_all(coalesce(text, ''), '{decontaminate.TOKEN}') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+widths AS MATERIALIZED (SELECT DISTINCT n FROM b),
+asked AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT item_id, 0 AS kind, i, array_to_string(t[i:i + 4], ' ') AS k FROM (SELECT item_id, t, unnest(range(1, len(t) - 3)) AS i FROM b) WHERE len(list_filter(t[i:i + 4], lambda x: NOT starts_with(x, '<'))) >= {decontaminate.LITERALS}
+UNION ALL SELECT item_id, n AS kind, i, lower(array_to_string(w[i:i + n - 1], ' ')) AS k FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b))),
+seen AS (SELECT doc_id, 0 AS kind, i, array_to_string(t[i:i + 4], ' ') AS k FROM (SELECT doc_id, t, unnest(range(1, len(t) - 3)) AS i FROM d)
+UNION ALL SELECT doc_id, n AS kind, i, lower(array_to_string(w[i:i + n - 1], ' ')) AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN widths)),
+once AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, seen.kind, seen.i - asked.i AS shift, asked.i, seen.k FROM seen JOIN asked ON asked.kind = seen.kind AND asked.k = seen.k),
+enough AS MATERIALIZED (SELECT f.doc_id, f.item_id, f.kind, windows, found FROM (SELECT doc_id, item_id, kind, count(DISTINCT k) AS found FROM once GROUP BY 1, 2, 3) f JOIN (SELECT item_id, kind, count(DISTINCT k) AS windows FROM asked GROUP BY 1, 2) z ON z.item_id = f.item_id AND z.kind = f.kind WHERE found >= {decontaminate.SHARE} * windows),
+best AS (SELECT doc_id, item_id, shift AS best FROM once WHERE kind = 0 GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY count(DISTINCT k) DESC, shift) = 1),
+texts AS MATERIALIZED (SELECT row_number() OVER () AS c, e.doc_id, e.item_id, windows, found, best, b.w AS iw, b.t AS it, d.w AS dw, d.t AS dt FROM enough e JOIN best ON best.doc_id = e.doc_id AND best.item_id = e.item_id JOIN b ON b.item_id = e.item_id JOIN d ON d.doc_id = e.doc_id WHERE kind = 0),
+held AS MATERIALIZED (SELECT t.c, o.shift, o.i, abs(o.shift - t.best) AS away FROM texts t JOIN once o ON o.kind = 0 AND o.doc_id = t.doc_id AND o.item_id = t.item_id WHERE {_SAME.format(k='o.i', by='o.shift')}),
+slots AS MATERIALIZED (SELECT * FROM (SELECT *, unnest(range(1, len(it) + 1)) AS i FROM texts WHERE c IN (SELECT c FROM held)) WHERE it[i] IN ('<1>', '<2>', '<3>')),
+covered AS (SELECT s.c, s.i, h.shift AS via FROM slots s JOIN held h ON h.c = s.c AND h.i BETWEEN s.i - 4 AND s.i QUALIFY row_number() OVER (PARTITION BY s.c, s.i ORDER BY h.away, h.shift, h.i) = 1),
+beside AS (SELECT DISTINCT t.c, t.i FROM (SELECT *, unnest(range(greatest(i - 4, 1), i + 1)) AS k FROM slots) t WHERE {_SAME.format(k='t.k', by='t.best')}),
+placed AS (SELECT s.c, s.iw[s.i] AS a, s.dw[s.i + coalesce(covered.via, s.best)] AS v FROM slots s LEFT JOIN covered ON covered.c = s.c AND covered.i = s.i LEFT JOIN beside ON beside.c = s.c AND beside.i = s.i WHERE covered.c IS NOT NULL OR beside.c IS NOT NULL),
+judged AS (SELECT t.doc_id, t.item_id, t.windows, t.found, coalesce(n.slots, 0) AS slots, coalesce(n.changed, 0) AS changed FROM texts t LEFT JOIN (SELECT c, count(*) AS p, count(DISTINCT a) AS slots, count(*) FILTER (a IS DISTINCT FROM v) AS changed FROM (SELECT DISTINCT c, a, v FROM placed) GROUP BY c) n ON n.c = t.c WHERE t.c IN (SELECT c FROM held) AND coalesce(n.p - n.slots, 0) <= (1 - {decontaminate.SHARE}) * coalesce(n.slots, 0)),
+filled AS MATERIALIZED (SELECT doc_id, item_id, max(windows) AS windows, max(found) AS found, max(slots) AS slots, min(changed) AS changed FROM judged GROUP BY 1, 2),
+known AS (SELECT item_id, count(DISTINCT v) FILTER (x IN ('<1>', '<2>', '<3>')) AS slots FROM (SELECT item_id, unnest(w) AS v, unnest(t) AS x FROM b) GROUP BY item_id)
+SELECT doc_id, item_id, windows, found, CAST(slots AS INT) AS slots, CAST(changed AS INT) AS changed FROM filled
+UNION ALL SELECT e.doc_id, e.item_id, max(e.windows), max(e.found), CAST(any_value(known.slots) AS INT), 0 FROM enough e JOIN known ON known.item_id = e.item_id ANTI JOIN filled ON filled.doc_id = e.doc_id AND filled.item_id = e.item_id WHERE e.kind > 0 GROUP BY 1, 2"""
 
 
 @query("op2_decontamination", OP2_SQL)

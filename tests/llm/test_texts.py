@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -243,10 +244,10 @@ def test_decontamination(spark, odd):
     }
     docs = spark.createDataFrame([*texts.items(), (1, texts[1]), (None, ITEM)], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, benchmark).collect()}
-    assert set(got) == {(1, 1), (2, 1), (7, 1)}
+    assert set(got) == {(1, 1), (2, 1), (4, 1), (7, 1)}
     assert got[1, 1].changed == 0 and got[2, 1].changed == 6
     kept = decontaminate.clean_documents(docs.withColumn("_leak", F.lit("clash")), benchmark)
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 5, 6]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [3, 5, 6]
     assert decontaminate.leaks(odd, benchmark).count() == 0 and decontaminate.leaks(docs.limit(0), benchmark).count() == 0
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
@@ -279,7 +280,7 @@ def test_an_edited_word_does_not_misplace_slots(spark):
 
 
 def test_items_of_placeholders_are_found_by_their_words(spark):
-    """Items without template windows, in any case, and short ones whole; with few template windows, in their own case."""
+    """Items without template windows and short ones whole, in any case."""
     names = "Old Anna Met Peter Near Green Lake With Three Friends And 2 Dogs"
     sums = "12 + 13 * 7 = 103 and 5 * 4 = 20"
     mixed = "Anna Maria Peter Tom Clara Boris Igor Olga Ivan Lena walked out to 3 5 7 9 11 13"
@@ -292,6 +293,48 @@ def test_items_of_placeholders_are_found_by_their_words(spark):
     assert decontaminate.leaks(docs.where("doc_id <= 4"), benchmark).count() == 4
 
 
+def leak_rows(rng):
+    """(documents, benchmark) on which case, edits, repeats, short items and torn slots all decide something."""
+    items = [(1, ITEM), (2, STORY), (3, "gold medal winner"), (4, "Old Anna Met Peter Near Green Lake With Three Friends And 2 Dogs"), (5, "12 + 13 * 7 = 103 and 5 * 4 = 20"), (5, "12 + 13"), (6, None), (None, STORY), (7, ""), (1, ITEM), (8, "Peter rides 3 km to Rome and 3 km to Pisa while 5 men ride 7 km to Genoa")]
+    docs = []
+    for text in (ITEM, STORY, items[3][1], items[4][1], items[-1][1], "A Gold Medal winner"):
+        docs += [text, text.lower(), text.upper(), text.title(), f"before {text} after", " ".join([text] * 30)]
+        for _ in range(12):
+            w = text.split(" ")
+            for _ in range(rng.integers(1, 4)):
+                at, how = rng.integers(0, len(w)), rng.integers(0, 4)
+                w = w[:at] + ([] if how == 0 else ["Maria"] if how == 1 else ["77"] if how == 2 else ["only", w[at]]) + w[at + 1 :]
+            docs.append(" ".join(w))
+            docs.append(" ".join(w).replace("Natalia", "Clara").replace("Peter", "Tom").replace("3", "4"))
+    rows = [(i % 130, t) for i, t in enumerate(docs)] + [(None, STORY), (200, None), (201, "")]
+    return rows, items
+
+
+def test_copies_in_any_case_are_leaks(spark):
+    benchmark = spark.createDataFrame([(1, STORY)], "item_id long, text string")
+    texts = [f(STORY) for f in (str, str.lower, str.upper, str.title)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.leaks(docs, benchmark).collect()) == [0, 1, 2, 3]
+    assert decontaminate.clean_documents(docs, benchmark).count() == 0
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_leaks_against_their_sql(spark, monkeypatch, few):
+    """The SQL states the whole rule; with ``few`` as 0 nothing is broadcast."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", few)
+    docs, items = leak_rows(np.random.default_rng(21))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = con.execute(queries.ORACLES["op2_decontamination"])
+    names = [c[0] for c in want.description]
+    rows = sorted(tuple(r) for r in want.fetchall())
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == rows and len(rows) > 60
+
+
 def test_benchmark_passages_are_found(spark, docs):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     tokens = lambda t: re.findall(r"\w+", t.lower())
