@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.llm.common import fold
@@ -137,8 +137,10 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMPLE) -> Model:
     """Fit on a bounded number of documents for each non-null language outside the held-out fold, by hash of the id."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD)).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    few = ids.withColumn("_place", place).where(F.col("_place") <= per_language).orderBy("_place", "_lang").limit(most).select("_id", "_lang").distinct()
+    # the hash of an id as a share of its range, times the rows of its language, is about its place in the order of the hash
+    rows = ids.groupBy("_lang").agg(F.count("*").alias("_rows")).orderBy(F.desc("_rows"), "_lang").limit(most)
+    place = (F.xxhash64("_id") / F.lit(2.0**64) + 0.5) * F.col("_rows")
+    few = ids.join(F.broadcast(rows), "_lang").withColumn("_place", place).where(F.col("_place") <= per_language).orderBy("_place", "_lang").limit(most).select("_id", "_lang").distinct()
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "text").join(F.broadcast(few), ["_id", "_lang"])
     got = texts.orderBy(F.xxhash64("_id"), "_lang").limit(most).select("text", "_lang").collect()
     return fit([r.text for r in got], [r._lang for r in got])

@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 
 #: Most pages that the field is trained on, by hash of their id.
 SAMPLE = 120
+#: Most characters of a page that the fit reads; longer pages are extracted like all others.
+LONGEST = 60_000
+#: What a page must hold to teach.
+HAS_MAIN = r"(?i)<(?:article|main)[\s>]"
 BUCKETS = 1 << 12
 #: Tags that begin and end a block, tags whose content is no text, tags without content.
 BLOCK_TAGS = frozenset(
@@ -143,7 +147,7 @@ def hashed(key: tuple, names: Callable[..., Iterable[str]]) -> list[int]:
 
 
 def _of_tags(tags: tuple[str, ...], marks: frozenset[str], hidden: bool) -> list[str]:
-    return ["bias", *sorted({f"a:{t}" for t in tags if t in BLOCK_TAGS}), *sorted(f"m:{w}" for w in marks if len(w) <= 24), *(["hidden"] if hidden else [])]
+    return ["bias", *sorted({f"a:{t}" for t in tags if t in BLOCK_TAGS}), *sorted(f"m:{w}" for w in marks), *(["hidden"] if hidden else [])]
 
 
 def _of_shape(tag: str, size: int, link: int, end: str) -> list[str]:
@@ -170,8 +174,8 @@ def features(blocks: list[Block]) -> list[list[int]]:
     for i, b in enumerate(blocks):
         tag = next((t for t in reversed(b.tags) if t in BLOCK_TAGS), "")
         noise = len(b.text) < 200 and _NOISE.search(b.text) is not None
-        head = b.text[:100]
-        digits = min(3, sum(map(head.count, "0123456789")) // 5)
+        # digits in a hundred characters of the whole block
+        digits = min(3, 20 * sum(map(b.text.count, "0123456789")) // max(100, len(b.text)))
         place = f"from{i}" if i < 4 else f"to{n - 1 - i}" if n - 1 - i < 4 else "inside"
         out.append(
             hashed((b.tags, b.marks, b.hidden), _of_tags)
@@ -345,7 +349,7 @@ def train_on(pages: list[str], dresses: int = 3, seed: int = 5) -> Field:
         got = labelled(page)
         if got is None:
             continue
-        blocks, labels = got[0][:400], got[1][:400]
+        blocks, labels = got
         rows.append((features(blocks), labels))
         for _ in range(dresses):
             again, y = redressed(blocks, labels, rng)
@@ -353,11 +357,13 @@ def train_on(pages: list[str], dresses: int = 3, seed: int = 5) -> Field:
     return fit(rows)
 
 
-def train(pages: DataFrame, most: int = SAMPLE) -> Field:
-    """Fit on at most ``most`` pages of no more than 60,000 characters, in the order of the hash of their id."""
-    ids = pages.where(F.length("html").between(1, 60_000)).select(F.col("page_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
-    rows = pages.select(F.col("page_id").alias("_id"), "html").join(F.broadcast(ids), "_id").orderBy(F.xxhash64("_id"), "html").limit(most)
-    return train_on([r.html for r in rows.collect() if r.html is not None and len(r.html) <= 60_000])
+def train(pages: DataFrame, most: int = SAMPLE, longest: int = LONGEST) -> Field:
+    """Fit on at most ``most`` pages that name their main element, of ``longest`` characters at most, in the order of the
+    hash of their id. The two bounds say what the fit reads, never what is extracted."""
+    teach = pages.where(F.length("html").between(1, longest) & F.col("html").rlike(HAS_MAIN))
+    ids = teach.select(F.col("page_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
+    rows = teach.select(F.col("page_id").alias("_id"), "html").join(F.broadcast(ids), "_id").orderBy(F.xxhash64("_id"), "html").limit(most)
+    return train_on([r.html for r in rows.collect()])
 
 
 def main_text(page: str | None, model: Field) -> str:

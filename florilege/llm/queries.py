@@ -99,11 +99,14 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _address_sql(url: str) -> str:
-    pattern = r"^\s*([A-Za-z][A-Za-z0-9+.-]*://)([^/?#\s]*)([^#\s]*)"
+    pattern = r"^\s*([A-Za-z][A-Za-z0-9+.-]*://)([^/?#\s]*)([^?#\s]*)([^#\s]*)"
     part = lambda i: f"regexp_extract({url}, '{pattern}', {i})"
     root = f"translate({part(1)} || {part(2)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    tail = part(3)
-    return f"CASE WHEN {root} <> '' THEN {root} || CASE WHEN {tail} = '' OR {tail} LIKE '?%' THEN '/' || {tail} ELSE {tail} END END"
+    parts = f"string_split(regexp_replace({part(3)}, '(/\\.{{1,2}})$', '\\1/'), '/')[2:]"
+    step = "CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN acc[1:greatest(len(acc) - 1, 1)] ELSE acc || x END"
+    kept = f"array_to_string(list_reduce(list_prepend([''], list_transform({parts}, lambda s: [s])), lambda acc, x: {step}), '/')"
+    path = f"CASE WHEN {part(3)} = '' THEN '/' WHEN regexp_matches({part(3)}, '/\\.{{1,2}}(?:/|$)') THEN {kept} ELSE {part(3)} END"
+    return f"CASE WHEN {root} <> '' THEN {root} || {path} || {part(4)} END"
 
 
 def _rule_sql(host: str, path: str, what: int) -> str:
@@ -117,9 +120,10 @@ def _rule_sql(host: str, path: str, what: int) -> str:
 _HOST = lambda u: f"translate(regexp_extract(CASE WHEN contains({u}, '://') THEN {u}[instr({u}, '://') + 3:] ELSE '' END, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = lambda u: f"regexp_extract(CASE WHEN contains({u}, '://') THEN {u}[instr({u}, '://') + 3:] ELSE '' END, '^[^/?#]*([^?#]*)', 1)"
 
-OP9_SQL = rf"""WITH RECURSIVE tags AS (SELECT {_address_sql('url')} AS source, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS link, regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') AS meta FROM pages),
-refs AS (SELECT source, unnest([concat(regexp_extract(link, '(?is)\bhref\s*=\s*(?:"\s*([^"]*?)\s*"|''\s*([^'']*?)\s*''|([^\s"''>]+))', 1), regexp_extract(link, '(?is)\bhref\s*=\s*(?:"\s*([^"]*?)\s*"|''\s*([^'']*?)\s*''|([^\s"''>]+))', 2), regexp_extract(link, '(?is)\bhref\s*=\s*(?:"\s*([^"]*?)\s*"|''\s*([^'']*?)\s*''|([^\s"''>]+))', 3)),
-regexp_extract(meta, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*[''"]?\s*([^"''>\s]+)', 1)]) AS ref FROM tags WHERE source IS NOT NULL),
+_UNSEEN = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{t}\b.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "template"))
+_HREF = "concat(" + ", ".join(rf"""regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"\s*([^"]*?)\s*"|''\s*([^'']*?)\s*''|([^\s"''>]+))', {i})""" for i in (1, 2, 3)) + ")"
+OP9_SQL = rf"""WITH RECURSIVE tags AS (SELECT source, unnest(regexp_extract_all(regexp_replace(html, '{_UNSEEN}', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM (SELECT {_address_sql('url')} AS source, html FROM pages) WHERE source IS NOT NULL),
+refs AS (SELECT source, CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN {_HREF} WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*[''"]?\s*([^"''>\s]+)', 1) END AS ref FROM tags),
 whole AS (SELECT source, CASE WHEN regexp_matches(r, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN r WHEN starts_with(r, '//') THEN regexp_extract(source, '^[^/]*') || r WHEN starts_with(r, '/') THEN regexp_extract(source, '^[^/]*//[^/]*') || r ELSE regexp_extract(source, '^[^?]*/') || r END AS target FROM (SELECT source, replace(trim(ref), '&amp;', '&') AS r FROM refs WHERE ref <> '')),
 links AS MATERIALIZED (SELECT DISTINCT source AS a, t AS b FROM (SELECT source, {_address_sql('target')} AS t FROM whole) WHERE t IS NOT NULL AND t <> source), ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT DISTINCT a AS node, a AS seen FROM ways UNION SELECT ways.b, reach.seen FROM reach JOIN ways ON ways.a = reach.node), groups AS MATERIALIZED (SELECT node, min(seen) AS alias_of FROM reach GROUP BY node),

@@ -24,8 +24,13 @@ RULES = (
     ("block", "net/fr/"),
 )
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*['\"]?\s*([^\"'>\s]+)"
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*(?:\"\s*([^\"]*?)\s*\"|'\s*([^']*?)\s*'|([^\s\"'>]+))"
+#: What is no markup of the page.
+_UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<template\b.*?(?:</template\s*>|\z)"
+_TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
+_IS_CANONICAL = r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"
+_IS_REFRESH = r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"
+_HREF = r"(?is)\bhref\s*=\s*(?:\"\s*([^\"]*?)\s*\"|'\s*([^']*?)\s*'|([^\s\"'>]+))"
+_GOES_TO = r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?url\s*=\s*['\"]?\s*([^\"'>\s]+)"
 
 
 def _rest(url: Column) -> Column:
@@ -51,11 +56,26 @@ def matched(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return F.get(fit, 0)
 
 
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..``: the latter takes the segment before it away."""
+
+    def step(acc: Column, part: Column) -> Column:
+        up = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))
+        return F.when(part == ".", acc).when(part == "..", up).otherwise(F.concat(acc, F.array(part)))
+
+    # a last segment of dots names a folder
+    parts = F.split(F.regexp_replace(path, r"(/\.{1,2})$", "$1/"), "/", -1)
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    return F.when(path.rlike(r"/\.{1,2}(?:/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
 def address(url: Column) -> Column:
-    """What a link is matched by: the address without its fragment, scheme and host in lower case; null if relative."""
-    part = lambda i: F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*://)([^/?#\s]*)([^#\s]*)", i)
+    """What a link is matched by: the address without its fragment and dot segments, scheme and host in lower case; null if
+    relative."""
+    part = lambda i: F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*://)([^/?#\s]*)([^?#\s]*)([^#\s]*)", i)
     root = F.translate(F.concat(part(1), part(2)), *_LOWER)
-    return F.when(root != "", F.concat(root, F.regexp_replace(part(3), r"^(?=\?|$)", "/")))
+    path = F.when(part(3) == "", F.lit("/")).otherwise(without_dots(part(3)))
+    return F.when(root != "", F.concat(root, path, part(4)))
 
 
 def absolute(link: Column, base: Column) -> Column:
@@ -71,12 +91,14 @@ def absolute(link: Column, base: Column) -> Column:
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
-    """(source, target): addresses of pages and of what they refresh to or call canonical, from the whole html."""
-    some = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select(address(F.col("url")).alias("source"), "html")
-    canonical = F.concat(*[F.regexp_extract("html", _CANONICAL, i) for i in (1, 2, 3)])
-    found = some.select("source", F.explode(F.array(F.regexp_extract("html", _REFRESH, 1), canonical)).alias("link"))
+    """(source, target): addresses of pages and of all that they refresh to or call canonical, from the whole html but its
+    comments, scripts and styles."""
+    some = pages.where(F.col("html").rlike("(?i)canonical|refresh")).select(address(F.col("url")).alias("source"), F.regexp_replace("html", _UNSEEN, " ").alias("html"))
+    tags = some.where("source IS NOT NULL").select("source", F.explode(F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0))).alias("tag"))
+    href = F.concat(*[F.regexp_extract("tag", _HREF, i) for i in (1, 2, 3)])
+    link = F.when(F.col("tag").rlike(_IS_CANONICAL), href).when(F.col("tag").rlike(_IS_REFRESH), F.regexp_extract("tag", _GOES_TO, 1))
     # written once: the filters below would else be pushed under the expressions they look at, and repeat them
-    links = cut_lineage(found.where("source IS NOT NULL AND link <> ''"))
+    links = cut_lineage(tags.select("source", link.alias("link"))).where("link <> ''")
     whole = cut_lineage(links.select("source", absolute(F.regexp_replace(F.trim("link"), "&amp;", "&"), F.col("source")).alias("link")))
     return cut_lineage(whole.select("source", address(F.col("link")).alias("target"))).where("target IS NOT NULL AND source <> target").distinct()
 

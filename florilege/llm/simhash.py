@@ -44,15 +44,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``, the fingerprint as a signed long. Null texts count as empty."""
+    """(doc_id, fp, _print): one row per row of ``docs``, the fingerprint as a signed long. Null texts count as empty.
+
+    ``_print`` is the SHA-256 of the text where there is no doc_id, else null.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    print_of = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(rows, None):
             values = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(values.view(np.int64)), batch.column("_print")], names=["doc_id", "fp", "_print"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", print_of.alias("_print")).mapInArrow(run, f"doc_id {kind}, fp long, _print string")
 
 
 def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -137,27 +141,35 @@ def links(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(deal, "fp long, shard long").repartition(2**depth, "shard").groupBy("shard").applyInPandas(stars, "a long, b long")
 
 
+def _grouped(docs: DataFrame) -> DataFrame:
+    """The fingerprints of ``docs`` with ``root`` and ``component_id``: the least fingerprint and doc_id of their group."""
+    marked = cut_lineage(fingerprints(docs))
+    classes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    groups = components(links(classes.select("fp")))
+    joined = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(joined.join(lowest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "_print", "root", "component_id")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``: the smallest doc_id reachable over links, itself included.
 
     Rows of equal fingerprint are one class from the start, so copies are never paired. Rows without a doc_id
     have a null component unless a row with an id is reachable. An empty table gives an empty result.
     """
-    marked = cut_lineage(fingerprints(docs))
-    classes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    groups = components(links(classes.select("fp")))
-    joined = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = joined.join(lowest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of their group; of repeated rows of one id, one; rows without an id stay."""
-    groups = near_groups(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    """One row of each group of near copies: that with the smallest id, or, if the group has no id at all, that with the
+    smallest hash of its text. Of repeated rows of one id, or of one text without an id, stays one."""
+    groups = cut_lineage(_grouped(docs))
+    ids = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     rows = packed(docs, "doc_id", "text")
-    with_id = rows.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    with_id = rows.where("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("_kept"), "left_semi")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))).alias("_place")
     first = with_id.select("_row", place).where("_place = 1").select("_row")
-    return first.union(rows.where("doc_id IS NULL").select("_row")).select("_row.*")
+    prints = groups.where("doc_id IS NULL AND component_id IS NULL").groupBy("root").agg(F.min("_print").alias("_kept")).select("_kept")
+    bare = rows.where("doc_id IS NULL").withColumn("_print", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    one = bare.join(prints, F.col("_print") == F.col("_kept"), "left_semi").groupBy("_print").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return first.union(one.select("_row")).select("_row.*")

@@ -43,7 +43,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 def stems(text: str | None) -> set[str]:
     """Whole words (``=word``) and prefixes of the lower-cased text."""
     words = set(_WORD.findall((text or "").lower()))
-    return {"=" + w for w in words if len(w) <= 40} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
+    return {"=" + w for w in words} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -70,12 +70,13 @@ def test_links_over_many_shards(spark, monkeypatch):
 def test_one_of_each(spark):
     text = "this is a text of several words that two rows share"
     rows = [(3, text, "x"), (1, text, "y"), (1, text, "y"), (None, text, "n"), (5, "", "e"), (6, None, "e"), (7, "another thing altogether is said here", "z")]
+    rows += [(None, "rows without any id are near copies of each other too", k) for k in "abc"]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _kept string")
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, text), (1, text), (5, ""), (7, "another thing altogether is said here")]
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, rows[-1][1]), (1, text), (5, ""), (7, "another thing altogether is said here")]
     groups = simhash.near_groups(docs).collect()
-    assert {(r.doc_id, r.component_id) for r in groups} == {(3, 1), (1, 1), (None, 1), (5, 5), (6, 5), (7, 7)}
+    assert {(r.doc_id, r.component_id) for r in groups} == {(3, 1), (1, 1), (None, 1), (5, 5), (6, 5), (7, 7), (None, None)}
     assert simhash.near_groups(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
 
 

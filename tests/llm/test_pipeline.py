@@ -38,6 +38,28 @@ def test_run(spark):
     assert out.count() > 100 and out.columns[:2] == ["doc_id", "piece"]
 
 
+def test_run_on_odd_tables(spark, tmp_path):
+    """Empty tables, rows without an id, repeated ids and clashing columns, through all stages."""
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    good = given.where("lang = 'en' AND n_chars > 400").orderBy("doc_id").limit(20)
+    no_id = F.lit(None).cast("long")
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(1).select(F.concat(F.lit(good.first().text), F.lit(" "), "text").alias("text"))
+    leak = leak.select(no_id.alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("x").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    odd = good.union(good.limit(5)).union(good.limit(5).withColumn("doc_id", no_id)).union(leak).unionByName(spark.createDataFrame([(900, None, None, None, None), (901, "", None, None, 0)], given.schema))
+    odd = odd.withColumns({c: F.lit("clash") for c in ("_row", "score", "spans", "_leak", "_kept", "fp", "piece")})
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    whole = {r.doc_id for r in good.collect()}
+    kept = [r.doc_id for r in out if r.piece == 0]
+    # copies without an id fall to the rows with one, the leak without an id is dropped, ids are there once
+    assert set(kept) <= whole | {900, 901} and len(kept) == len(set(kept)) and len(whole & set(kept)) >= 15
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_rest_stands_without_these_folders():
     root = Path(__file__).resolve().parents[2]
     code = "import sys; sys.modules['corpus_pipeline'] = None; sys.path.insert(0, sys.argv[1])\nimport importlib.util as u\nreal = u.find_spec\nu.find_spec = lambda n, *a: None if n.startswith(('florilege.llm', 'corpus_pipeline')) else real(n, *a)\nimport __spark_entry__ as e; assert e.queries() and not [k for k in e.queries() if k.startswith('op1')]; print('fine')"

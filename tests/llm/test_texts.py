@@ -399,6 +399,11 @@ PAGES = [
     (11, "https://notexample.com/en/", ""),
     (12, "https://x.net/es", ""),
     (13, "://net/es/", ""),
+    (14, "http://two.org/a", "<link rel=canonical href=/b/./c/../d><link rel='canonical' href='http://x.net/es/deep/../q'>"),
+    (15, "http://two.org/b/d", ""),
+    (16, "http://quiet.org/a", "<!-- <link rel=canonical href='http://x.net/es/1'> --><script>'<link rel=canonical href=\"http://x.net/es/1\">'</script><!-- <link rel=canonical href='http://x.net/es/1'>"),
+    (17, "http://up.org/a/b/c", "<META http-equiv=refresh content='0;url=../../..'><link rel=canonical href='http://sold.com/'>"),
+    (18, "http://up.org/", ""),
 ]
 
 
@@ -419,7 +424,13 @@ def test_redirects(spark):
         11: ("notexample.com", "/en/", "com/", "allow"),
         12: ("x.net", "/es", None, "allow"),
         13: ("net", "/es/", "net/es/", "block"),
+        14: ("two.org", "/a", None, "block"),
+        15: ("two.org", "/b/d", None, "block"),
+        16: ("quiet.org", "/a", None, "allow"),
+        17: ("up.org", "/a/b/c", None, "allow"),
+        18: ("up.org", "/", None, "allow"),
     }
+    assert {r.page_id: r.alias_of for r in redirects.judge(df).collect() if r.page_id > 13} == {14: "http://two.org/a", 15: "http://two.org/a", 16: None, 17: "http://sold.com/", 18: "http://sold.com/"}
     assert redirects.judge(df.limit(0)).count() == 0
     assert redirects.judge(df.union(df)).count() == 2 * len(PAGES)
 
