@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from florilege.functions import json_fields as JF
@@ -14,6 +16,7 @@ from florilege.plans.registry import Tables, query
 from florilege.plans.standins import cte, standin
 from florilege.plans.text_functions import turn_pairs
 from florilege.session import scratch_folder
+from florilege.sources import dom as D
 from florilege.sources import html as H
 from florilege.sources import stores as A
 
@@ -211,7 +214,23 @@ def reference_corpus_scan(t: Tables):
     return A.unique_ids(live, "rec", "o_orderkey", t.supplier.select(F.col("s_suppkey").alias("rec")))
 
 
-@query("html_extract_job")
+def _plain_sql(text: str) -> str:
+    """Text between tags with its references read and white space as one space."""
+    for name, char in (("nbsp", " "), ("quot", '"'), ("#x27", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+
+
+# the text of the article as the parser gives it: a line for each string between two tags
+_ARTICLE_LINES = rf"list_filter(list_transform(string_split(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', chr(10), 'g'), chr(10)), lambda x: {_plain_sql('x')}), lambda x: x <> '')"
+
+
+@query(
+    "html_extract_job",
+    rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS html, length(html) AS html_chars, array_to_string({_ARTICLE_LINES}, chr(10)) AS lines FROM pages)
+    SELECT page_id, {_plain_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, length(lines) AS chars,
+    len(regexp_extract_all(html, '<h[1-4]>')) AS headings, len(regexp_extract_all(html, '<li>')) AS items, len(regexp_extract_all(html, '<a href="[^"]+"')) AS links, FALSE AS needs_script FROM p""",
+)
 def html_extract_job(t: Tables):
     e = H.extract_pages(t.pages, "page_id", "url", "html")
     return e.select("page_id", "title", "lang", F.length("text").alias("chars"), F.size("headings").alias("headings"), F.size("items").alias("items"), F.size("links").alias("links"), "needs_script")
@@ -219,20 +238,36 @@ def html_extract_job(t: Tables):
 
 @query(
     "css_extract_job",
-    r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<li>')) AS items FROM pages""",
+    rf"""SELECT page_id, site, title, ingredients, steps, content, CASE WHEN ingredients > 0 AND steps > 0 THEN 'fields' WHEN length(content) >= 300 THEN 'article' END AS mode, length(content) >= 400 AS fact FROM (
+    SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS site, {_plain_sql("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)")} AS title,
+    CASE WHEN contains(url, '.net') THEN 0 ELSE len(regexp_extract_all(html, '<a href="/[^"]+">')) END AS ingredients, CASE WHEN contains(url, '.net') THEN 0 ELSE len(list_filter(list_transform(string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:],
+    lambda x: trim(regexp_replace(x, '<[^>]*>', ' ', 'g'))), lambda x: x <> '')) END AS steps, array_to_string({_ARTICLE_LINES}, chr(10)) AS content FROM pages) ORDER BY page_id""",
 )
 def css_extract_job(t: Tables):
-    p = H.apply_profile(t.pages, "html", {"title": ("h1", None, False), "menu": ("li", None, True)})
-    return p.select("page_id", "title", F.size("menu").alias("items"))
+    """Profiles of all sites: on some a complete record (addresses of the menu, paragraphs of the article), else the article."""
+    pages = t.pages.withColumn("page_site", U.site_key(F.col("url")))
+    sites = pages.select("page_site").distinct()
+    record = {"title": {"css": "article > h1"}, "ingredients": {"css": "nav ul a[href]", "attr": "href"}, "steps": {"css": "body article p"}, "content": {"css": "article"}}
+    told = {"title": record["title"], "content": record["content"], "steps": {"css": "article:hover p"}}
+    profiles = sites.withColumn("fields", F.when(F.col("page_site").contains(".net"), json.dumps(told)).otherwise(json.dumps(record)))
+    got = H.apply_profiles(t.pages, "page_id", "url", "html", D.profile_rules(profiles, "page_site", "fields"))
+    done = got.join(pages.select("page_id", F.col("page_site").alias("site")), "page_id")
+    return done.select("page_id", "site", "title", F.size("ingredients").alias("ingredients"), F.size("steps").alias("steps"), "content", "mode", "fact")
 
 
 @query(
     "profile_rule_search",
-    r"""SELECT regexp_extract(url, '([^./]+\.[^./]+)(/|$|\?|#)', 1) AS site, rule, bool_and(CASE rule WHEN 'article' THEN contains(html, '<article>') AND contains(html, '<h1>') ELSE contains(html, '<table') END) AS covers, count(*) AS pages FROM pages, (SELECT unnest(['article', 'table']) AS rule) GROUP BY 1, 2""",
+    rf"""WITH p AS (SELECT regexp_extract(url, '([^./]+\.[^./]+)(/|$|\?|#)', 1) AS site, contains(html, 'footer') AS marked, length(array_to_string({_ARTICLE_LINES}, ' ')) >= 300 AS long,
+    contains(html, '<h1>') AS title, contains(html, '<li>') AS items, contains(html, '<table') AS rows FROM pages),
+    s AS (SELECT site, bool_or(marked) AS marked, CASE WHEN bool_and(long) THEN 'article' END AS css, count(*) AS pages, count(*) FILTER (title AND items AND rows) AS complete, count(*) FILTER (title) AS titled FROM p GROUP BY site)
+    SELECT site, rule, css, pages, n AS complete, n / pages AS coverage, n * 100 >= pages * 67 AS passes FROM (SELECT *, unnest(['blog', 'content']) AS rule, CASE WHEN css IS NOT NULL THEN titled WHEN rule = 'blog' THEN complete ELSE 0 END AS n FROM s)
+    WHERE (rule = 'blog' AND marked) OR (rule = 'content' AND css IS NOT NULL)""",
 )
 def profile_rule_search(t: Tables):
+    """Ready-made sets on all pages of a site: one of a plugin, known by its mark, and the first container with enough text."""
     p = t.pages.withColumn("site", U.registrable_domain(F.col("url")))
-    return H.rule_search(p, "site", "html", {"article": [("article", None), ("h1", None)], "table": [("table", None)]})
+    blog = {"title": "footer ~ h1, article h1", "ingredients": "nav li", "steps": "table tr > td"}
+    return H.rule_search(p, "page_id", "site", "html", {"blog": blog}, ["article .entry-content", ".post-content", "article", "main"])
 
 
 @query("link_graph")
@@ -279,12 +314,26 @@ def layered_classify(t: Tables):
     return e.select("page_id", kind.alias("kind"), "recipe", "topic")
 
 
-@query("recipe_jsonld", "SELECT o_orderkey, o_orderpriority AS title, count(*) AS ingredients, 2 AS steps FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+@query(
+    "recipe_jsonld",
+    """SELECT o_orderkey, o_orderpriority AS title, array_to_string(list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, l_partkey), ' ') AS ingredients,
+    CASE o_orderkey % 3 WHEN 0 THEN 'mix|wait|serve' WHEN 1 THEN 'mix.|2. wait|serve' ELSE 'mix' END AS steps, o_orderkey % 3 < 2 AS complete FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""",
+)
 def recipe_jsonld(t: Tables):
-    g = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", "o_orderpriority").agg(F.collect_list(F.col("l_partkey").cast("string")).alias("recipeIngredient"))
-    node = F.struct(F.lit("Recipe").alias("@type"), F.col("o_orderpriority").alias("name"), "recipeIngredient", F.array(F.struct(F.lit("HowToStep").alias("@type"), F.lit("mix").alias("text")), F.struct(F.lit("HowToStep").alias("@type"), F.lit("wait").alias("text"))).alias("recipeInstructions"))
-    rows = g.select("o_orderkey", F.to_json(F.struct(F.array(node).alias("@graph"))).alias("ld"))
-    return H.recipe_from_jsonld(rows, "o_orderkey", "ld").select("o_orderkey", "title", F.size("ingredients").alias("ingredients"), F.size("steps").alias("steps"))
+    """Recipes below a graph, a main entity of a list, or nested item lists; steps in sections, as one text, or one that is no recipe's title."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit(" <b>"), x["l_partkey"].cast("string"), F.lit("</b>")))
+    g = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", "o_orderpriority").agg(F.to_json(items).alias("parts"))
+    sections = '[{"@type":"HowToSection","itemListElement":[{"@type":"HowToStep","text":"mix"},{"itemListElement":[{"name":"wait"}]}]},{"text":"serve"}]'
+    steps = F.when(F.col("o_orderkey") % 3 == 0, sections).when(F.col("o_orderkey") % 3 == 1, json.dumps("mix. 2. wait\nserve")).otherwise('"mix"')
+    name = F.when(F.col("o_orderkey") % 3 < 2, F.concat(F.lit('"name":"'), "o_orderpriority", F.lit('",'))).otherwise(F.concat(F.lit('"name":null,"alternateName":"'), "o_orderpriority", F.lit('",')))
+    recipe = F.concat(F.lit('{"@type":["Thing","Recipe"],'), name, F.lit('"recipeIngredient":'), "parts", F.lit(',"recipeInstructions":'), steps, F.lit("}"))
+    within = (
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('{"@graph":[{"@type":"WebPage","mainEntity":'), recipe, F.lit("}]}")))
+        .otherwise(F.concat(F.lit('[{"@type":"ItemList","itemListElement":[[{"@type":"ListItem","mainEntity":['), recipe, F.lit("]}]]}]")))
+    )
+    got = H.recipe_from_jsonld(g.select("o_orderkey", within.alias("ld")), "o_orderkey", "ld")
+    told = got.join(t.orders.select(F.col("o_orderkey").alias("k"), "o_orderpriority"), F.col("o_orderkey") == F.col("k"))
+    return told.select("o_orderkey", F.coalesce("title", "o_orderpriority").alias("title"), F.array_join("ingredients", " ").alias("ingredients"), F.array_join("steps", "|").alias("steps"), "complete")
 
 
 @query("record_normalize", "SELECT p_partkey, p_name AS tytul, CASE WHEN p_type IN ('PROMO', 'LARGE') THEN p_type ELSE 'inne' END AS typ, 'Krok 1: mix ' || p_name AS step, CASE WHEN p_size > 20 THEN p_brand ELSE '' END AS link FROM part")

@@ -1,111 +1,56 @@
-"""Pages from HTML: a small parser per row, everything behind it as columns."""
+"""Pages from HTML: columns and rows over the node table of :mod:`florilege.sources.dom`."""
 
 from __future__ import annotations
 
-import json
+import html as entities
 from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from florilege.functions.text import let
 from florilege.functions.urls import absolute, normalize_url, site_key
 from florilege.session import cut_lineage
+from florilege.sources import dom as D
 
-PAGE = (
-    "title string, lang string, canonical string, text string, headings array<string>, items array<string>, "
-    "jsonld array<string>, links array<struct<href:string,anchor:string>>, feeds array<string>"
-)
-_SKIP = {"script", "style", "noscript", "template", "svg"}
-_BREAK = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "section", "article", "header", "footer", "nav", "ul", "ol", "table"}
-_HEADS = {"h1", "h2", "h3", "h4"}
-
-
-class _Page(HTMLParser):
-    """Collects what a page says about itself in one pass."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out = {"title": "", "lang": "", "canonical": "", "headings": [], "items": [], "jsonld": [], "links": [], "feeds": []}
-        self.text: list[str] = []
-        self.open: list[tuple[str, list[str]]] = []
-        self.quiet = 0
-        self.h1 = ""
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag == "html":
-            self.out["lang"] = a.get("lang", "")
-        elif tag == "link" and a.get("rel") == "canonical":
-            self.out["canonical"] = a.get("href", "")
-        elif tag == "link" and "alternate" in a.get("rel", "") and ("rss" in a.get("type", "") or "atom" in a.get("type", "")):
-            self.out["feeds"].append(a.get("href", ""))
-        if tag in _BREAK:
-            self.text.append("\n")
-        if tag in _SKIP:
-            self.quiet += 1
-        if tag in _HEADS or tag in ("title", "li", "a", "script"):
-            self.open.append((tag if tag != "a" else "a\0" + a.get("href", ""), []))
-            if tag == "script":
-                self.open[-1] = ("ld" if a.get("type") == "application/ld+json" else "script", [])
-
-    def handle_data(self, data):
-        for _, parts in self.open:
-            parts.append(data)
-        if not self.quiet and not (self.open and self.open[-1][0] == "title"):
-            self.text.append(data)
-
-    def handle_endtag(self, tag):
-        if tag in _SKIP and self.quiet:
-            self.quiet -= 1
-        if tag in _BREAK:
-            self.text.append("\n")
-        for i in range(len(self.open) - 1, -1, -1):
-            name, parts = self.open[i]
-            if name.split("\0")[0] == tag or (tag == "script" and name == "ld"):
-                del self.open[i]
-                self._close(name, " ".join("".join(parts).split()), "".join(parts))
-                return
-
-    def _close(self, name, value, raw):
-        if name == "title":
-            self.out["title"] = self.out["title"] or value
-        elif name in _HEADS:
-            self.out["headings"].append(value)
-            if name == "h1" and not self.h1:
-                self.h1 = value
-        elif name == "li":
-            self.out["items"].append(value)
-        elif name == "ld":
-            try:
-                self.out["jsonld"].append(json.dumps(json.loads(raw)))
-            except ValueError:
-                pass
-        elif name.startswith("a\0") and name[2:]:
-            self.out["links"].append((name[2:], value))
-
-
-def _parse(html: str) -> dict:
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    lines = [" ".join(x.split()) for x in "".join(page.text).split("\n")]
-    return {**page.out, "title": page.h1 or page.out["title"], "text": "\n".join(x for x in lines if x)}
+#: A shell that scripts fill: much markup, next to no text, many scripts.
+SHELL_HTML, SHELL_TEXT, SHELL_SCRIPTS = 30_000, 250, 10
 
 
 def extract_pages(pages: DataFrame, page: str, url: str, html: str) -> DataFrame:
-    """Title, language, text, headings, list items, JSON-LD, links and feeds of each page."""
-    kinds = dict(pages.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parsed = pd.DataFrame([_parse(h) for h in b[html]], columns=["title", "lang", "canonical", "text", "headings", "items", "jsonld", "links", "feeds"])
-            yield pd.concat([b[[page, url]].reset_index(drop=True), parsed], axis=1)
-
-    rows = pages.select(page, url, html).mapInPandas(run, f"{page} {kinds[page]}, {url} string, {PAGE}")
-    script_shell = (F.length("text") < 200) & (F.size("links") < 3)
-    return rows.withColumn("needs_script", script_shell)
+    """Title, language, canonical address, main text, headings, list items, JSON-LD, links and feeds of each page.
+
+    The first heading that is not empty is the title before the title element. ``needs_script`` marks pages whose
+    text scripts would have to build.
+    """
+    sized = pages.select(page, url, html, F.length(html).alias("_chars"))
+    trees = D.parse_trees(sized, [page, url, "_chars"], html)
+    text = lambda n: D.clean(D.text_of(n))
+    attr = lambda n, name: F.try_element_at(n["attrs"], F.lit(name))
+    first = lambda tag: text(F.get(D.tagged(tag), F.lit(0)))
+    links = F.filter(D.tagged("a"), lambda n: F.coalesce(attr(n, "href"), F.lit("")) != "")
+    rel = lambda name: F.filter(D.tagged("link"), lambda n: F.array_contains(F.split(F.lower(F.coalesce(attr(n, "rel"), F.lit(""))), r"\s+"), name) & (F.coalesce(attr(n, "href"), F.lit("")) != ""))
+    full = lambda n: normalize_url(absolute(attr(n, "href"), F.col(url)))
+    feeds = F.transform(F.filter(rel("alternate"), lambda n: F.coalesce(attr(n, "type"), F.lit("")).contains("xml")), full)
+    rows = trees.select(
+        page,
+        url,
+        F.coalesce(F.nullif(first("h1"), F.lit("")), first("title"), F.lit("")).alias("title"),
+        F.nullif(attr(F.get(D.tagged("html"), F.lit(0)), "lang"), F.lit("")).alias("lang"),
+        full(F.get(rel("canonical"), F.lit(0))).alias("canonical"),
+        D.main_text().alias("text"),
+        F.transform(D.tagged("h1", "h2", "h3", "h4"), text).alias("headings"),
+        F.transform(D.tagged("li"), text).alias("items"),
+        F.filter("jsonld", lambda x: F.try_parse_json(_spoken(x)).isNotNull()).alias("jsonld"),
+        F.transform(links, lambda n: F.struct(attr(n, "href").alias("href"), F.left(text(n), F.lit(120)).alias("anchor"))).alias("links"),
+        F.array_compact(feeds).alias("feeds"),
+        F.size(D.tagged("script")).alias("scripts"),
+        F.coalesce("_chars", F.lit(0)).alias("html_chars"),
+    )
+    shell = (F.col("html_chars") > SHELL_HTML) & (F.length("text") < SHELL_TEXT) & (F.col("scripts") > SHELL_SCRIPTS)
+    return rows.withColumn("needs_script", shell)
 
 
 def link_edges(extracted: DataFrame, page: str, url: str) -> DataFrame:
@@ -130,32 +75,66 @@ def link_depths(edges: DataFrame, seeds: DataFrame, url: str, most: int) -> Data
     return seen
 
 
-def between_tags(html: Column, tag: str, css_class: str | None = None) -> Column:
-    """Inner text of every element of a tag, of one class if named."""
-    head = f"<{tag}(?=[\\s>])" + (rf'[^>]*class="[^"]*\b{css_class}\b[^"]*"' if css_class else "") + "[^>]*>"
-    raw = F.regexp_extract_all(html, F.lit(rf"(?is){head}(.*?)</{tag}>"), F.lit(1))
-    return F.transform(raw, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), r"\s+", " ")))
-
-
-def apply_profile(pages: DataFrame, html: str, fields: dict[str, tuple[str, str | None, bool]]) -> DataFrame:
-    """Fields of a profile ``name -> (tag, class, many)``: every value or the first one."""
-    cols = []
-    for name, (tag, css, many) in fields.items():
-        values = F.filter(between_tags(F.col(html), tag, css), lambda v: v != "")
-        cols.append((values if many else F.get(values, F.lit(0))).alias(name))
-    return pages.select("*", *cols)
-
-
-def rule_search(pages: DataFrame, site: str, html: str, rule_sets: dict[str, Sequence[tuple[str, str | None]]]) -> DataFrame:
-    """Which ready-made field sets find something for every field on all pages of a site."""
-    hits = []
-    for name, fields in rule_sets.items():
-        ok = F.lit(True)
-        for tag, css in fields:
-            ok = ok & (F.size(F.filter(between_tags(F.col(html), tag, css), lambda v: v != "")) > 0)
-        hits.append(F.struct(F.lit(name).alias("rule"), ok.alias("ok")))
-    each = pages.select(site, F.inline(F.array(*hits)))
-    return each.groupBy(site, "rule").agg(F.bool_and("ok").alias("covers"), F.count("*").alias("pages"))
+def apply_profiles(pages: DataFrame, page: str, url: str, html: str, rules: DataFrame, prefer_jsonld: bool = True) -> DataFrame:
+    """Fields of each page by the profile of its site (see :func:`florilege.sources.dom.profile_fields`), and its ``mode``.
+
+    With ``prefer_jsonld`` a complete recipe in the page's JSON-LD goes before the selectors, as mode ``jsonld``.
+    """
+    trees = D.parse_trees(pages.withColumn("_site", site_key(F.col(url))), [page, "_site"], html)
+    trees = cut_lineage(trees)  # read twice: by selectors and by JSON-LD
+    fields = D.profile_fields(trees, page, "_site", rules)
+    if not prefer_jsonld:
+        return fields
+    told = recipe_from_jsonld(trees.select(page, F.posexplode("jsonld").alias("_script", "_ld")), page, "_ld", order="_script")
+    best = told.where("complete").groupBy(F.col(page).alias("_page")).agg(F.min_by(F.struct(*[told[f] for f in ("title", "description", "ingredients", "steps", "image", "yield", "total_time")]), F.struct("script", "place")).alias("_told"))
+    both = fields.join(best, F.col(page) == F.col("_page"), "left")
+    told_field = lambda f: F.when(F.col("_told").isNotNull(), F.col(f"_told.{f}")).otherwise(F.col(f)).alias(f)
+    kept = [told_field(f) if f in best.schema["_told"].dataType.names else F.col(f) for f in D.FIELDS]
+    return both.select(page, *kept, F.when(F.col("_told").isNotNull(), "jsonld").otherwise(F.col("mode")).alias("mode"), "fact")
+
+
+#: Selectors of common recipe plugins, and containers of an article's text in order.
+PLUGIN_FIELDS = {
+    "wprm": {"title": ".wprm-recipe-name", "ingredients": ".wprm-recipe-ingredient", "steps": ".wprm-recipe-instruction-text", "yield": ".wprm-recipe-servings", "notes": ".wprm-recipe-notes"},
+    "tasty": {"title": ".tasty-recipes-title", "ingredients": ".tasty-recipes-ingredients li", "steps": ".tasty-recipes-instructions li", "notes": ".tasty-recipes-notes"},
+    "mv": {"title": ".mv-create-title", "ingredients": ".mv-create-ingredients li", "steps": ".mv-create-instructions li", "notes": ".mv-create-notes"},
+}
+CONTENT_CSS = ("article .entry-content", ".entry-content", ".post-content", ".article-content", ".article-body", "article", "main")
+
+
+def rule_search(pages: DataFrame, page: str, site: str, html: str, plugins: dict[str, dict[str, str]] | None = None, containers: Sequence[str] = CONTENT_CSS) -> DataFrame:
+    """(site, rule, fields, css, pages, coverage, passes): ready-made field sets tried on all pages of each site.
+
+    A plugin's set is tried where its first selector's mark stands in any page of the site; ``css`` is the first container
+    with enough text on all pages of the site and is part of every set, ``content`` being the set of it and the title alone.
+    ``coverage`` is the share of pages with a complete record or an article; at least two thirds pass.
+    """
+    plugins = PLUGIN_FIELDS if plugins is None else plugins
+    spark = pages.sparkSession
+    trees = cut_lineage(D.parse_trees(pages.select(page, site, html), [page, site], html))
+    sizes = trees.groupBy(F.col(site).alias("_site")).agg(F.count("*").alias("pages"))
+    # one record per page and container: the first element of each decides
+    held = D.select(trees, page, site, D.rule_table(spark, [(None, css, css, None) for css in containers]))
+    first = held.groupBy(page, "css").agg(F.min_by("value", "node").alias("_text"))
+    enough = first.where(F.length(D.clean(F.col("_text"))) >= D.ARTICLE_CHARS)
+    own = trees.select(F.col(page).alias("_page"), F.col(site).alias("_site"))
+    rank = F.array_position(F.array(*[F.lit(c) for c in containers]), F.col("css"))
+    full = enough.join(own, F.col(page) == F.col("_page")).groupBy("_site", "css").agg(F.count("*").alias("_n"))
+    content = full.join(sizes, "_site").where("_n = pages").groupBy("_site").agg(F.min_by("css", rank).alias("css"))
+    fields = [(None, f"{name}:{f}", css, None) for name, of in plugins.items() for f, css in of.items()] + [(None, "content:title", "h1", None)]
+    got = D.select(trees, page, site, D.rule_table(spark, fields))
+    hit = got.where(F.length(D.clean(F.col("value"))) > 0).groupBy(page).agg(F.collect_set("field").alias("_hits"))
+    marks = [(name, next(iter(of.values())).split()[0].lstrip(".")) for name, of in plugins.items()]
+    marked = pages.select(F.col(site).alias("_site"), *[F.col(html).contains(mark).alias(name) for name, mark in marks])
+    marked = marked.groupBy("_site").agg(*[F.bool_or(name).alias(name) for name, _ in marks])
+    sets = marked.select("_site", F.explode(F.array_compact(F.array(*[F.when(F.col(name), name) for name, _ in marks], F.lit("content")))).alias("rule"))
+    tried = sets.join(content, "_site", "left").where("rule <> 'content' OR css IS NOT NULL")
+    seen = own.join(hit, own["_page"] == hit[page], "left").select("_page", "_site", F.coalesce("_hits", F.array().cast("array<string>")).alias("_hits"))
+    has = lambda f: F.array_contains("_hits", F.concat("rule", F.lit(f":{f}")))
+    article = has("title") & F.col("css").isNotNull()
+    done = seen.join(tried, "_site").withColumn("_ok", (has("title") & has("ingredients") & has("steps")) | article)
+    n = done.groupBy(F.col("_site").alias(site), "rule", "css").agg(F.count("*").alias("pages"), F.count(F.when(F.col("_ok"), 1)).alias("complete"))
+    return n.select("*", (F.col("complete") / F.col("pages")).alias("coverage"), (F.col("complete") * 100 >= F.col("pages") * 67).alias("passes"))
 
 
 def request_table(rows: DataFrame, purpose: str, prompt: Column) -> DataFrame:
@@ -176,20 +155,107 @@ def answer_requests(requests: DataFrame, answer=None) -> DataFrame:
     return requests.mapInPandas(run, "key string, purpose string, prompt string, answer string, state string")
 
 
-def recipe_from_jsonld(rows: DataFrame, key: str, jsonld: str) -> DataFrame:
-    """Title, ingredients, steps and completeness of the recipe in nested JSON-LD (graph, list or sections)."""
-    doc = F.try_parse_json(jsonld)
-    nodes = F.coalesce(F.try_variant_get(doc, "$.@graph", "array<variant>"), F.try_variant_get(doc, "$", "array<variant>"), F.array(doc))
-    each = rows.select(key, F.explode(nodes).alias("n"))
-    kind = F.coalesce(F.try_variant_get("n", "$.@type", "string"), F.array_join(F.try_variant_get("n", "$.@type", "array<string>"), ","))
-    rec = each.filter(F.lower(kind).contains("recipe"))
-    text = lambda k: F.try_variant_get("n", f"$.{k}", "string")
-    steps = F.try_variant_get("n", "$.recipeInstructions", "array<variant>")
-    spoken = F.transform(steps, lambda s: F.coalesce(F.try_variant_get(s, "$.text", "string"), F.try_variant_get(s, "$", "string")))
-    nested = F.flatten(F.transform(steps, lambda s: F.coalesce(F.try_variant_get(s, "$.itemListElement", "array<variant>"), F.array().cast("array<variant>"))))
-    inner = F.transform(nested, lambda s: F.coalesce(F.try_variant_get(s, "$.text", "string"), F.try_variant_get(s, "$", "string")))
-    all_steps = F.concat(F.array_compact(spoken), F.array_compact(inner))
-    out = rec.select(key, text("name").alias("title"), F.coalesce(F.try_variant_get("n", "$.recipeIngredient", "array<string>"), F.array().cast("array<string>")).alias("ingredients"), F.coalesce(all_steps, F.array().cast("array<string>")).alias("steps"))
+def _spoken(json: Column) -> Column:
+    """JSON text whose strings may hold raw control characters."""
+    return F.regexp_replace(json, "[\\x00-\\x1f]", " ")
+
+
+def _items(value: Column) -> Column:
+    """Elements of a variant list, or the value alone."""
+    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value))
+
+
+def _is_object(value: Column) -> Column:
+    return F.schema_of_variant(value).startswith("OBJECT")
+
+
+#: Keys below which a node of JSON-LD holds further nodes.
+NESTED = ("@graph", "mainEntity", "itemListElement")
+
+
+def flatten_jsonld(rows: DataFrame, keep: Sequence[str], jsonld: str) -> DataFrame:
+    """(*keep, place, node): every object of each JSON-LD text, those below a graph, main entity or item list too, at any depth.
+
+    One round per level, until no object is left; ``place`` orders the nodes of a text as they stand in it. Broken
+    JSON gives nothing.
+    """
+    doc = F.try_parse_json(_spoken(F.col(jsonld)))
+    level = rows.select(*keep, doc.alias("_v")).where("_v IS NOT NULL").select(*keep, F.array().cast("array<int>").alias("place"), "_v")
+    done: DataFrame | None = None
+    while True:
+        # lists of lists come apart at once with their own places
+        each = level.select(*keep, "place", F.posexplode(_items(F.col("_v"))).alias("_i", "_n")).where("_n IS NOT NULL")
+        each = cut_lineage(each.select(*keep, F.concat("place", F.array("_i")).alias("place"), F.col("_n").alias("node")))
+        nodes = each.where(_is_object(F.col("node")))
+        lists = each.where(F.schema_of_variant("node").startswith("ARRAY")).select(*keep, "place", F.col("node").alias("_v"))
+        done = nodes if done is None else done.unionByName(nodes)
+        inner = F.array(*[F.struct(F.lit(i).alias("i"), F.try_variant_get("node", f"$['{k}']", "variant").alias("v")) for i, k in enumerate(NESTED)])
+        below = nodes.select(*keep, "place", F.explode(inner).alias("b")).where("b.v IS NOT NULL").select(*keep, F.concat("place", F.array("b.i")).alias("place"), F.col("b.v").alias("_v"))
+        level = cut_lineage(below.unionByName(lists))
+        if level.isEmpty():
+            return done
+
+
+@F.pandas_udf(StringType())
+def _without_entities(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: entities.unescape(t) if t is not None and "&" in t else t)
+
+
+def _step_texts(rows: DataFrame, keep: Sequence[str], steps: str) -> DataFrame:
+    """(*keep, steps): texts of instructions: a text cut at lines and numbers, lists, steps, and sections of steps at any depth."""
+    level = rows.select(*keep, F.array().cast("array<int>").alias("at"), F.col(steps).alias("_v")).where("_v IS NOT NULL")
+    done: DataFrame | None = None
+    while True:
+        each = level.select(*keep, "at", F.posexplode(_items(F.col("_v"))).alias("_i", "_n")).where("_n IS NOT NULL")
+        each = cut_lineage(each.select(*keep, F.concat("at", F.array("_i")).alias("at"), F.col("_n").alias("_n")))
+        inner = F.try_variant_get("_n", "$.itemListElement", "variant")
+        kind = F.schema_of_variant("_n")
+        spoken = lambda k: F.nullif(F.try_variant_get("_n", f"$.{k}", "string"), F.lit(""))
+        told = F.when(kind == "STRING", F.try_variant_get("_n", "$", "string")).when(kind.startswith("OBJECT") & inner.isNull(), F.coalesce(spoken("text"), spoken("name")))
+        leaf = each.select(*keep, "at", told.alias("_t"), (kind == "STRING").alias("_plain")).where("_t IS NOT NULL")
+        done = leaf if done is None else done.unionByName(leaf)
+        below = F.when(kind.startswith("ARRAY"), F.col("_n")).when(kind.startswith("OBJECT"), inner)
+        level = cut_lineage(each.select(*keep, "at", below.alias("_v")).where("_v IS NOT NULL"))
+        if level.isEmpty():
+            break
+    read = done.withColumn("_t", _without_entities("_t"))
+    # the break before "2." or "2)" leaves the number with its step
+    parts = F.when(F.col("_plain"), F.split("_t", r"\n+|(?<=\.)\s+(?=\d+[.)]\s)")).otherwise(F.array("_t"))
+    texts = F.filter(F.transform(parts, D.clean), lambda x: x != "")
+    ordered = F.array_sort(F.collect_list(F.struct("at", texts.alias("t"))))
+    return read.groupBy(*keep).agg(F.flatten(F.transform(ordered, lambda x: x["t"])).alias("steps"))
+
+
+def recipe_from_jsonld(rows: DataFrame, key: str, jsonld: str, order: str | None = None) -> DataFrame:
+    """(key, script, place, title, description, ingredients, steps, image, yield, total_time, complete) of every recipe.
+
+    Recipes stand at any depth of graphs, main entities and item lists; steps are texts, steps or sections. ``script`` is
+    the column ``order`` (which text of the key), ``place`` where the recipe stands in it. Complete is a recipe
+    with title, ingredients and steps.
+    """
+    given = rows.select(key, (F.col(order) if order else F.lit(0)).alias("script"), F.col(jsonld).alias("_ld"))
+    nodes = flatten_jsonld(given, [key, "script"], "_ld")
+    kinds = F.coalesce(F.try_variant_get("node", "$['@type']", "array<string>"), F.array(F.try_variant_get("node", "$['@type']", "string")))
+    own = cut_lineage(nodes.where(F.array_contains(kinds, "Recipe")))
+    keep = [key, "script", "place"]
+    text = lambda k: F.try_variant_get("node", f"$.{k}", "string")
+    # the first of a list, and of an object its address
+    head = lambda v: F.coalesce(F.get(F.try_variant_get(v, "$", "array<variant>"), F.lit(0)), v)
+    named = lambda v: F.when(_is_object(v), F.coalesce(F.try_variant_get(v, "$.url", "string"), F.try_variant_get(v, "$['@id']", "string"))).otherwise(F.try_variant_get(v, "$", "string"))
+    first = lambda k: let(head(head(F.try_variant_get("node", f"$.{k}", "variant"))), named)
+    listed = lambda k: F.nullif(F.coalesce(F.try_variant_get("node", f"$.{k}", "array<string>"), F.array_compact(F.array(text(k)))), F.array().cast("array<string>"))
+    parts = F.coalesce(listed("recipeIngredient"), listed("ingredients"), F.array().cast("array<string>"))
+    read = own.select(*keep, text("name").alias("title"), text("description").alias("description"), parts.alias("ingredients"), first("image").alias("image"), first("recipeYield").alias("yield"), F.nullif(text("totalTime"), F.lit("")).alias("total_time"))
+    # entities of all texts of a recipe in one call: they travel joined
+    joined = F.concat_ws("\x01", F.concat(F.coalesce("title", F.lit("")), F.lit("\x02"), F.coalesce("description", F.lit("")), F.lit("\x02"), F.coalesce("yield", F.lit(""))), F.transform("ingredients", lambda x: F.coalesce(x, F.lit(""))))
+    plain = read.withColumn("_all", F.split(_without_entities(joined), "\x01"))
+    cell = lambda i: F.nullif(D.clean(F.get(F.split(F.get("_all", F.lit(0)), "\x02"), F.lit(i))), F.lit(""))
+    told = F.filter(F.transform(F.slice("_all", F.lit(2), F.size("_all")), D.clean), lambda x: x != "")
+    texts = plain.select(*keep, cell(0).alias("title"), cell(1).alias("description"), told.alias("ingredients"), "image", cell(2).alias("yield"), "total_time")
+    steps = _step_texts(own.select(*keep, F.try_variant_get("node", "$.recipeInstructions", "variant").alias("_s")), keep, "_s")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) if k == key else F.col(k) == F.col(f"_{k}") for k in keep]
+    out = texts.join(steps.select(*[F.col(k).alias(f"_{k}") for k in keep], F.col("steps").alias("_steps")), same, "left")
+    out = out.select(*keep, "title", "description", "ingredients", F.coalesce("_steps", F.array().cast("array<string>")).alias("steps"), "image", "yield", "total_time")
     return out.withColumn("complete", F.col("title").isNotNull() & (F.size("ingredients") > 0) & (F.size("steps") > 0))
 
 
