@@ -69,6 +69,20 @@ def running(
     )
 
 
+def quantile_bucket(df: DataFrame, order: Sequence[str], parts: int = 64, sample: int = 4096) -> Column:
+    """A bucket that grows with the columns ``order`` and splits the rows of ``df`` about evenly, whatever their values.
+
+    The bounds come from at most ``sample`` rows by the hash of ``order``; a few numbers go to the driver. Rows that tie in
+    all of ``order`` share a bucket, so a unique column belongs at its end.
+    """
+    key = F.struct(*order)
+    seen = [r[0] for r in df.select(key.alias("_o")).orderBy(F.xxhash64("_o")).limit(sample).orderBy("_o").collect()]
+    bounds = [seen[i * len(seen) // parts] for i in range(1, parts) if seen]
+    schema = df.select(key.alias("_o")).schema["_o"].dataType
+    cuts = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, schema.fields, strict=True)]) for b in dict.fromkeys(map(tuple, bounds))]
+    return F.size(F.filter(F.array(*cuts), lambda b: b <= key)) if cuts else F.lit(0)
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str) -> DataFrame:
     """Number the rows of each key from 1 in ``order``."""
     return running(df, keys, order, bucket, {name: ("count", F.lit(1))})

@@ -6,15 +6,15 @@ Points, facts and sources are rows until the last step, because an entity may ow
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florilege.functions.text import fingerprint, jaccard, norm_text, short_sha, stem_cover, stems
-from florilege.operators.primitives import components, newest_per_key, numbered, top_per_key
+from florilege.operators.primitives import newest_per_key, numbered, quantile_bucket, running, top_per_key
 from florilege.operators.similarity import NO_KEYS, best_primary, greedy_primaries, keyed, met, prefix_keys, scored_pairs, single_key, token_counts
-from florilege.session import cut_lineage
+from florilege.session import cut_lineage, written
 
 
 def number_sources(facts: DataFrame, entity: str, url: str, lang: str) -> DataFrame:
@@ -172,12 +172,68 @@ def place_scores(points: DataFrame, point: str, section: str, text: str, places:
     return out.select(point, F.when(F.col("_b.score") >= least, F.col("_b.place")).otherwise(fallback).alias("place"), F.col("_b.score").alias("score"))
 
 
-def _text_pairs(rows: DataFrame, owner: Sequence[str], order: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Units of equal stems as ``(order, unit)`` and the pairs of units whose stems are alike at the threshold."""
-    members, units = _text_units(rows, owner, order, text, None, threshold)
-    pairs = met(keyed(units, "unit", "keys", "a"), keyed(units, "unit", "keys", "b"), "unit", ordered=True)
-    scored = scored_pairs(pairs, units, units, "unit", ["owner", "s", "q"], _same_text(threshold))
-    return members, cut_lineage(scored.select(F.col("a_unit").alias("a"), F.col("b_unit").alias("b")))
+def _rounds(points: DataFrame, units: DataFrame, score: Callable, front: int = 32) -> tuple[DataFrame, DataFrame]:
+    """The walk of :func:`place_inserts` in rounds: points as ``(ord, row)``, rows as ``(row, shown)``.
+
+    ``points`` are ``(ord, unit, size)``: place in the walk, unit of equal owner and stems, length of the text. What a row
+    shows is kept as versions, each good for the points after its own and up to the one that replaces it, so points may be
+    decided out of order. A round decides every point that nothing undecided before it can touch any more:
+
+    * A point like no row starts one if no undecided point before it is like it. Like points share a key, so the
+      first ``front`` units of every key are compared.
+    * A point joins the first row like it, unless that row or an earlier one of its owner may change before: a row changes
+      only at an undecided point like its open version and longer. Nor may an undecided point that could still start
+      a row stand before that row.
+
+    So a row takes all its points up to its next change in one round, and the number of rounds follows chains of changes
+    and starts, not the size of a group. Every round is written to the checkpoint folder.
+    """
+    base = cut_lineage(units.filter(F.size("keys") > 0).select("unit", "owner", "s", "q", "keys"))
+    payload = ["owner", "s", "q"]
+    undecided = cut_lineage(points.join(base.select("unit", "owner"), "unit").select("ord", "unit", "owner", "size"))
+    none = undecided.limit(0)
+    # unions add up the partitions of their sides, round after round
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = quantile_bucket(undecided.select(F.col("ord").alias("row")), ["row"])
+    # an open version has no end
+    versions = none.select(F.col("ord").alias("row"), F.col("ord").alias("shown"), "unit", "owner", "size", F.col("ord").alias("until"))
+    like = none.select("unit", F.col("ord").alias("row"), F.col("ord").alias("shown"))
+    joined, width = [none.select("ord", F.col("ord").alias("row"))], front
+    while not undecided.isEmpty():
+        shows = versions.select("row", "shown", F.col("size").alias("_now"), "until")
+        touching = undecided.join(like, "unit").join(shows, ["row", "shown"]).filter((F.col("shown") < F.col("ord")) & (F.col("until").isNull() | (F.col("ord") <= F.col("until"))))
+        touching = cut_lineage(touching.select("ord", "row", "size", "_now", F.col("until").isNull().alias("_open")))
+        now = cut_lineage(undecided.groupBy("unit").agg(F.min("ord").alias("ord")).join(base, "unit"))
+        each = now.select("ord", F.size("keys").alias("_all"), F.explode("keys").alias("_k")).select("ord", "_all", "_k.*")
+        heads = top_per_key(each, ["key"], [F.asc("ord")], width, "_r")
+        whole = heads.groupBy("ord", "_all").agg(F.count("*").alias("_heads")).filter("_heads = _all").select("ord")
+        sides = [heads.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("ord", "pos", "n", "c", "m")]) for x in "ab"]
+        behind = scored_pairs(met(*sides, "ord", ordered=True), now, now, "ord", payload, score).select(F.col("b_ord").alias("ord"))
+        starts = whole.join(touching, "ord", "left_anti").join(behind, "ord", "left_anti")
+        fresh = cut_lineage(undecided.join(starts, "ord", "left_semi"))
+        # where open versions end next, and the first such end in any earlier row of the owner
+        ends = touching.filter("_open AND size > _now").groupBy("row").agg(F.min("ord").alias("_next"))
+        change = versions.filter("until IS NULL").select("row", "owner").join(ends, "row", "left")
+        earlier = running(change, ["owner"], [F.asc("row")], bucket, {"_before": ("min", F.col("_next"))}, inclusive=False)
+        target = touching.groupBy("ord").agg(F.min_by(F.struct("row", "_open"), "row").alias("_t")).select("ord", "_t.*")
+        steady = target.join(earlier.select("row", "_next", "_before"), "row")
+        steady = steady.filter((~F.col("_open") | (F.col("ord") <= F.coalesce("_next", "ord"))) & (F.col("ord") <= F.coalesce("_before", "ord")))
+        steady = cut_lineage(undecided.join(steady.select("ord", "row", (F.col("_open") & F.coalesce(F.col("ord") == F.col("_next"), F.lit(False))).alias("_change")), "ord"))
+        waiting = undecided.join(steady, "ord", "left_anti").groupBy("owner").agg(F.min("ord").alias("_wait"))
+        ready = cut_lineage(steady.join(waiting, "owner", "left").filter(F.col("row") < F.coalesce("_wait", F.col("row") + 1)).drop("_wait"))
+        joined.append(written(ready.select("ord", "row").unionByName(fresh.select("ord", F.col("ord").alias("row"))).coalesce(parts)))
+        changed = ready.filter("_change").select("row", F.col("ord").alias("shown"), "unit", "owner", "size")
+        opened = cut_lineage(changed.unionByName(fresh.select(F.col("ord").alias("row"), F.col("ord").alias("shown"), "unit", "owner", "size")).withColumn("until", F.lit(None).cast(undecided.schema["ord"].dataType)).coalesce(parts))
+        closed = versions.join(changed.select("row", F.col("shown").alias("_end")), "row", "left").withColumn("until", F.coalesce("until", "_end")).drop("_end")
+        versions = written(closed.unionByName(opened).coalesce(parts))
+        undecided = written(undecided.join(ready.select("ord").unionByName(fresh.select("ord")), "ord", "left_anti"))
+        left = undecided.select("unit").distinct()
+        found = met(keyed(base.join(opened.select("unit").distinct(), "unit"), "unit", "keys", "a"), keyed(base.join(left, "unit"), "unit", "keys", "b"), "unit")
+        new = scored_pairs(found, base, base, "unit", payload, score).select("a_unit", F.col("b_unit").alias("unit"))
+        new = new.join(opened.select(F.col("unit").alias("a_unit"), "row", "shown"), "a_unit").select("unit", "row", "shown")
+        like = written(like.join(left, "unit", "left_semi").unionByName(new).coalesce(parts))
+        width = min(width * 2, 1024)
+    return reduce(DataFrame.unionByName, joined), versions.filter("until IS NULL").select("row", "shown")
 
 
 def place_inserts(
@@ -185,45 +241,27 @@ def place_inserts(
 ) -> DataFrame:
     """Points of each place with twins merged: the longer text wins, sources and facts are united.
 
-    Points at ``known`` similarity to a text of ``present`` (entity, place, text) are left out. A point joins the
-    first row whose text of the moment is alike at ``twin``. All those texts are points of one connected group of
-    like points, so groups are walked each on their own and points without a like one are not walked at all.
+    Points at ``known`` similarity to a text of ``present`` (entity, place, text) are left out. In ``order`` (a unique number) a
+    point joins the first row whose text of the moment is alike at ``twin``, and a longer point gives the row its
+    text from then on; see :func:`_rounds`. A text without stems is like no other.
     """
     kept = points
     if present is not None:
         kept = dedup_texts_against(points, [entity, place], order, text, known, present)
-    members, pairs = _text_pairs(kept, [entity, place], order, text, twin)
-    groups = components(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
-    joined = members.join(groups, members["unit"] == groups["node"], "left").select(F.col("ord").alias("_ord"), "unit", F.coalesce("component", "unit").alias("_group"))
-    sized = joined.groupBy("_group").agg(F.count("*").alias("_size"))
-    rows = kept.select(entity, place, order, text, facts, sources).join(joined.join(sized, "_group"), F.col(order) == F.col("_ord"))
-    uncounted = (F.size(stems(F.col(text))) == 0) | (F.col("_size") == 1)  # a text without stems is like no other
-    single = rows.filter(uncounted).select(entity, place, order, text, F.array(facts).alias(facts), F.array(sources).alias(sources), F.lit(1).alias("merged"))
-    kinds = dict(points.dtypes)
-    many = rows.filter(~uncounted).select(entity, place, order, text, facts, sources, stems(F.col(text)).alias("_s"), "_group")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, ignore_index=True)
-        own = [frozenset(s) for s in group["_s"]]
-        shown, first, members_of = [], [], []  # per row: the point whose text it shows, its first point, its points
-        for i, words in enumerate(own):
-            overlap = [len(words & own[j]) for j in shown]
-            k = next((k for k, (j, n) in enumerate(zip(shown, overlap)) if n >= twin * (len(words) + len(own[j]) - n)), None)
-            if k is None:
-                shown.append(i), first.append(i), members_of.append([i])
-                continue
-            members_of[k].append(i)
-            if len(group[text][i]) > len(group[text][shown[k]]):
-                shown[k] = i
-        out = group.loc[first, [entity, place, order]].reset_index(drop=True)
-        out[text] = [group[text][j] for j in shown]
-        out[facts] = [list(dict.fromkeys(group[facts][m])) for m in members_of]
-        out[sources] = [sorted(set(group[sources][m])) for m in members_of]
-        out["merged"] = [len(m) for m in members_of]
-        return out
-
-    schema = f"{entity} {kinds[entity]}, {place} {kinds[place]}, {order} {kinds[order]}, {text} string, {facts} array<{kinds[facts]}>, {sources} array<{kinds[sources]}>, merged int"
-    return single.unionByName(many.groupBy("_group").applyInPandas(walk, schema))
+    kept = cut_lineage(kept.select(entity, place, order, text, facts, sources))
+    members, units = _text_units(kept, [entity, place], order, text, None, twin)
+    sized = members.join(kept.select(F.col(order).alias("ord"), F.length(F.coalesce(text, F.lit(""))).alias("size")), "ord")
+    joined, rows = _rounds(sized, units, _same_text(twin))
+    at = kept.join(joined.withColumnRenamed("row", "_row"), F.col(order) == F.col("ord"), "left").withColumn("_row", F.coalesce("_row", order))
+    # one entry per fact at its first point, so that copies are gone before anything is listed
+    told = at.groupBy("_row", facts).agg(F.min(order).alias("_at"), F.collect_set(sources).alias("_s"), F.count("*").alias("_n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(facts).alias("f")))), lambda x: x["f"])
+    united = told.groupBy("_row").agg(ordered.alias(facts), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_s")))).alias(sources), F.sum("_n").cast("int").alias("merged"))
+    shown = united.join(rows, F.col("_row") == F.col("row"), "left").select("_row", facts, sources, "merged", F.coalesce("shown", "_row").alias("_shown"))
+    spoken = kept.select(F.col(order).alias("_shown"), F.col(text).alias("_text"))
+    heads = kept.select(entity, place, F.col(order).alias("_row"))
+    out = shown.join(spoken, "_shown").join(heads, "_row")
+    return out.select(entity, place, F.col("_row").alias(order), F.col("_text").alias(text), facts, sources, "merged")
 
 
 def dedup_texts_against(rows: DataFrame, owner: Sequence[str], order: str, text: str, threshold: float, known: DataFrame) -> DataFrame:

@@ -49,3 +49,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, which all executors see."""
     use_checkpoints(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str = "state") -> DataFrame:
+    """Write the rows as Parquet to the shared folder and read them again.
+
+    For state that is carried through many rounds: a checkpoint keeps what the planner has inferred about its columns, and
+    that grows with every round.
+    """
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

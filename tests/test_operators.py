@@ -125,6 +125,27 @@ def test_inserts_equal_the_sequential_walk(spark):
     assert sorted((r.n, r.t, sorted(r.f), r.u) for r in got) == sorted(want)
 
 
+def test_inserts_of_one_group_of_a_third_of_the_rows(spark):
+    """Template texts that are all alike, their lengths in any order, beside texts that share their words in part."""
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in ("leaf", "root", "bark") for b in "xyz" for c in "klmnop"]
+    rows = [("x", "p", i, ("gather dried flowers in early autumn shade " + "and wait " * rng.randint(0, 30)) if i % 3 == 0 else " ".join(rng.sample(words, 6))) for i in range(900)]
+    df = spark.createDataFrame(rows, "e string, p string, n long, t string").withColumn("f", F.col("n")).withColumn("u", F.lit(1))
+    stems = {r.n: set(r.s) for r in df.select("n", X.stems(F.col("t")).alias("s")).collect()}
+    kept = []
+    for _, _, n, t in rows:
+        k = next((k for k in kept if len(stems[n] & stems[k["shown"]]) >= 0.5 * len(stems[n] | stems[k["shown"]])), None)
+        if k is None:
+            kept.append({"n": n, "shown": n, "all": [n], "t": t})
+        else:
+            k["all"].append(n)
+            if len(t) > len(k["t"]):
+                k["t"], k["shown"] = t, n
+    got = K.place_inserts(df, "e", "p", "n", "t", "f", "u").collect()
+    assert sorted((r.n, r.t, r.f, r.merged) for r in got) == sorted((k["n"], k["t"], k["all"], len(k["all"])) for k in kept)
+    assert max(r.merged for r in got) >= 300
+
+
 def test_versions_outlive_a_restart(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "k string, n long")
     first = VersionedTable(spark, str(tmp_path / "t"), "k string, n long", ["k"], parts=4)
