@@ -1,7 +1,7 @@
 """SimHash near-dedup over vantage-point trees.
 
-Fingerprints are dealt to shards by their Hamming distance to vantage points: at most the median goes inside, the rest
-outside. A pair within ``reach`` bits that a node parts has its outer member no farther than median + reach (triangle
+Fingerprints are dealt to shards by their Hamming distance to vantage points: up to a cut goes inside, the rest
+outside. A pair within ``reach`` bits that a node parts has its outer member no farther than cut + reach (triangle
 inequality), so such outer rows also visit the inside and every other branch is pruned. Every linked pair meets
 in some shard, where the same splits go on until a block is small enough to compare. Results are exact.
 """
@@ -22,8 +22,10 @@ from florilege.session import cut_lineage
 
 REACH = 4
 WORDS = 4
-#: Distinct fingerprints that a shard should hold at home, and those that a block compares directly.
-SHARD, BLOCK = 4096, 768
+#: Distinct fingerprints that a task takes of a shard, spill included, and those that a block compares directly.
+SHARD, BLOCK = 16_384, 768
+#: Most partitions that shards and pairs of their blocks are dealt to.
+MOST_TASKS = 20_000
 #: Most fingerprints that vantage points and medians are taken from; every fingerprint is then placed.
 SAMPLE = 16_384
 
@@ -64,24 +66,36 @@ def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
 
 
 def _split(points: np.ndarray, tries: int = 6) -> tuple[np.uint64, int] | None:
-    """The vantage point among a few whose median leaves the fewest rows on both sides; None if nothing is parted."""
+    """The vantage point and distance among a few that leave the fewest rows on both sides; None if nothing is parted.
+
+    The distance need not be the median: fingerprints crowd at 32 bits, where a cut sends most rows to both sides.
+    """
     best = None
     for vantage in points[np.linspace(0, len(points) - 1, tries).astype(int)]:
         d = _distance(points, vantage)
-        middle = int(np.median(d))
-        inner, outer = int((d <= middle + REACH).sum()), int((d > middle).sum())
-        if outer and inner < len(points) and (best is None or inner + outer < best[0]):
-            best = (inner + outer, vantage, middle)
+        for middle in sorted({int(q) for q in np.quantile(d, (0.2, 0.35, 0.5, 0.65))}):
+            inner, outer = int((d <= middle + REACH).sum()), int((d > middle).sum())
+            # work within a side grows with the square of its rows
+            cost = inner * inner + outer * outer
+            if outer and inner < len(points) and (best is None or cost < best[0]):
+                best = (cost, vantage, middle)
     return best and (best[1], best[2])
 
 
-def vantage_tree(points: np.ndarray, depth: int) -> list:
-    """Nested [vantage, median, inside, outside] over a sample; a leaf is None."""
-    cut = _split(points) if depth and len(points) >= 16 else None
+def vantage_tree(points: np.ndarray, rows: float, deepest: int = 40) -> list:
+    """Nested [vantage, distance, inside, outside] over a sample with its spill; a leaf is None.
+
+    ``rows`` is how many rows a sampled point stands for. A node is split until it is expected to hold no more than a
+    shard, or is too few points to tell, or no cut parts it well.
+    """
+    cut = _split(points) if deepest and len(points) >= 16 and len(points) * rows > SHARD else None
     if cut is None:
         return None
     d = _distance(points, cut[0])
-    return [cut[0], cut[1], vantage_tree(points[d <= cut[1]], depth - 1), vantage_tree(points[d > cut[1]], depth - 1)]
+    inside, outside = points[d <= cut[1] + REACH], points[d > cut[1]]
+    if len(inside) > 0.95 * len(points):
+        return None
+    return [cut[0], cut[1], vantage_tree(inside, rows, deepest - 1), vantage_tree(outside, rows, deepest - 1)]
 
 
 def placed(tree: list | None, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +121,10 @@ def linked(points: np.ndarray) -> np.ndarray:
         cut = _split(points[at]) if at.size > BLOCK else None
         if cut is not None:
             d = _distance(points[at], cut[0])
-            stack += [at[d <= cut[1] + REACH], at[d > cut[1]]]
-            continue
+            inside = at[d <= cut[1] + REACH]
+            if inside.size <= 0.95 * at.size:
+                stack += [inside, at[d > cut[1]]]
+                continue
         for i in range(0, at.size, BLOCK):
             for j in range(i, at.size, BLOCK):
                 a, b = at[i : i + BLOCK], at[j : j + BLOCK]
@@ -119,11 +135,15 @@ def linked(points: np.ndarray) -> np.ndarray:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): for every connected group of distinct fingerprints ``fp`` of a shard, links that connect it."""
+    """(a, b): for every connected group of distinct fingerprints ``fp`` of a shard, links that connect it.
+
+    A shard that holds more rows than ``SHARD`` after all splits is cut into blocks by hash, and every pair of its blocks is a
+    task of its own, so no task grows with the table.
+    """
     total = fps.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, total) / SHARD))))
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()] if depth else [], dtype=np.int64)
-    tree = vantage_tree(sample.view(np.uint64), depth)
+    few = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect() if total > SHARD else []
+    sample = np.array([r.fp for r in few], dtype=np.int64)
+    tree = vantage_tree(sample.view(np.uint64), total / max(1, len(sample)))
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -137,8 +157,15 @@ def links(fps: DataFrame) -> DataFrame:
         inner = np.nonzero(parent != np.arange(len(points)))[0]
         return pd.DataFrame({"a": points[inner], "b": points[parent[inner]]})
 
-    # as many partitions as shards: the work of a shard is far more than its bytes, so they are not to be coalesced
-    return fps.mapInArrow(deal, "fp long, shard long").repartition(2**depth, "shard").groupBy("shard").applyInPandas(stars, "a long, b long")
+    dealt = fps.mapInArrow(deal, "fp long, shard long")
+    # at most a few thousand shards, whatever the table holds
+    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("_blocks"))
+    cut = dealt.join(F.broadcast(sizes), "shard").withColumn("_own", F.pmod(F.xxhash64("fp", F.lit(7)), "_blocks").cast("int"))
+    beside = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    pairs = cut.select("fp", "shard", "_own", beside).select("fp", "shard", F.least("_own", "_other").alias("one"), F.greatest("_own", "_other").alias("two"))
+    tasks = int(sizes.agg(F.sum(F.col("_blocks") * (F.col("_blocks") + 1) / 2)).first()[0] or 1)
+    # as many partitions as tasks: their work is far more than their bytes, so they are not to be coalesced
+    return pairs.repartition(min(tasks, MOST_TASKS), "shard", "one", "two").groupBy("shard", "one", "two").applyInPandas(stars, "a long, b long")
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
