@@ -24,16 +24,40 @@ def expert_score(scores: Column, weights: dict[str, float]) -> Column:
     return F.round(top / F.nullif(bottom, F.lit(0.0)), 1)
 
 
-def stricter_verdict(score: Column, scores: Column, hard: Sequence[str], model: Column, warnings: Column | None = None) -> Column:
-    """The stricter of the rule and the reviewer: low marks on hard criteria and warnings raise the rule."""
+def stricter_verdict(score: Column, scores: Column, hard: Sequence[str], model: Column, warnings: Column | None = None, errors: Column | None = None) -> Column:
+    """The stricter of the rule and the reviewer: low marks on hard criteria, errors and warnings raise the rule."""
+    rank = _rule_rank(score, scores, hard, warnings, errors)
+    return F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), F.greatest(rank, _said(model)) + 1)
+
+
+def _said(model: Column) -> Column:
+    return F.coalesce(*[F.when(model == v, i) for i, v in enumerate(VERDICTS)], F.lit(0))
+
+
+def _rule_rank(score: Column, scores: Column, hard: Sequence[str], warnings: Column | None, errors: Column | None) -> Column:
     rank = F.when(score >= PUBLISH_FROM, 0).when(score >= IMPROVE_FROM, 1).otherwise(2)
     for name in hard:
         mark = F.coalesce(F.try_element_at(scores, F.lit(name)), F.lit(10))
         rank = F.greatest(rank, F.when(mark <= 2, 2).when(mark <= 4, 1).otherwise(0))
+    for sign in (warnings, errors if errors is None else errors > 0):
+        if sign is not None:
+            rank = F.greatest(rank, F.when(sign, 1).otherwise(0))
+    return rank
+
+
+def verdict_reasons(score: Column, scores: Column, hard: Sequence[str], model: Column, warnings: Column | None = None, errors: Column | None = None) -> Column:
+    """Why a text was not published as it is, in the order of the checks: score, hard criteria, errors, numbers, reviewer."""
+    said = []
+    said.append(F.when(score < PUBLISH_FROM, F.concat(F.lit("score "), F.bround(score, 0).cast("int").cast("string"), F.lit("/100"))))
+    for name in hard:
+        mark = F.try_element_at(scores, F.lit(name))
+        said.append(F.when(mark <= 4, F.concat(F.lit(f"{name}: "), mark.cast("string"), F.lit("/10"))))
+    if errors is not None:
+        said.append(F.when(errors > 0, F.concat(F.lit("errors: "), errors.cast("string"))))
     if warnings is not None:
-        rank = F.greatest(rank, F.when(warnings, 1).otherwise(0))
-    said = F.coalesce(*[F.when(model == v, i) for i, v in enumerate(VERDICTS)], F.lit(0))
-    return F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), F.greatest(rank, said) + 1)
+        said.append(F.when(warnings, "numbers not in the data"))
+    said.append(F.when(_said(model) > _rule_rank(score, scores, hard, warnings, errors), F.concat(F.lit("reviewer: "), model)))
+    return F.array_compact(F.array(*said))
 
 
 def engagement(reactions: Column, comments: Column, shares: Column) -> Column:

@@ -7,7 +7,9 @@ import json
 from pyspark.sql import functions as F
 
 from florilege.functions import json_fields as JF
+from florilege.functions import rules as R
 from florilege.functions import urls as U
+from florilege.operators import classify as C
 from florilege.operators import similarity as S
 from florilege.operators.joins import link_longest
 from florilege.plans.filters import ITEMS_SQL, items
@@ -288,30 +290,20 @@ def request_response_tables(t: Tables):
 
 @query(
     "shop_signals",
-    r"""SELECT page_id, regexp_matches(url, '[0-9]{13}') OR (len(regexp_extract_all(html, '<h[1-4]')) <= 6 AND regexp_matches(lower(html), 'add to cart|in den warenkorb') AND regexp_matches(lower(html), '[0-9]+[.,][0-9]{2}\s?(€|usd)')) AS shop FROM pages""",
+    rf"""WITH s AS (SELECT page_id, regexp_matches(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '(^|[^0-9])[0-9]{{13}}([^0-9]|$)') AS number, len(regexp_extract_all(html, '<h[1-4]>')) AS heads, array_to_string({_ARTICLE_LINES}, chr(10))[:6000] AS top FROM pages)
+    SELECT page_id, number OR (heads <= 6 AND regexp_matches(top, '(?i)' || '{R.CART.removeprefix("(?iU)")}') AND regexp_matches(top, '(?i)' || '{R.PRICE.removeprefix("(?iU)")}')) AS shop FROM s""",
 )
 def shop_signals(t: Tables):
-    low = F.lower("html")
-    cart = low.rlike("add to cart|in den warenkorb") & low.rlike(r"[0-9]+[.,][0-9]{2}\s?(€|usd)")
-    return t.pages.select("page_id", (F.col("url").rlike("(?<![0-9])[0-9]{13}(?![0-9])") | ((F.regexp_count("html", F.lit("<h[1-4]")) <= 6) & cart)).alias("shop"))
+    e = H.extract_pages(t.pages, "page_id", "url", "html")
+    return e.select("page_id", C.is_shop_page(F.col("url"), F.col("headings"), F.col("text")).alias("shop"))
 
 
 @query("layered_classify")
 def layered_classify(t: Tables):
-    """Kind of each page by ordered rules over its extracted text."""
-    from florilege.functions import text as X
-
-    e = H.extract_pages(t.pages, "page_id", "url", "html")
-    recipe = X.recipe_score(F.col("headings"), F.col("items"), F.col("text"), ["ingredient", "zutaten"], ["method", "zubereitung"])
-    e = e.select("page_id", F.length("text").alias("chars"), recipe.alias("recipe"), X.topic_score(F.col("title"), F.col("text"), ["the", "que", "der"]).alias("topic"))
-    kind = (
-        F.when(F.col("recipe") >= 0.7, "recipe")
-        .when((F.col("chars") < 300) | ((F.col("topic") == 0) & (F.col("recipe") < 0.3)), "other")
-        .when(F.col("recipe") >= 0.45, "recipe")
-        .when((F.col("topic") >= 0.5) & (F.col("chars") > 1200), "fact")
-        .otherwise("unclear")
-    )
-    return e.select("page_id", kind.alias("kind"), "recipe", "topic")
+    """Kind of each page by the first rule that holds, with its reason; a model's gate speaks for some of the unclear ones."""
+    signals = C.page_signals(t.pages, "page_id", "url", "html", ["the", "que", "der"], ["the", "ver"], ["cake", "soup"])
+    gate = F.struct(F.when(F.col("page_id") % 2 == 0, "fact").otherwise("recipe").alias("label"), F.lit(0.9).alias("confidence"), (F.col("page_id") % 3 == 0).alias("use"), (F.col("page_id") % 3 == 1).alias("fallback"))
+    return C.classify_pages(signals.withColumn("gate", gate), "page_id", C.page_rules(model="gate"))
 
 
 @query(

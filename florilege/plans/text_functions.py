@@ -333,13 +333,14 @@ def idea_scores(t: Tables):
 
 @query(
     "weighted_verdict",
-    """WITH s AS (SELECT doc_id, 1 + doc_id % 10 AS facts, 1 + n_chars % 10 AS style, 1 + (doc_id + n_chars) % 10 AS safety, coalesce(quality, 1) AS q FROM documents LEFT JOIN labels USING (doc_id)),
+    """WITH s AS (SELECT doc_id, 1 + doc_id % 10 AS facts, 1 + n_chars % 10 AS style, 1 + (doc_id + n_chars) % 10 AS safety, coalesce(quality, 1) AS q, n_chars % 3 AS n, n_chars % 7 = 0 AS strange FROM documents LEFT JOIN labels USING (doc_id)),
     e AS (SELECT *, round(((facts - 1) / 9 * 100 * 3 + (style - 1) / 9 * 100 * 2 + (safety - 1) / 9 * 100 * 1) / 6, 1) AS score FROM s),
-    r AS (SELECT *, greatest(CASE WHEN score >= 72 THEN 0 WHEN score >= 45 THEN 1 ELSE 2 END, CASE WHEN least(facts, safety) <= 2 THEN 2 WHEN least(facts, safety) <= 4 THEN 1 ELSE 0 END, CASE WHEN q = 0 THEN 2 ELSE 0 END) AS rank FROM e)
-    SELECT doc_id, score, ['publish', 'improve', 'reject'][rank + 1] AS verdict FROM r""",
+    r AS (SELECT *, greatest(own, CASE WHEN q = 0 THEN 2 ELSE 0 END) AS rank FROM (SELECT *, greatest(CASE WHEN score >= 72 THEN 0 WHEN score >= 45 THEN 1 ELSE 2 END, CASE WHEN least(facts, safety) <= 2 THEN 2 WHEN least(facts, safety) <= 4 THEN 1 ELSE 0 END, CASE WHEN n > 0 OR strange THEN 1 ELSE 0 END) AS own FROM e))
+    SELECT doc_id, score, ['publish', 'improve', 'reject'][rank + 1] AS verdict, array_to_string(list_filter([CASE WHEN score < 72 THEN 'score ' || CAST(round_even(score, 0) AS INT) || '/100' END, CASE WHEN facts <= 4 THEN 'facts: ' || facts || '/10' END,
+    CASE WHEN safety <= 4 THEN 'safety: ' || safety || '/10' END, CASE WHEN n > 0 THEN 'errors: ' || n END, CASE WHEN strange THEN 'numbers not in the data' END, CASE WHEN q = 0 AND own < 2 THEN 'reviewer: reject' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM r""",
 )
 def weighted_verdict(t: Tables):
-    from florilege.functions.scoring import expert_score, stricter_verdict
+    from florilege.functions.scoring import expert_score, stricter_verdict, verdict_reasons
 
     rows = t.documents.join(t.labels, "doc_id", "left").withColumn(
         "scores",
@@ -347,7 +348,8 @@ def weighted_verdict(t: Tables):
     )
     rows = rows.withColumn("score", expert_score(F.col("scores"), {"facts": 3, "style": 2, "safety": 1}))
     model = F.when(F.col("quality") == 0, "reject")
-    return rows.select("doc_id", "score", stricter_verdict(F.col("score"), F.col("scores"), ["facts", "safety"], model).alias("verdict"))
+    given = (F.col("score"), F.col("scores"), ["facts", "safety"], model, F.col("n_chars") % 7 == 0, F.col("n_chars") % 3)
+    return rows.select("doc_id", "score", stricter_verdict(*given).alias("verdict"), F.array_join(verdict_reasons(*given), "; ").alias("reasons"))
 
 
 @query("line_diff_counts")
