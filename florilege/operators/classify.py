@@ -43,32 +43,45 @@ SHOP_HEADINGS = 6
 LIST_LINKS, LIST_ITEMS, LEAST_TEXT, ARTICLE_TEXT = 60, 25, 300, 1200
 
 
+#: What a recipe says of itself.
+TOLD = ("recipeCategory", "recipeCuisine", "keywords")
+
+
+def _told(key: str) -> Column:
+    return F.coalesce(F.array_join(F.try_variant_get("node", f"$.{key}", "array<string>"), " "), F.try_variant_get("node", f"$.{key}", "string"))
+
+
 def is_shop_page(url: Column, headings: Column, text: Column) -> Column:
     """A product page by its address (13 digits), or by a cart and a price at the top with few headings."""
     top = F.left(text, F.lit(6000))
     return path(url).rlike(rules.EAN) | ((F.size(headings) <= SHOP_HEADINGS) & top.rlike(rules.CART) & top.rlike(rules.PRICE))
 
 
-def page_signals(pages: DataFrame, page: str, url: str, html: str, keywords: Sequence[str], purpose: Sequence[str], dishes: Sequence[str]) -> DataFrame:
-    """What the rules look at, one row per page: text and its sizes, scores, shop signs, and what JSON-LD of any depth says."""
+def page_signals(pages: DataFrame, page: str, url: str, html: str, keywords: Sequence[str], purpose: Sequence[str], dishes: Sequence[str], dish_categories: Sequence[str] = ()) -> DataFrame:
+    """What the rules look at, one row per page: text and its sizes, scores, shop signs, and what JSON-LD of any depth says.
+
+    ``purpose`` and ``dishes`` are word stems, counted in title, headings, the recipe's own words and the top of the text; a
+    recipe category of ``dish_categories`` counts three times.
+    """
     read = cut_lineage(extract_pages(pages, page, url, html))
     nodes = flatten_jsonld(read.select(page, F.posexplode("jsonld").alias("_script", "_ld")), [page, "_script"], "_ld")
     types = F.coalesce(F.try_variant_get("node", "$['@type']", "array<string>"), F.array(F.try_variant_get("node", "$['@type']", "string")))
-    told = nodes.select(F.col(page).alias("_page"), "_script", "place", types.alias("t"), F.try_variant_get("node", "$.name", "string").alias("name"))
-    recipe = F.array_contains("t", "Recipe")
-    first = F.min_by(F.struct(F.lit(True).alias("there"), F.coalesce("name", F.lit("")).alias("name")), F.when(recipe, F.struct("_script", "place")))
+    told = nodes.select(F.col(page).alias("_page"), "_script", "place", types.alias("t"), F.try_variant_get("node", "$.name", "string").alias("name"), *[_told(k).alias(k) for k in TOLD])
+    recipe = F.array_contains(F.transform("t", F.lower), "recipe")
+    first = F.min_by(F.struct(F.lit(True).alias("there"), F.coalesce("name", F.lit("")).alias("name"), F.concat_ws(" ", *TOLD).alias("told"), F.col(TOLD[0]).alias("category")), F.when(recipe, F.struct("_script", "place")))
     told = told.groupBy("_page").agg(F.bool_or(F.arrays_overlap("t", F.array(*[F.lit(t) for t in PRODUCT_TYPES]))).alias("product"), F.bool_or(recipe).alias("has_recipe"), first.alias("_first"))
     both = read.join(told, F.col(page) == F.col("_page"), "left")
     node = F.coalesce("has_recipe", F.lit(False))
     name = F.when(node, F.nullif(F.col("_first.name"), F.lit("")))
-    words = plain_words(F.concat_ws(" ", "title", name, F.array_join("headings", " "), F.left("text", F.lit(4000))))
+    words = plain_words(F.concat_ws(" ", "title", F.array_join(F.slice("headings", 1, 20), " "), name, F.col("_first.told"), F.left("text", F.lit(3000))))
+    category = F.when(hits(plain_words(F.col("_first.category")), dish_categories) > 0, 3).otherwise(0) if dish_categories else F.lit(0)
     return both.select(
         page, url, F.coalesce(F.nullif("title", F.lit("")), F.col(url)).alias("title"), "text", F.size("links").alias("links"), F.size("items").alias("items"),
         F.coalesce("product", F.lit(False)).alias("product"), node.alias("recipe_node"), name.alias("recipe_name"),
         is_shop_page(F.col(url), F.col("headings"), F.col("text")).alias("shop"),
         recipe_score(F.col("headings"), F.col("items"), F.col("text"), rules.INGREDIENT_HEADINGS, rules.STEP_HEADINGS).alias("recipe"),
         topic_score(F.col("title"), F.col("text"), keywords).alias("topic"),
-        hits(words, purpose).alias("purpose"), hits(words, dishes).alias("dishes"), quantity_hits(F.col("text")).alias("amounts"),
+        hits(words, purpose).alias("purpose"), (hits(words, dishes) + category).alias("dishes"), quantity_hits(F.col("text")).alias("amounts"),
     )
 
 

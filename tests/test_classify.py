@@ -22,7 +22,7 @@ DISH = json.dumps({"@graph": [{"mainEntity": {"@type": "Recipe", "name": "Soup c
 ARTICLE = f"<html><body><h1>On nettle</h1><p>{LOREM}</p></body></html>"
 PAGES = {
     "https://herbs.example/r": (recipe_html("Nettle Soup", JSONLD), ("recipe", "jsonld", 1.0, "Nettle Soup")),
-    "https://herbs.example/d": (recipe_html("Dandelion Tea"), ("recipe", "heuristic", 0.73, "Dandelion Tea")),
+    "https://herbs.example/d": (recipe_html("Dandelion Tea"), ("recipe", "heuristic", 0.79, "Dandelion Tea")),
     "https://herbs.example/shop": ("<html><head><title>Shop</title></head><body><h1>Buy seeds</h1><p>Cheap seeds, discount.</p></body></html>", ("other", "heuristic", 0.8, "Buy seeds")),
     "https://herbs.example/offer": (recipe_html("Offer", PRODUCT), ("other", "heuristic", 0.9, "Offer")),
     "https://herbs.example/dish": (f'<script type="application/ld+json">{DISH}</script><h1>Dish</h1>', ("other", "jsonld", 0.9, "Soup cake soup")),
