@@ -22,10 +22,10 @@ from florilege.session import cut_lineage
 
 REACH = 4
 WORDS = 4
-#: Distinct fingerprints that a task takes of a shard, spill included, and those that a block compares directly.
-SHARD, BLOCK = 16_384, 768
-#: Most partitions that shards and pairs of their blocks are dealt to.
-MOST_TASKS = 20_000
+#: Distinct fingerprints for each level of the tree to halve, and those, spill included, below which a node is not split.
+HOME, SHARD = 4096, 16_384
+#: Rows of a shard that one task takes whole, partitions that shards are dealt to, rows that a block compares directly.
+MOST_ROWS, MOST_TASKS, BLOCK = 65_536, 20_000, 768
 #: Most fingerprints that vantage points and medians are taken from; every fingerprint is then placed.
 SAMPLE = 16_384
 
@@ -137,19 +137,32 @@ def linked(points: np.ndarray) -> np.ndarray:
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): for every connected group of distinct fingerprints ``fp`` of a shard, links that connect it.
 
-    A shard that holds more rows than ``SHARD`` after all splits is cut into blocks by hash, and every pair of its blocks is a
-    task of its own, so no task grows with the table.
+    A shard of more than ``MOST_ROWS`` rows after all splits is cut into blocks by hash, and every pair of its blocks is a
+    task of its own, so no task grows with the table. What a task knows of shards is at most their tree and their sizes: as
+    many as the sample has room for.
     """
     total = fps.count()
-    few = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect() if total > SHARD else []
+    depth = max(0, int(np.ceil(np.log2(max(1, total) / HOME))))
+    few = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect() if depth else []
     sample = np.array([r.fp for r in few], dtype=np.int64)
-    tree = vantage_tree(sample.view(np.uint64), total / max(1, len(sample)))
-
-    def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            points = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            at, shard = placed(tree, points.view(np.uint64))
-            yield pa.record_batch([pa.array(points[at]), pa.array(shard)], names=["fp", "shard"])
+    tree = vantage_tree(sample.view(np.uint64), total / max(1, len(sample)), depth)
+
+    def dealt(blocks: dict[int, int] | None):
+        def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                points = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+                at, shard = placed(tree, points.view(np.uint64))
+                if blocks is None:
+                    yield pa.record_batch([pa.array(shard)], names=["shard"])
+                    continue
+                parts = np.array([blocks.get(s, 1) for s in shard.tolist()], dtype=np.int64)
+                own = ((points[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+                each = np.repeat(np.arange(len(at)), parts)
+                other = np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts)
+                columns = [points[at][each], shard[each], np.minimum(own[each], other), np.maximum(own[each], other)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["fp", "shard", "one", "two"])
+
+        return deal
 
     def stars(group: pd.DataFrame) -> pd.DataFrame:
         points = np.sort(group["fp"].to_numpy(dtype=np.int64))
@@ -157,13 +170,10 @@ def links(fps: DataFrame) -> DataFrame:
         inner = np.nonzero(parent != np.arange(len(points)))[0]
         return pd.DataFrame({"a": points[inner], "b": points[parent[inner]]})
 
-    dealt = fps.mapInArrow(deal, "fp long, shard long")
-    # at most a few thousand shards, whatever the table holds
-    sizes = dealt.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("_blocks"))
-    cut = dealt.join(F.broadcast(sizes), "shard").withColumn("_own", F.pmod(F.xxhash64("fp", F.lit(7)), "_blocks").cast("int"))
-    beside = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    pairs = cut.select("fp", "shard", "_own", beside).select("fp", "shard", F.least("_own", "_other").alias("one"), F.greatest("_own", "_other").alias("two"))
-    tasks = int(sizes.agg(F.sum(F.col("_blocks") * (F.col("_blocks") + 1) / 2)).first()[0] or 1)
+    sizes = fps.mapInArrow(dealt(None), "shard long").groupBy("shard").count().collect() if depth else []
+    blocks = {r["shard"]: -(-r["count"] // MOST_ROWS) for r in sizes}
+    tasks = sum(b * (b + 1) // 2 for b in blocks.values()) or 1
+    pairs = fps.mapInArrow(dealt(blocks), "fp long, shard long, one long, two long")
     # as many partitions as tasks: their work is far more than their bytes, so they are not to be coalesced
     return pairs.repartition(min(tasks, MOST_TASKS), "shard", "one", "two").groupBy("shard", "one", "two").applyInPandas(stars, "a long, b long")
 

@@ -50,9 +50,12 @@ def test_groups_of_documents(spark):
     assert [got[r.doc_id].fp & (1 << 64) - 1 for r in rows] == prints.tolist()
 
 
-def test_links_over_many_shards(spark, monkeypatch):
-    """Close fingerprints with a tree of many levels, in tasks that split on, equal all pairs."""
+@pytest.mark.parametrize("most", [65_536, 150])
+def test_links_over_many_shards(spark, monkeypatch, most):
+    """Close fingerprints with a tree of many levels, in tasks that split on or take pairs of blocks, equal all pairs."""
+    monkeypatch.setattr(simhash, "HOME", 64)
     monkeypatch.setattr(simhash, "SHARD", 64)
+    monkeypatch.setattr(simhash, "MOST_ROWS", most)
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     flips = [np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in rng.integers(0, 7, 1500)]
