@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from florilege.functions import rules
+from florilege.functions.json_fields import strip_fences
 from florilege.functions.text import fingerprint, jaccard, norm_text, short_sha, stem_cover, stems
 from florilege.operators.primitives import newest_per_key, numbered, quantile_bucket, running, top_per_key
 from florilege.operators.similarity import NO_KEYS, best_primary, greedy_primaries, keyed, met, prefix_keys, scored_pairs, single_key, token_counts
@@ -114,22 +116,128 @@ def dedup_topk(rows: DataFrame, owner: str, order: str, text: str, k: int, thres
     return top_per_key(dedup_texts(rows, [owner], order, text, threshold, known=known), [owner], [F.asc(order)], k)
 
 
-def merge_points(rows: DataFrame, owner: Sequence[str], order: str, text: str, threshold: float = 0.45) -> DataFrame:
-    """Each point joins the most similar kept sentence before it or becomes one: ``(order, sentence)``."""
-    members, units = _text_units(rows, owner, order, text, None, threshold)
-    kept = greedy_primaries(units, "unit", "keys", ["owner", "s", "q"], _same_text(threshold))
-    best = best_primary(members, "unit", units, "keys", ["owner", "s", "q"], kept, _same_text(threshold), "ord")
+def merge_points(rows: DataFrame, owner: Sequence[str], order: str, text: str, threshold: float = 0.45, originals: DataFrame | None = None) -> DataFrame:
+    """Each point joins the most similar sentence there or becomes one: ``(order, sentence, merged)``.
+
+    Sentences are the ``originals`` (owner, order, text) of the place, which all stay, and points kept before; of equally
+    similar ones the first. ``order`` numbers originals and points, each owner's originals before its points.
+    """
+    payload, score = ["owner", "s", "q"], _same_text(threshold)
+    if originals is None:
+        members, units = _text_units(rows, owner, order, text, None, threshold)
+        kept = greedy_primaries(units, "unit", "keys", payload, score)
+        best = best_primary(members, "unit", units, "keys", payload, kept, score, "ord")
+        return best.select(F.col("ord").alias(order), F.coalesce("duplicate_of", "ord").alias("sentence"), F.col("duplicate_of").isNotNull().alias("merged"))
+    columns = [*owner, order, text]
+    members, units = _text_units(originals.select(*columns).unionByName(rows.select(*columns)), owner, order, text, None, threshold)
+    first = originals.select(F.col(order).alias("ord"))
+    members = cut_lineage(members)
+    there = cut_lineage(members.join(first, "ord", "left_semi").select("unit").distinct())
+    open_units = units.join(there, "unit", "left_anti")
+    pairs = met(keyed(units.join(there, "unit"), "unit", "keys", "a"), keyed(open_units, "unit", "keys", "b"), "unit")
+    struck = scored_pairs(pairs, units, units, "unit", payload, score).select(F.col("b_unit").alias("unit")).distinct()
+    free = open_units.join(struck, "unit", "left_anti")
+    kept = cut_lineage(there.unionByName(greedy_primaries(free, "unit", "keys", payload, score)))
+    best = best_primary(members, "unit", units, "keys", payload, kept, score, "ord").join(first, "ord", "left_anti")
     return best.select(F.col("ord").alias(order), F.coalesce("duplicate_of", "ord").alias("sentence"), F.col("duplicate_of").isNotNull().alias("merged"))
 
 
-def merge_repair(sentences: DataFrame, points: DataFrame, slot: str, least: float = 0.5) -> DataFrame:
+#: Lengths of a sentence, marks of markup, shares of stems: new ones a sentence may bring, of a point it cites
+#: and is told to cite, of an original that must be kept.
+SENTENCE_CHARS = (3, 700)
+MARKUP = r"(?i)<[a-z/!]"
+NOVEL, CITES, TOLD_CITES, KEEPS = 0.4, 0.5, 0.25, 0.6
+
+
+def telling(text: Column) -> Column:
+    """Stems of a text but those that only link a paraphrase."""
+    return F.array_except(stems(text, 5), F.array(*[F.lit(x) for x in rules.LINKING_STEMS]))
+
+
+def _numbers(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("."))))
+
+
+def _unsupported(sentences: DataFrame, base: DataFrame, slot: str) -> DataFrame:
+    """(slot, sentence) of sentences that are not faithful to all texts ``base`` (slot, text) of their slot together.
+
+    Stems and numbers of a slot are distinct rows, and sentences meet them on equality, so a slot may have any number
+    of texts. A number counts as there if it is part of a run of digits and points of one of them.
+    """
+    said = sentences.select(slot, "sentence", F.explode_outer(telling(F.col("text"))).alias("k"))
+    known = base.select(slot, F.explode(telling(F.col("text"))).alias("k")).distinct().withColumn("_there", F.lit(1))
+    novel = said.join(known, [slot, "k"], "left").groupBy(slot, "sentence").agg(F.count("k").alias("_n"), F.count(F.when(F.col("k").isNotNull() & F.col("_there").isNull(), 1)).alias("_new"))
+    far = novel.filter(F.col("_new") > F.greatest(F.lit(1.0), NOVEL * F.col("_n"))).select(slot, "sentence")
+    runs = base.select(slot, F.explode(F.regexp_extract_all(F.replace("text", F.lit(","), F.lit(".")), F.lit("[0-9.]*[0-9][0-9.]*"), F.lit(0))).alias("run")).distinct()
+    # a number is met by its first three signs at any place of a run, then compared
+    starts = runs.select(slot, "run", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda w: F.substring("run", i, w)))))).alias("head"))
+    asked = sentences.select(slot, "sentence", F.explode(_numbers(F.col("text"))).alias("n")).withColumn("head", F.left("n", F.lit(3)))
+    found = asked.join(starts, [slot, "head"]).filter(F.col("run").contains(F.col("n"))).select(slot, "sentence", "n").distinct()
+    strange = asked.join(found, [slot, "sentence", "n"], "left_anti").select(slot, "sentence")
+    return far.unionByName(strange).distinct()
+
+
+def apply_merge_answers(answers: DataFrame, originals: DataFrame, points: DataFrame, slot: str) -> tuple[DataFrame, DataFrame]:
+    """A model's merged text repaired: rows ``(slot, place, kind, text, cited)``, and one row per slot.
+
+    ``answers`` hold ``(slot, answer)``, JSON ``{"zdania": [{"tekst", "z"}], "nie_pasuje": [...]}``; ``originals`` ``(slot, unit,
+    text)``; ``points`` ``(slot, point, text)``, numbered from 1 within the slot. A sentence with new stems or
+    numbers, markup or an odd length goes. A sentence cites the points it is told to and shares stems with, and those it
+    holds. Originals that the sentences together no longer hold come back, points neither cited nor set aside are
+    added. The answer is ``refused`` where it is no JSON, no sentence is left or more than half of them go.
+
+    The row of a slot is ``(slot, state, sentences, dropped, lost, missing, aside)``. ``kind`` is sentence, original or point.
+    """
+    whole = F.try_parse_json(strip_fences(F.col("answer")))
+    read = cut_lineage(answers.select(slot, whole.alias("_v")))
+    numbers = lambda v: F.transform(F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array_compact(F.array(F.try_variant_get(v, "$", "string"))), F.array().cast("array<string>")), lambda x: F.regexp_extract(x, r"^\s*[Pp]*(\d{1,9})\s*$", 1).try_cast("int"))
+    listed = F.try_variant_get("_v", "$.zdania", "array<variant>")
+    told = read.select(slot, F.posexplode(listed).alias("sentence", "_s")).filter(F.schema_of_variant("_s").startswith("OBJECT"))
+    text = F.trim(F.regexp_replace(F.coalesce(F.try_variant_get("_s", "$.tekst", "string"), F.lit("")), r"\s+", " "))
+    said = cut_lineage(told.select(slot, "sentence", text.alias("text"), F.array_compact(numbers(F.try_variant_get("_s", "$.z", "variant"))).alias("_z")))
+    base = originals.select(slot, "text").unionByName(points.select(slot, "text"))
+    well = F.length("text").between(*SENTENCE_CHARS) & ~F.col("text").rlike(MARKUP)
+    kept = cut_lineage(said.filter(well).join(_unsupported(said, base, slot), [slot, "sentence"], "left_anti"))
+    sizes = said.groupBy(slot).agg(F.count("*").alias("sentences"))
+    left = kept.groupBy(slot).agg(F.count("*").alias("_left"))
+    state = read.select(slot).join(sizes, slot, "left").join(left, slot, "left").fillna(0, ["sentences", "_left"])
+    state = state.withColumn("dropped", F.col("sentences") - F.col("_left"))
+    refused = (F.col("_left") == 0) | (2 * F.col("dropped") > F.col("sentences"))
+    state = cut_lineage(state.select(slot, F.when(refused, "refused").otherwise("merged").alias("state"), "sentences", "dropped"))
+    good = cut_lineage(kept.join(state.filter("state = 'merged'").select(slot), slot))
+    # points held by a sentence, whatever it was told, and those it was told and shares a quarter of
+    held = merge_repair(good, points, slot, CITES, telling).filter("how = 'cited'").select(slot, "sentence", "point")
+    meant = good.select(slot, "sentence", F.explode("_z").alias("point")).distinct()
+    both = meant.join(good.select(slot, "sentence", F.col("text").alias("_a")), [slot, "sentence"]).join(points.select(slot, "point", F.col("text").alias("_b")), [slot, "point"])
+    cited = cut_lineage(held.unionByName(both.filter(F.size(F.array_intersect(telling(F.col("_a")), telling(F.col("_b")))) >= TOLD_CITES * F.size(telling(F.col("_b")))).select(slot, "sentence", "point")).distinct())
+    # originals against all sentences together: distinct stems of the slot
+    ours = originals.join(state.filter("state = 'merged'").select(slot), slot)
+    spoken = good.select(slot, F.explode(telling(F.col("text"))).alias("k")).distinct().withColumn("_there", F.lit(1))
+    each = ours.select(slot, "unit", F.explode(telling(F.col("text"))).alias("k")).join(spoken, [slot, "k"], "left")
+    lost = each.groupBy(slot, "unit").agg(F.count("*").alias("_n"), F.count("_there").alias("_h")).filter(F.col("_h") < KEEPS * F.col("_n")).select(slot, "unit")
+    lost = cut_lineage(ours.join(lost, [slot, "unit"]))
+    aside = read.select(slot, F.explode(numbers(F.try_variant_get("_v", "$.nie_pasuje", "variant"))).alias("point")).distinct()
+    unused = points.join(state.filter("state = 'merged'").select(slot), slot).join(cited.select(slot, "point").distinct(), [slot, "point"], "left_anti")
+    missing = cut_lineage(unused.join(aside, [slot, "point"], "left_anti"))
+    put = unused.join(aside, [slot, "point"], "left_semi").groupBy(slot).agg(F.array_sort(F.collect_list("point")).alias("aside"))
+    lists = cited.groupBy(slot, "sentence").agg(F.array_sort(F.collect_list(F.col("point").cast("int"))).alias("cited"))
+    none = F.array().cast("array<int>")
+    rows = good.join(lists, [slot, "sentence"], "left").select(slot, F.col("sentence").cast("long").alias("place"), F.lit("sentence").alias("kind"), "text", F.coalesce("cited", none).alias("cited"))
+    rows = rows.unionByName(lost.select(slot, F.col("unit").cast("long").alias("place"), F.lit("original").alias("kind"), "text", none.alias("cited")))
+    rows = rows.unionByName(missing.select(slot, F.col("point").cast("long").alias("place"), F.lit("point").alias("kind"), "text", F.array(F.col("point").cast("int")).alias("cited")))
+    count = lambda df, name: df.groupBy(slot).agg(F.count("*").alias(name))
+    per = state.join(count(lost, "lost"), slot, "left").join(count(missing, "missing"), slot, "left").join(put, slot, "left").fillna(0, ["lost", "missing"])
+    return rows, per.select(slot, "state", "sentences", "dropped", "lost", "missing", F.coalesce(F.col("aside").cast("array<int>"), none).alias("aside"))
+
+
+def merge_repair(sentences: DataFrame, points: DataFrame, slot: str, least: float = 0.5, of: Callable[[Column], Column] = lambda text: stems(text, 5)) -> DataFrame:
     """Citations recomputed by coverage: sentences of a slot with the points they hold, and points left over.
 
     ``sentences`` holds ``(slot, sentence, text)``, ``points`` ``(slot, point, text)``. A sentence that holds the share
     ``least`` of a point's stems holds one of its rarest, so both meet on those only and are then counted.
     """
-    s = cut_lineage(sentences.select(slot, "sentence", stems(F.col("text"), 5).alias("_s")))
-    p = cut_lineage(points.select(slot, "point", stems(F.col("text"), 5).alias("_p")))
+    s = cut_lineage(sentences.select(slot, "sentence", of(F.col("text")).alias("_s")))
+    p = cut_lineage(points.select(slot, "point", of(F.col("text")).alias("_p")))
     each = s.select(slot, "sentence", F.explode("_s").alias("_k"))
     counts = each.groupBy(slot, "_k").agg(F.count("*").alias("_df"))
     ranked = p.select(slot, "point", F.explode("_p").alias("_k")).join(counts, [slot, "_k"], "left")
@@ -361,7 +469,3 @@ def suggested_moves(points: DataFrame, point: str, entity: str, moves: DataFrame
     allowed = top_per_key(fresh, [entity], [F.asc("place")], new_places).select(entity, "place", F.lit(True).alias("_ok"))
     good = m.join(allowed, [entity, "place"], "left").filter(F.col("place").isin(*places) | F.coalesce("_ok", F.lit(False)))
     return points.join(good.select(point, F.col("place").alias("_move")), point, "left").withColumn("place", F.coalesce("_move", "place")).drop("_move")
-
-
-def covered_share(text: Column, by: Column) -> Column:
-    return stem_cover(text, by)

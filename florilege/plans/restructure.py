@@ -70,8 +70,24 @@ def route_override(t: Tables):
 
 @query("merge_points")
 def merge_points(t: Tables):
-    rows = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("nr"), F.col("conv_id").cast("string").alias("slot"), "text")
-    return K.merge_points(rows, ["slot"], "nr", "text")
+    """What users say joins what the assistant said, which is there first."""
+    rows = t.conversations.select((F.col("conv_id") * 100 + F.col("turn") + F.when(F.col("role") == "user", 50).otherwise(0)).alias("nr"), F.col("conv_id").cast("string").alias("slot"), "role", "text")
+    return K.merge_points(rows.filter("role = 'user'"), ["slot"], "nr", "text", originals=rows.filter("role <> 'user'"))
+
+
+@query("merge_answers")
+def merge_answers(t: Tables):
+    """Each document's answer is its own first sentence, a mixed one and one of another document, cited by number."""
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("slot"), "doc_id", X.sentences(F.regexp_replace("text", r"\s+", " ")).alias("s")).filter(F.size("s") >= 3)
+    originals = docs.select("slot", F.posexplode(F.slice("s", 1, 2)).alias("unit", "text"))
+    points = docs.select("slot", F.posexplode(F.slice("s", F.lit(3), F.size("s"))).alias("_p", "text")).select("slot", (F.col("_p") + 1).alias("point"), "text")
+    said = lambda text, z: F.struct(text.alias("tekst"), F.array(z).alias("z"))
+    strange = F.when(F.col("doc_id") % 3 == 0, F.lit("Entirely other words about 12345678901 quite unrelated matters here.")).otherwise(F.get("s", F.lit(2)))
+    rows = F.array(said(F.get("s", F.lit(0)), F.lit("7")), said(F.concat(F.get("s", F.lit(0)), F.lit(" "), F.get("s", F.lit(2))), F.lit("P1")), said(strange, F.lit("1")))
+    answer = F.to_json(F.struct(rows.alias("zdania"), F.array(F.lit(2)).alias("nie_pasuje")))
+    answers = docs.select("slot", F.when(F.col("doc_id") % 7 == 0, "no answer").otherwise(answer).alias("answer"))
+    _, slots = K.apply_merge_answers(answers, originals, points, "slot")
+    return slots.select("slot", "state", "sentences", "dropped", "lost", "missing", F.size("aside").alias("aside"))
 
 
 @query(

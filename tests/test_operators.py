@@ -1,5 +1,6 @@
 """Small literal cases for rules that SQL cannot state, and brute-force twins of the greedy passes."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -146,6 +147,62 @@ def test_inserts_of_one_group_of_a_third_of_the_rows(spark):
     assert max(r.merged for r in got) >= 300
 
 
+ORIGINAL = ["Leczenie łagodnych stanów depresyjnych i lękowych.", "Działa żółciopędnie i rozkurczowo."]
+POINTS = ["Napar z ziela działa żółciopędnie.", "Stosowany na oparzenia skóry."]
+
+
+def merged(spark, answers, originals=ORIGINAL, points=POINTS):
+    """Slots named by the answers; rows as (kind, text, cited) by slot, and the slot's own row."""
+    a = spark.createDataFrame(list(answers.items()), "slot string, answer string")
+    o = spark.createDataFrame([(s, i, t) for s in answers for i, t in enumerate(originals)], "slot string, unit int, text string")
+    p = spark.createDataFrame([(s, i, t) for s in answers for i, t in enumerate(points, 1)], "slot string, point int, text string")
+    rows, slots = K.apply_merge_answers(a, o, p, "slot")
+    told = {s: [] for s in answers}
+    for r in sorted(rows.collect(), key=lambda r: (["sentence", "original", "point"].index(r.kind), r.place)):
+        told[r.slot].append((r.kind, r.text, r.cited))
+    return told, {r.slot: r for r in slots.collect()}
+
+
+def test_answers_are_repaired(spark):
+    whole = " ".join(ORIGINAL)
+    said = lambda *rows, aside=(): json.dumps({"zdania": [{"tekst": t, "z": z} for t, z in rows], "nie_pasuje": list(aside)})
+    answers = {
+        "fine": said((ORIGINAL[0], []), ("Działa żółciopędnie (także napar z ziela) i rozkurczowo.", ["P1"]), aside=[2]),
+        "wrong number": "```json\n" + said((whole, []), (POINTS[0], 2), aside=["2"]) + "\n```",
+        "lost": said((POINTS[0], [1])),
+        "invented": said((whole, []), (POINTS[0], [1]), ("Leczy też cukrzycę i nowotwory trzustki u dzieci.", [2]), ("Na oparzenia skóry<script>.", [2])),
+        "number": said((whole, []), (POINTS[0], [1]), ("Napar z ziela działa żółciopędnie od 1990 roku.", [1])),
+        "junk": said(("Roślina rośnie na Marsie od 1990 roku.", [1]), ("Leczy wszystkie choroby świata natychmiast.", [2])),
+        "no json": "to nie jest JSON",
+        "empty": "{}",
+        "null": None,
+    }
+    told, slots = merged(spark, answers)
+    assert told["fine"] == [("sentence", ORIGINAL[0], []), ("sentence", "Działa żółciopędnie (także napar z ziela) i rozkurczowo.", [1])]
+    assert (slots["fine"].dropped, slots["fine"].lost, slots["fine"].missing, slots["fine"].aside) == (0, 0, 0, [2])
+    assert told["wrong number"][-1] == ("sentence", POINTS[0], [1]) and slots["wrong number"].aside == [2]
+    assert ("original", ORIGINAL[0], []) in told["lost"] and ("point", POINTS[1], [2]) in told["lost"] and slots["lost"].lost >= 1
+    texts = " ".join(t for _, t, _ in told["invented"])
+    assert "cukrzyc" not in texts and "<script" not in texts and POINTS[1] in texts and slots["invented"].dropped == 2
+    assert [t for k, t, _ in told["number"] if k == "sentence"] == [whole, POINTS[0]]
+    for s in ("junk", "no json", "empty", "null"):
+        assert slots[s].state == "refused" and told[s] == [], s
+
+
+def test_paraphrase_is_faithful_to_several_sources(spark):
+    told, slots = merged(spark, {"s": json.dumps({"zdania": [{"tekst": "Garbniki występują w stężeniu ok. 6% w liściach.", "z": [1]}]})}, [], ["Garbniki (ok. 6%)", "Liście zawierają około 6,5% garbników."])
+    assert slots["s"].state == "merged" and told["s"][0][0] == "sentence"
+
+
+def test_points_join_the_originals(spark):
+    originals = ["Ziele zbierano w noc świętojańską i wieszano w oknach.", "Ziele zbierano w noc świętojańską i wieszano w oknach domu."]
+    points = ["Ziele zbierano w noc świętojańską i wieszano w oknach domów.", "Nazwa pochodzi od kropek widocznych na liściach pod światło.", "Nazwa pochodzi od kropek na liściach, widocznych pod światło."]
+    o = spark.createDataFrame([("x", i, t) for i, t in enumerate(originals)], "slot string, nr long, text string")
+    p = spark.createDataFrame([("x", 10 + i, t) for i, t in enumerate(points)] + [("y", 20, points[0])], "slot string, nr long, text string")
+    got = {r.nr: (r.sentence, r.merged) for r in K.merge_points(p, ["slot"], "nr", "text", originals=o).collect()}
+    assert got == {10: (got[10][0], True), 11: (11, False), 12: (11, True), 20: (20, False)} and got[10][0] in (0, 1)
+
+
 def test_versions_outlive_a_restart(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "k string, n long")
     first = VersionedTable(spark, str(tmp_path / "t"), "k string, n long", ["k"], parts=4)
