@@ -23,18 +23,18 @@ def number_sources(facts: DataFrame, entity: str, url: str, lang: str) -> DataFr
     """Distinct sources of each entity numbered from 1: encyclopedia first, Polish first, then by address."""
     wiki = F.when(F.contains(F.col(url), F.lit("wikipedia.org")), 0).otherwise(1)
     first = facts.filter(F.coalesce(url, F.lit("")) != "").groupBy(entity, url).agg(F.min(lang).alias(lang))
-    keyed = first.withColumn("_o", F.struct(wiki.alias("w"), F.when(F.col(lang) == "pl", 0).otherwise(1).alias("p"), F.col(url).alias("u")))
-    bucket = F.struct(F.col("_o.w"), F.col("_o.p"), F.left("_o.u", F.lit(16)))
-    return numbered(keyed, [entity], [F.asc("_o")], bucket, "nr").drop("_o")
+    keyed = cut_lineage(first.withColumns({"_w": wiki, "_p": F.when(F.col(lang) == "pl", 0).otherwise(1)}))
+    order = ["_w", "_p", url]
+    return numbered(keyed, [entity], [F.asc(c) for c in order], quantile_bucket(keyed, order), "nr").drop("_w", "_p")
 
 
 def section_layout(facts: DataFrame, entity: str, fact: str, sections: Sequence[str], default: str) -> DataFrame:
     """Facts in page order: fixed section order, then part and first source; unknown sections fall to a default."""
     known = F.when(F.col("section").isin(*sections), F.col("section")).otherwise(default)
     place = F.array_position(F.array(*[F.lit(s) for s in sections]), known)
-    rows = facts.withColumn("section", known).withColumn("_o", F.struct(place.alias("s"), F.coalesce("part", F.lit("")).alias("p"), F.col("source").alias("n"), F.col(fact).alias("f")))
-    out = numbered(rows, [entity], [F.asc("_o")], F.struct(F.col("_o.s"), F.col("_o.p")), "place")
-    return out.drop("_o")
+    rows = cut_lineage(facts.withColumn("section", known).withColumns({"_s": place, "_p": F.coalesce("part", F.lit(""))}))
+    order = ["_s", "_p", "source", fact]
+    return numbered(rows, [entity], [F.asc(c) for c in order], quantile_bucket(rows, order), "place").drop("_s", "_p")
 
 
 def collect_points(points: DataFrame, entity: str, order: Sequence[str], bucket: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.operators.primitives import count_where, newest_per_key, numbered, running, top_per_key
+from florilege.operators.primitives import count_where, newest_per_key, numbered, quantile_bucket, running, top_per_key
 from florilege.session import cut_lineage
 
 
@@ -67,11 +67,11 @@ def circuit_breaker(rows: DataFrame, key: str, order: Sequence[str], same: Seque
 def choose_threshold(rows: DataFrame, confidence: Column, correct: Column, target: float, least: int = 20) -> DataFrame:
     """Lowest confidence whose rows at or above it reach the target accuracy; 1.01 when there is none.
 
-    Rows are first grouped by confidence, so ties stay together; the running sums go over buckets of confidence.
+    Rows are first grouped by confidence, so ties stay together; the running sums go over its quantiles.
     """
     per = rows.groupBy(confidence.alias("conf")).agg(F.count("*").alias("n"), count_where(correct).alias("ok"))
     total = per.agg(F.sum("n").alias("total"))
-    cum = running(per, [], [F.desc("conf")], -F.floor(F.col("conf") * 100), {"cum_n": ("sum", F.col("n")), "cum_ok": ("sum", F.col("ok"))})
+    cum = running(per, [], [F.desc("conf")], -quantile_bucket(per, ["conf"]), {"cum_n": ("sum", F.col("n")), "cum_ok": ("sum", F.col("ok"))})
     fits = cum.filter((F.col("cum_n") >= least) & (F.col("cum_ok") / F.col("cum_n") >= target))
     best = fits.agg(F.min_by(F.struct("conf", "cum_n", "cum_ok"), "conf").alias("b"))
     return best.crossJoin(total).select(  # one row each

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from florilege.operators import ranking as R
 from florilege.plans.aggregates import SLOTS_SQL, cover
+from florilege.operators.primitives import quantile_bucket
 from florilege.plans.registry import Tables, query
 from florilege.plans.sequences import ntz
 from florilege.plans.standins import cte, standin
@@ -205,7 +206,8 @@ def gap_queries(t: Tables):
     z AS (SELECT query, i // 2 AS grp, 0 AS late, i % 2 AS nr FROM k UNION ALL SELECT query, i, 1, 0 FROM g) SELECT query FROM z ORDER BY grp, late, nr LIMIT 60""",
 )
 def template_queries(t: Tables):
-    names = R.rank_all(t.part.select(F.col("p_name").alias("name")).distinct(), [F.asc("name")], F.left("name", F.lit(1)))
+    names = t.part.select(F.col("p_name").alias("name")).distinct()
+    names = R.rank_all(names, [F.asc("name")], quantile_bucket(names, ["name"]))
     names = names.select("name", (F.col("rank") - 1).alias("pos"))
     used = t.part.filter("p_size > 45").select(F.concat("p_name", F.lit(" Syrup")).alias("query"))
     return R.template_queries(names, ["tincture", "ointment", "syrup"], ["folk remedies", "old recipes", "tincture", "ointment", "syrup"], used, 60)
@@ -213,7 +215,7 @@ def template_queries(t: Tables):
 
 @query(
     "topic_queries",
-    """WITH s AS (SELECT user_id AS entity, CASE event_type WHEN 'view' THEN 'lead' WHEN 'click' THEN 'concept' WHEN 'error' THEN 'archive' END AS stream, event_id AS query FROM events WHERE event_type IN ('view', 'click', 'error') AND value < 15),
+    """WITH s AS (SELECT user_id AS entity, CASE event_type WHEN 'view' THEN 'lead' WHEN 'click' THEN 'concept' WHEN 'error' THEN 'archive' END AS stream, event_id AS query FROM events WHERE event_type IN ('view', 'click', 'error')),
     r AS (SELECT *, row_number() OVER (PARTITION BY entity, stream ORDER BY query) AS rn FROM s), c AS (SELECT entity, count(*) FILTER (stream = 'lead') AS nl, count(*) FILTER (stream = 'concept') AS nc, count(*) FILTER (stream = 'archive') AS na FROM s GROUP BY entity),
     w AS (SELECT entity, nl, nc, na, 0 AS n, 0 AS l, 0 AS c, 0 AS a, CAST(NULL AS VARCHAR) AS pick FROM c)
     SELECT CAST(x.entity AS BIGINT) AS entity, place, r.query::VARCHAR AS query FROM (
@@ -224,7 +226,7 @@ def template_queries(t: Tables):
 )
 def topic_queries(t: Tables):
     stream = F.when(F.col("event_type") == "view", "lead").when(F.col("event_type") == "click", "concept").when(F.col("event_type") == "error", "archive")
-    rows = t.events.filter("value < 15").select(F.col("user_id").alias("entity"), stream.alias("stream"), F.col("event_id").alias("rank"), F.col("event_id").cast("string").alias("query"))
+    rows = t.events.select(F.col("user_id").alias("entity"), stream.alias("stream"), F.col("event_id").alias("rank"), F.col("event_id").cast("string").alias("query"))
     return R.interleave(rows.filter("stream IS NOT NULL"), "entity", 8)
 
 
@@ -278,11 +280,11 @@ def char_budget_sections(t: Tables):
 
 @query(
     "recency_narrow",
-    """WITH k AS (SELECT o_orderkey % 500 AS task, o_custkey AS entity FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00'), l AS (SELECT DISTINCT * FROM k WHERE entity NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1999-06-01 00:00:00'))
+    """WITH k AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS task, o_custkey AS entity FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00'), l AS (SELECT DISTINCT * FROM k WHERE entity NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1999-06-01 00:00:00'))
     SELECT task, entity, count(*) OVER (PARTITION BY task) AS left FROM l""",
 )
 def recency_narrow(t: Tables):
-    tasks = t.orders.filter("o_orderdate < TIMESTAMP_NTZ '1996-01-01 00:00:00'").select((F.col("o_orderkey") % 500).alias("task"), F.col("o_custkey").alias("entity")).distinct()
+    tasks = t.orders.filter("o_orderdate < TIMESTAMP_NTZ '1996-01-01 00:00:00'").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("task"), F.col("o_custkey").alias("entity")).distinct()
     recent = t.orders.filter("o_orderdate >= TIMESTAMP_NTZ '1999-06-01 00:00:00'").select(F.col("o_custkey").alias("entity"))
     return R.recency_narrow(tasks, "task", "entity", recent).select("task", "entity", "left")
 

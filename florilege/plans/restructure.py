@@ -197,7 +197,7 @@ def derived_slots(t: Tables):
 @query("palette_build")
 def palette_build(t: Tables):
     items = t.supplier.select(F.col("s_suppkey").alias("item"))
-    mapping = items.filter("item < 20").select("item", F.concat(F.lit("src"), F.col("item").cast("string")).alias("source"))
+    mapping = items.select("item", F.concat(F.lit("src"), F.col("item").cast("string")).alias("source"))
     return K.palette_build(items, "item", mapping, t.documents.select("source", "doc_id", "text"), "source", "doc_id", "text", F.contains("text", F.lit("!!")), 5).select("item", "kind", "doc_id")
 
 

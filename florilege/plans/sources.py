@@ -41,14 +41,16 @@ def json_doc_scan(t: Tables):
 
 @query(
     "recipe_store_scan",
-    """SELECT o_orderkey % 200 AS id, min(o_orderpriority || o_orderkey % 200) AS tytul FROM orders WHERE o_orderkey % 200 IN (SELECT DISTINCT o_orderkey % 200 FROM orders) GROUP BY 1""",
+    """SELECT o_orderkey AS id, min(o_orderpriority || o_orderkey) AS tytul FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1""",
 )
 def recipe_store_scan(t: Tables):
     """Records in files that hold a list or an object with a list; the first file wins."""
     folder = scratch_folder(t.spark, "stores")
-    rec = t.orders.select((F.col("o_orderkey") % 200).alias("id"), F.concat("o_orderpriority", (F.col("o_orderkey") % 200).cast("string")).alias("tytul"), F.left("o_orderpriority", F.lit(1)).alias("file")).distinct()
-    lists = rec.groupBy("file").agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "tytul")))).alias("value"))
-    wrapped = lists.withColumn("value", F.when(F.col("file") > "2", F.concat(F.lit('{"przepisy":'), "value", F.lit("}"))).otherwise(F.col("value")))
+    rec = t.orders.select(F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).alias("tytul"), F.floor(F.col("o_orderkey") / 1000).alias("file"), F.when(F.col("o_orderkey") % 7 == 0, True).alias("wzmianka")).distinct()
+    lists = rec.groupBy("file").agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "tytul", "wzmianka")))).alias("value"))
+    # the key of the list has any name; what stands before it is no list, what stands behind it is not the first
+    inside = F.concat(F.lit('{"wersja":2,"zrodlo":{"a":[0]},"lista'), F.col("file").cast("string"), F.lit('":'), "value", F.lit(',"archiwum":[{"id":-1}]}'))
+    wrapped = lists.withColumn("value", F.when(F.col("file") % 2 == 1, inside).otherwise(F.col("value")))
     wrapped.repartition("file").write.partitionBy("file").text(folder)
     out = A.record_stores(t.spark, folder)
     return out.select(F.try_variant_get("rec", "$.id", "long").alias("id"), F.try_variant_get("rec", "$.tytul", "string").alias("tytul"))
@@ -149,11 +151,11 @@ def counter_upsert(t: Tables):
 
 @query(
     "page_refresh_upsert",
-    """SELECT page_id, CASE WHEN page_id >= 200 THEN 'raw' WHEN page_id % 3 = 0 AND page_id >= 50 THEN 'raw' ELSE CASE page_id % 3 WHEN 0 THEN 'error' ELSE 'approved' END END AS status, CASE WHEN page_id >= 200 OR (page_id % 3 = 0 AND page_id >= 50) THEN 'new' ELSE 'old' END AS body FROM pages""",
+    """SELECT page_id, CASE WHEN fresh THEN 'raw' WHEN page_id % 3 = 0 THEN 'error' ELSE 'approved' END AS status, CASE WHEN fresh THEN 'new' ELSE 'old' END AS body FROM (SELECT page_id, page_id % 5 = 0 OR (page_id % 3 = 0 AND page_id % 4 <> 0) AS fresh FROM pages WHERE page_id % 5 <> 0 OR page_id % 4 <> 0)""",
 )
 def page_refresh_upsert(t: Tables):
-    stored = t.pages.filter("page_id < 200").select("page_id", F.when(F.col("page_id") % 3 == 0, "error").otherwise("approved").alias("status"), F.lit("old").alias("body"))
-    fetched = t.pages.filter("page_id >= 50").select("page_id", F.lit("new").alias("body"))
+    stored = t.pages.filter("page_id % 5 <> 0").select("page_id", F.when(F.col("page_id") % 3 == 0, "error").otherwise("approved").alias("status"), F.lit("old").alias("body"))
+    fetched = t.pages.filter("page_id % 4 <> 0").select("page_id", F.lit("new").alias("body"))
     return A.refresh_pages(stored, fetched, "page_id", ["body"])
 
 

@@ -23,16 +23,17 @@ def json_documents(spark: SparkSession, folder: str, entity: str = FILE_STEM) ->
 
 
 def record_stores(spark: SparkSession, folder: str, title: str = "tytul") -> DataFrame:
-    """Records of files that hold a list, or an object whose first list is the list; templates and mentions drop out.
+    """Records of files that hold a list, or an object whose first list, whatever its key, is the list; templates and mentions drop out.
 
     Of records with one id, or one title where there is no id, the first file wins.
     """
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
     doc = F.try_parse_json("value")
-    rows = raw.select(F.col("_metadata.file_path").alias("path"), doc.alias("doc")).filter("doc IS NOT NULL")
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), "value", doc.alias("doc")).filter("doc IS NOT NULL")
     whole = F.try_variant_get("doc", "$", "array<variant>")
-    inner = F.try_variant_get("doc", "$.przepisy", "array<variant>")
-    each = rows.select("path", F.posexplode(F.coalesce(whole, inner)).alias("pos", "rec"))
+    values = F.map_values(F.from_json("value", "map<string,variant>"))
+    inner = F.try_variant_get(F.get(F.filter(values, lambda v: F.schema_of_variant(v).startswith("ARRAY")), F.lit(0)), "$", "array<variant>")
+    each = rows.select("path", F.posexplode(F.coalesce(whole, inner)).alias("pos", "rec")).filter(F.schema_of_variant("rec").startswith("OBJECT"))
     text = lambda k: F.try_variant_get("rec", f"$.{k}", "string")
     usable = each.filter(~F.contains("path", F.lit("szablon")) & (F.coalesce(text("wzmianka"), F.lit("false")) != "true"))
     key = F.coalesce(text("id"), norm_text(text(title)))
