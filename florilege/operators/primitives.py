@@ -13,8 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from florilege.session import cut_lineage
-
 _AGGREGATE = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
 
@@ -114,27 +112,3 @@ def count_where(condition: Column) -> Column:
 def share(part: Column, whole: Column) -> Column:
     """``part / whole`` as a double, 0 for an empty whole."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part.cast("double") / F.nullif(whole, F.lit(0)))
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``links`` (a, b): the smallest node reachable, itself included.
-
-    Alternating stars: each round points all larger neighbours of a node to its smallest one, then all smaller ones,
-    until nothing changes. A round is two aggregates and two joins on a node; a hot node is pre-aggregated in the
-    first and split by the adaptive skew join in the second. Every round is written to the checkpoint folder.
-    """
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == before:
-            break
-        before = state
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("m"))
-        large = both.join(low, both["a"] == low["k"]).where("b > k").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
-        small = large.join(least, large["a"] == least["k"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = cut_lineage(small.where("a <> b").distinct())
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -118,6 +118,9 @@ def eval_summary(t: Tables):
 
 @query(
     "selective_gate",
+    cte("decisions") + """, m AS (SELECT unnest(['task0', 'task1']) AS task, unnest([0.3, 0.6]) AS threshold, unnest([['en', 'de'], ['en']]) AS allowed, unnest([TRUE, FALSE]) AS active)
+    SELECT ref, d.task, predicted, CASE WHEN threshold IS NULL THEN 'no_model' WHEN NOT (confidence >= threshold AND list_contains(allowed, predicted)) THEN 'defer' WHEN NOT active THEN 'shadow'
+    WHEN CAST('0x' || left(md5('11|' || ref), 8) AS BIGINT) % 10000 < 1000 THEN 'audit' ELSE 'accept' END AS decision FROM decisions d LEFT JOIN m ON m.task = d.task""",
 )
 def selective_gate(t: Tables):
     models = t.spark.createDataFrame([("task0", 0.3, ["en", "de"], True), ("task1", 0.6, ["en"], False)], "task string, threshold double, allowed array<string>, active boolean")

@@ -274,7 +274,12 @@ def profile_rule_search(t: Tables):
     return H.rule_search(p, "page_id", "site", "html", {"blog": blog}, ["article .entry-content", ".post-content", "article", "main"])
 
 
-@query("link_graph")
+@query(
+    "link_graph",
+    r"""WITH e AS (SELECT DISTINCT url AS a, lower(regexp_extract(url, '^[a-z]+://[^/?#]*')) || regexp_extract(h, '^[^#]*') AS b FROM (SELECT url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS h FROM pages)),
+    d0 AS (SELECT DISTINCT url FROM pages), d1 AS (SELECT DISTINCT b AS url FROM e WHERE b NOT IN (SELECT url FROM d0)), d2 AS (SELECT DISTINCT e.b AS url FROM e JOIN d1 ON d1.url = e.a WHERE e.b NOT IN (SELECT url FROM d0 UNION SELECT url FROM d1))
+    SELECT CAST(depth AS INT) AS depth, count(*) AS n FROM (SELECT 0 AS depth, url FROM d0 UNION ALL SELECT 1, url FROM d1 UNION ALL SELECT 2, url FROM d2) GROUP BY 1""",
+)
 def link_graph(t: Tables):
     """Depth of every address reached from the pages within two links."""
     edges = H.link_edges(H.extract_pages(t.pages, "page_id", "url", "html"), "page_id", "url")
