@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html as entities
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -155,6 +155,26 @@ def answer_requests(requests: DataFrame, answer=None) -> DataFrame:
     return requests.mapInPandas(run, "key string, purpose string, prompt string, answer string, state string")
 
 
+def join_answers(requests: DataFrame, responses: DataFrame, problem: Callable[[Column], Column]) -> DataFrame:
+    """(*requests, answer, version, state, problem): each request with its newest answer that passes the check.
+
+    ``responses`` hold ``(key, version, answer)``, any number of versions per key; answers to no request are left out. ``problem``
+    says what is wrong with an answer, NULL for nothing. A request whose answers all fail is ``rejected`` with the newest
+    one's problem, so it can be asked again; one without an answer stays ``pending``.
+    """
+    told = responses.where(F.col("answer").isNotNull()).select("key", "version", "answer", problem(F.col("answer")).alias("problem"))
+    rank = F.struct(F.col("problem").isNull(), "version", "answer")
+    best = told.groupBy("key").agg(F.max_by(F.struct("answer", "version", "problem"), rank).alias("_a"))
+    state = F.when(F.col("_a").isNull(), "pending").when(F.col("_a.problem").isNull(), "answered").otherwise("rejected")
+    kept = F.when(state == "answered", F.col("_a.answer"))
+    return requests.join(best, "key", "left").select(*requests.columns, kept.alias("answer"), F.when(state == "answered", F.col("_a.version")).alias("version"), state.alias("state"), F.col("_a.problem").alias("problem"))
+
+
+def carry_over(requests: DataFrame, before: DataFrame) -> DataFrame:
+    """The requests that are new or still open: those an earlier round answered are not asked again."""
+    return requests.join(before.where("state = 'answered'").select("key"), "key", "left_anti")
+
+
 def _spoken(json: Column) -> Column:
     """JSON text whose strings may hold raw control characters."""
     return F.regexp_replace(json, "[\\x00-\\x1f]", " ")

@@ -203,3 +203,14 @@ def test_jsonld_at_any_depth(spark):
         assert (got[i].title, got[i].ingredients, got[i].steps, got[i].image, got[i]["yield"], got[i].complete) == ("Tea & Honey", ["1 cup water"], ["Boil.", "Steep."], "https://x/img.jpg", "2", True)
     assert (got[3].steps, got[3].ingredients, got[3].image, got[3].total_time) == (["Mix.", "2. Wait", "Serve"], ["a", "b"], "#i", "PT5M")
     assert got[5].steps == ["a", "b", "c", "d"] and got[5].title is None and not got[5].complete and got[8].title == "raw tab"
+
+
+def test_answers_beside_requests(spark):
+    requests = H.request_table(spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "p string"), "facts", F.col("p"))
+    keys = {r.prompt: r.key for r in requests.collect()}
+    assert len(keys) == 3
+    rows = [(keys["a"], 1, "old but good"), (keys["a"], 2, "bad"), (keys["b"], 1, "bad"), (keys["b"], 3, None), ("stranger", 1, "good")]
+    responses = spark.createDataFrame(rows, "key string, version int, answer string")
+    done = H.join_answers(requests, responses, lambda a: F.when(a == "bad", "no good")).cache()
+    assert {r.prompt: (r.state, r.answer, r.version, r.problem) for r in done.collect()} == {"a": ("answered", "old but good", 1, None), "b": ("rejected", None, None, "no good"), "c": ("pending", None, None, None)}
+    assert sorted(r.prompt for r in H.carry_over(requests, done).collect()) == ["b", "c"]
