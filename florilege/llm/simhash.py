@@ -22,8 +22,8 @@ from florilege.session import cut_lineage
 
 REACH = 4
 WORDS = 4
-#: Distinct fingerprints for each level of the tree to halve, and those, spill included, below which a node is not split.
-HOME, SHARD = 4096, 16_384
+#: Distinct fingerprints that a shard should hold at home.
+HOME = 4096
 #: Rows of a shard that one task takes whole, partitions that shards are dealt to, rows that a block compares directly.
 MOST_ROWS, MOST_TASKS, BLOCK = 65_536, 20_000, 768
 #: Most fingerprints that vantage points and medians are taken from; every fingerprint is then placed.
@@ -82,20 +82,20 @@ def _split(points: np.ndarray, tries: int = 6) -> tuple[np.uint64, int] | None:
     return best and (best[1], best[2])
 
 
-def vantage_tree(points: np.ndarray, rows: float, deepest: int = 40) -> list:
+def vantage_tree(points: np.ndarray, depth: int) -> list:
     """Nested [vantage, distance, inside, outside] over a sample with its spill; a leaf is None.
 
-    ``rows`` is how many rows a sampled point stands for. A node is split until it is expected to hold no more than a
-    shard, or is too few points to tell, or no cut parts it well.
+    A node is split to the depth asked for, by one rule at any size, unless it is too few points to tell or no cut parts
+    it well.
     """
-    cut = _split(points) if deepest and len(points) >= 16 and len(points) * rows > SHARD else None
+    cut = _split(points) if depth and len(points) >= 16 else None
     if cut is None:
         return None
     d = _distance(points, cut[0])
     inside, outside = points[d <= cut[1] + REACH], points[d > cut[1]]
     if len(inside) > 0.95 * len(points):
         return None
-    return [cut[0], cut[1], vantage_tree(inside, rows, deepest - 1), vantage_tree(outside, rows, deepest - 1)]
+    return [cut[0], cut[1], vantage_tree(inside, depth - 1), vantage_tree(outside, depth - 1)]
 
 
 def placed(tree: list | None, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +145,7 @@ def links(fps: DataFrame) -> DataFrame:
     depth = max(0, int(np.ceil(np.log2(max(1, total) / HOME))))
     few = fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect() if depth else []
     sample = np.array([r.fp for r in few], dtype=np.int64)
-    tree = vantage_tree(sample.view(np.uint64), total / max(1, len(sample)), depth)
+    tree = vantage_tree(sample.view(np.uint64), depth)
 
     def dealt(blocks: dict[int, int] | None):
         def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

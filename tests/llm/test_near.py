@@ -54,7 +54,6 @@ def test_groups_of_documents(spark):
 def test_links_over_many_shards(spark, monkeypatch, most):
     """Close fingerprints with a tree of many levels, in tasks that split on or take pairs of blocks, equal all pairs."""
     monkeypatch.setattr(simhash, "HOME", 64)
-    monkeypatch.setattr(simhash, "SHARD", 64)
     monkeypatch.setattr(simhash, "MOST_ROWS", most)
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
