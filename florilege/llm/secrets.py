@@ -38,7 +38,8 @@ ALLOWED = (
     r"^[A-Za-z]{0,12}(?:0?1234567890?){1,8}[A-Za-z]{0,12}$",
     r"(?i)^[a-z0-9]{0,12}x{8,}[a-z0-9]{0,4}$",
     r"^(.{1,6}?)\1+$",
-    r"^[a-z]*(?:(?:[A-Z][a-z]?)?[A-Z][a-z]{2,}|[A-Z]{2,5}(?=[A-Z][a-z]))+[A-Z]{0,5}[0-9]{0,4}$",
+    # possessive: no other cut into words could match, and a greedy group takes the matcher's stack on long runs
+    r"^[a-z]*(?:(?:[A-Z][a-z]?)?[A-Z][a-z]{2,}|[A-Z]{2,5}(?=[A-Z][a-z]))++[A-Z]{0,5}[0-9]{0,4}$",
 )
 #: A run of a block that is a word, maybe with a number behind it, or a number; such a run is not random.
 WORD = r"^(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+)$"
@@ -137,6 +138,12 @@ def scan(docs: DataFrame) -> DataFrame:
     return found.withColumn("spans", F.when((F.size("_base") + F.size("_more")) > 0, F.array_sort(bare)).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))).drop("_base", "_more", "_joined")
 
 
+def counted(spans: Column, kind: str) -> Column:
+    """How many spans are of ``kind``."""
+    k = KINDS.index(kind)  # not a second parameter of the lambda: Spark would bind that to the place in the array
+    return F.size(F.filter(spans, lambda x: x["k"] == k)).cast("long")
+
+
 def spelt(spans: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     """Spans of ``kinds`` as kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
