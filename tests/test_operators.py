@@ -1,7 +1,12 @@
 """Small literal cases for rules that SQL cannot state, and brute-force twins of the greedy passes."""
 
 import json
+import math
 import random
+import re
+import time
+import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -13,7 +18,7 @@ from florilege.operators import joins as J
 from florilege.operators import pages as P
 from florilege.operators import restructure as K
 from florilege.operators import similarity as S
-from florilege.operators.models import group_folds
+from florilege.operators.models import group_folds, hashed_ngrams, hashed_vectors
 from florilege.operators.primitives import running
 from florilege.operators.quotes import verbatim_share, word_tokens
 from florilege.operators.ranking import expert_override
@@ -328,3 +333,34 @@ def test_a_very_long_word_is_cut_to_the_lengths_of_the_pieces_only(spark):
     pieces = spark.createDataFrame([("needle",), ("wor",), ("none",)], "piece string")
     assert sorted(map(tuple, J.word_substrings(texts, "id", F.col("t"), pieces).collect())) == [(1, "needle"), (2, "wor")]
     assert sorted(map(tuple, J.word_prefixes(texts, "id", F.col("t"), pieces).collect())) == [(2, "wor")]
+
+
+def _features(texts, size):
+    """Sparse vector of the texts of one id, as the operator describes it."""
+    counts = Counter()
+    for text in texts:
+        words = re.findall(r"\w+", text.lower())
+        for w in words:
+            asian = re.search("[\u3040-\u9fff]", w)
+            tagged, tag, sizes = (w, "c", (1, 2, 3)) if asian else (f"<{w}>", "g", (3, 4, 5))
+            counts.update(tag + tagged[i : i + k] for k in sizes for i in range(len(tagged) - k + 1) if asian or len(w) <= 30)
+            counts.update([] if asian else ["w" + w])
+        counts.update(f"b{a} {b}" for a, b in zip(words, words[1:]) if not re.search("[\u3040-\u9fff]", a + b))
+    cells = Counter()
+    for g, n in counts.items():
+        cells[zlib.crc32(g.encode()) % (size - 1) + 1] += n
+    values = [(0, 1.0)] * len(texts) + [(i, 1 + math.log(n)) for i, n in cells.items()]
+    length = math.sqrt(sum(v * v for _, v in values))
+    return sorted((i, round(v / length, 9)) for i, v in values)
+
+
+def test_features_are_counted_where_the_text_lies(spark):
+    texts = [(1, "Ala ma kota, ala MA psa aaaa"), (2, ""), (3, "漢字 kanji かな abc漢 漢"), (4, "w" * 40 + " x 😀x a1_b"), (5, "two rows"), (5, "of two rows"), (None, "no id")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    for size in (16, 65536):
+        got = {r["id"]: sorted((i, round(v, 9)) for i, v in zip(r["idx"], r["value"])) for r in hashed_vectors(df, "id", F.col("text"), size).collect()}
+        assert got == {k: _features([t for i, t in texts if i == k], size) for k in range(1, 6)}
+        assert hashed_ngrams(df, "id", F.col("text"), size).count() == sum(map(len, got.values()))
+    # the cells of a text were dealt by row and place, all of them, before
+    plan = hashed_ngrams(df, "id", F.col("text"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not re.search(r"hashpartitioning\(id#\d+L?, (?:w|g)#", plan)
