@@ -364,3 +364,31 @@ def test_features_are_counted_where_the_text_lies(spark):
     # the cells of a text were dealt by row and place, all of them, before
     plan = hashed_ngrams(df, "id", F.col("text"))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and not re.search(r"hashpartitioning\(id#\d+L?, (?:w|g)#", plan)
+
+
+def test_sketches_rule_out_pairs_but_no_alike_one(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    left = [(i, rng.sample(words, rng.randint(0, 8)), rng.sample(words, rng.choice((0, 5, 40, 150)))) for i in range(40)]
+    right = [(i, [*t[: len(t) - i % 3], *rng.sample(words, i % 2)], [*c[: len(c) - i % 4], "only"]) for i, t, c in left]
+    right = [(i, list(dict.fromkeys(t)), list(dict.fromkeys(c))) for i, t, c in right]
+    got = {r["id"]: (r["match"], r["verdict"]) for r in S.cross_match(*(spark.createDataFrame(x, "id long, t array<string>, i array<string>") for x in (left, right)), "id").collect()}
+
+    def alike(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+
+    want = {}
+    for i, t, c in left:
+        for j, t2, c2 in right:
+            x, y = alike(t2, t), alike(c2, c)
+            verdict = "same" if (x >= 0.5 and y >= 0.5) or (y >= 0.8 and x >= 0.3) else "maybe" if (x >= 0.3 and y >= 0.25) or x >= 0.6 or y >= 0.6 else "no"
+            if verdict != "no" and (i not in want or x + y > want[i][0]):
+                want[i] = (x + y, (j, verdict))
+    assert got == {i: v for i, (_, v) in want.items()}
+    # a rare word in common, and nothing else
+    far = spark.createDataFrame([(k, ["rare", *(f"{k}-{i}" for i in range(99))]) for k in (1, 2)], "id long, w array<string>")
+    rows = far.select("id", F.transform("w", lambda w: F.xxhash64(w)).alias("w"))
+    key = F.array(F.struct(F.lit("rare").alias("key"), F.lit(0).alias("pos"), F.lit(100).alias("n"), F.lit(0.3).alias("c"), F.lit(0).alias("m")))
+    keyed = rows.select("id", key.alias("keys"), F.array(S.sketch("w", 0.3)).alias("sketches"))
+    assert S.met(S.keyed(keyed, "id", "keys", "a"), S.keyed(keyed, "id", "keys", "b"), "id", ordered=True).count() == 0
+    assert S.met(S.keyed(keyed.drop("sketches"), "id", "keys", "a"), S.keyed(keyed.drop("sketches"), "id", "keys", "b"), "id", ordered=True).count() == 1
