@@ -166,10 +166,14 @@ def lookup_with_inflection(rows: DataFrame, row: str, name: str, latin: str, nam
     by_name = by_latin.join(firsts(names, "_e2"), F.col("_n") == F.col("key"), "left").drop("key")
     size = F.length("key")
     heads = F.transform(F.sequence(F.greatest(F.lit(4), size - 5), F.least(size, size + 1)), lambda n: F.left(F.col("key"), n))
-    loose = names.filter(size >= 6).select("key", entity, order, F.explode(heads).alias("_head"))
-    open_rows = by_name.filter(F.col("_e1").isNull() & F.col("_e2").isNull() & F.col("_bare") & (F.length("_n") >= 6)).select(row, "_n", F.left("_n", F.length("_n") - 2).alias("_head"))
-    near = open_rows.join(loose, "_head").filter(F.abs(size - F.length("_n")) <= 3)
-    by_end = near.groupBy(row).agg(F.min_by(entity, order).alias("_e3"))
+    # equal names and equal questions are one row each, so that what repeats does not multiply
+    first = names.filter(size >= 6).groupBy("key").agg(F.min_by(entity, order).alias(entity), F.min(order).alias(order))
+    loose = first.select("key", entity, order, F.explode(heads).alias("_head"))
+    open_rows = by_name.filter(F.col("_e1").isNull() & F.col("_e2").isNull() & F.col("_bare") & (F.length("_n") >= 6)).select(row, "_n")
+    asked = open_rows.select("_n").distinct().select("_n", F.left("_n", F.length("_n") - 2).alias("_head"))
+    near = asked.join(loose, "_head").filter(F.abs(size - F.length("_n")) <= 3)
+    answers = near.groupBy("_n").agg(F.min_by(entity, order).alias("_e"), F.min(order).alias("_o"))
+    by_end = open_rows.join(answers, "_n").groupBy(row).agg(F.min_by("_e", "_o").alias("_e3"))
     return by_name.join(by_end, row, "left").select(row, F.coalesce("_e1", "_e2", "_e3").alias(entity))
 
 

@@ -335,6 +335,17 @@ def test_a_very_long_word_is_cut_to_the_lengths_of_the_pieces_only(spark):
     assert sorted(map(tuple, J.word_prefixes(texts, "id", F.col("t"), pieces).collect())) == [(2, "wor")]
 
 
+def test_questions_and_names_that_repeat_do_not_multiply(spark):
+    names = spark.range(40_000).select(F.lit("long yellow root").alias("key"), (F.col("id") + 7).alias("entity"), F.col("id").alias("ord"))
+    names = names.unionByName(spark.createDataFrame([("long yellow roost", 3, 99_999), ("other", 4, -1)], "key string, entity long, ord long"))
+    rows = spark.range(40_000).select("id", F.lit("long yellow roow").alias("q"), F.lit(None).cast("string").alias("latin"))
+    rows = rows.unionByName(spark.createDataFrame([(50_000, "other", None), (50_001, "nothing alike", None), (50_002, "long yellow roow", "x y")], "id long, q string, latin string"))
+    start = time.time()
+    out = J.lookup_with_inflection(rows, "id", "q", "latin", names, names.limit(0), "entity", "ord")
+    assert sorted(map(tuple, out.groupBy("entity").count().na.fill(-1).collect())) == [(-1, 2), (4, 1), (7, 40_000)]
+    assert time.time() - start < 30
+
+
 def _features(texts, size):
     """Sparse vector of the texts of one id, as the operator describes it."""
     counts = Counter()
