@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from florilege.functions import amounts, arrow
 from florilege.functions import text as X
 from florilege.functions import urls as U
+from florilege.functions.profile import pick_segment, taste
 from florilege.functions.scoring import parse_budget, retry_seconds
 from florilege.operators import joins as J
 from florilege.operators import pages as P
@@ -403,3 +404,11 @@ def test_sketches_rule_out_pairs_but_no_alike_one(spark):
     keyed = rows.select("id", key.alias("keys"), F.array(S.sketch("w", 0.3)).alias("sketches"))
     assert S.met(S.keyed(keyed, "id", "keys", "a"), S.keyed(keyed, "id", "keys", "b"), "id", ordered=True).count() == 0
     assert S.met(S.keyed(keyed.drop("sketches"), "id", "keys", "a"), S.keyed(keyed.drop("sketches"), "id", "keys", "b"), "id", ordered=True).count() == 1
+
+
+def test_notes_are_normalised_once(spark):
+    """A note's words are bound once: the accent rule stands once for the note and once for its parts."""
+    assert str(taste(pick_segment(F.col("note"), F.lit("sok")))).count("translate(") == 2
+    rows = spark.createDataFrame([("gorzki (kora), słodki (sok)",), ("lekko słodki, ostry",), ("lekko słodki (sok)",), ("nijaki (sok)",), ("",), (None,)], "note string")
+    got = [r[0] for r in rows.select(taste(pick_segment(F.col("note"), F.lit("sok")))).collect()]
+    assert got == ["słodki", "ostry", "słodki", None, None, None]
