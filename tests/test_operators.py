@@ -412,3 +412,23 @@ def test_notes_are_normalised_once(spark):
     rows = spark.createDataFrame([("gorzki (kora), słodki (sok)",), ("lekko słodki, ostry",), ("lekko słodki (sok)",), ("nijaki (sok)",), ("",), (None,)], "note string")
     got = [r[0] for r in rows.select(taste(pick_segment(F.col("note"), F.lit("sok")))).collect()]
     assert got == ["słodki", "ostry", "słodki", None, None, None]
+
+
+def test_running_scans_small_keys_whole(spark, capsys, monkeypatch):
+    """Keys of few rows take one shuffle; busy keys beside them, null ones too, are cut up with the same values."""
+    rows = [(k, i, float(i * 7 % 11)) for k, n in ((1, 3), (2, 40), (None, 25), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    values = {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "m": ("max", F.col("v"))}
+    for inclusive in (True, False):
+        found = running(df, ["k"], [F.asc("i")], F.floor(F.col("i") / 4), values, inclusive)
+        found.explain()
+        assert capsys.readouterr().out.count("Exchange") == 1
+        few = sorted(map(tuple, found.collect()), key=str)
+        monkeypatch.setattr("florilege.operators.primitives.BUSY", 10)
+        mixed = sorted(map(tuple, running(df, ["k"], [F.asc("i")], F.floor(F.col("i") / 4), values, inclusive).collect()), key=str)
+        monkeypatch.undo()
+        want = []
+        for k, i, v in rows:
+            before = [x for a, b, x in rows if a == k and (b < i or (inclusive and b == i))]
+            want.append((k, i, v, len(before), sum(before), max(before, default=None)))
+        assert few == mixed == sorted(want, key=str)
