@@ -143,13 +143,26 @@ def plant_key(latin: Column) -> Column:
 
 
 def binomial_or_genus(items: DataFrame, item: str, latin: Column, card: str, entities: DataFrame, entity: str, entity_latin: Column) -> DataFrame:
-    """Entities of the same species, of the same genus when an item names only that, and the explicit card."""
-    keys = items.select(item, F.explode(species_keys(latin)).alias("key"))
-    own = entities.select(entity, plant_key(entity_latin).alias("key")).filter("key IS NOT NULL")
-    pairs = keys.filter(F.contains(F.col("key"), F.lit(" "))).join(own, "key")
-    genera = keys.filter(~F.contains(F.col("key"), F.lit(" "))).join(own.withColumn("key", F.substring_index("key", " ", 1)), "key")
-    cards = items.select(item, F.col(card).alias(entity)).join(entities.select(entity), entity)
-    return pairs.select(item, entity).unionByName(genera.select(item, entity)).unionByName(cards.select(item, entity)).distinct()
+    """Entities of the same species, of the same genus when an item names only that, and the explicit card.
+
+    Items meet the names first, each item and name once, and then the entities of the name, so the pairs are distinct as
+    they are made. Only entities of several names, and cards that are no such pair, are compared with each other.
+    """
+    keys = items.select(item, F.explode(species_keys(latin)).alias("key")).distinct()
+    named = entities.select(entity, plant_key(entity_latin).alias("key")).filter("key IS NOT NULL")
+    own = named.groupBy(entity).agg(F.min("key").alias("key"), (F.min("key") != F.max("key")).alias("_more"))
+    several = named.join(own.filter("_more").select(F.col(entity).alias("_several")), F.col(entity).eqNullSafe(F.col("_several")), "left_semi").distinct()
+    names = named.select("key").distinct()
+    same = keys.filter(F.contains(F.col("key"), F.lit(" "))).join(names, "key").select(item, "key")
+    genera = keys.filter(~F.contains(F.col("key"), F.lit(" "))).withColumnRenamed("key", "_genus").join(names.withColumn("_genus", F.substring_index("key", " ", 1)), "_genus")
+    wanted = same.unionByName(genera.select(item, "key")).distinct()
+    pairs = own.filter("NOT _more").join(wanted, "key").select(item, entity)
+    further = several.join(wanted, "key").select(item, entity)
+    cards = items.select(item, F.col(card).alias(entity)).distinct().join(entities.select(entity).distinct(), entity).join(own, entity, "left")
+    met = wanted.select(F.col(item).alias("_item"), F.col("key").alias("_key"))
+    plain = cards.filter(~F.coalesce("_more", F.lit(False))).join(met, F.col(item).eqNullSafe(F.col("_item")) & (F.col("key") == F.col("_key")), "left_anti")
+    further = further.unionByName(cards.filter("_more").select(item, entity)).distinct()
+    return pairs.unionByName(further).unionByName(plain.select(item, entity))
 
 
 def lookup_with_inflection(rows: DataFrame, row: str, name: str, latin: str, names: DataFrame, latins: DataFrame, entity: str, order: str) -> DataFrame:

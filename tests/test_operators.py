@@ -432,3 +432,15 @@ def test_running_scans_small_keys_whole(spark, capsys, monkeypatch):
             before = [x for a, b, x in rows if a == k and (b < i or (inclusive and b == i))]
             want.append((k, i, v, len(before), sum(before), max(before, default=None)))
         assert few == mixed == sorted(want, key=str)
+
+
+def test_binomial_or_genus_has_no_distinct_over_its_pairs(spark, capsys):
+    """Every pair once, also for entities that stand twice, with two names, and cards that are pairs already."""
+    items = spark.createDataFrame([("a", "Rosa canina", 1), ("a", "Rosa spp.", 2), ("b", "Rosa canina", 5), ("b", "Salix alba", 9), (None, "Rosa spp.", 3), ("c", None, 4)], "item string, note string, card int")
+    names = [(1, "Rosa canina"), (1, "Rosa canina"), (2, "Rosa rugosa"), (3, "Salix alba"), (3, "Rosa rugosa"), (4, None), (5, "Salix alba"), (5, "Salix alba"), (None, "Rosa canina")]
+    found = J.binomial_or_genus(items, "item", F.col("note"), "card", spark.createDataFrame(names, "entity int, latin string"), "entity", F.col("latin"))
+    got = sorted(map(tuple, found.collect()), key=str)
+    want = {("a", e) for e in (1, 2, 3, None)} | {(None, e) for e in (1, 2, 3, None)} | {("b", e) for e in (1, 3, 5, None)} | {("c", 4)}
+    assert got == sorted(want, key=str)
+    found.explain()
+    assert not capsys.readouterr().out.split("Physical Plan ==")[1].strip().split("\n")[1].strip(" +-").startswith("HashAggregate")
