@@ -45,13 +45,14 @@ def new_paragraphs(pages: DataFrame, keys: Sequence[str], text: str, seen: DataF
     none = F.array().cast("array<string>")
     p = pages.join(seen, list(keys), "left").withColumn("_p", X.paragraphs(F.col(text)))
     p = p.withColumn("_old", F.coalesce("seen", none))
-    low = F.lower
 
     def mark(x: Column) -> Column:
-        hash_ = X.text_hash(x)
-        fresh = ~F.array_contains(F.col("_old"), hash_)
-        hit = F.lit(True) if names is None else F.exists(names, lambda n: F.contains(low(x), n))
-        return F.struct(hash_.alias("hash"), fresh.alias("fresh"), (fresh & hit).alias("hit"), x.alias("text"))
+        def judged(hash_: Column) -> Column:
+            fresh = ~F.array_contains(F.col("_old"), hash_)
+            hit = F.lit(True) if names is None else X.let(F.lower(x), lambda low: F.exists(names, lambda n: F.contains(low, n)))
+            return F.struct(hash_.alias("hash"), fresh.alias("fresh"), (fresh & hit).alias("hit"), x.alias("text"))
+
+        return X.let(X.text_hash(x), judged)
 
     p = p.withColumn("_m", F.transform("_p", mark))
     before = F.slice(F.concat(F.array(F.lit(None)), F.col("_m")), 1, F.size("_m"))

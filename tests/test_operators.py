@@ -444,3 +444,18 @@ def test_binomial_or_genus_has_no_distinct_over_its_pairs(spark, capsys):
     assert got == sorted(want, key=str)
     found.explain()
     assert not capsys.readouterr().out.split("Physical Plan ==")[1].strip().split("\n")[1].strip(" +-").startswith("HashAggregate")
+
+
+def test_new_paragraphs_hash_each_paragraph_once(spark):
+    long = "The nettle grows by the water and is picked in spring before it flowers. " * 4
+    rows = [(1, f"{long}\n\n{'草' * 70}\n\n{'草' * 60}\n\nshort\n\n{long.upper()}"), (2, None), (3, "a\nb\n" + "山 " * 80)]
+    pages = spark.createDataFrame(rows, "id int, text string")
+    seen = spark.createDataFrame([(1, [])], "id int, seen array<string>")
+    found = P.new_paragraphs(pages, ["id"], "text", seen, F.array(F.lit("nettle")))
+    got = {r["id"]: r for r in found.collect()}
+    assert [got[i]["total"] for i in (1, 2, 3)] == [4, 0, 1] and got[1]["off_topic"] == 1 and got[1]["skip"] is None
+    # a paragraph was hashed three times and its script looked at twice at every line before
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha1(") == 1
+    cut = pages.select(X.paragraphs(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert cut.count("regexp_count(") == 1
