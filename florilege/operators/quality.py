@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from florilege.functions import arrow
 from florilege.functions.text import norm_part, norm_text
-from florilege.operators.primitives import count_where
 
 HTML = r"(?i)<[a-z/!]"  # fixed value: a tag in a text
 WEB = r"(?i)^https?://[^\s/]+"  # fixed value: an address
@@ -49,22 +48,35 @@ def candidate_checks(old: DataFrame, new: DataFrame, entity: str, hand: Sequence
     return fields.unionByName(lost).unionByName(twice).unionByName(bad)
 
 
+def _tallied(a: DataFrame, b: DataFrame, entity: str, key: str, *more: Column) -> DataFrame:
+    """Rows of ``a`` and of ``b`` per entity and key as ``_a`` and ``_b``, and whether they meet there; NULL meets nothing.
+
+    Rows are dealt by key before they are counted: nearly every key is its own, so counts of a part of a file would hold all its rows.
+    """
+    one, none = F.lit(1), F.lit(0)
+    both = a.withColumns({"_a": one, "_b": none}).unionByName(b.withColumns({"_a": none, "_b": one}), allowMissingColumns=True)
+    n = both.repartition(entity, key).groupBy(entity, key).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), *more)
+    return n.withColumn("_met", F.col(entity).isNotNull() & F.col(key).isNotNull() & (F.col("_a") > 0) & (F.col("_b") > 0))
+
+
 def layout_checks(facts: DataFrame, points: DataFrame, sources: DataFrame, entity: str, sections: Sequence[str], most: int = 600) -> DataFrame:
     """Errors of a layout: sections, lengths, source numbers, and every fact exactly once.
 
     ``points`` holds one row per point and fact with section, text and source number.
     """
     own = error_rows(points, [entity], {"section": ~F.col("section").isin(*sections), "length": ~F.length("text").between(20, most), "html": F.col("text").rlike(HTML)})
-    unknown_source = points.join(sources.select(entity, F.col("nr").alias("source")), [entity, "source"], "left_anti").select(entity, F.lit("unknown_source").alias("error"))
-    n = points.groupBy(entity, "fact").agg(F.count("*").alias("n"))
-    twice = n.filter("n > 1").select(entity, F.lit("fact_twice").alias("error"))
-    unknown = n.join(facts.select(entity, "fact"), [entity, "fact"], "left_anti").select(entity, F.lit("unknown_fact").alias("error"))
-    left = facts.select(entity, "fact").join(n, [entity, "fact"], "left_anti").select(entity, F.lit("fact_left_out").alias("error"))
-    again = sources.groupBy(entity, "nr").agg(F.count("*").alias("n")).filter("n > 1").select(entity, F.lit("source_number_twice").alias("error"))
-    rows = own
-    for part in (unknown_source, twice, unknown, left, again):
-        rows = rows.unionByName(part)
-    return rows.groupBy(entity, "error").agg(F.count("*").alias("n"))
+    by_fact = _tallied(points.select(entity, F.col("fact").alias("_k")), facts.select(entity, F.col("fact").alias("_k")), entity, "_k")
+    by_source = _tallied(points.select(entity, F.col("source").alias("_k")), sources.select(entity, F.col("nr").alias("_k")), entity, "_k")
+
+    def told(tallies: DataFrame, counts: dict[str, Column]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(code).alias("error"), n.cast("long").alias("n")) for code, n in counts.items()])
+        return tallies.select(entity, F.inline(each)).filter("n > 0")
+
+    a, b, met = F.col("_a"), F.col("_b"), F.col("_met")
+    rows = own.withColumn("n", F.lit(1).cast("long"))
+    rows = rows.unionByName(told(by_fact, {"fact_twice": (a > 1).cast("int"), "unknown_fact": ((a > 0) & ~met).cast("int"), "fact_left_out": F.when(met, 0).otherwise(b)}))
+    rows = rows.unionByName(told(by_source, {"unknown_source": F.when(met, 0).otherwise(a), "source_number_twice": (b > 1).cast("int")}))
+    return rows.repartition(entity, "error").groupBy(entity, "error").agg(F.sum("n").alias("n"))
 
 
 def merged_checks(rows: DataFrame, entity: str, slot: str, slots: Sequence[str], original: str, live: str, numbers: str, known: str, most: int = 700) -> DataFrame:
@@ -120,10 +132,17 @@ def identity_align(rows: DataFrame, file: str, stored: str) -> DataFrame:
 
 def layout_answer_checks(inputs: DataFrame, answers: DataFrame, entity: str, fact: str, faithful: Column) -> DataFrame:
     """Whether a suggested layout may be taken: every input once, none unknown, faithful texts; all or nothing."""
-    n = answers.groupBy(entity, fact).agg(F.count("*").alias("n"), F.bool_and(F.coalesce(faithful, F.lit(False))).alias("ok"))
-    j = inputs.select(entity, fact, F.lit(True).alias("_in")).join(n, [entity, fact], "full")
-    return j.groupBy(entity).agg(
-        count_where(F.col("n").isNull()).alias("left_out"), count_where(F.col("n") > 1).alias("twice"), count_where(F.col("_in").isNull()).alias("unknown"), count_where(~F.col("ok")).alias("unfaithful")
+    told = answers.select(entity, fact, F.coalesce(faithful, F.lit(False)).alias("_ok"))
+    n = _tallied(told, inputs.select(entity, fact), entity, fact, F.bool_and("_ok").alias("_ok"))
+    a, b, met = F.col("_a"), F.col("_b"), F.col("_met")
+    # an answered key counts once for each of its inputs, and once where it has none
+    times = F.when(met, b).when(a > 0, 1).otherwise(0)
+    total = lambda count: F.sum(count.cast("long"))
+    return n.groupBy(entity).agg(
+        total(F.when(met, 0).otherwise(b)).alias("left_out"),
+        total(F.when(a > 1, times).otherwise(0)).alias("twice"),
+        total(((a > 0) & ~met).cast("int")).alias("unknown"),
+        total(F.when(~F.col("_ok"), times).otherwise(0)).alias("unfaithful"),
     ).withColumn("accepted", F.col("left_out") + F.col("twice") + F.col("unknown") + F.col("unfaithful") == 0)
 
 

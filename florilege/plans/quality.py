@@ -41,7 +41,7 @@ def layout_checks(t: Tables):
         F.col("l_orderkey").alias("entity"), F.col("l_linenumber").alias("fact"), F.when(F.col("l_returnflag") == "N", "odd").otherwise("opis").alias("section"),
         F.when(F.col("l_quantity") < 5, "short").otherwise("a statement of fitting length").alias("text"), (F.col("l_suppkey") % 5).cast("int").alias("source"),
     )
-    sources = p.filter("source < 4").select("entity", F.col("source").alias("nr")).distinct()
+    sources = p.filter("source < 4").select("entity", F.col("source").alias("nr")).repartition("entity", "nr").distinct()
     facts = t.orders.select(F.col("o_orderkey").alias("entity"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("fact"))
     return J.layout_checks(facts, p, sources, "entity", ["opis"])
 
@@ -102,7 +102,7 @@ def identity_align(t: Tables):
     SELECT *, left_out + twice + unknown + unfaithful = 0 AS accepted FROM g""",
 )
 def layout_answer_checks(t: Tables):
-    inputs = t.lineitem.select(F.col("l_orderkey").alias("entity"), F.col("l_linenumber").alias("fact")).distinct()
+    inputs = t.lineitem.select(F.col("l_orderkey").alias("entity"), F.col("l_linenumber").alias("fact")).repartition("entity", "fact").distinct()
     answers = t.lineitem.filter("l_discount < 0.1").select(F.col("l_orderkey").alias("entity"), F.when(F.col("l_quantity") == 50, 99).otherwise(F.col("l_linenumber")).alias("fact"), (F.col("l_tax") < 0.08).alias("ok"))
     return J.layout_answer_checks(inputs, answers, "entity", "fact", F.col("ok"))
 

@@ -17,6 +17,7 @@ from florilege.functions.profile import pick_segment, taste
 from florilege.functions.scoring import parse_budget, retry_seconds
 from florilege.operators import joins as J
 from florilege.operators import pages as P
+from florilege.operators import quality as Q
 from florilege.operators import restructure as K
 from florilege.operators import similarity as S
 from florilege.operators.models import group_folds, hashed_ngrams, hashed_vectors
@@ -459,3 +460,24 @@ def test_new_paragraphs_hash_each_paragraph_once(spark):
     assert plan.count("sha1(") == 1
     cut = pages.select(X.paragraphs(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
     assert cut.count("regexp_count(") == 1
+
+
+def test_layout_checks_deal_rows_before_they_count(spark):
+    facts = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 3), (None, 4), ("c", None)], "e string, fact int")
+    text = "a statement of fitting length"
+    points = [("a", 1, "x", text, 1), ("a", 1, "x", text, 2), ("b", 9, "odd", text, None), (None, 4, "x", "short", 1), ("c", None, "x", text, 1)]
+    sources = spark.createDataFrame([("a", 1), ("a", 1), ("c", 1), (None, 1)], "e string, nr int")
+    found = Q.layout_checks(facts, spark.createDataFrame(points, "e string, fact int, section string, text string, source int"), sources, "e", ["x"])
+    want = {
+        ("a", "fact_twice", 1), ("a", "fact_left_out", 2), ("a", "unknown_source", 1), ("a", "source_number_twice", 1), ("b", "section", 1), ("b", "unknown_source", 1),
+        ("b", "unknown_fact", 1), ("b", "fact_left_out", 1), (None, "length", 1), (None, "unknown_source", 1), (None, "unknown_fact", 1), (None, "fact_left_out", 1),
+        ("c", "unknown_fact", 1), ("c", "fact_left_out", 1),
+    }
+    assert {tuple(r) for r in found.collect()} == want
+    answers = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("a", 2, None), ("b", 7, False), (None, 4, True)], "e string, fact int, ok boolean")
+    judged = Q.layout_answer_checks(facts, answers, "e", "fact", F.col("ok"))
+    assert {tuple(r) for r in judged.collect()} == {("a", 0, 2, 0, 2, False), ("b", 1, 0, 1, 1, False), (None, 1, 0, 1, 0, False), ("c", 1, 0, 0, 0, False)}
+    # every file counted its own rows by key before, all of them in one table of one task
+    for df in (found, judged):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan and "Join" not in plan
