@@ -294,13 +294,14 @@ def pages_for_entity(pages: DataFrame, page: str, text: str, keys: DataFrame, en
 
     ``keys`` holds ``(entity, key)`` in lower case; the first word of a key selects the pages to count in.
     """
-    first = keys.select(entity, "key", F.regexp_extract("key", r"(?U)^(\w+)", 1).alias("piece"))
-    near = word_substrings(pages, page, F.lower(text), first).join(first, "piece").select(page, entity, "key").distinct()
-    near = near.join(used.select(entity, page).distinct(), [entity, page], "left_anti")
-    low = F.lower(text)
-    count = ((F.length(low) - F.length(F.replace(low, F.col("key"), F.lit("")))) / F.length("key")).cast("long")
-    counted = near.join(pages.select(page, text), page).select(entity, page, count.alias("hits"))
-    sums = counted.groupBy(entity, page).agg(F.sum("hits").alias("hits")).filter("hits > 0")
+    first = keys.select(entity, "key", F.regexp_extract("key", r"(?U)^(\w+)", 1).alias("piece")).distinct()
+    near = word_substrings(pages, page, F.lower(text), first).join(first, "piece").select(page, entity, "key")
+    # each page is put in lower case once, and looked through in full only for keys that it holds
+    low = pages.select(page, F.lower(text).alias("_low"))
+    held = near.join(low, page).filter(F.contains("_low", "key"))
+    count = ((F.length("_low") - F.length(F.replace(F.col("_low"), F.col("key"), F.lit("")))) / F.length("key")).cast("long")
+    sums = held.select(entity, page, count.alias("hits")).groupBy(entity, page).agg(F.sum("hits").alias("hits")).filter("hits > 0")
+    sums = sums.join(used.select(entity, page).distinct(), [entity, page], "left_anti")
     return top_per_key(sums, [entity], [F.desc("hits"), F.asc(page)], k)
 
 
