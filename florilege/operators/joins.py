@@ -137,18 +137,18 @@ def dict_match_best(texts: DataFrame, text_id: str, text: Column, catalogue: Dat
         ).alias("r"),
     )
     roots = roots.select(entity, "short", "r.pos", "r.piece")
-    pieces = word_prefixes(texts, text_id, text, roots)
-    whole = texts.select(text_id, F.explode(F.array_distinct(words(text))).alias("piece"), F.lit(True).alias("_whole"))
+    normal = written(texts.select(text_id, norm_text(text).alias("_n")), "normal")
+    pieces = word_prefixes(normal, text_id, F.col("_n"), roots, normal=True)
+    # a word must stand whole only where it is very short
+    brief = roots.filter(F.col("short") & (F.col("pos") == 0))
+    whole = whole_phrases(normal, text_id, F.col("_n"), brief, 1).withColumn("_whole", F.lit(True))
     found = pieces.join(roots, "piece").join(whole, [text_id, "piece"], "left")
     fits = F.when(F.col("short") & (F.col("pos") == 0), F.coalesce("_whole", F.lit(False))).otherwise(True)
     hit = found.filter(fits).groupBy(text_id, entity, "short").agg(F.max(F.when(F.col("pos") == 0, 1)).alias("_head"), F.countDistinct(F.when(F.col("pos") > 0, F.col("pos"))).alias("_more"))
     points = F.when(F.col("_head").isNull(), 0).when(F.col("short"), F.when(F.col("_more") > 0, 4).otherwise(0)).otherwise(3 + 2 * F.col("_more"))
     by_name = hit.select(text_id, entity, points.alias("score"))
-    w = words(text)
-    pairs = F.zip_with(w, F.slice(F.concat(w, F.array(F.lit(None))), 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
-    bigrams = texts.select(text_id, F.explode(F.array_distinct(pairs)).alias("pair"))
-    latins = named.filter(F.size("lat") >= 2).select(entity, F.array_join(F.slice("lat", 1, 2), " ").alias("pair"))
-    by_latin = bigrams.join(latins, "pair").select(text_id, entity, F.lit(10).alias("score"))
+    latins = named.filter(F.size("lat") >= 2).select(entity, F.array_join(F.slice("lat", 1, 2), " ").alias("piece"))
+    by_latin = whole_phrases(normal, text_id, F.col("_n"), latins, 2).join(latins, "piece").select(text_id, entity, F.lit(10).alias("score"))
     best = by_name.unionByName(by_latin).groupBy(text_id, entity).agg(F.max("score").alias("score")).filter("score > 0")
     level = best.groupBy(text_id, "score").agg(F.count("*").alias("n"), F.min(entity).alias(entity))
     top = level.groupBy(text_id).agg(F.max_by(F.struct("n", entity, "score"), "score").alias("t"))
