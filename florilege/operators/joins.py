@@ -456,7 +456,11 @@ def about_entity(text: Column, latin: Column, name: Column) -> Column:
     All three are normal forms, so that each text is normalised once and not once per entity.
     """
     genus = F.substring_index(latin, " ", 1)
+
+    def begins(w: Column) -> Column:
+        return F.startswith(text, w) | F.contains(text, F.concat(F.lit(" "), w))
+
     long = F.filter(F.split(name, " "), lambda w: F.length(w) >= 4)
-    found = F.size(F.filter(long, lambda w: F.contains(low, F.concat(F.lit(" "), F.left(w, F.lit(5))))))
+    found = F.size(F.filter(long, lambda w: begins(F.left(w, F.lit(5)))))
     by_stems = (F.size(long) >= 1) & (found >= F.greatest(F.lit(1), F.size(long) - 1))
-    return ((F.length(genus) >= 4) & F.contains(low, F.concat(F.lit(" "), genus))) | F.contains(low, name) | by_stems
+    return ((F.length(genus) >= 4) & begins(genus)) | F.contains(text, name) | by_stems

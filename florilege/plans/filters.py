@@ -127,15 +127,17 @@ def domain_block_filter(t: Tables):
 )
 def about_entity_filter(t: Tables):
     from florilege.operators.joins import word_prefixes, word_substrings
+    from florilege.session import written
 
     c = catalogue(t)
     genus = F.substring_index(X.norm_text(F.col("latin")), " ", 1)
     heads = F.array_append(F.transform(F.filter(X.words(F.col("name")), lambda w: F.length(w) >= 4), lambda w: F.left(w, F.lit(5))), genus)
     pieces = c.select("entity", F.explode(heads).alias("piece"))
     whole = c.select("entity", F.substring_index(X.norm_text(F.col("name")), " ", 1).alias("piece"))
-    near = word_prefixes(t.documents, "doc_id", F.col("text"), pieces).join(pieces, "piece").select("doc_id", "entity")
-    inside = word_substrings(t.documents, "doc_id", X.norm_text(F.col("text")), whole).join(whole, "piece").select("doc_id", "entity")
-    texts = t.documents.select("doc_id", X.norm_text(F.col("text")).alias("n"))
+    # texts are brought into normal form once
+    texts = written(t.documents.select("doc_id", X.norm_text(F.col("text")).alias("n")), "normal")
+    near = word_prefixes(texts, "doc_id", F.col("n"), pieces, normal=True).join(pieces, "piece").select("doc_id", "entity")
+    inside = word_substrings(texts, "doc_id", F.col("n"), whole).join(whole, "piece").select("doc_id", "entity")
     names = c.select("entity", X.norm_text(F.col("latin")).alias("la"), X.norm_text(F.col("name")).alias("nm"))
     pairs = near.unionByName(inside).distinct().join(texts, "doc_id").join(names, "entity")
     return pairs.filter(about_entity(F.col("n"), F.col("la"), F.col("nm"))).select("doc_id", "entity")

@@ -337,6 +337,36 @@ def test_a_very_long_word_is_cut_to_the_lengths_of_the_pieces_only(spark):
     assert sorted(map(tuple, J.word_prefixes(texts, "id", F.col("t"), pieces).collect())) == [(2, "wor")]
 
 
+def test_few_pieces_are_searched_as_many_are_joined(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "Ab cde, abcdefgh_x ż łan Łąka"), (1, "Ab cde"), (2, "xab cd\u00e9 12345678 de"), (3, ""), (4, None), (5, "ab\ncde a b  abcdefzz")], "id int, t string")
+    pieces = spark.createDataFrame([(p,) for p in ("a", "ab", "ab cde", "b c", "cde", "abcdef", "abcdefgh", "bcdefg", "1234567", "lak", "an", "_", "-", "", None, "ab")], "piece string")
+    catalogue = spark.createDataFrame([(1, "ab cde", "abcdefgh x"), (2, "abcdefgh", "xab cde"), (3, "łąka", "a b"), (4, "xab", None), (5, "łąka", "q r")], "entity int, name string, latin string")
+    keys = spark.createDataFrame([(1, "ab cde"), (1, "ab"), (1, "ab"), (2, "de"), (3, "-x"), (4, "łan ł")], "entity int, key string")
+    used = spark.createDataFrame([(1, 2)], "entity int, id int")
+    low = F.lower("t")
+
+    def found():
+        n = J.norm_text(F.col("t"))
+        tables = (
+            J.word_substrings(texts, "id", low, pieces), J.word_prefixes(texts, "id", F.col("t"), pieces), J.word_prefixes(texts.select("id", n.alias("n")), "id", F.col("n"), pieces, normal=True),
+            J.whole_phrases(texts, "id", n, pieces.filter("piece IN ('ab', 'cde', 'a')"), 1).distinct(), J.whole_phrases(texts, "id", n, pieces.filter("piece = 'ab cde'"), 2).distinct(),
+            J.dict_match_best(texts, "id", F.col("t"), catalogue, "entity", F.col("name"), F.col("latin")), J.link_longest(texts, "id", F.col("t"), catalogue, "entity", F.col("name")),
+            J.pages_for_entity(texts, "id", "t", keys, "entity", used, 3),
+        )
+        return [sorted(map(tuple, t.collect())) for t in tables]
+
+    few = found()
+    monkeypatch.setattr(J, "FEW", 0)
+    assert found() == few
+    substrings, prefixes, again, words, pairs = few[:5]
+    assert prefixes == again
+    assert (1, "bcdefg") in substrings and (5, "b c") not in substrings and (2, "1234567") in substrings
+    assert (1, "lak") in prefixes and (2, "ab") not in prefixes and (5, "abcdef") in prefixes
+    assert words == [(1, "ab"), (1, "cde"), (2, "cde"), (5, "a"), (5, "ab"), (5, "cde")]
+    assert pairs == [(1, "ab cde"), (5, "ab cde")]
+    assert few[7] == [(1, 1, 5, 1), (1, 5, 2, 2), (2, 1, 3, 1), (2, 2, 1, 2), (2, 5, 1, 3), (4, 1, 1, 1)]
+
+
 def test_questions_and_names_that_repeat_do_not_multiply(spark):
     names = spark.range(40_000).select(F.lit("long yellow root").alias("key"), (F.col("id") + 7).alias("entity"), F.col("id").alias("ord"))
     names = names.unionByName(spark.createDataFrame([("long yellow roost", 3, 99_999), ("other", 4, -1)], "key string, entity long, ord long"))
