@@ -364,7 +364,7 @@ def test_few_pieces_are_searched_as_many_are_joined(spark, monkeypatch):
     assert (1, "lak") in prefixes and (2, "ab") not in prefixes and (5, "abcdef") in prefixes
     assert words == [(1, "ab"), (1, "cde"), (2, "cde"), (5, "a"), (5, "ab"), (5, "cde")]
     assert pairs == [(1, "ab cde"), (5, "ab cde")]
-    assert few[7] == [(1, 1, 5, 1), (1, 5, 2, 2), (2, 1, 3, 1), (2, 2, 1, 2), (2, 5, 1, 3), (4, 1, 1, 1)]
+    assert few[7] == [(1, 1, 5, 1), (1, 5, 2, 2), (2, 1, 3, 1), (2, 2, 1, 3), (2, 5, 2, 2), (4, 1, 1, 1)]
 
 
 def test_questions_and_names_that_repeat_do_not_multiply(spark):
