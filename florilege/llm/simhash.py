@@ -3,7 +3,8 @@
 Fingerprints are dealt to shards by their Hamming distance to vantage points: up to a cut goes inside, the rest
 outside. A pair within ``reach`` bits that a node parts has its outer member no farther than cut + reach (triangle
 inequality), so such outer rows also visit the inside and every other branch is pruned. Every linked pair meets
-in some shard, where the same splits go on until a block is small enough to compare. Results are exact.
+in some shard. There a pair agrees in one of ``reach + 1`` pieces of the fingerprint, so only points of an equal piece
+are compared; where too many share one, the same splits go on until a block is small enough. Results are exact.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from florilege.session import cut_lineage
 REACH = 4
 WORDS = 4
 #: Distinct fingerprints that a shard should hold at home.
-HOME = 4096
+HOME = 16_384
 #: Rows of a shard that one task takes whole, partitions that shards are dealt to, rows that a block compares directly.
-MOST_ROWS, MOST_TASKS, BLOCK = 65_536, 20_000, 768
+MOST_ROWS, MOST_TASKS, BLOCK = 262_144, 20_000, 768
 #: Most fingerprints that vantage points and medians are taken from; every fingerprint is then placed.
 SAMPLE = 16_384
 
@@ -113,9 +114,31 @@ def placed(tree: list | None, points: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(rows), np.concatenate(shards)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
+#: Pieces of a fingerprint as (shift, mask): of two within ``REACH`` bits one piece at least is equal.
+PIECES = [(64 * i // (REACH + 1), (1 << 64 * (i + 1) // (REACH + 1) - 64 * i // (REACH + 1)) - 1) for i in range(REACH + 1)]
+
+
 def linked(points: np.ndarray) -> np.ndarray:
-    """For each of the distinct ``points`` the index of the smallest point it is connected to."""
-    parent, stack = np.arange(len(points)), [np.arange(len(points))]
+    """For each of the distinct ``points`` the index of the smallest point it is connected to.
+
+    Points that share a piece are neighbours once sorted by it, and all groups are compared at one distance in the order
+    after another. Groups of more than ``BLOCK`` points of one piece are split further.
+    """
+    parent, stack = np.arange(len(points)), []
+    for shift, mask in PIECES:
+        piece = (points >> np.uint64(shift)) & np.uint64(mask)
+        order = np.argsort(piece, kind="stable")
+        starts = np.flatnonzero(np.diff(piece[order], prepend=piece[order[:1]] + np.uint64(1)))
+        sizes = np.diff(np.append(starts, len(points)))
+        stack += [order[a : a + n] for a, n in zip(starts[sizes > BLOCK].tolist(), sizes[sizes > BLOCK].tolist(), strict=True)]
+        after = np.repeat(np.where(sizes > BLOCK, 0, starts + sizes), sizes) - np.arange(len(points))
+        live, away = np.flatnonzero(after > 1), 1
+        while live.size:
+            a, b = order[live], order[live + away]
+            near = np.bitwise_count(points[a] ^ points[b]) <= REACH
+            parent = joined_links(parent, a[near], b[near])
+            away += 1
+            live = live[after[live] > away]
     while stack:
         at = stack.pop()
         cut = _split(points[at]) if at.size > BLOCK else None

@@ -1,6 +1,7 @@
 """Near copies against brute force: fingerprints, vectors, connected components."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -69,6 +70,20 @@ def test_links_over_many_shards(spark, monkeypatch, most):
     assert joined_links(np.arange(len(points)), *np.nonzero(simhash.linked(points)[:, None] == simhash.linked(points)[None, :])).tolist() == want.tolist()
 
 
+def test_points_of_a_shard_meet_on_equal_pieces():
+    """Many points that share a piece, beside random ones; and a large shard, whose pairs were nearly all compared before."""
+    rng = np.random.default_rng(6)
+    crowd = np.uint64(5 << 50) ^ rng.integers(0, 1 << 12, 3000, dtype=np.uint64) ^ (rng.integers(0, 1 << 10, 3000, dtype=np.uint64) << np.uint64(26))
+    points = np.unique(np.concatenate([crowd, rng.integers(0, 1 << 63, 2000, dtype=np.uint64)]))
+    want = joined_links(np.arange(len(points)), *np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4))
+    assert simhash.linked(points).tolist() == want.tolist()
+    assert simhash.linked(points[:0]).tolist() == [] and simhash.linked(points[:1]).tolist() == [0]
+    many = np.unique(rng.integers(0, 1 << 63, 50_000, dtype=np.uint64))
+    start = time.process_time()
+    simhash.linked(many)
+    assert time.process_time() - start < 4
+
+
 def test_one_of_each(spark):
     text = "this is a text of several words that two rows share"
     rows = [(3, text, "x"), (1, text, "y"), (1, text, "y"), (None, text, "n"), (5, "", "e"), (6, None, "e"), (7, "another thing altogether is said here", "z")]
