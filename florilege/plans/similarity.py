@@ -10,10 +10,11 @@ from florilege.plans.registry import Tables, query
 from florilege.plans.text_functions import jaccard_sql, polish_tokens_sql, tokens_sql
 
 
-def records(t: Tables):
-    """Documents as records: the first line is the title, the rest the content."""
+def records(t: Tables, some=None):
+    """Documents, or those of some ids, as records: the first line is the title, the rest the content."""
     title = F.substring_index("text", "\n", 1)
-    return t.documents.select("doc_id", "source", X.title_tokens(title).alias("t"), X.title_tokens(F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)")).alias("i"))
+    docs = t.documents if some is None else t.documents.join(some, "doc_id", "left_semi")
+    return docs.select("doc_id", "source", X.title_tokens(title).alias("t"), X.title_tokens(F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)")).alias("i"))
 
 
 RECORDS_SQL = f"""recs AS MATERIALIZED (SELECT doc_id, source, {tokens_sql("split_part(text, chr(10), 1)")} AS t, {tokens_sql("substr(text, length(split_part(text, chr(10), 1)) + 1)")} AS i FROM documents),
@@ -30,11 +31,16 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, a) = 1)"""
 
 @query("near_dup_join", f"WITH RECURSIVE {RECORDS_SQL} SELECT doc_id, duplicate_of, score FROM dups")
 def near_dup_join(t: Tables):
-    return S.near_duplicates(records(t), "doc_id")
+    return copies(t)
+
+
+def copies(t: Tables):
+    """The best earlier primary of each document; only documents that may be copies are cut into tokens again."""
+    return S.near_duplicates(records(t), "doc_id", again=lambda ids: records(t, ids))
 
 
 def deduplicated(t: Tables):
-    dups = S.near_duplicates(records(t), "doc_id")
+    dups = copies(t)
     url = F.concat(F.lit("https://"), "source", F.lit(".example/"), (F.col("doc_id") % 4).cast("string"))
     return t.documents.select("doc_id", url.alias("url")).join(dups, "doc_id")
 
@@ -50,8 +56,7 @@ def group_sources(t: Tables):
 
 @query("dup_extra_sources", f"WITH RECURSIVE {RECORDS_SQL} SELECT duplicate_of, count(*) AS extra FROM dups WHERE duplicate_of IS NOT NULL GROUP BY 1")
 def dup_extra_sources(t: Tables):
-    dups = S.near_duplicates(records(t), "doc_id")
-    return dups.filter("duplicate_of IS NOT NULL").groupBy("duplicate_of").agg(F.count("*").alias("extra"))
+    return copies(t).filter("duplicate_of IS NOT NULL").groupBy("duplicate_of").agg(F.count("*").alias("extra"))
 
 
 @query(

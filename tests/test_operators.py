@@ -15,6 +15,7 @@ from florilege.functions import text as X
 from florilege.functions import urls as U
 from florilege.functions.profile import pick_segment, taste
 from florilege.functions.scoring import parse_budget, retry_seconds
+from florilege.operators import alike
 from florilege.operators import joins as J
 from florilege.operators import pages as P
 from florilege.operators import quality as Q
@@ -409,6 +410,38 @@ def test_features_are_counted_where_the_text_lies(spark):
     assert "MapInArrow" in plan and not re.search(r"hashpartitioning\(id#\d+L?, (?:w|g)#", plan)
 
 
+def test_alike_sets_are_found_in_blocks_and_few_others_are_read(spark, monkeypatch):
+    """Texts of one vocabulary, of very different lengths and of owners of any size: nearly all share a rare word."""
+    rng = random.Random(12)
+    words = [f"{a}{b}{c}" for a in ("leaf", "root", "bark", "seed") for b in "uvwxyz" for c in "klmnop"]
+    rows = []
+    for i in range(500):
+        base = rows[rng.randrange(i)][2].split() if i % 4 == 3 else rng.sample(words, rng.choice((1, 2, 5, 9, 30, 60)))
+        kept = [w for w in base if rng.random() < 0.9] or base
+        rows.append((rng.choice("aaaaab"), i, " ".join([*kept, *rng.sample(words, rng.randint(0, 1))]), rng.choice(("", "", "", f"quote {i % 90}"))))
+    df = spark.createDataFrame(rows, "owner string, id long, t string, q string")
+    stems = {i: set(t.split()) for _, i, t, _ in rows}
+    like = lambda a, b, least: len(stems[a] & stems[b]) >= least * len(stems[a] | stems[b])
+
+    def walk(least, quotes):
+        kept = []
+        for o, i, _, q in rows:
+            if not any(p == o and (like(i, k, least) or quotes and q and q == r) for p, k, r in kept):
+                kept.append((o, i, q))
+        return [i for _, i, _ in kept]
+
+    read, plain = [], alike.scored_pairs
+    monkeypatch.setattr(alike, "scored_pairs", lambda u, pairs: (read.append(pairs.count()), plain(u, pairs))[1])
+    assert len(stems) == 500 and all(len(w) == 6 for w in words)
+    for least, few in ((0.55, (4096, 131_072)), (0.6, (25, 25))):
+        monkeypatch.setattr(alike, "BLOCKS", few)
+        assert sorted(r.id for r in K.dedup_texts(df, ["owner"], "id", "t", least).collect()) == walk(least, False)
+    assert sum(read) < 4000  # of 90,000 pairs of the large owner
+    monkeypatch.setattr(alike, "BLOCKS", (25, 25))
+    units = [len(walk(0.6, True)), K.dedup_texts(df, ["owner"], "id", "t", 0.6, quote="q").count()]
+    assert abs(units[0] - units[1]) <= len(rows) - df.select("owner", "t").distinct().count()
+
+
 def test_sketches_rule_out_pairs_but_no_alike_one(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(400)]
