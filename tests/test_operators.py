@@ -410,6 +410,15 @@ def test_features_are_counted_where_the_text_lies(spark):
     assert "MapInArrow" in plan and not re.search(r"hashpartitioning\(id#\d+L?, (?:w|g)#", plan)
 
 
+def test_long_words_have_their_character_runs_too(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitän"
+    df = spark.createDataFrame([(1, f"der {long}")], "id long, text string")
+    words = ["der", long]
+    grams = {f"g{w[i : i + k]}" for w in (f"<{x}>" for x in words) for k in (3, 4, 5) for i in range(len(w) - k + 1)}
+    want = {0} | {zlib.crc32(g.encode()) % 65535 + 1 for g in grams | {f"w{w}" for w in words} | {f"bder {long}"}}
+    assert {r.idx for r in hashed_ngrams(df, "id", F.col("text"), longest=None).collect()} == want
+
+
 def test_alike_sets_are_found_in_blocks_and_few_others_are_read(spark, monkeypatch):
     """Texts of one vocabulary, of very different lengths and of owners of any size: nearly all share a rare word."""
     rng = random.Random(12)
