@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.operators.primitives import count_where, share, top_per_key
+from florilege.operators.primitives import count_where, few, share, top_per_key
 
 ARCHIVE_DAY = "archiwum"  # fixed value: day under which old counters are summed
 
@@ -476,7 +476,8 @@ def item_overview(items: DataFrame, mapping: DataFrame, facts: DataFrame, item:
     per_entity = facts.groupBy(entity).agg(
         F.count("*").alias("n_all"), count_where(F.col("on_topic")).alias("n_topic"), count_where(F.col("status") == "new").alias("n_to_verify")
     )
-    sums = mapping.join(per_entity, entity).groupBy(item).agg(*[F.sum(c).cast("long").alias(c) for c in ("n_all", "n_topic", "n_to_verify")])
+    # pairs of the mapping stay where they are made: counts of entities go to them, and only sums of items are shuffled
+    sums = mapping.join(few(per_entity, 1_000_000), entity).groupBy(item).agg(*[F.sum(c).cast("long").alias(c) for c in ("n_all", "n_topic", "n_to_verify")])
     return items.join(sums, item, "left").na.fill(0, ["n_all", "n_topic", "n_to_verify"])
 
 

@@ -21,6 +21,7 @@ from florilege.operators import pages as P
 from florilege.operators import quality as Q
 from florilege.operators import restructure as K
 from florilege.operators import similarity as S
+from florilege.operators.aggregates import item_overview
 from florilege.operators.models import group_folds, hashed_ngrams, hashed_vectors
 from florilege.operators.primitives import running
 from florilege.operators.quotes import verbatim_share, word_tokens
@@ -410,6 +411,20 @@ def test_features_are_counted_where_the_text_lies(spark):
     assert "MapInArrow" in plan and not re.search(r"hashpartitioning\(id#\d+L?, (?:w|g)#", plan)
 
 
+def test_pairs_of_a_mapping_are_not_dealt_by_entity(spark):
+    items = spark.range(40).withColumnRenamed("id", "item")
+    mapping = items.filter("item < 30").crossJoin(spark.range(20).withColumnRenamed("id", "entity"))
+    facts = spark.range(100).select((F.col("id") % 25).alias("entity"), (F.col("id") % 2 == 0).alias("on_topic"), F.when(F.col("id") < 50, "new").otherwise("applied").alias("status"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = item_overview(items, mapping, facts, "item", "entity")
+        assert "hashpartitioning(entity" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in out.collect()} == {(i, 80, 40, 40) if i < 30 else (i, 0, 0, 0) for i in range(40)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_long_words_have_their_character_runs_too(spark):
     long = "donaudampfschifffahrtsgesellschaftskapitän"
     df = spark.createDataFrame([(1, f"der {long}")], "id long, text string")
